@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from importlake.llm import exact_dedup, secrets, simhash, url_filter
-from importlake.llm.common import table
+from importlake.llm import ann, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, url_filter
+from importlake.llm.common import fold, table
 
 #: (verdict, host, path)
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: The least score of a text that the classifier keeps.
+QUALITY_LEAST = 0.3
+#: Relative shares in the mix; a source that isn't named has a share of two.
+MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 3}
+MIX_OTHER = 2
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``score``, by a model that learned from labels of training folds only."""
+    return quality.score(docs, quality.train(docs, labels, fold(F.col("doc_id"), 5) != 0))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +38,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(F.col("doc_id"), 4) != 2, vocabulary_path())
+    guessed = langid.predict(docs, model)
+    return guessed.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_WEIGHTS, other_weight=MIX_OTHER)
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_at")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -26,14 +59,35 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_deleted").alias("n_deleted"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, vocabulary_path()), vocabulary_path())
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
         "op2_secret_scan": op2_secret_scan,
+        "op3_language": op3_language,
+        "op4_mix": op4_mix,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_simhash": op6_simhash,
+        "op7_line_dedup": op7_line_dedup,
         "op8_url_filter": op8_url_filter,
+        "op9_nearest": op9_nearest,
+        "op10_sentencepiece": op10_sentencepiece,
     }
