@@ -78,6 +78,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -90,4 +96,5 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_nearest": op9_nearest,
         "op10_sentencepiece": op10_sentencepiece,
+        "pipeline": pipeline,
     }

@@ -115,3 +115,141 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes"
     )
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# Near-duplicates at a given similarity of their shingle sets.
+#
+# Two bits of 64 only link texts that differ by a word or so. For a lower similarity a text gets several fingerprints, its
+# views: each is the SimHash of a small sample of the text's shingles, the least ones under a few hash functions of the
+# view. Texts of high similarity draw the same sample in some view with near certainty, and then their fingerprints are
+# equal, which is the grid join at distance zero. The sets of shingles are then compared exactly.
+
+MIX = np.random.default_rng(SEED)
+MULTIPLIERS = MIX.integers(1, 1 << 62, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def views(hashes: np.ndarray, number: int, sample: int) -> list[int]:
+    """The fingerprint of each view; none for a text without words."""
+    if not len(hashes):
+        return []
+    least = np.full(number * sample, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at : at + 4096, None] * MULTIPLIERS[: number * sample]).min(0))
+    drawn = ((least ^ (least >> np.uint64(29))) * MULTIPLIERS[-1]).reshape(number, sample)
+    return [majority(x) for x in drawn]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, alike) for distinct pairs of nodes, by the exact Jaccard similarity of their shingle sets."""
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            same = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(same >= least * (len(p) + len(q) - same))
+        return pd.Series(out, dtype=bool)
+
+    x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    near = pairs.join(x, "a").join(y, "b")
+    # No more than a fifth of the larger set may be missing from the smaller, at 0.8; so sizes alone rule out many.
+    sized = near.withColumn("fit", F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
+    return stage(
+        sized.where("fit").select("a", "b", alike("x", "y").alias("alike")).unionByName(sized.where("not fit").select("a", "b", F.lit(False).alias("alike"))),
+        "verified",
+    )
+
+
+def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Members (keys, node) of groups of two or more, each with two centres: the node met in most groups, and one by a hash of the key."""
+    sizes = stage(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    crowd = stage(members.join(sizes, keys), "crowd")
+    fame = stage(crowd.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    known = stage(crowd.join(fame, "node").select(*keys, "node", "fame", F.xxhash64(*keys, "node").alias("draw")), "known")
+    centres = stage(known.groupBy(*keys).agg(F.max_by("node", F.struct("fame", "node")).alias("popular"), F.min_by("node", "draw").alias("drawn")), "centres")
+    return stage(known.join(centres, keys).select(*keys, "node", "popular", "drawn"), "stars")
+
+
+def _pairs(stars: DataFrame) -> DataFrame:
+    both = stars.select("node", F.explode(F.array("popular", "drawn")).alias("to")).where("node <> to")
+    return both.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+
+
+def _left_over(stars: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The members that are neither a centre of their group nor like one."""
+    good = done.where("alike").select(F.col("a").alias("node"), F.col("b").alias("to"))
+    good = good.unionByName(good.select(F.col("to").alias("node"), F.col("node").alias("to")))
+    rest = stars.where("node <> popular and node <> drawn")
+    rest = rest.join(good.withColumnRenamed("to", "popular"), ["node", "popular"], "left_anti")
+    return rest.join(good.withColumnRenamed("to", "drawn"), ["node", "drawn"], "left_anti").select(*keys, "node")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, number: int = 24, sample: int = 4
+) -> DataFrame:
+    """Return a staged (id, mark, group_id, group_mark) for each distinct pair of id and text: the first document of its group.
+
+    Groups are the components of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or
+    more. Words and short texts are taken as for fingerprints; texts without a word are alike. The first document is that
+    with the smallest id, a null id before all others, and of one id that with the smallest hash of its text (``mark``).
+    Texts that meet in a view are compared with two of those that they meet. Those like neither are compared by an exact
+    prefix filter: ordered by how rare they are, the shingles of two like texts agree in their first fifth (at 0.8) somewhere,
+    and each such group is compared with its centres until none is left over. An empty table gives an empty result.
+    """
+
+    @F.pandas_udf("node string, views array<long>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        nodes, seen = [], []
+        for t in texts:
+            h = shingle_set(t, words)
+            nodes.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
+            seen.append(views(h, number, sample))
+        return pd.DataFrame({"node": nodes, "views": seen})
+
+    @F.pandas_udf("array<long>")
+    def sets_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
+
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    prints = stage(keyed.select("id", "mark", look("text").alias("x")).select("id", "mark", "x.*"), "prints")
+    nodes = stage(prints.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("views").alias("views")), "nodes")
+    keys = ["view", "fp"]
+    stars = _stars(nodes.select("node", F.posexplode("views").alias("view", "fp")), keys)
+    wanted = stage(stars.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark")), "wanted")
+    texts = keyed.join(wanted.withColumnsRenamed({"id": "w_id", "mark": "w_mark"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    sets = stage(texts.dropDuplicates(["node"]).select("node", sets_of("text").alias("hashes")), "sets")
+    done = _verified(_pairs(stars), sets, least)
+    links = done.where("alike").select("a", "b")
+    rest = _left_over(stars, done, keys)
+    again = stage(rest.join(rest.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), keys).select("node").distinct(), "again")
+    if not again.isEmpty():
+        each = stage(sets.join(again, "node", "left_semi").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h")), "each")
+        rare = stage(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rare")
+        ordered = each.join(rare, "h", "left").selectExpr("node", "size", "h", "df", "row_number() over (partition by node order by coalesce(df, 1), h) as k")
+        members = stage(ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).where("df > 1").select("h", "node"), "prefix")
+        while not members.isEmpty():
+            stars = _stars(members, ["h"])
+            fresh = stage(_pairs(stars).join(done, ["a", "b"], "left_anti"), "fresh")
+            done = stage(done.unionByName(_verified(fresh, sets, least)), "done")
+            rest = _left_over(stars, done, ["h"])
+            members = stage(rest, "members")
+        links = done.where("alike").select("a", "b")
+    joined = connected_components(links)
+    classes = stage(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near")
+    heads = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "heads")
+    named = stage(classes.join(heads, "component").select("node", "head"), "named")
+    return stage(prints.select("id", "mark", "node").distinct().join(named, "node").select("id", "mark", F.col("head.id").alias("group_id"), F.col("head.mark").alias("group_mark")), "groups")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the first. Of rows alike in id and text one stays, whichever."""
+    groups = near_duplicates(docs, id_col, text_col, words, least)
+    heads = groups.where("id <=> group_id and mark = group_mark").select(F.col("id").alias("nd_id"), F.col("mark").alias("nd_mark"))
+    keyed = docs.withColumn("nd_key", F.xxhash64(text_col))
+    kept = keyed.join(heads, keyed[id_col].eqNullSafe(heads["nd_id"]) & (keyed["nd_key"] == heads["nd_mark"]))
+    return kept.dropDuplicates(["nd_id", "nd_mark"]).select(*docs.columns)
