@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_history"]
+MODULES = ["q_history", "q_stats", "q_text"]
 
 
 def load() -> None:
