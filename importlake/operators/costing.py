@@ -102,7 +102,7 @@ def purchase_price(df: DataFrame, unit: str = "unit") -> DataFrame:
 
 def rate_label(kind: Column, rate: Column) -> Column:
     """``basic 8%`` or ``agreement (F1) 2.5%``, the rate without needless zeros."""
-    number = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", rate), "0+$", ""), r"\.$", "")
+    number = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", rate.cast("double")), "0+$", ""), r"\.$", "")
     return F.concat(F.when(kind == BASE_RATE, F.lit("기본세율 ")).otherwise(F.concat(F.lit("FTA 협정세율("), kind, F.lit(") "))), number, F.lit("%"))
 
 

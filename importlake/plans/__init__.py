@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_history", "q_stats", "q_text"]
+MODULES = ["q_history", "q_stats", "q_text", "q_retail", "q_costing", "q_enrich", "q_ingest", "q_search", "q_matching", "q_stream"]
 
 
 def load() -> None:
