@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,30 +103,28 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _view(self, name: str, *tables: str, **frames: DataFrame) -> DataFrame:
+    def view(self, name: str, *tables: str, **frames: DataFrame) -> DataFrame:
         frames |= {t: self.raw(t) for t in tables}
         text = VIEWS[name]
-        import re
-
         for t in frames:
             text = re.sub(rf"(?<=from |join ){t}\b(?!\.)", f"{{{t}}}", text)
         return self.spark.sql(text, **frames)
 
     @cached_property
     def ih(self) -> DataFrame:
-        return self._view("import_history", "lineitem", "orders", "customer", "part", "supplier", "nation")
+        return self.view("import_history", "lineitem", "orders", "customer", "part", "supplier", "nation")
 
     @cached_property
     def cia(self) -> DataFrame:
-        return self._view("country_item_amount", import_history=self.ih)
+        return self.view("country_item_amount", import_history=self.ih)
 
     @cached_property
     def psi(self) -> DataFrame:
-        return self._view("product_sourcing_item", "part")
+        return self.view("product_sourcing_item", "part")
 
     @cached_property
     def emb(self) -> DataFrame:
-        return self._view("product_embedding", "embeddings", "part")
+        return self.view("product_embedding", "embeddings", "part")
 
     @cached_property
     def tariffs(self) -> DataFrame:
