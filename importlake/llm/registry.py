@@ -98,3 +98,21 @@ def queries() -> dict:
         "op10_sentencepiece": op10_sentencepiece,
         "pipeline": pipeline,
     }
+
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Without redirects and canonical links the method allows; those are tested against a brute-force version.
+ORACLES = {
+    "op5_exact_dedup": f"""with d as (select doc_id, {FOLDED} as t from documents)
+      select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
+    "op8_url_filter": r"""with h as (select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+      rules as (select * from (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) as r(decision, rule_host, rule_path)),
+      best as (select page_id, rule_host || rule_path as rule, decision from h join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+        qualify row_number() over (partition by page_id order by length(rule_host || rule_path) desc) = 1)
+      select h.page_id, host, path, rule, coalesce(decision, 'allow') as verdict from h left join best on h.page_id = best.page_id""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
