@@ -149,12 +149,15 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     texts decide, and rows alike in both are one document, which keeps its text in each. Lines are compared without white
     space at either end, and a block counts from ``least_words`` words on. What an earlier document has is never cut from
     all of its holders, as the first one keeps it. A null text stays null and an empty one empty; an empty
-    table gives an empty result.
+    table gives an empty result. Columns of the input whose names begin with ``ld_`` are dropped.
     """
-    found = stage(deletions(docs, id_col, text_col, least_words), "deletions").select(F.col("id").alias("ld_id"), F.col("mark").alias("ld_mark"), "places")
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("ld_")])
+    found = stage(deletions(docs, id_col, text_col, least_words), "deletions")
+    found = found.select(F.col("id").alias("ld_id"), F.col("mark").alias("ld_mark"), F.col("places").alias("ld_places"))
     marked = docs.withColumn("ld_key", F.xxhash64(text_col))
-    joined = marked.join(found, marked[id_col].eqNullSafe(found.ld_id) & (marked.ld_key == found.ld_mark), "left")
+    joined = marked.join(found, marked[id_col].eqNullSafe(found["ld_id"]) & (marked["ld_key"] == found["ld_mark"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
-    text = F.when(F.col("places").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumns({"ld_lines": F.coalesce(F.size(lines), F.lit(0)), "ld_deleted": F.coalesce(F.size("places"), F.lit(0)), text_col: text}).drop("ld_id", "ld_mark", "ld_key", "places")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("ld_places"))
+    text = F.when(F.col("ld_places").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    counted = {"ld_lines": F.coalesce(F.size(lines), F.lit(0)), "ld_deleted": F.coalesce(F.size("ld_places"), F.lit(0)), text_col: text}
+    return joined.withColumns(counted).drop("ld_id", "ld_mark", "ld_key", "ld_places")

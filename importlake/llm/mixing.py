@@ -66,9 +66,9 @@ def _literal(spark: SparkSession, plan: list[dict]) -> DataFrame:
         f"({quote(p['source'])}, {p['weight']}L, {p['first']}L, {p['blocks']}L, array({', '.join(f'{x}L' for x in p['slots'])}), {p['start']}L, {p['every']}L)"
         for p in plan
     )
-    names = "plan_source, plan_weight, plan_first, plan_blocks, plan_slots, plan_start, plan_every"
+    names = "mix_plan_source, mix_plan_weight, mix_plan_first, mix_plan_blocks, mix_plan_slots, mix_plan_start, mix_plan_every"
     return spark.sql(f"select * from values {rows} as t({names})") if plan else spark.sql(
-        "select '' plan_source, 0L plan_weight, 0L plan_first, 0L plan_blocks, array(0L) plan_slots, 0L plan_start, 0L plan_every where false"
+        "select '' mix_plan_source, 0L mix_plan_weight, 0L mix_plan_first, 0L mix_plan_blocks, array(0L) mix_plan_slots, 0L mix_plan_start, 0L mix_plan_every where false"
     )
 
 
@@ -86,7 +86,9 @@ def mix(
     order, which are copies. No row is dropped. The only thing that comes to the driver is the number of rows of each source, of which there may
     be ``most_sources``; more is an error. Ranks within a source come from counts of hash buckets of about ``bucket_rows``
     rows, so a source with a third of all rows is ranked in many tasks. An empty table gives an empty result.
+    Columns of the input whose names begin with ``mix_`` are dropped.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     counts = {r.s: r.n for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).limit(most_sources + 1).collect()}
     if len(counts) > most_sources:
@@ -103,21 +105,21 @@ def mix(
     keyed = docs.withColumns({"mix_source": source, "mix_bucket": F.pmod(mixed, F.lit(buckets)), "mix_hash": mixed})
     sizes = docs.select(source.alias("s"), F.pmod(mixed, F.lit(buckets)).alias("b")).groupBy("s", "b").agg(F.count("*").alias("n"))
     before = stage(
-        sizes.selectExpr("s as at_source", "b as at_bucket", "sum(n) over (partition by s order by b rows between unbounded preceding and 1 preceding) as before"),
+        sizes.selectExpr("s as mix_at_source", "b as mix_at_bucket", "sum(n) over (partition by s order by b rows between unbounded preceding and 1 preceding) as mix_before"),
         "buckets",
     )
     ranked = keyed.selectExpr("*", "row_number() over (partition by mix_source, mix_bucket order by mix_hash) - 1 as mix_rank")
-    placed = ranked.join(before, (F.col("mix_source") == F.col("at_source")) & (F.col("mix_bucket") == F.col("at_bucket"))).withColumn(
-        "mix_rank", F.col("mix_rank") + F.coalesce("before", F.lit(0))
+    placed = ranked.join(before, (F.col("mix_source") == F.col("mix_at_source")) & (F.col("mix_bucket") == F.col("mix_at_bucket"))).withColumn(
+        "mix_rank", F.col("mix_rank") + F.coalesce("mix_before", F.lit(0))
     )
     placed = placed.withColumn("mix_block", F.expr(f"mix_rank div {block}"))
     table = _literal(docs.sparkSession, plan)
-    k = F.col("mix_block") - F.col("plan_first")
+    k = F.col("mix_block") - F.col("mix_plan_first")
     joined = placed.join(
-        F.broadcast(table), (F.col("mix_source") == F.col("plan_source")) & (k >= 0) & (k < F.col("plan_blocks"))
+        F.broadcast(table), (F.col("mix_source") == F.col("mix_plan_source")) & (k >= 0) & (k < F.col("mix_plan_blocks"))
     ).withColumn("mix_k", k)
     return joined.withColumns({
-        "mix_slot": F.expr("plan_start + mix_k div plan_weight * plan_every + element_at(plan_slots, cast(mix_k % plan_weight as int) + 1)"),
-        "mix_release": F.expr("plan_start + mix_k * plan_every div plan_weight"),
-        "mix_deadline": F.expr("plan_start + ((mix_k + 1) * plan_every + plan_weight - 1) div plan_weight"),
+        "mix_slot": F.expr("mix_plan_start + mix_k div mix_plan_weight * mix_plan_every + element_at(mix_plan_slots, cast(mix_k % mix_plan_weight as int) + 1)"),
+        "mix_release": F.expr("mix_plan_start + mix_k * mix_plan_every div mix_plan_weight"),
+        "mix_deadline": F.expr("mix_plan_start + ((mix_k + 1) * mix_plan_every + mix_plan_weight - 1) div mix_plan_weight"),
     }).withColumn("mix_at", F.col("mix_slot") * block + F.col("mix_rank") % block).select(*docs.columns, "mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_at")
