@@ -200,3 +200,10 @@ def _(t):
 def _(t):
     months = t.raw("orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
     return months.select("month", h.month_bound(F.col("month")).alias("first_day"), h.month_bound(F.col("month"), end=True).alias("last_day"))
+
+
+@query("d11_calendar_join", f""", c as (select country, cast(date_trunc('month', {D}) as date) as d, count(*) as n from import_history where {D} between date '1999-01-15' and date '2000-12-10' group by 1, 2),
+  cal as (select country, cast(m as date) as d from (select distinct country from c) k join (select unnest(generate_series(timestamp '1999-01-01', timestamp '2000-12-01', interval 1 month)) as m) on true)
+  select cal.country, strftime(cal.d, '%y/%m') as label, coalesce(n, 0) as count from cal left join c on c.d = cal.d and {same('cal', 'c', ['country'])}""", IH)
+def _(t):
+    return h.monthly_series(t.ih, ["country"], AS_OF, datetime.date(1999, 1, 15), datetime.date(2000, 12, 10))
