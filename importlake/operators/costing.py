@@ -43,8 +43,9 @@ def match_item(
     the product is a processed form and the item its raw material); then the most alike by bigrams; then a general item by a
     keyword. The items are a reference table of some thousands of names and are broadcast; products are distinct.
     """
-    names = products.select("product").where("product is not null").distinct().withColumn("p", item_key(F.col("product")))
-    known = items.select("item").where("item is not null").distinct().where(~F.col("item").isin(general or GENERAL_ITEMS)).withColumn("i", item_key(F.col("item")))
+    # Distinct names are few beside the records; they are kept, as each tier looks at what the one before left over.
+    names = products.select("product").where("product is not null").distinct().withColumn("p", item_key(F.col("product"))).persist()
+    known = items.select("item").where("item is not null").distinct().where(~F.col("item").isin(general or GENERAL_ITEMS)).withColumn("i", item_key(F.col("item"))).persist()
     endings = [e for e in (processed or PROCESSED)]
     bare = item_key(F.regexp_replace("product", r"(\s*\([^()]*\))+\s*$", ""))
     is_processed = F.exists(F.array(*[item_key(F.lit(e)) for e in endings]), lambda e: F.endswith(bare, e))
@@ -72,7 +73,7 @@ def match_item(
     if manual is not None:
         sure = manual.groupBy("product").agg(F.min("item").alias("item")).select("product", "item", F.lit("high").alias("confidence"), F.lit("manual").alias("method"))
         found = sure.unionByName(found.join(sure, "product", "left_anti"))
-    return products.select("product").where("product is not null").distinct().join(found, "product", "left").select(
+    return names.select("product").join(found, "product", "left").select(
         "product", "item", F.coalesce("confidence", F.lit("none")).alias("confidence"), F.coalesce("method", F.lit("none")).alias("method")
     )
 
@@ -148,7 +149,7 @@ def recompute_costs(
 ) -> DataFrame:
     """Add the estimate to rows with ``origin``, ``hs_code``, ``unit`` and some texts. Each step works on distinct inputs and is joined back."""
     names = rows.select(F.explode(F.array(*texts)).alias("product")).where("product is not null").distinct()
-    matches = match_item(names, cia.select(F.col("item_name").alias("item")), manual, **matching)
+    matches = match_item(names, cia.select(F.col("item_name").alias("item")), manual, **matching).persist()
     picked = pick_text(rows, texts, matches)
     with_item = picked.join(matches.select(F.col("product").alias("match_text"), "item", "confidence"), "match_text", "left")
     with_origin = resolve_origin(with_item, cia, countries)
