@@ -87,8 +87,8 @@ def train(vectors: DataFrame, books: int = 8, words: int = 256, max_rows: int =
 
 
 def search(
-    embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 8, words: int = 256, beam: int = 4,
-    shortlist: int = 100, block: int = 2048,
+    embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 16, words: int = 256, beam: int = 4,
+    shortlist: int = 500, block: int = 2048,
 ) -> DataFrame:
     """Return (query_id, rank, vec_id, score): the ``k`` nearest found of each query, the rows whose id ``every`` divides.
 
