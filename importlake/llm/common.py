@@ -4,11 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def portions(texts: Iterable[str | None], letters: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Consecutive texts in lists of about ``letters`` letters, so that what is derived from a batch isn't held all at once."""
+    part: list[str | None] = []
+    n = 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n >= letters:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside gets Arrow batches of ``rows`` rows, for columns that hold much; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -73,9 +73,8 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, vocabulary_path()), vocabulary_path())
-    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), check="round_trip")
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,21 +11,22 @@ is shuffled.
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from importlake.llm.common import stage
-from importlake.llm.lattice import MOST, SPACE, Pieces, by_length, cut
+from importlake.llm.common import portions, stage
+from importlake.llm.lattice import MOST, SPACE, cut
 
 #: A control character, or the mark itself, stands alone; otherwise a word begins with its run of spaces.
 WORD = r"[\x00-\x1f▁]| +[^ \x00-\x1f▁]*|[^ \x00-\x1f▁]+"
-FIND = regex.compile(WORD)
+FIND = re.compile(WORD)
 UNKNOWN_COST = 10.0  # below the least score of a piece, as in the library
 
 
@@ -58,12 +59,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@functools.cache
-def _pieces(path: str) -> tuple[Pieces, np.ndarray]:
-    v = vocabulary(path)
-    return Pieces(v.names), np.array([*v.scores, -np.inf])
-
-
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     v = vocabulary(path)
     return spark.createDataFrame(pd.DataFrame({"piece": v.names, "id": np.array(v.ids, np.int32), "cost": v.scores}))
@@ -111,71 +106,94 @@ def frequent_words(docs: DataFrame, text_col: str, most: int) -> DataFrame:
     return counts.where(level >= least).select(F.translate("word", " ", SPACE).alias("word"))
 
 
-def best_paths(path: str, words: list[str]) -> list[list[int]]:
-    """The piece ids of each word (with the mark for a space), solved for all words of one length at once."""
-    v = vocabulary(path)
-    pieces, scores = _pieces(path)
-    out: list[list[int]] = [[] for _ in words]
-    parts = [(k, p) for k, w in enumerate(words) for p in cut(w)]
-    solved: list[list[int]] = [[] for _ in parts]
-    for at, codes in by_length([p for _, p in parts]):
-        n, found = codes.shape[1], pieces.find(codes)
-        best = [np.zeros(len(codes))]
-        back, last = [np.zeros(len(codes), np.int64)], [np.full(len(codes), -1)]
-        for end in range(1, n + 1):
-            top, start_of, piece = np.full(len(codes), -np.inf), np.zeros(len(codes), np.int64), np.full(len(codes), -1)
-            for start in range(max(0, end - pieces.longest), end):
-                got = found.get((start, end))
-                if got is None and end - start > 1:
-                    continue
-                got = np.full(len(codes), -1) if got is None else got
-                cost = best[start] + (np.where(got < 0, v.unknown, scores[got]) if end - start == 1 else scores[got])
-                better = cost > top
-                top, start_of, piece = np.where(better, cost, top), np.where(better, start, start_of), np.where(better, got, piece)
-            best.append(top)
-            back.append(start_of)
-            last.append(piece)
-        back, last = np.array(back), np.array(last)
-        for row, k in enumerate(at):
-            ids, end, word = [], n, parts[k][1]
-            while end:
-                p = last[end, row]
-                ids[:0] = [v.ids[p]] if p >= 0 else v.spell(word[end - 1])
-                end = int(back[end, row])
-            solved[k] = ids
-    for (k, _), ids in zip(parts, solved):
-        out[k] += ids
+class Solved(dict):
+    """The piece ids of words as they stand in a text, as packed 32-bit numbers; a word that isn't there is solved when asked for."""
+
+    def __init__(self, path: str, given: dict[str, bytes]):
+        super().__init__(given)
+        self.vocabulary, self.given = vocabulary(path), given
+        self.prefixes = _prefixes(path)
+
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.given)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.vocabulary.spell(SPACE) if word == SPACE else chain.from_iterable(self.solve(p) for p in cut(word.replace(" ", SPACE)))
+        self[word] = packed = array("i", ids).tobytes()
+        return packed
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, FIND.findall(" " + text) if text else ())), np.int32)
+
+    def solve(self, word: str) -> list[int]:
+        """The best path through a word's lattice. Of paths that score alike, as in ``lattice``, the longest last piece."""
+        v, n, prefixes = self.vocabulary, len(word), self.prefixes
+        best, back = [0.0] + [-1e300] * n, [(0, -1)] * (n + 1)
+        for start in range(n):
+            base = best[start]
+            if base + v.unknown > best[start + 1]:
+                best[start + 1], back[start + 1] = base + v.unknown, (start, -1)
+            for end in range(start + 1, n + 1):
+                piece = prefixes.get(word[start:end])
+                if piece is None:
+                    break  # no piece begins like this
+                if piece and base + piece[1] > best[end]:
+                    best[end], back[end] = base + piece[1], (start, piece[0])
+        parts, end = [], n
+        while end:
+            start, piece = back[end]
+            parts.append([piece] if piece >= 0 else v.spell(word[start]))
+            end = start
+        return list(chain.from_iterable(reversed(parts)))
+
+
+@functools.cache
+def _prefixes(path: str) -> dict[str, tuple]:
+    """Each beginning of a piece, with the piece's id and score if it is a whole one."""
+    v, out = vocabulary(path), {}
+    for name, i, cost in zip(v.names, v.ids, v.scores):
+        for k in range(1, len(name)):
+            out.setdefault(name[:k], ())
+        out[name] = (i, cost)
     return out
 
 
-def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", to: str = "ids", table_words: int = 100_000, cache_words: int = 200_000) -> DataFrame:
-    """Add the piece ids of each whole text.
+def encode(
+    docs: DataFrame, vocabulary_path: str, text_col: str = "text", to: str = "ids", check: str | None = None, table_words: int = 300_000, cache_words: int = 50_000
+) -> DataFrame:
+    """Add the piece ids of each whole text, and as ``check`` whether they spell the text again.
 
     Ids are those of the path with the largest sum of piece scores; a letter that is no piece is spelled in byte pieces, and so is a
-    literal mark. A null text has null ids, an empty text none. A word of over 64 letters is cut after each 64. ``table_words`` bounds the broadcast table of
+    literal mark. A null text has null ids, an empty text none; both check. A word of over 64 letters is cut after each 64. ``table_words`` bounds the broadcast table of
     solved words, ``cache_words`` what a worker remembers besides.
     """
     spark = docs.sparkSession
     v = vocabulary(vocabulary_path)
     table = lattice(frequent_words(docs, text_col, table_words), piece_table(spark, vocabulary_path), v.longest, v.unknown)
-    solved = {r.word.replace(SPACE, " "): tuple(chain.from_iterable([i] if i >= 0 else v.spell(r.word[s]) for i, s, _ in r.path)) for r in table.toLocalIterator()}
+    solved = {
+        r.word.replace(SPACE, " "): array("i", chain.from_iterable([i] if i >= 0 else v.spell(r.word[s]) for i, s, _ in r.path)).tobytes() for r in table.toLocalIterator()
+    }
     shared = spark.sparkContext.broadcast(solved)
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = vocabulary(vocabulary_path)
-        known, more = shared.value, {SPACE: tuple(own.spell(SPACE))}
+    @F.pandas_udf("ids array<int>, same boolean")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Solved(vocabulary_path, shared.value)
         for texts in batches:
-            if len(more) > cache_words:
-                more = {SPACE: more[SPACE]}
-            split = [FIND.findall(" " + t) if t else [] for t in texts]
-            fresh = {w for x in split for w in x if w not in known and w not in more}
-            names = list(fresh)
-            more.update(zip(names, map(tuple, best_paths(vocabulary_path, [w.replace(" ", SPACE) for w in names]))))
-            get = lambda w: known.get(w) or more[w]
-            yield pd.Series([None if t is None else np.array(list(chain.from_iterable(map(get, x))), np.int32) for t, x in zip(texts, split)])
+            for part in portions(texts):
+                if len(known) > len(known.given) + cache_words:
+                    known.forget()
+                ids = [None if t is None else known.ids(t) for t in part]
+                same = [check is None or t is None or spelled(known.vocabulary, x) == t for t, x in zip(part, ids)]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": same})
 
-    return docs.withColumn(to, of(F.col(text_col)))
+    out = docs.withColumn(to, of(F.col(text_col)))
+    return out.withColumns({to: F.col(f"{to}.ids"), check: F.col(f"{to}.same")}) if check else out.withColumn(to, F.col(f"{to}.ids"))
+
+
+def spelled(v: Vocabulary, ids: np.ndarray) -> str:
+    n = len(v.bytes)
+    return b"".join([v.bytes[i] for i in ids.tolist() if 0 <= i < n])[1:].decode("utf-8", "replace")
 
 
 def decode(docs: DataFrame, vocabulary_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -183,8 +201,7 @@ def decode(docs: DataFrame, vocabulary_path: str, ids_col: str = "ids", to: str
 
     @F.pandas_udf("string")
     def of(ids: pd.Series) -> pd.Series:
-        own = vocabulary(vocabulary_path).bytes
-        n = len(own)
-        return pd.Series([None if x is None else b"".join([own[i] for i in x.tolist() if 0 <= i < n])[1:].decode("utf-8", "replace") for x in ids], dtype=object)
+        own = vocabulary(vocabulary_path)
+        return pd.Series([None if x is None else spelled(own, x) for x in ids], dtype=object)
 
     return docs.withColumn(to, of(F.col(ids_col)))
