@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from importlake.llm.common import stage
+from importlake.llm.common import arrow_rows, stage
 from importlake.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -159,34 +159,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     near = pairs.join(x, "a").join(y, "b")
     # No more than a fifth of the larger set may be missing from the smaller, at 0.8; so sizes alone rule out many.
     sized = near.withColumn("fit", F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
-    return stage(
-        sized.where("fit").select("a", "b", alike("x", "y").alias("alike")).unionByName(sized.where("not fit").select("a", "b", F.lit(False).alias("alike"))),
-        "verified",
-    )
+    checked = sized.where("fit").select("a", "b", alike("x", "y").alias("alike")).unionByName(sized.where("not fit").select("a", "b", F.lit(False).alias("alike")))
+    with arrow_rows(pairs.sparkSession, 500):  # each row holds two sets
+        return stage(checked, "verified")
+
+
+#: A group of up to this many is compared in all pairs, a larger one with about this many centres a round.
+FEW = 16
 
 
-def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Members (keys, node) of groups of two or more, each with two centres: the node met in most groups, and one by a hash of the key."""
+def _crowd(members: DataFrame, keys: list[str], turn: int) -> DataFrame:
+    """The members of groups of two or more, with the group's size and, in a large group, whether the member is a centre this round."""
     sizes = stage(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    crowd = stage(members.join(sizes, keys), "crowd")
-    fame = stage(crowd.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
-    known = stage(crowd.join(fame, "node").select(*keys, "node", "fame", F.xxhash64(*keys, "node").alias("draw")), "known")
-    centres = stage(known.groupBy(*keys).agg(F.max_by("node", F.struct("fame", "node")).alias("popular"), F.min_by("node", "draw").alias("drawn")), "centres")
-    return stage(known.join(centres, keys).select(*keys, "node", "popular", "drawn"), "stars")
+    centre = (F.col("n") > FEW) & (F.pmod(F.xxhash64(*keys, "node", F.lit(turn)), F.col("n")) < FEW)
+    return stage(members.join(sizes, keys).withColumn("centre", centre), "crowd")
+
+
+def _met(crowd: DataFrame, keys: list[str], fits: str) -> DataFrame:
+    """(keys, node, to): in small groups each pair once, in large ones each member with each centre. ``fits`` rules out pairs in the join."""
+    other = crowd.select(*keys, F.col("node").alias("to"), F.col("centre").alias("to_centre"), *[F.col(c).alias(f"to_{c}") for c in ("size", "k") if c in crowd.columns])
+    on = F.expr(f"((n <= {FEW} and node < to) or (n > {FEW} and to_centre and node <> to)) and {fits}")
+    x, y = crowd.alias("x"), other.alias("y")
+    return x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [on]).select(*[f"x.{c}" for c in keys], "node", "to", "n")
 
 
-def _pairs(stars: DataFrame) -> DataFrame:
-    both = stars.select("node", F.explode(F.array("popular", "drawn")).alias("to")).where("node <> to")
-    return both.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
-def _left_over(stars: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """The members that are neither a centre of their group nor like one."""
-    good = done.where("alike").select(F.col("a").alias("node"), F.col("b").alias("to"))
-    good = good.unionByName(good.select(F.col("to").alias("node"), F.col("node").alias("to")))
-    rest = stars.where("node <> popular and node <> drawn")
-    rest = rest.join(good.withColumnRenamed("to", "popular"), ["node", "popular"], "left_anti")
-    return rest.join(good.withColumnRenamed("to", "drawn"), ["node", "drawn"], "left_anti").select(*keys, "node")
+def _left_over(crowd: DataFrame, met: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of large groups that are neither a centre nor like one."""
+    far = crowd.where(f"n > {FEW} and not centre")
+    tied = met.where(f"n > {FEW}").withColumns({"a": F.least("node", "to"), "b": F.greatest("node", "to")}).join(done.where("alike"), ["a", "b"], "left_semi")
+    return far.join(tied.select(*keys, "node").distinct(), [*keys, "node"], "left_anti")
 
 
 def near_duplicates(
@@ -197,9 +202,10 @@ def near_duplicates(
     Groups are the components of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or
     more. Words and short texts are taken as for fingerprints; texts without a word are alike. The first document is that
     with the smallest id, a null id before all others, and of one id that with the smallest hash of its text (``mark``).
-    Texts that meet in a view are compared with two of those that they meet. Those like neither are compared by an exact
-    prefix filter: ordered by how rare they are, the shingles of two like texts agree in their first fifth (at 0.8) somewhere,
-    and each such group is compared with its centres until none is left over. An empty table gives an empty result.
+    Texts that meet in a view are compared: all pairs where up to FEW meet, else each with the centres of the group. Large groups that
+    this doesn't settle are compared by an exact prefix filter: ordered by how rare they are, the shingles of two like texts
+    agree in their first fifth (at 0.8) somewhere, and the groups so found are compared in the same way, with new centres
+    for what is left over, until nothing is. An empty table gives an empty result.
     """
 
     @F.pandas_udf("node string, views array<long>")
@@ -216,29 +222,36 @@ def near_duplicates(
         return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    prints = stage(keyed.select("id", "mark", look("text").alias("x")).select("id", "mark", "x.*"), "prints")
+    with arrow_rows(docs.sparkSession, 1000):  # each row holds a whole text
+        prints = stage(keyed.select("id", "mark", look("text").alias("x")).select("id", "mark", "x.*"), "prints")
     nodes = stage(prints.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("views").alias("views")), "nodes")
     keys = ["view", "fp"]
-    stars = _stars(nodes.select("node", F.posexplode("views").alias("view", "fp")), keys)
-    wanted = stage(stars.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark")), "wanted")
+    crowd = _crowd(nodes.select("node", F.posexplode("views").alias("view", "fp")), keys, 0)
+    met = stage(_met(crowd, keys, "true"), "met")
+    wanted = stage(crowd.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark")), "wanted")
     texts = keyed.join(wanted.withColumnsRenamed({"id": "w_id", "mark": "w_mark"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    sets = stage(texts.dropDuplicates(["node"]).select("node", sets_of("text").alias("hashes")), "sets")
-    done = _verified(_pairs(stars), sets, least)
-    links = done.where("alike").select("a", "b")
-    rest = _left_over(stars, done, keys)
-    again = stage(rest.join(rest.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), keys).select("node").distinct(), "again")
+    with arrow_rows(docs.sparkSession, 1000):
+        sets = stage(texts.dropDuplicates(["node"]).select("node", sets_of("text").alias("hashes")), "sets")
+    done = _verified(_pairs(met), sets, least)
+    rest = _left_over(crowd, met, done, keys)
+    # All members of a large group that isn't settled, as one that is like a centre may be like one that isn't.
+    again = stage(crowd.join(rest.select(*keys).distinct(), keys, "left_semi").select("node").distinct(), "again")
     if not again.isEmpty():
         each = stage(sets.join(again, "node", "left_semi").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h")), "each")
         rare = stage(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rare")
         ordered = each.join(rare, "h", "left").selectExpr("node", "size", "h", "df", "row_number() over (partition by node order by coalesce(df, 1), h) as k")
-        members = stage(ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).where("df > 1").select("h", "node"), "prefix")
+        members = stage(ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).where("df > 1").select("h", "node", "size", "k"), "prefix")
+        # Two sets can be alike if their sizes are, and if what follows the shared shingle in both is long enough.
+        fits = f"least(size, to_size) >= {least} * greatest(size, to_size) and 1 + least(size - k, to_size - to_k) >= {least} / (1 + {least}) * (size + to_size) - 1e-6"
+        turn = 1
         while not members.isEmpty():
-            stars = _stars(members, ["h"])
-            fresh = stage(_pairs(stars).join(done, ["a", "b"], "left_anti"), "fresh")
+            crowd = _crowd(members, ["h"], turn)
+            met = stage(_met(crowd, ["h"], fits), "met")
+            fresh = stage(_pairs(met).join(done, ["a", "b"], "left_anti"), "fresh")
             done = stage(done.unionByName(_verified(fresh, sets, least)), "done")
-            rest = _left_over(stars, done, ["h"])
-            members = stage(rest, "members")
-        links = done.where("alike").select("a", "b")
+            members = stage(_left_over(crowd, met, done, ["h"]).select("h", "node", "size", "k"), "members")
+            turn += 1
+    links = done.where("alike").select("a", "b")
     joined = connected_components(links)
     classes = stage(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near")
     heads = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "heads")
@@ -247,7 +260,11 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the first. Of rows alike in id and text one stays, whichever."""
+    """``docs`` with one document of each group of near-duplicates: the first. Of rows alike in id and text one stays, whichever.
+
+    Columns of the input whose names begin with ``nd_`` are dropped.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("nd_")])
     groups = near_duplicates(docs, id_col, text_col, words, least)
     heads = groups.where("id <=> group_id and mark = group_mark").select(F.col("id").alias("nd_id"), F.col("mark").alias("nd_mark"))
     keyed = docs.withColumn("nd_key", F.xxhash64(text_col))
