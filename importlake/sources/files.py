@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from importlake.functions import text as x
+from importlake.operators.retail import rank_by_source
 
 # What a column of an import file may be called.
 FIELDS = {
@@ -142,8 +143,6 @@ def flatten_results(records: DataFrame) -> DataFrame:
     """Crawl records with nested items to rows; failed records go, ranks begin anew for each source within a record."""
     ok = records.where("status = 'ok'").select("record_id", "product_type", "retailer", F.posexplode("items").alias("pos", "item"))
     flat = ok.select("record_id", "product_type", "retailer", "pos", "item.*").withColumn("source", F.coalesce("source", "retailer"))
-    from importlake.operators.retail import rank_by_source
-
     return rank_by_source(flat, ["record_id", "source"], ["pos"]).drop("pos")
 
 
@@ -165,8 +164,6 @@ def unpivot_cards(cells: DataFrame, labels: dict[str, str]) -> DataFrame:
     A block begins with a row whose first cell is ``type: name``, has a retailer in the row below, then rows of a label and
     values, one column for each rank. Cards without brand go.
     """
-    from pyspark.sql import Window
-
     head = cells.where("col = 0").select("sheet", "row", F.col("value").alias("label"))
     w = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.when(F.col("label").startswith("type: "), F.substring("label", 7, 1000))
