@@ -164,20 +164,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         return stage(checked, "verified")
 
 
-#: A group of up to this many is compared in all pairs, a larger one with about this many centres a round.
+#: A group of up to this many is compared in all pairs, a larger one with about this many centres in the first round, and twice as many in each later one.
 FEW = 16
 
 
-def _crowd(members: DataFrame, keys: list[str], turn: int) -> DataFrame:
-    """The members of groups of two or more, with the group's size and, in a large group, whether the member is a centre this round."""
+def _crowd(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of groups of two or more, with the group's size and, in a large group, whether the member is a centre of the first round."""
     sizes = stage(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    centre = (F.col("n") > FEW) & (F.pmod(F.xxhash64(*keys, "node", F.lit(turn)), F.col("n")) < FEW)
+    centre = (F.col("n") > FEW) & (F.pmod(F.xxhash64(*keys, "node", F.lit(0)), F.col("n")) < FEW)
     return stage(members.join(sizes, keys).withColumn("centre", centre), "crowd")
 
 
+def _open(members: DataFrame, keys: list[str], joined: DataFrame) -> DataFrame:
+    """The members, with their component by the links known so far, of the groups that don't lie in one component as a whole."""
+    named = stage(members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    split = stage(named.groupBy(*keys).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*keys), "split")
+    return stage(named.join(split, keys, "left_semi"), "open")
+
+
+def _next_crowd(members: DataFrame, keys: list[str], done: DataFrame, turn: int) -> DataFrame:
+    """The members of open groups with the group's size and, in a large group, whether the member is a centre of this round.
+
+    Centres are drawn outside the group's largest component, since only pairs of two components are open. The member with
+    the most links is one too: it may be what the others are noisy copies of.
+    """
+    ends = done.where("alike").select(F.explode(F.array("a", "b")).alias("node"))
+    degrees = stage(ends.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    parts = members.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"))
+    known = members.join(degrees, "node", "left").groupBy(*keys).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("top"))
+    plan = stage(sizes.join(known, keys).selectExpr(*keys, "n", "n - main.n as far", "main.component as main", "top.node as top"), "sizes")
+    drawn = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64(*keys, "node", F.lit(turn)), F.greatest("far", F.lit(1))) < F.lit(FEW << min(turn, 40)))
+    centre = (F.col("n") > FEW) & (drawn | (F.col("node") == F.col("top")))
+    return stage(members.join(plan, keys).withColumn("centre", centre).drop("far", "main", "top"), "crowd")
+
+
 def _met(crowd: DataFrame, keys: list[str], fits: str) -> DataFrame:
     """(keys, node, to): in small groups each pair once, in large ones each member with each centre. ``fits`` rules out pairs in the join."""
-    other = crowd.select(*keys, F.col("node").alias("to"), F.col("centre").alias("to_centre"), *[F.col(c).alias(f"to_{c}") for c in ("size", "k") if c in crowd.columns])
+    other = crowd.select(*keys, F.col("node").alias("to"), F.col("centre").alias("to_centre"), *[F.col(c).alias(f"to_{c}") for c in ("size", "k", "component") if c in crowd.columns])
     on = F.expr(f"((n <= {FEW} and node < to) or (n > {FEW} and to_centre and node <> to)) and {fits}")
     x, y = crowd.alias("x"), other.alias("y")
     return x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [on]).select(*[f"x.{c}" for c in keys], "node", "to", "n")
@@ -187,11 +211,9 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
-def _left_over(crowd: DataFrame, met: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """The members of large groups that are neither a centre nor like one."""
-    far = crowd.where(f"n > {FEW} and not centre")
-    tied = met.where(f"n > {FEW}").withColumns({"a": F.least("node", "to"), "b": F.greatest("node", "to")}).join(done.where("alike"), ["a", "b"], "left_semi")
-    return far.join(tied.select(*keys, "node").distinct(), [*keys, "node"], "left_anti")
+def _left_over(crowd: DataFrame) -> DataFrame:
+    """The members of large groups that haven't been a centre, like one or not: only these can have open pairs, with one another."""
+    return crowd.where(f"n > {FEW} and not centre")
 
 
 def near_duplicates(
@@ -202,10 +224,11 @@ def near_duplicates(
     Groups are the components of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or
     more. Words and short texts are taken as for fingerprints; texts without a word are alike. The first document is that
     with the smallest id, a null id before all others, and of one id that with the smallest hash of its text (``mark``).
-    Texts that meet in a view are compared: all pairs where up to FEW meet, else each with the centres of the group. Large groups that
-    this doesn't settle are compared by an exact prefix filter: ordered by how rare they are, the shingles of two like texts
-    agree in their first fifth (at 0.8) somewhere, and the groups so found are compared in the same way, with new centres
-    for what is left over, until nothing is. An empty table gives an empty result.
+    Texts that meet in a view are compared: all pairs where up to FEW meet, else each with the centres of the group. A large group is
+    settled when its members that weren't a centre lie in one component, as no pair of them can change the groups then. Those
+    that this doesn't settle are compared by an exact prefix filter: ordered by how rare they are, the shingles of two like texts
+    agree in their first fifth (at 0.8) somewhere, and the groups so found are compared in the same way, with new centres,
+    until all are settled. A member that is like a centre stays for the later rounds. An empty table gives an empty result.
     """
 
     @F.pandas_udf("node string, views array<long>")
@@ -226,33 +249,33 @@ def near_duplicates(
         prints = stage(keyed.select("id", "mark", look("text").alias("x")).select("id", "mark", "x.*"), "prints")
     nodes = stage(prints.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("views").alias("views")), "nodes")
     keys = ["view", "fp"]
-    crowd = _crowd(nodes.select("node", F.posexplode("views").alias("view", "fp")), keys, 0)
+    crowd = _crowd(nodes.select("node", F.posexplode("views").alias("view", "fp")), keys)
     met = stage(_met(crowd, keys, "true"), "met")
     wanted = stage(crowd.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark")), "wanted")
     texts = keyed.join(wanted.withColumnsRenamed({"id": "w_id", "mark": "w_mark"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
     with arrow_rows(docs.sparkSession, 1000):
         sets = stage(texts.dropDuplicates(["node"]).select("node", sets_of("text").alias("hashes")), "sets")
     done = _verified(_pairs(met), sets, least)
-    rest = _left_over(crowd, met, done, keys)
-    # All members of a large group that isn't settled, as one that is like a centre may be like one that isn't.
+    joined = connected_components(done.where("alike").select("a", "b"))
+    rest = _open(_left_over(crowd), keys, joined)
+    # All members of a large group that isn't settled, as one that was a centre has a part in how rare a shingle is.
     again = stage(crowd.join(rest.select(*keys).distinct(), keys, "left_semi").select("node").distinct(), "again")
     if not again.isEmpty():
         each = stage(sets.join(again, "node", "left_semi").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h")), "each")
         rare = stage(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rare")
         ordered = each.join(rare, "h", "left").selectExpr("node", "size", "h", "df", "row_number() over (partition by node order by coalesce(df, 1), h) as k")
-        members = stage(ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).where("df > 1").select("h", "node", "size", "k"), "prefix")
+        members = stage(ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).where("df > 1").select("h", "node", "size", "k"), "prefix")
         # Two sets can be alike if their sizes are, and if what follows the shared shingle in both is long enough.
-        fits = f"least(size, to_size) >= {least} * greatest(size, to_size) and 1 + least(size - k, to_size - to_k) >= {least} / (1 + {least}) * (size + to_size) - 1e-6"
-        turn = 1
+        fits = f"component <> to_component and least(size, to_size) >= {least} * greatest(size, to_size) - 1e-6 and 1 + least(size - k, to_size - to_k) >= {least} / (1 + {least}) * (size + to_size) - 1e-6"
+        members, turn = _open(members, ["h"], joined), 0
         while not members.isEmpty():
-            crowd = _crowd(members, ["h"], turn)
+            crowd = _next_crowd(members, ["h"], done, turn)
             met = stage(_met(crowd, ["h"], fits), "met")
             fresh = stage(_pairs(met).join(done, ["a", "b"], "left_anti"), "fresh")
             done = stage(done.unionByName(_verified(fresh, sets, least)), "done")
-            members = stage(_left_over(crowd, met, done, ["h"]).select("h", "node", "size", "k"), "members")
+            joined = connected_components(done.where("alike").select("a", "b"))
+            members = _open(_left_over(crowd).select("h", "node", "size", "k"), ["h"], joined)
             turn += 1
-    links = done.where("alike").select("a", "b")
-    joined = connected_components(links)
     classes = stage(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near")
     heads = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "heads")
     named = stage(classes.join(heads, "component").select("node", "head"), "named")

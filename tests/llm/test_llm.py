@@ -308,6 +308,37 @@ def test_near_duplicates_by_brute_force(spark, odd, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def groups_by_hand(rows):
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    like = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return dict(enumerate(components_by_hand(len(rows), like)))
+
+
+def test_near_duplicates_hub_with_noisy_copies(spark):
+    base = prose(200, 300).split()
+    texts = [" ".join(base)]
+    for k in range(500):  # each like the base, few like one another
+        copy, rng = list(base), random.Random(k)
+        for at in rng.sample(range(8, 192, 6), 4):
+            copy[at] = f"new{k}x{at}"
+        texts.append(" ".join(copy))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = groups_by_hand(rows)
+    assert len(set(want.values())) == 1
+    got = {r.id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_duplicates_chain(spark):
+    rows = []
+    for c in range(3):  # 60 steps each, every one like its neighbours only
+        words = prose(460, 400 + c).split()
+        rows += [(len(rows) + k, " ".join(words[3 * k : 3 * k + 100])) for k in range(60)]
+    want = groups_by_hand(rows)
+    got = {r.id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 3
+
+
 # 7
 
 
