@@ -41,9 +41,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: the piece ids of each document."""
+    """Operator 10: the piece ids of each document, with its place in the mix.
+
+    The order of files doesn't outlive their reading, so the place is worked out again: it hangs on ids and texts only.
+    """
     coded = sentencepiece_lattice.encode(docs, registry.vocabulary_path())
-    return coded.select("doc_id", "source", "lang", "ids", F.size("ids").alias("n_ids"))
+    mixed = mixing.mix(coded, registry.MIX_WEIGHTS, other_weight=registry.MIX_OTHER)
+    return mixed.select("doc_id", "source", "lang", "ids", F.size("ids").alias("n_ids"), "mix_at")
 
 
 STAGES = [("quality", quality), ("line_dedup", repeated_lines), ("simhash", near_duplicates), ("mix", mix), ("sentencepiece", encode)]

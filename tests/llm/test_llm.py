@@ -488,5 +488,19 @@ def test_pipeline(spark, tmp_path, odd):
         assert step(spark, odd_docs, SF).count() > 0
 
 
+def test_pipeline_result_carries_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    steps = dict(corpus_pipeline.STAGES)
+    rows = [(i, prose(5, i), "en", f"src{min(3, i % 7)}", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    steps["mix"](spark, docs, SF).write.parquet(f"{tmp_path}/mix")
+    got = steps["sentencepiece"](spark, spark.read.parquet(f"{tmp_path}/mix").repartition(5), SF).collect()
+    want = mixing.mix(docs, registry.MIX_WEIGHTS, other_weight=registry.MIX_OTHER).orderBy("mix_at").collect()
+    assert [(r.doc_id, r.mix_at) for r in sorted(got, key=lambda r: r.mix_at)] == [(r.doc_id, r.mix_at) for r in want]
+    known = sentencepiece_lattice.Solved(registry.vocabulary_path(), {})
+    assert all(r.ids == known.ids(rows[r.doc_id][1]).tolist() and r.n_ids == len(r.ids) for r in got)
+
+
 def test_queries_have_names_and_sql():
     assert len(registry.queries()) == 11 and set(registry.oracle_sql()) <= set(registry.queries())
