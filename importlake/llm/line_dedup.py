@@ -3,7 +3,9 @@
 Documents that overlap are found through the hashes of their lines: each repeated line links every later document that
 holds it to the first one that does, so a line that a third of all documents share costs a row for each and no pairs
 among them. Each linked pair is aligned by patience diff, and the blocks of lines that the two have in common go from the
-later document.
+later document. A passage whose every line has another, earlier first holder is found by its runs: the shortest runs of lines
+that have enough words, from each line on and up to each line, cover any long enough block, and a run that an earlier
+document has goes, whichever document that is.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 from importlake.llm.common import stage
 
 BLANK = 0  # stands for the hash of a line of white space
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: A letter of a script that is written without spaces counts as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -107,15 +113,36 @@ def common_blocks(first: list, later: list, weight: list[int], least: int) -> li
     return sorted(deleted)
 
 
+def shortest_runs(hashes: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hash and the places of each shortest run of lines with ``least`` words, from a line on or up to a line; blank lines aside."""
+    at = np.flatnonzero(hashes != BLANK)
+    h, w = hashes[at].astype(np.int64).view(np.uint64), weight[at].astype(np.int64)
+    upto = np.cumsum(w)
+    before, every = upto - w, np.arange(len(at))
+    ends = np.searchsorted(upto, before + least)
+    starts = np.searchsorted(before, upto - least, side="right") - 1
+    onward, backward = ends < len(at), starts >= 0
+    runs = np.unique(np.concatenate([np.stack([every[onward], ends[onward]], 1), np.stack([starts[backward], every[backward]], 1)]), axis=0)
+    keys = np.zeros(len(runs), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int((runs[:, 1] - runs[:, 0]).max(initial=-1)) + 1):
+            on = runs[:, 0] + k <= runs[:, 1]
+            mixed = (keys[on] + h[runs[on, 0] + k] + np.uint64(1)) * PRIME
+            keys[on] = mixed ^ (mixed >> np.uint64(29))
+    return keys.view(np.int64), [at[i : j + 1] for i, j in runs.tolist()]
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, hashes, weight): the hash of each trimmed line, BLANK for a blank one, and its number of words."""
+    spaced = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    unspaced = lambda x: (F.octet_length(x) > F.length(x)) & x.rlike(UNSPACED)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     trimmed = F.transform(lines, lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
     return docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("mark"),
         F.transform(trimmed, lambda x: F.when(x != "", F.xxhash64(x)).otherwise(F.lit(BLANK))).alias("hashes"),
-        F.transform(trimmed, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("weight"),
+        F.transform(trimmed, lambda x: F.when(unspaced(x), F.size(F.split(F.trim(F.regexp_replace(x, UNSPACED, " w ")), " +"))).otherwise(spaced(x))).alias("weight"),
     )
 
 
@@ -139,6 +166,22 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     kind = dict(docs.dtypes)[id_col]
     found = both.mapInPandas(align, f"id {kind}, mark long, places array<int>").where(F.size("places") > 0)
+
+    def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b[at : at + 500]
+                got = [shortest_runs(h, w, least_words) for h, w in zip(part["hashes"], part["weight"])]
+                own = np.repeat(np.arange(len(part)), [len(x) for x, _ in got])
+                yield pd.DataFrame({
+                    "id": part["id"].iloc[own].array, "mark": part["mark"].iloc[own].array,
+                    "h": np.concatenate([x for x, _ in got]), "places": [p for _, x in got for p in x],
+                })
+
+    runs = stage(table.mapInPandas(run_rows, f"id {kind}, mark long, h long, places array<int>").selectExpr("struct(id, mark) as doc", "h", "places"), "runs")
+    holders = stage(runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("not (first <=> last)").select("h", "first"), "holders")
+    repeated = runs.join(holders, "h").where("not (doc <=> first)").select("doc.id", "doc.mark", "places")
+    found = found.unionByName(repeated)
     return found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
 
 

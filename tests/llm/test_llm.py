@@ -369,6 +369,42 @@ def test_line_dedup(spark, odd, none):
     assert out.count() == 10 and out.where("doc_id = 1 and text is null").count() == 1 and line_dedup.remove(none).count() == 0
 
 
+def test_line_dedup_passage_of_lines_held_elsewhere(spark):
+    passage = [f"{prose(5, 500 + k)}" for k in range(8)]  # 40 words, five a line
+    rows = [(k, f"{prose(12, 600 + k)}\n{x}\n{prose(12, 700 + k)}") for k, x in enumerate(passage)]  # an earlier holder for each line
+    a, b = [prose(12, 800), *passage, prose(12, 801)], [prose(12, 802), *passage[:3], " ", *passage[3:], prose(12, 803)]
+    rows += [(10, "\n".join(a)), (11, "\n".join(b))]
+    got = {r.doc_id: r for r in line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t for i, t in rows if i != 11)
+    assert got[11].text == "\n".join([b[0], " ", b[-1]]) and got[11].ld_deleted == 8
+
+
+def test_line_dedup_finds_all_common_blocks(spark):
+    rng = random.Random(21)
+    stock = [prose(rng.randrange(1, 7), 900 + k) for k in range(40)]
+    passages = [[rng.choice(stock) for _ in range(rng.randrange(3, 9))] for _ in range(25)]
+    docs = [list(itertools.chain.from_iterable(rng.choice(passages) if rng.random() < 0.7 else [rng.choice([*stock, ""])] for _ in range(5))) for _ in range(60)]
+    got = {r.doc_id: r.places for r in line_dedup.deletions(spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).withColumnRenamed("id", "doc_id").collect()}
+    kept = {x for i, d in enumerate(docs) for k, x in enumerate(d) if k not in got.get(i, [])}
+    assert kept >= {x for d in docs for x in d if x}
+    full = [[(k, x) for k, x in enumerate(d) if x] for d in docs]
+    for j, later in enumerate(full):
+        for first in full[:j]:
+            for p, q in itertools.product(range(len(first)), range(len(later))):
+                n = 0
+                while p + n < len(first) and q + n < len(later) and first[p + n][1] == later[q + n][1]:
+                    n += 1
+                block = later[q : q + n]
+                assert sum(len(x.split()) for _, x in block) < 10 or {k for k, _ in block} <= set(got[j])
+
+
+def test_line_dedup_scripts_without_spaces(spark):
+    line = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    rows = [(1, f"{prose(12, 1)}\n{line}"), (2, f"{prose(12, 2)}\n{line}"), (3, "one two")]
+    got = {r.doc_id: r for r in line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].text == prose(12, 2) and got[1].text == rows[0][1]
+
+
 # 8
 
 
