@@ -20,9 +20,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-IDENT = r"""(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"(?i)\b(?:[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:@-]+(?:/[A-Za-z0-9._~%/-]*)?|(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9._:-]{3,})"
+IDENT = r"""(?i)(?<![A-Za-z0-9])(?<!secret[_-])(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+ENDPOINT = r"(?i)(?<![A-Za-z0-9])(?:[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:@-]+(?:/[A-Za-z0-9._~%/-]*)?|(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9._:-]{3,})"
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "token": TOKEN, "endpoint": ENDPOINT}
 #: What must lie within the scope of a weak part.
 NEEDS = {"ident": ("secret",), "token": ("identifier",), "endpoint": ("identifier", "secret")}
