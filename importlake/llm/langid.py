@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from importlake.llm.common import in_sample, sample_share, stage
-from importlake.llm.lattice import SPACE, Pieces, by_length, cut
+from importlake.llm.lattice import MOST, SPACE, Pieces, by_length
 
 WORD = regex.compile(r"\p{L}+")
 #: A letter that is no piece of the vocabulary counts as a piece of this probability in every language.
 UNKNOWN = 1e-7
 #: Each letter multiplies what a word has by this, so that long words don't underflow; it is taken off again.
 LIFT = 12.0
+#: Letters of a long word for which pieces are looked up at once.
+STRETCH = 1024
 
 
 def words(text: str | None) -> list[str]:
@@ -55,24 +57,59 @@ def forward(pieces: Pieces, prob: np.ndarray, codes: np.ndarray) -> tuple[list[n
     return sums, found
 
 
+def long_forward(pieces: Pieces, prob: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The logarithms of the forward sums after each letter (letters, words, languages), for words of any length."""
+    n = codes.shape[1]
+    logs = np.zeros((n + 1, len(codes), prob.shape[1]))
+    for lo in range(0, n, STRETCH):
+        base, hi = max(0, lo + 1 - pieces.longest), min(n, lo + STRETCH)
+        found = pieces.find(codes[:, base:hi])
+        for end in range(lo + 1, hi + 1):
+            total = UNKNOWN
+            for start in range(max(0, end - pieces.longest), end):
+                got = found.get((start - base, end - base))
+                if got is not None:
+                    total = total + np.exp(logs[start] - logs[end - 1]) * prob[got]
+            logs[end] = logs[end - 1] + np.log(total)
+    return logs
+
+
+def long_counts(pieces: Pieces, prob: np.ndarray, codes: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
+    """Add the expected uses of each piece in words of any length to ``counts``."""
+    n, ahead = codes.shape[1], long_forward(pieces, prob, codes)
+    back = np.zeros_like(ahead)
+    for lo in reversed(range(0, n, STRETCH)):
+        hi = min(n, lo + STRETCH)
+        found = pieces.find(codes[:, lo : min(n, hi - 1 + pieces.longest)])
+        for start in range(hi - 1, lo - 1, -1):
+            total = UNKNOWN
+            for end in range(start + 1, min(n, start + pieces.longest) + 1):
+                got = found.get((start - lo, end - lo))
+                if got is not None:
+                    total = total + np.exp(back[end] - back[start + 1]) * prob[got]
+                    np.add.at(counts, got, np.exp(ahead[start] + back[end] - ahead[n]) * prob[got] * weight)
+            back[start] = back[start + 1] + np.log(total)
+
+
 def word_logs(pieces: Pieces, prob: np.ndarray, unique: list[str]) -> np.ndarray:
     """log P(word | language) for each word (with its leading space mark) and language."""
     out = np.zeros((len(unique), prob.shape[1]))
-    runs = [(k, part) for k, w in enumerate(unique) for part in cut(SPACE + w)]
-    owner = np.array([k for k, _ in runs], np.int64)
-    for at, codes in by_length([p for _, p in runs]):
-        total = forward(pieces, prob, codes)[0][-1]
-        np.add.at(out, owner[at], np.log(total) - codes.shape[1] * np.log(LIFT))
+    for at, codes in by_length([SPACE + w for w in unique]):
+        if codes.shape[1] > MOST:
+            out[at] = long_forward(pieces, prob, codes)[-1]
+        else:
+            out[at] = np.log(forward(pieces, prob, codes)[0][-1]) - codes.shape[1] * np.log(LIFT)
     return out
 
 
 def expected_counts(pieces: Pieces, prob: np.ndarray, unique: list[str], weight: np.ndarray) -> np.ndarray:
     """The expected number of uses of each piece by language, for words with ``weight`` occurrences in each language."""
     counts = np.zeros((len(pieces.pieces) + 1, prob.shape[1]))
-    runs = [(k, part) for k, w in enumerate(unique) for part in cut(SPACE + w)]
-    owner = np.array([k for k, _ in runs], np.int64)
-    for at, codes in by_length([p for _, p in runs]):
+    for at, codes in by_length([SPACE + w for w in unique]):
         n = codes.shape[1]
+        if n > MOST:
+            long_counts(pieces, prob, codes, weight[at], counts)
+            continue
         sums, found = forward(pieces, prob, codes)
         back = [None] * n + [np.ones_like(sums[0])]
         for start in range(n - 1, -1, -1):
@@ -82,7 +119,7 @@ def expected_counts(pieces: Pieces, prob: np.ndarray, unique: list[str], weight:
                 if got is not None:
                     total = total + back[end] * prob[got] * LIFT ** (end - start)
             back[start] = total
-        scale = weight[owner[at]] / sums[-1]
+        scale = weight[at] / sums[-1]
         for (start, end), got in found.items():
             np.add.at(counts, got, sums[start] * prob[got] * LIFT ** (end - start) * back[end] * scale)
     return counts[:-1]

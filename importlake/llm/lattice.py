@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 SPACE = "▁"
-MOST = 64  # letters; a longer word is cut into runs of this length, and no piece crosses a cut
+MOST = 64  # letters of the longest piece, and of the longest word that is solved in a table
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,10 +59,7 @@ def by_length(words: list[str], block: int = 4096):
         order.setdefault(len(w), []).append(k)
     for n, at in order.items():
         if n:
-            for i in range(0, len(at), block):
-                part = at[i : i + block]
+            rows = max(1, min(block, block * MOST // n))
+            for i in range(0, len(at), rows):
+                part = at[i : i + rows]
                 yield np.array(part), np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-
-
-def cut(word: str) -> list[str]:
-    return [word] if len(word) <= MOST else [word[i : i + MOST] for i in range(0, len(word), MOST)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from importlake.llm.common import portions, stage
-from importlake.llm.lattice import MOST, SPACE, cut
+from importlake.llm.lattice import MOST, SPACE
 
 #: A control character, or the mark itself, stands alone; otherwise a word begins with its run of spaces.
 WORD = r"[\x00-\x1f▁]| +[^ \x00-\x1f▁]*|[^ \x00-\x1f▁]+"
@@ -119,8 +119,10 @@ class Solved(dict):
         self.update(self.given)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.vocabulary.spell(SPACE) if word == SPACE else chain.from_iterable(self.solve(p) for p in cut(word.replace(" ", SPACE)))
-        self[word] = packed = array("i", ids).tobytes()
+        ids = self.vocabulary.spell(SPACE) if word == SPACE else self.solve(word.replace(" ", SPACE))
+        packed = array("i", ids).tobytes()
+        if len(word) <= MOST:  # a longer one seldom comes again, and may be a whole text
+            self[word] = packed
         return packed
 
     def ids(self, text: str) -> np.ndarray:
@@ -165,7 +167,7 @@ def encode(
     """Add the piece ids of each whole text, and as ``check`` whether they spell the text again.
 
     Ids are those of the path with the largest sum of piece scores; a letter that is no piece is spelled in byte pieces, and so is a
-    literal mark. A null text has null ids, an empty text none; both check. A word of over 64 letters is cut after each 64. ``table_words`` bounds the broadcast table of
+    literal mark. A null text has null ids, an empty text none; both check. A word is solved whole, however long. ``table_words`` bounds the broadcast table of
     solved words, ``cache_words`` what a worker remembers besides.
     """
     spark = docs.sparkSession

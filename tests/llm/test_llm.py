@@ -202,6 +202,28 @@ def test_forward_sums_all_segmentations():
     assert counts.shape == (7, 2) and (counts >= 0).all() and counts.sum(0).max() <= 3.0001
 
 
+def test_forward_sums_of_long_words():
+    pieces = lattice.Pieces(["a", "b", "ab", "ba", "aba", "▁", "▁a", "bb" * 8])
+    rng = np.random.default_rng(1)
+    prob = np.vstack([rng.random((8, 2)) / 8, np.zeros((1, 2))])
+
+    def total(word, lang):
+        logs = [0.0]
+        for end in range(1, len(word) + 1):
+            by = [(s, word[s:end]) for s in range(max(0, end - 16), end)]
+            terms = [logs[s] + np.log(prob[pieces.pieces.index(x), lang] + (langid.UNKNOWN if len(x) == 1 else 0.0)) for s, x in by if x in pieces.pieces]
+            logs.append(np.logaddexp.reduce([*terms, *([logs[-1] + np.log(langid.UNKNOWN)] if word[end - 1] not in pieces.pieces else [])]))
+        return logs[-1]
+
+    words = ["".join(random.Random(n).choice("abc" if n % 2 else "ab") for _ in range(n)) for n in (63, 64, 65, 66, 128, 129, 1023, 1024, 1025, 5000)] + ["b" * 200]
+    got = langid.word_logs(pieces, prob, words)
+    assert np.allclose(got, [[total(lattice.SPACE + w, k) for k in (0, 1)] for w in words], rtol=1e-9)
+    for w in words:  # each letter is in one piece, or unknown, in every segmentation
+        counts = langid.expected_counts(pieces, prob, [w], np.array([[1.0, 1.0]]))
+        letters = (counts * np.array([len(p) for p in pieces.pieces])[:, None]).sum(0)
+        assert (letters <= len(w) + 1 + 1e-6).all() and (letters >= len(w) - w.count("c") + 0.99).all()
+
+
 # 4
 
 
@@ -507,6 +529,18 @@ def test_best_paths_cost_what_the_library_finds(spark):
     assert [solved["▁" + w] for w in words] == ours
 
 
+def test_best_paths_of_long_words():
+    model = unigram()
+    known = sentencepiece_lattice.Solved(registry.vocabulary_path(), {})
+    cost = lambda ids: sum(model.get_score(i) if not model.is_byte(i) else 0 for i in ids)
+    rng = random.Random(4)
+    letters = ["information", "national", "the", "recht", "ung", "-", "=", "/", "http", "0", "e", "s"]
+    words = ["".join(rng.choice(letters) for _ in range(n))[:n] for n in (65, 66, 100, 127, 128, 129, 500, 5000)] + ["-" * 300, "a" * 1000]
+    for w in words:
+        ours, theirs = known.ids(w).tolist(), model.encode(w)
+        assert abs(cost(ours) - cost(theirs)) <= 1e-4 * abs(cost(theirs)) and sentencepiece_lattice.spelled(known.vocabulary, np.array(ours)) == w
+
+
 def test_sentencepiece_round_trip(spark, odd, none):
     path = registry.vocabulary_path()
     coded = sentencepiece_lattice.decode(sentencepiece_lattice.encode(odd, path, table_words=5, check="same"), path)
