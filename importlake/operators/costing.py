@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from importlake.functions import text as x
+from importlake.operators.containing import containing
+from importlake.sources.staging import staged
 
 # Names too general for a match, short names that may match, endings of processed forms.
 GENERAL_ITEMS = ["기타", "기타식품", "기타가공품", "기타 가공품", "혼합제제", "기타류"]
@@ -33,6 +35,27 @@ def item_key(c: Column) -> Column:
     return c
 
 
+def alike(names: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(product, item, s): pairs of (product, p) and (item, i) whose bigrams have a Jaccard similarity of ``least`` or more.
+
+    With all bigrams in one order, those rare among the items first, two like sets share one among the first of either that
+    leave less than ``least`` of it; only these are joined, so common bigrams join nothing but what consists of them.
+    """
+    of_item = known.select("item", F.explode(x.bigrams(F.col("i"))).alias("g"))
+    rare = of_item.groupBy("g").agg(F.count("*").alias("df"))
+
+    def first(rows: DataFrame, key: str, grams: Column) -> DataFrame:
+        each = rows.select(key, F.explode(grams).alias("g")).join(rare, "g", "left")
+        ordered = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
+        whole = F.transform("o", lambda v: v["g"]).alias(f"{key}_grams")
+        head = F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1)
+        return ordered.select(key, whole, F.explode(F.transform(head, lambda v: v["g"])).alias("g"))
+
+    p, q = first(names, "product", x.bigrams(F.col("p"))), first(known, "item", x.bigrams(F.col("i")))
+    met = p.join(q, "g").drop("g").distinct()
+    return met.select("product", "item", x.bigram_jaccard(F.col("product_grams"), F.col("item_grams")).alias("s")).where(F.col("s") >= least)
+
+
 def match_item(
     products: DataFrame, items: DataFrame, manual: DataFrame | None = None, processed: list[str] | None = None, fallbacks: dict[str, list[str]] | None = None,
     general: list[str] | None = None, least: float = LIKE_ENOUGH,
@@ -41,34 +64,30 @@ def match_item(
 
     A product given by hand first; then the longest item name that the product's name contains (of medium confidence where
     the product is a processed form and the item its raw material); then the most alike by bigrams; then a general item by a
-    keyword. The items are a reference table of some thousands of names and are broadcast; products are distinct.
+    keyword. Products and items are distinct before they meet.
     """
-    # Distinct names are few beside the records; they are kept, as each tier looks at what the one before left over.
-    names = products.select("product").where("product is not null").distinct().withColumn("p", item_key(F.col("product"))).persist()
-    known = items.select("item").where("item is not null").distinct().where(~F.col("item").isin(general or GENERAL_ITEMS)).withColumn("i", item_key(F.col("item"))).persist()
+    # Each tier looks at what the one before left over, so both sides are read several times.
+    names = staged(products.select("product").where("product is not null").distinct().withColumn("p", item_key(F.col("product"))))
+    known = staged(items.select("item").where("item is not null").distinct().where(~F.col("item").isin(general or GENERAL_ITEMS)).withColumn("i", item_key(F.col("item"))))
     endings = [e for e in (processed or PROCESSED)]
     bare = item_key(F.regexp_replace("product", r"(\s*\([^()]*\))+\s*$", ""))
     is_processed = F.exists(F.array(*[item_key(F.lit(e)) for e in endings]), lambda e: F.endswith(bare, e))
     item_processed = F.exists(F.array(*[item_key(F.lit(e)) for e in endings]), lambda e: F.contains(F.col("i"), e))
 
     inside = known.where((F.length("item") >= 2) | F.col("item").isin(SHORT_ITEMS))
-    held = names.join(F.broadcast(inside), F.contains("p", "i"))
+    held = names.join(containing(inside, "i", names, "p"), "p").join(inside, "i")
     held = held.withColumn("raw", is_processed & ~item_processed)
     held = held.groupBy("product").agg(F.max_by(F.struct("item", "raw"), F.struct(F.length("item"), "item")).alias("b")).select(
         "product", "b.item", F.when(F.col("b.raw"), "medium").otherwise("high").alias("confidence"), F.when(F.col("b.raw"), "contained_raw").otherwise("contained").alias("method")
     )
     rest = names.join(held, "product", "left_anti")
-    # Only names that share a bigram can be alike.
-    of_item = known.select("item", x.bigrams(F.col("i")).alias("ib"))
-    shared = rest.select("product", x.bigrams(F.col("p")).alias("pb")).withColumn("g", F.explode("pb")).join(of_item.withColumn("g", F.explode("ib")), "g")
-    overlap = shared.groupBy("product", "item").agg(F.count("*").alias("n"), F.first(F.size("pb")).alias("a"), F.first(F.size("ib")).alias("b"))
-    like = overlap.withColumn("s", F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).where(F.col("s") >= least)
-    like = like.groupBy("product").agg(F.min_by("item", F.struct((-F.col("s")), "item")).alias("item")).select("product", "item", F.lit("medium").alias("confidence"), F.lit("alike").alias("method"))
+    scored = alike(rest, known, least)
+    like = scored.groupBy("product").agg(F.min_by("item", F.struct((-F.col("s")), "item")).alias("item")).select("product", "item", F.lit("medium").alias("confidence"), F.lit("alike").alias("method"))
     rest = rest.join(like, "product", "left_anti")
     label = F
     for item, words in (fallbacks or FALLBACKS).items():
         label = label.when(F.exists(F.array(*[item_key(F.lit(w)) for w in words]), lambda w: F.contains(F.col("p"), w)), item)
-    fallback = rest.withColumn("item", label.otherwise(None)).join(F.broadcast(known.select("item")), "item", "left_semi").select("product", "item", F.lit("low").alias("confidence"), F.lit("keyword").alias("method"))
+    fallback = rest.withColumn("item", label.otherwise(None)).join(known.select("item"), "item", "left_semi").select("product", "item", F.lit("low").alias("confidence"), F.lit("keyword").alias("method"))
     found = held.unionByName(like).unionByName(fallback)
     if manual is not None:
         sure = manual.groupBy("product").agg(F.min("item").alias("item")).select("product", "item", F.lit("high").alias("confidence"), F.lit("manual").alias("method"))
@@ -78,9 +97,9 @@ def match_item(
     )
 
 
-def resolve_origin(df: DataFrame, cia: DataFrame, countries: list[str]) -> DataFrame:
-    """(origin, item) to one ``country``: the one named, or of several the one with the largest amount of the item, ties and no item: the first named."""
-    pairs = df.select("origin", "item").distinct().withColumn("found", x.countries_in_text(F.col("origin"), countries))
+def resolve_origin(df: DataFrame, cia: DataFrame, countries: list[str], longest_match: bool = False) -> DataFrame:
+    """(origin, item) to one ``country``: the one named, or of several the one with the largest amount of the item, ties and no item: the first named. ``longest_match``: a name inside a longer one doesn't count."""
+    pairs = df.select("origin", "item").distinct().withColumn("found", x.countries_in_text(F.col("origin"), countries, longest_match))
     named = pairs.select("origin", "item", F.posexplode("found").alias("at", "country"))
     amounts = cia.select(F.col("country"), F.col("item_name").alias("item"), "amount_usd_k")
     best = F.max_by("country", F.struct(F.coalesce("amount_usd_k", F.lit(0.0)), -F.col("at")))
@@ -148,11 +167,12 @@ def recompute_costs(
     rows: DataFrame, texts: list[str], cia: DataFrame, tariffs: DataFrame, fta: DataFrame, countries: list[str], on_date: datetime.date, assumptions: dict | None = None, manual: DataFrame | None = None, **matching
 ) -> DataFrame:
     """Add the estimate to rows with ``origin``, ``hs_code``, ``unit`` and some texts. Each step works on distinct inputs and is joined back."""
-    names = rows.select(F.explode(F.array(*texts)).alias("product")).where("product is not null").distinct()
-    matches = match_item(names, cia.select(F.col("item_name").alias("item")), manual, **matching).persist()
+    rows, cia = staged(rows), staged(cia)
+    names = rows.select(F.explode(F.array(*texts)).alias("product"))
+    matches = staged(match_item(names, cia.select(F.col("item_name").alias("item")), manual, **matching))
     picked = pick_text(rows, texts, matches)
     with_item = picked.join(matches.select(F.col("product").alias("match_text"), "item", "confidence"), "match_text", "left")
-    with_origin = resolve_origin(with_item, cia, countries)
+    with_origin = resolve_origin(with_item, cia, countries, longest_match=True)
     priced = purchase_price(price_per_kg(with_origin, cia))
     digits = priced.withColumn("hs_code", x.hs_digits(F.col("hs_code")))
     return landed_cost(resolve_tariff(digits, tariffs, fta, on_date), assumptions)

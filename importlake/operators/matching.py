@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from importlake.functions import text as x
+from importlake.operators.containing import containing
 
 FILLERS = ["classic"]
 
@@ -26,13 +27,11 @@ def normalized(c: Column) -> Column:
 
 def brand_in_text(brand: Column, text: Column) -> Column:
     """Whether a brand occurs in a text, with or without spaces."""
-    squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     return F.coalesce((brand != "") & (F.contains(text, brand) | F.contains(squeezed(text), squeezed(brand))), F.lit(False))
 
 
 def match_tier(a: Column, b: Column) -> Column:
     """How two normalized names match: continuous (one holds the other), compact (without spaces), token_subset, or null."""
-    squeezed = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     either = lambda p, q: F.when(F.length(p) <= F.length(q), F.contains(q, p)).otherwise(F.contains(p, q))
     p, q = x.content_tokens(a), x.content_tokens(b)
     small, missing = F.least(F.size(p), F.size(q)), F.when(F.size(p) <= F.size(q), F.size(F.array_except(p, q))).otherwise(F.size(F.array_except(q, p)))
@@ -44,20 +43,25 @@ def is_ambiguous(tier: Column, via: Column) -> Column:
     return F.when(via == "manual", False).when(via == "factory", True).otherwise(tier.isin("compact", "token_subset"))
 
 
-def pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Distinct (target, brand, candidate) that can match: the first word of the brand, without spaces, begins a word of the candidate.
+def squeezed(c: Column) -> Column:
+    return F.replace(c, F.lit(" "), F.lit(""))
 
-    The join is on the brand's first word, so a brand meets its own names only. Names are distinct on both sides first.
-    """
-    t = targets.select("target", "brand").distinct().withColumns({"t_norm": normalized(F.col("target")), "b_norm": x.fold_text(F.col("brand"))})
-    c = candidates.select("candidate").distinct().withColumn("c_norm", normalized(F.col("candidate")))
-    words = F.filter(F.split("c_norm", " "), lambda w: w != "")
-    adjoined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat(F.get(words, i - 1), F.coalesce(F.get(words, i), F.lit(""))))
-    c = c.withColumn("block", F.explode(F.array_distinct(F.concat(words, adjoined))))
-    first = F.split_part("b_norm", F.lit(" "), F.lit(1))
-    whole = F.replace(F.col("b_norm"), F.lit(" "), F.lit(""))
-    t = t.withColumn("block", F.explode(F.array_distinct(F.array(first, whole))))
-    return t.join(c, "block").drop("block").distinct().where(brand_in_text(F.col("b_norm"), F.col("c_norm")))
+
+def holding(brands: DataFrame, brand: str, texts: DataFrame, text: str) -> DataFrame:
+    """Distinct (brand, text) for which ``brand_in_text`` holds: a text holds a brand if it does so without spaces."""
+    b = brands.select(brand).distinct().withColumn("b_key", squeezed(F.col(brand)))
+    t = texts.select(text).distinct().withColumn("t_key", squeezed(F.col(text)))
+    return containing(b, "b_key", t, "t_key").join(b, "b_key").join(t, "t_key").select(brand, text)
+
+
+def _targets(targets: DataFrame) -> DataFrame:
+    return targets.select("target", "brand").distinct().withColumns({"t_norm": normalized(F.col("target")), "b_norm": x.fold_text(F.col("brand"))})
+
+
+def pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Distinct (target, brand, candidate) whose candidate's name holds the brand, with their normalized forms."""
+    t, c = _targets(targets), candidates.select("candidate").distinct().withColumn("c_norm", normalized(F.col("candidate")))
+    return t.join(holding(t, "b_norm", c, "c_norm"), "b_norm").join(c, "c_norm")
 
 
 def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -70,25 +74,32 @@ def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFra
     return out
 
 
-def factory_fallback(targets: DataFrame, candidates: DataFrame, primary: DataFrame) -> DataFrame:
-    """Candidates with a general name, told by the brand in their factory's name, for targets that no name matched.
+def without_phrase(text: Column, phrase: Column) -> Column:
+    """A text of single spaces without the first place where a phrase stands in it as whole words."""
+    padded, inner = F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" "))
+    at = F.instr(padded, inner)
+    cut = F.concat(F.substring(padded, F.lit(1), at), F.substring(padded, at + F.length(inner), F.length(padded)))
+    return F.when((phrase == "") | (at == 0), text).otherwise(F.trim(cut))
+
 
-    ``candidates`` have ``candidate`` and ``factory``.
+def factory_fallback(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates whose name doesn't hold the brand, told by the brand in their factory's name, where the names match without the brand.
+
+    ``candidates`` have ``candidate`` and ``factory``. A name that holds the brand but didn't match is another product.
     """
-    left = targets.select("target", "brand").distinct().join(primary.select("target", "brand").distinct(), ["target", "brand"], "left_anti")
-    t = left.withColumns({"t_norm": normalized(F.col("target")), "b_norm": x.fold_text(F.col("brand"))})
+    t = _targets(targets)
     c = candidates.select("candidate", "factory").where("factory is not null").distinct().withColumns({"c_norm": normalized(F.col("candidate")), "f_norm": x.fold_text(F.col("factory"))})
-    c = c.withColumn("block", F.explode(F.array_distinct(F.filter(F.split("f_norm", " "), lambda w: w != ""))))
-    met = t.withColumn("block", F.split_part("b_norm", F.lit(" "), F.lit(1))).join(c, "block").where(brand_in_text(F.col("b_norm"), F.col("f_norm")))
-    bare = F.trim(F.replace(F.col("t_norm"), F.col("b_norm"), F.lit("")))
-    out = met.withColumn("tier", match_tier(F.col("c_norm"), bare)).where("tier is not null")
+    met = t.join(holding(t, "b_norm", c, "f_norm"), "b_norm").join(c, "f_norm").where(~brand_in_text(F.col("b_norm"), x.fold_text(F.col("candidate"))))
+    out = met.withColumn("tier", match_tier(F.col("c_norm"), without_phrase(F.col("t_norm"), F.col("b_norm")))).where("tier is not null")
     return out.select("target", "brand", "candidate", "factory", "tier", F.lit("factory").alias("via")).distinct()
 
 
 def cross_check(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """All matches with ``ambiguous``: those to be reviewed and those that are settled."""
+    """All matches with ``ambiguous``: those to be reviewed and those that are settled. What was set by hand isn't matched again."""
     primary = contains_match(targets, candidates, overrides)
-    fallback = factory_fallback(targets, candidates, primary).drop("factory").distinct()
+    fallback = factory_fallback(targets, candidates).drop("factory").distinct()
+    if overrides is not None:
+        fallback = fallback.join(primary.where("via = 'manual'").select("target", "brand", "candidate"), ["target", "brand", "candidate"], "left_anti")
     return primary.unionByName(fallback).withColumn("ambiguous", is_ambiguous(F.col("tier"), F.col("via")))
 
 
@@ -156,8 +167,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 def lookup_candidates(terms: DataFrame, ih: DataFrame, limit: int) -> DataFrame:
     """For each term the first ``limit`` distinct names of records that contain it. Names are distinct before the join."""
-    names = ih.where("sku_name is not null").select("sku_name", "factory").distinct()
-    met = names.join(F.broadcast(terms), F.contains(F.lower("sku_name"), F.lower("term")))
+    names = ih.where("sku_name is not null").select("sku_name", "factory").distinct().withColumn("low", F.lower("sku_name"))
+    asked = terms.select("term").distinct().withColumn("low_term", F.lower("term"))
+    met = containing(asked, "low_term", names, "low").join(asked, "low_term").join(names, "low").select("term", "sku_name", "factory")
     rank = F.row_number().over(Window.partitionBy("term").orderBy("sku_name", "factory"))
     return met.withColumn("n", rank).where(F.col("n") <= limit)
 
@@ -167,6 +179,6 @@ def check_products(targets: DataFrame, ih: DataFrame) -> DataFrame:
     candidates = ih.select(F.col("sku_name").alias("candidate"), "factory").distinct()
     matched = contains_match(targets, candidates)
     rows = matched.select("target", "candidate").distinct().join(ih.select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct(), "candidate")
-    fallback = factory_fallback(targets, candidates, matched)
+    fallback = factory_fallback(targets, candidates)
     more = fallback.select("target", "candidate", "factory").distinct().join(ih.select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct(), ["candidate", "factory"])
     return judge(by_factory(rows.unionByName(more)))

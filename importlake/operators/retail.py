@@ -40,7 +40,7 @@ def type_priority(psi: DataFrame) -> DataFrame:
     """The place of each type by its first id. Types are few; they are ranked among each other and joined back."""
     types = psi.groupBy("product_type").agg(F.min("id").alias("type_min_id"))
     ranked = types.withColumn("type_priority", F.dense_rank().over(Window.orderBy("type_min_id")))
-    return psi.join(F.broadcast(ranked.select("product_type", "type_priority")), "product_type")
+    return psi.join(ranked.select("product_type", "type_priority"), "product_type")
 
 
 RISKS = ["recall_status", "quality_label_status", "legal_risk_status"]
@@ -92,7 +92,7 @@ def ineligible(name: Column, words: list[str] | None = None) -> Column:
 
 
 def exclude_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(pairs), ["product_type", "product_group_key"], "left_anti")
+    return df.join(pairs, ["product_type", "product_group_key"], "left_anti")
 
 
 def recommendations(psi: DataFrame, excluded: DataFrame, word: str = "통과", none: str = "수입이력 없음") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from importlake.functions import text as x
 from importlake.operators import history as h
+from importlake.operators.containing import containing
 
 # What raises and lowers relevance.
 WEIGHTS = {"mc": 0.18, "category": 0.12, "keyword": 0.08, "mc_mismatch": 0.10, "category_mismatch": 0.22}
@@ -28,8 +31,8 @@ def expand_terms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(query, term): each query's own key, then the other terms of the synonym groups of which it contains one. ``synonyms``: (group_id, term)."""
     q = queries.select("query", x.norm_key(F.col("query")).alias("q")).where("q <> ''").distinct()
     s = synonyms.select("group_id", x.norm_key(F.col("term")).alias("term")).distinct()
-    met = q.join(F.broadcast(s), F.contains("q", "term")).select("query", "q", "group_id").distinct()
-    more = met.join(F.broadcast(s), "group_id").where("term <> q").select("query", "term")
+    met = containing(s, "term", q, "q").join(s, "term").join(q, "q").select("query", "q", "group_id").distinct()
+    more = met.join(s, "group_id").where("term <> q").select("query", "term")
     return q.select("query", F.col("q").alias("term")).unionByName(more).distinct()
 
 
@@ -39,7 +42,9 @@ def detect_intent(queries: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules``: (rule_no, triggers, mc, categories, keywords). The MC is that of the first rule that has one; lists are joined in the order of the rules.
     """
     q = queries.select("query", x.norm_key(F.col("query")).alias("q")).distinct()
-    hit = q.join(F.broadcast(rules), F.exists("triggers", lambda t: F.contains(F.col("q"), t)))
+    each = rules.select("rule_no", F.explode("triggers").alias("trigger"))
+    fired = containing(each, "trigger", q, "q").join(each, "trigger").select("q", "rule_no").distinct()
+    hit = q.join(fired, "q").join(rules, "rule_no")
     in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rule_no", c))), lambda r: r[c])))
     found = hit.groupBy("query").agg(F.min_by("mc", F.when(F.col("mc").isNotNull(), F.col("rule_no"))).alias("mc"), in_order("categories").alias("categories"), in_order("keywords").alias("keywords"))
     return q.select("query").join(found, "query", "left")
@@ -71,14 +76,45 @@ def vector_topk(emb: DataFrame, vector: Column, k: int, gate: Column | None = No
     return vector_scores(rows, vector).orderBy(F.desc("semantic_score"), "sku_name", "vec_id").limit(k)
 
 
+#: Vectors of a block of queries and of a block of references.
+ASKED, KNOWN = 256, 4096
+
+
+def _blocks(rows: DataFrame, ids: str, size: int, name: str) -> DataFrame:
+    """Rows of up to ``size`` packed ids and unit vectors; vectors that are null, zero or hold a null or a non-finite number are left out."""
+    v = F.transform("embedding", lambda e: e.cast("double"))
+    finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
+    usable = rows.select(F.col(ids).cast("long").alias("i"), v.alias("v")).where(F.forall("v", finite) & F.exists("v", lambda e: e != 0))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), size):
+                part = b.iloc[at : at + size]
+                x_ = np.stack(part["v"].to_list())
+                yield pd.DataFrame({f"{name}_ids": [part["i"].to_numpy(np.int64).tobytes()], f"{name}_v": [(x_ / np.linalg.norm(x_, axis=1, keepdims=True)).tobytes()]})
+
+    return usable.mapInPandas(pack, f"{name}_ids binary, {name}_v binary")
+
+
 def knn(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """The ``k`` references nearest to each query. The references are a table of some thousands of codes and are broadcast; rows are cut to the best ``k`` by a window limit."""
-    unit = lambda c: F.transform(c, lambda v: v.cast("double"))
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    r = references.select(F.col("vec_id").alias("ref_id"), unit(F.col("embedding")).alias("r"))
-    scored = q.join(F.broadcast(r), F.size("q") == F.size("r")).select("query_id", "ref_id", x.cosine(F.col("q"), F.col("r")).alias("score"))
+    """The ``k`` references nearest to each query: (query_id, ref_id, score, rank), ties to the smaller id.
+
+    Every block of queries meets every block of references in one product of matrices, which sends on ``k`` rows for each query; a window
+    limit cuts those to the best. Neither side is broadcast.
+    """
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for q_ids, q_v, r_ids, r_v in zip(b["q_ids"], b["q_v"], b["r_ids"], b["r_v"]):
+                qi, ri = np.frombuffer(q_ids, np.int64), np.frombuffer(r_ids, np.int64)
+                order = np.argsort(ri, kind="stable")
+                scores = np.frombuffer(q_v).reshape(len(qi), -1) @ np.frombuffer(r_v).reshape(len(ri), -1)[order].T
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(qi, top.shape[1]), "ref_id": ri[order][top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    met = _blocks(queries, "query_id", ASKED, "q").crossJoin(_blocks(references, "vec_id", KNOWN, "r"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return met.mapInPandas(near, "query_id long, ref_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def relevance(df: DataFrame, intent: Intent, weights: dict[str, float] | None = None) -> DataFrame:

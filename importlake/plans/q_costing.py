@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from importlake.functions import text as x
 from importlake.operators import costing as k
+from importlake.operators.containing import containing
 from importlake.plans.registry import query
 from importlake.plans.views import AS_OF
 
@@ -44,12 +45,12 @@ def _(t):
 
 
 def origins(t):
-    return t.cia.select(F.col("item_name").alias("item"), F.concat_ws(" / ", F.lit("blend"), F.col("country"), F.lit("NATION_4")).alias("origin")).where("country like 'NATION_1%'").unionByName(
+    return t.cia.select(F.col("item_name").alias("item"), F.concat_ws(" / ", F.lit("blend"), F.col("country"), F.lit("NATION_4")).alias("origin")).unionByName(
         t.cia.select(F.col("item_name").alias("item"), F.lit("unknown").alias("origin")).distinct()
     )
 
 
-ORIGIN = """ o as (select item_name as item, 'blend / ' || country || ' / NATION_4' as origin, country from country_item_amount where country like 'NATION_1%'),
+ORIGIN = """ o as (select item_name as item, 'blend / ' || country || ' / NATION_4' as origin, country from country_item_amount),
   named as (select o.item, o.origin, c.country, case when c.country = 'NATION_4' then length('blend / ' || o.country || ' / ') else length('blend / ') end as place, -length(c.country) as len from o join (select distinct 'NATION_' || cast(n_nationkey as varchar(9)) as country from nation) c on contains(o.origin, c.country)),
   best as (select named.item, origin, named.country from named left join country_item_amount a on a.country = named.country and a.item_name = named.item
     qualify row_number() over (partition by named.item, origin order by coalesce(amount_usd_k, 0) desc, place, len) = 1)"""
@@ -122,24 +123,24 @@ def exact_names(t):
     return sorted(NATIONS, key=lambda n: -len(n))
 
 
-@query("k8_recompute_costs", f", {COSTED} select sku_name, country, unit, hs_code, item, round_even(purchase_usd * 1380.0 + purchase_usd * 1380.0 * rate_pct / 100 + purchase_usd * 1380.0 * 0.02 + purchase_usd * 1380.0 * 0.015, 0) as landed_won from est where country not like 'NATION_1_' and country not like 'NATION_2_'", ("country_item_amount", *TF))
+@query("k8_recompute_costs", f", {COSTED} select sku_name, country, unit, hs_code, item, round_even(purchase_usd * 1380.0 + purchase_usd * 1380.0 * rate_pct / 100 + purchase_usd * 1380.0 * 0.02 + purchase_usd * 1380.0 * 0.015, 0) as landed_won from est", ("country_item_amount", *TF))
 def _(t):
-    return costed(t).where("origin not like 'NATION_1_' and origin not like 'NATION_2_'").select("sku_name", "country", "unit", "hs_code", "item", "landed_won")
+    return costed(t).select("sku_name", "country", "unit", "hs_code", "item", "landed_won")
 
 
-@query("k9_cost_coverage", f", {COSTED} select case when hs_code is null then 'no_hs_code' when rate_pct is null then 'no_tariff' when item is null then 'no_item' when country is null then 'no_origin' when usd_per_kg is null then 'no_price' else 'estimated' end as reason, count(*) as rows from est where country is null or (country not like 'NATION_1_' and country not like 'NATION_2_') group by 1", ("country_item_amount", *TF))
+@query("k9_cost_coverage", f", {COSTED} select case when hs_code is null then 'no_hs_code' when rate_pct is null then 'no_tariff' when item is null then 'no_item' when country is null then 'no_origin' when usd_per_kg is null then 'no_price' else 'estimated' end as reason, count(*) as rows from est group by 1", ("country_item_amount", *TF))
 def _(t):
-    return k.cost_coverage(costed(t).where("origin is null or (origin not like 'NATION_1_' and origin not like 'NATION_2_')"))
+    return k.cost_coverage(costed(t))
 
 
 @query("b38_fta_codes", "select n_name as country, string_agg(rate_type, '|' order by rate_type) as codes from nation left join fta_map on country = n_name group by 1", ("fta_map",))
 def _(t):
     names = t.raw("nation").select(F.col("n_name").alias("country"))
     codes = t.fta.groupBy("country").agg(F.array_join(F.array_sort(F.collect_set("rate_type")), "|").alias("codes"))
-    return names.join(F.broadcast(codes), "country", "left")
+    return names.join(codes, "country", "left")
 
 
 @query("d13_contains_join", f", {ITEMS} select sku_name, item from (select distinct sku_name from import_history) join items on contains(sku_name, i)", CIA)
 def _(t):
     known = items(t).where("item <> 'cog'")
-    return t.ih.select("sku_name").distinct().join(F.broadcast(known), F.contains("sku_name", "item"))
+    return containing(known, "item", t.ih, "sku_name").select("sku_name", "item")

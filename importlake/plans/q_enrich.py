@@ -74,7 +74,7 @@ def _(t):
     return e.apply_hs_by_sku(t.ih, file)[0].groupBy("sku_name", "hs_code").agg(F.count("*").alias("n"))
 
 
-@query("d8_enrich_snapshot", None, PSI)
+@query("d8_enrich_snapshot", ", snap as (select id, lower(brand_en) as brand_key, regexp_replace(replace(lower(product_name_en), ',', ' '), ' +', ' ', 'g') as name_key from product_sourcing_item) select id, brand_key, name_key, '통과' as recall_status, case when name_key in (select name_key from snap where id % 2 = 0) then '010203' end as hs_code, case when id % 3 = 0 then 'Y' end as origin_ok from snap", PSI)
 def _(t):
     snap = t.psi.select("id", F.col("brand_en").alias("brand"), F.col("product_name_en").alias("title"), F.concat(F.lit("https://x.org/"), "id").alias("url"))
     brands = snap.select(x.brand_key(F.col("brand")).alias("brand_key"), F.lit("통과").alias("recall_status")).distinct()
@@ -83,15 +83,15 @@ def _(t):
     return e.enrich_snapshot(snap, brands, codes, origins).select("id", "brand_key", "name_key", "recall_status", "hs_code", "origin_ok")
 
 
-@query("d9_embedding_backlog", ", p as (select distinct sku_name, mc, category from import_history), h as (select distinct sku_name, mc, category from product_embedding where status <> 'failed' and vec_id < 40) select p.* from p where not exists (select 1 from h where h.sku_name = p.sku_name and h.mc is not distinct from p.mc and h.category = p.category)", ("import_history", "product_embedding"))
+@query("d9_embedding_backlog", ", p as (select distinct sku_name, mc, category from import_history), h as (select distinct sku_name, mc, category from product_embedding where status <> 'failed') select p.* from p where not exists (select 1 from h where h.sku_name = p.sku_name and h.mc is not distinct from p.mc and h.category = p.category)", ("import_history", "product_embedding"))
 def _(t):
     products = t.ih.select("sku_name", "mc", "category").distinct()
-    return e.embedding_backlog(products, t.emb.where("vec_id < 40"), "m64", retry_failed=True).select("sku_name", "mc", "category")
+    return e.embedding_backlog(products, t.emb, "m64", retry_failed=True).select("sku_name", "mc", "category")
 
 
-@query("d23_missing_embeddings", ", p as (select distinct sku_name, mc, category from import_history), h as (select distinct sku_name, mc, category from product_embedding where status = 'completed' and vec_id < 40) select p.* from p where not exists (select 1 from h where h.sku_name = p.sku_name and coalesce(h.mc, '') = coalesce(p.mc, '') and h.category = p.category)", ("import_history", "product_embedding"))
+@query("d23_missing_embeddings", ", p as (select distinct sku_name, mc, category from import_history), h as (select distinct sku_name, mc, category from product_embedding where status = 'completed') select p.* from p where not exists (select 1 from h where h.sku_name = p.sku_name and coalesce(h.mc, '') = coalesce(p.mc, '') and h.category = p.category)", ("import_history", "product_embedding"))
 def _(t):
-    return e.missing_embeddings(t.ih.select("sku_name", "mc", "category").distinct(), t.emb.where("vec_id < 40"))
+    return e.missing_embeddings(t.ih.select("sku_name", "mc", "category").distinct(), t.emb)
 
 
 @query("g9_sample_order", ", p as (select distinct sku_name, mc, category from import_history) select sku_name, mc, category from p order by md5(sku_name), sku_name limit 10", IH)
@@ -99,7 +99,11 @@ def _(t):
     return e.sample_order(t.ih.select("sku_name", "mc", "category").distinct(), "random").limit(10)
 
 
-@query("d10_pair_cards", None, PSI)
+@query("d10_pair_cards", """, c as (select id as card_id, product_type, retailer, brand_en, cast(round((case when id % 4 = 0 then price_usd + 1 else price_usd end) * 100) as bigint) as cents from product_sourcing_item),
+  r as (select id as raw_id, product_type, retailer, brand_en, cast(round(price_usd * 100) as bigint) as cents from product_sourcing_item),
+  exact as (select card_id, raw_id, 'price' as by from (select *, row_number() over (partition by product_type, retailer, brand_en, cents order by card_id) as n from c) join (select *, row_number() over (partition by product_type, retailer, brand_en, cents order by raw_id) as n from r) using (product_type, retailer, brand_en, cents, n)),
+  rest as (select card_id, raw_id, 'order' as by from (select *, row_number() over (partition by product_type, retailer, brand_en order by card_id) as n from c where card_id not in (select card_id from exact)) join (select * exclude (cents), row_number() over (partition by product_type, retailer, brand_en order by raw_id) as n from r where raw_id not in (select raw_id from exact)) using (product_type, retailer, brand_en, n))
+  select * from exact union all select * from rest""", PSI)
 def _(t):
     cards = t.psi.select(F.col("id").alias("card_id"), "product_type", "retailer", "brand_en", F.expr("case when id % 4 = 0 then price_usd + 1 else price_usd end").alias("price_usd"))
     return e.pair_cards(cards, t.psi.select(F.col("id").alias("raw_id"), "product_type", "retailer", "brand_en", "price_usd"))
@@ -123,9 +127,9 @@ def _(t):
     return e.amount_weight(t.cia.select("country", "item_name", "amount_usd_k"), t.cia.where("weight_ton > 100").select("country", "item_name", "weight_ton"))
 
 
-@query("d19_already_known", "select distinct sku_name from import_history where sku_name in (select sku_name from product_embedding where vec_id < 30)", ("import_history", "product_embedding"))
+@query("d19_already_known", "select distinct sku_name from import_history where sku_name in (select sku_name from product_embedding)", ("import_history", "product_embedding"))
 def _(t):
-    return e.already_known(t.ih.select("sku_name").distinct(), t.emb.where("vec_id < 30"), "sku_name")
+    return e.already_known(t.ih.select("sku_name").distinct(), t.emb, "sku_name")
 
 
 K5X = ["sku_name", "manufacturer", "factory", "country", "mc"]

@@ -149,9 +149,9 @@ def _(t):
     return h.display_rank(sh(t), order, 2, 20).select(*h.SKU_KEYS, "import_count", "rank")
 
 
-@query("g1_sort_rows", f"{HISTORY} select {K8}, import_count, latest_import from sh order by country desc nulls last, latest_import desc nulls first, {', '.join(k + ' asc nulls first' for k in h.SKU_KEYS)} limit 200", IH)
+@query("g1_sort_rows", f"{HISTORY} select {K8}, import_count, latest_import from sh order by country desc nulls last, latest_import desc nulls first, {', '.join(k + ' asc nulls first' for k in h.SKU_KEYS)}", IH)
 def _(t):
-    return h.sort_rows(sh(t), "country").select(*h.SKU_KEYS, "import_count", "latest_import").limit(200)
+    return h.sort_rows(sh(t), "country").select(*h.SKU_KEYS, "import_count", "latest_import")
 
 
 @query("g2_oem_first", "select import_type, sku_name, count(*) as n, case when import_type = 'OEM' then 0 else 1 end as oem_rank from import_history group by 1, 2", IH)

@@ -119,9 +119,9 @@ def _(t):
     return f.load_item_stats(raw.unionByName(totals), "ordinal")
 
 
-@query("a19_unpivot_cards", "select product_type, retailer, rank, brand_en as brand, product_name_en as name from product_sourcing_item where rank <= 5 and id % 4 <> 1", PSI)
+@query("a19_unpivot_cards", "select product_type, retailer, rank, brand_en as brand, product_name_en as name from product_sourcing_item where id % 4 <> 1", PSI)
 def _(t):
-    psi = t.psi.where("rank <= 5").select("product_type", "retailer", "rank", F.expr("case when id % 4 = 1 then ' ' else brand_en end").alias("brand"), F.col("product_name_en").alias("name"))
+    psi = t.psi.select("product_type", "retailer", "rank", F.expr("case when id % 4 = 1 then ' ' else brand_en end").alias("brand"), F.col("product_name_en").alias("name"))
     base = psi.select(F.concat_ws("/", "product_type", "retailer").alias("sheet"), "*")
     heads = base.select("sheet", "product_type", "retailer").distinct()
     cells = heads.select("sheet", F.explode(F.expr("array(struct(0 as row, 0 as col, 'type: ' || product_type as value), struct(1 as row, 0 as col, 'retailer: ' || retailer as value), struct(2 as row, 0 as col, 'Brand (kr)' as value), struct(3 as row, 0 as col, 'Name' as value))")).alias("c")).select("sheet", "c.*")

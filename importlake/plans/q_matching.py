@@ -11,18 +11,18 @@ from importlake.plans.registry import query
 PSI = ("product_sourcing_item",)
 #: A retail product's name is "BRAND words, n oz"; a record's is "BRAND words" or "words" with the brand in the factory.
 RECORDS = """select case when id % 3 = 0 then product_name_en else brand_en || ' ' || split_part(product_name_en, ',', 1) end as sku_name, brand_en || ' foods' as factory,
-  'imp-' || cast(id % 5 as varchar(9)) as importer, id from product_sourcing_item where id % 2 = 0"""
+  'imp-' || cast(id % 5 as varchar(9)) as importer, id from product_sourcing_item"""
 
 
 def records(t):
-    return t.psi.where("id % 2 = 0").select(
+    return t.psi.select(
         F.expr("case when id % 3 = 0 then product_name_en else brand_en || ' ' || split_part(product_name_en, ',', 1) end").alias("sku_name"),
         F.concat("brand_en", F.lit(" foods")).alias("factory"), F.expr("'imp-' || (id % 5)").alias("importer"), "id",
     )
 
 
 def targets(t):
-    return t.psi.where("id % 7 = 0").select(F.concat_ws(" ", "brand_en", "product_name_en").alias("target"), F.col("brand_en").alias("brand")).distinct()
+    return t.psi.select(F.concat_ws(" ", "brand_en", "product_name_en").alias("target"), F.col("brand_en").alias("brand")).distinct()
 
 
 def candidates(t):
@@ -41,27 +41,60 @@ def matches(t):
 
 def decisions(t):
     pairs = checked(t).where("ambiguous").select("target", "candidate").distinct()
-    return pairs.where(F.crc32(F.col("candidate")) % 3 < 2).withColumn("accepted", F.crc32(F.col("candidate")) % 3 == 0)
+    return pairs.where(F.length("candidate") % 3 < 2).withColumn("accepted", F.length("candidate") % 3 == 0)
 
 
-@query("l1_contains_match")
-def _(t):
-    return m.contains_match(targets(t), candidates(t))
+def norm(c):
+    """The names are of plain letters, digits and punctuation, so this is how they fold."""
+    return f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def squeezed(c):
+    return f"replace({c}, ' ', '')"
+
+
+def either(a, b):
+    return f"case when length({a}) <= length({b}) then contains({b}, {a}) else contains({a}, {b}) end"
+
 
+def tokens(c):
+    return f"list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> '' and not regexp_matches(w, '^[0-9]+(ml|l|kg|g|oz|lb|fl)?$')))"
 
-NORM = "replace(lower({}), '#', ' ')"
+
+def tier(a, b, ta, tb):
+    return f"""case when {a} = '' or {b} = '' then null when {either(a, b)} then 'continuous' when {either(squeezed(a), squeezed(b))} then 'compact'
+      when least(len({ta}), len({tb})) >= 2 and case when len({ta}) <= len({tb}) then list_has_all({tb}, {ta}) else list_has_all({ta}, {tb}) end then 'token_subset' end"""
+
+
+BARE = "trim(regexp_replace(replace(' ' || t_norm || ' ', ' ' || b_norm || ' ', ' '), ' +', ' ', 'g'))"
+CHECKED = f"""r as ({RECORDS}),
+  tg as (select *, {tokens('t_norm')} as tt, {tokens('bare')} as bt from (select *, {BARE} as bare from (select distinct brand_en || ' ' || product_name_en as target, brand_en as brand, {norm("brand_en || ' ' || product_name_en")} as t_norm, {norm('brand_en')} as b_norm from product_sourcing_item))),
+  cd as (select *, {tokens('c_norm')} as ct from (select distinct sku_name as candidate, factory, {norm('sku_name')} as c_norm, {norm('factory')} as f_norm from r)),
+  primary_pairs as (select distinct target, brand, candidate, {tier('c_norm', 't_norm', 'ct', 'tt')} as tier, 'name' as via from tg join (select distinct candidate, c_norm, ct from cd) on contains({squeezed('c_norm')}, {squeezed('b_norm')}) where tier is not null),
+  fallback as (select distinct target, brand, candidate, factory, {tier('c_norm', 'bare', 'ct', 'bt')} as tier, 'factory' as via from tg join cd on contains({squeezed('f_norm')}, {squeezed('b_norm')}) and not contains({squeezed('c_norm')}, {squeezed('b_norm')}) where tier is not null),
+  checked as (select *, tier in ('compact', 'token_subset') as ambiguous from primary_pairs union all (select distinct target, brand, candidate, tier, via, true from fallback))"""
+MATCHES = f"""{CHECKED}, matches as (select target, candidate, ambiguous, factory, importer, candidate as sku_name from (select target, candidate, bool_or(ambiguous) as ambiguous from checked group by 1, 2) join (select distinct sku_name as candidate, factory, importer from r) using (candidate)),
+  decided as (select distinct target, candidate, length(candidate) % 3 = 0 as accepted from checked where ambiguous and length(candidate) % 3 < 2),
+  kept as (select m.*, m.ambiguous and accepted is null as pending from matches m left join decided using (target, candidate) where coalesce(accepted, true)),
+  old as (select target, case when max(n) > 1 then 'O' else 'X' end as old_status from (select target, factory, count(distinct importer) as n from matches group by 1, 2) group by 1),
+  new as (select target, case when max(n) > 1 then 'O' else 'X' end as new_status from (select target, factory, count(distinct importer) as n from kept group by 1, 2) group by 1)"""
+
+
+@query("l1_contains_match", f", {CHECKED} select * from primary_pairs", PSI)
+def _(t):
+    return m.contains_match(targets(t), candidates(t))
 
 
-@query("l2_brand_in_text", f", r as ({RECORDS}) select distinct sku_name, brand_en as brand, contains({NORM.format('sku_name')}, {NORM.format('brand_en')}) or contains(replace({NORM.format('sku_name')}, ' ', ''), replace({NORM.format('brand_en')}, ' ', '')) as found from r join (select distinct brand_en from product_sourcing_item where brand_en like 'Brand#1%') b on true", PSI)
+@query("l2_brand_in_text", f", r as ({RECORDS}) select distinct brand_en as brand, sku_name from (select distinct brand_en, {squeezed(norm('brand_en'))} as b from product_sourcing_item) join (select distinct sku_name, {squeezed(norm('sku_name'))} as n from r) on contains(n, b)", PSI)
 def _(t):
-    brands = t.psi.where("brand_en like 'Brand#1%'").select(F.col("brand_en").alias("brand")).distinct()
-    pairs = records(t).select("sku_name").distinct().join(F.broadcast(brands), F.length("brand") > 0)
-    return pairs.withColumn("found", m.brand_in_text(x.fold_text(F.col("brand")), x.fold_text(F.col("sku_name"))))
+    brands = t.psi.select(F.col("brand_en").alias("brand")).distinct().withColumn("b_norm", x.fold_text(F.col("brand")))
+    names = records(t).select("sku_name").distinct().withColumn("n_norm", x.fold_text(F.col("sku_name")))
+    return m.holding(brands, "b_norm", names, "n_norm").join(brands, "b_norm").join(names, "n_norm").where(m.brand_in_text(F.col("b_norm"), F.col("n_norm"))).select("brand", "sku_name")
 
 
-@query("l3_factory_fallback")
+@query("l3_factory_fallback", f", {CHECKED} select * from fallback", PSI)
 def _(t):
-    return m.factory_fallback(targets(t), candidates(t), m.contains_match(targets(t), candidates(t)).where("tier = 'none'"))
+    return m.factory_fallback(targets(t), candidates(t))
 
 
 @query("l4_match_tier", "select product_name_en as name, split_part(product_name_en, ',', 1) as short, 'continuous' as whole_tier, 'token_subset' as swapped_tier, 'compact' as squeezed_tier from (select distinct product_name_en from product_sourcing_item) where split_part(split_part(product_name_en, ',', 1), ' ', 1) <> split_part(split_part(product_name_en, ',', 1), ' ', 2)", PSI)
@@ -74,12 +107,12 @@ def _(t):
     return out.where(F.split_part("short", F.lit(" "), F.lit(1)) != F.split_part("short", F.lit(" "), F.lit(2)))
 
 
-@query("l5_cross_check")
+@query("l5_cross_check", f", {CHECKED} select * from checked", PSI)
 def _(t):
     return checked(t)
 
 
-@query("l6_review_queue")
+@query("l6_review_queue", f", {CHECKED} select target, candidate, count(*) as occurrences, min(tier) as tier, min(via) as via from checked where ambiguous group by 1, 2", PSI)
 def _(t):
     return m.review_queue(checked(t))
 
@@ -90,16 +123,16 @@ def _(t):
     return m.review_queue(rows).select("target", "candidate", "occurrences")
 
 
-@query("l7_revise_status")
+@query("l7_revise_status", f", {MATCHES} select target, old_status, new_status, coalesce(p.pending, false) as pending, old_status is distinct from new_status as changed from old left join new using (target) left join (select target, bool_or(pending) as pending from kept group by 1) p using (target)", PSI)
 def _(t):
     return m.revise_status(matches(t), decisions(t))
 
 
-LINKS = "links as (select brand_en as target, retailer as candidate, id % 3 = 0 as ambiguous, 'F' || cast(id % 4 as varchar(9)) as factory, case when id % 9 = 0 then null else 'I' || cast(id % 2 as varchar(9)) end as importer, product_name_en as sku_name from product_sourcing_item where rank <= 6)"
+LINKS = "links as (select brand_en as target, retailer as candidate, id % 3 = 0 as ambiguous, 'F' || cast(id % 4 as varchar(9)) as factory, case when id % 9 = 0 then null else 'I' || cast(id % 2 as varchar(9)) end as importer, product_name_en as sku_name from product_sourcing_item)"
 
 
 def links(t):
-    return t.psi.where("rank <= 6").select(F.col("brand_en").alias("target"), F.col("retailer").alias("candidate"), (F.col("id") % 3 == 0).alias("ambiguous"), F.expr("'F' || (id % 4)").alias("factory"), F.expr("case when id % 9 = 0 then null else 'I' || (id % 2) end").alias("importer"), F.col("product_name_en").alias("sku_name"))
+    return t.psi.select(F.col("brand_en").alias("target"), F.col("retailer").alias("candidate"), (F.col("id") % 3 == 0).alias("ambiguous"), F.expr("'F' || (id % 4)").alias("factory"), F.expr("case when id % 9 = 0 then null else 'I' || (id % 2) end").alias("importer"), F.col("product_name_en").alias("sku_name"))
 
 
 @query("e19_by_factory", f", {LINKS} select target, factory, string_agg(distinct importer, '|' order by importer) as importers, string_agg(distinct sku_name, '|' order by sku_name) as skus from links where importer is not null group by 1, 2", PSI)
@@ -131,7 +164,8 @@ def _(t):
     return names.withColumn("similarity", F.round(m.similarity(F.col("name"), F.lit("red bolt 12 oz")), 6))
 
 
-@query("l9_check_products")
+@query("l9_check_products", f""", {CHECKED}, told as (select target, r.factory, importer from (select distinct target, candidate from primary_pairs) p join r on r.sku_name = p.candidate union select target, r.factory, importer from (select distinct target, candidate, factory from fallback) f join r on r.sku_name = f.candidate and r.factory = f.factory),
+  g as (select target, factory, count(distinct importer) as n from told group by 1, 2) select target, count(*) as factories, cast(sum(case when n > 1 then 1 else 0 end) as bigint) as parallel_factories, case when bool_or(n > 1) then 'O' else 'X' end as status from g group by 1""", PSI)
 def _(t):
     return m.check_products(targets(t), records(t))
 

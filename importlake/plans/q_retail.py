@@ -163,9 +163,9 @@ def _(t):
     return r.runs(t.psi.withColumn("run_id", F.col("id") % 3))
 
 
-@query("g12_nulls_last", f"select id, quality_label_status from {P} order by quality_label_status desc nulls last, id limit 100", PSI)
+@query("g12_nulls_last", f"select id, quality_label_status from {P} order by quality_label_status desc nulls last, id", PSI)
 def _(t):
-    return t.psi.orderBy(F.desc_nulls_last("quality_label_status"), "id").select("id", "quality_label_status").limit(100)
+    return t.psi.orderBy(F.desc_nulls_last("quality_label_status"), "id").select("id", "quality_label_status")
 
 
 @query("a18_product_list", f"select product_type, retailer, rank, brand_en, product_name_en, price_usd, unit, parallel_import, recall_status, quality_label_status, legal_risk_status, product_group_key from {P}", PSI)

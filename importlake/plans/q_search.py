@@ -39,11 +39,11 @@ def _(t):
     return with_rounded(s.vector_topk(t.emb, vector(t), 10).select("vec_id", "semantic_score"))
 
 
-@query("i2_knn", f""", pairs as (select a.vec_id as query_id, b.vec_id as ref_id, a.embedding, b.embedding as q from embeddings a, embeddings b where a.vec_id % 100 = 0 and b.vec_id % 2 = 1)
+@query("i2_knn", f""", pairs as (select a.vec_id as query_id, b.vec_id as ref_id, a.embedding, b.embedding as q from embeddings a, embeddings b where a.vec_id % 100 = 0)
   select query_id, ref_id, round({COS}, 6) as score, cast(row_number() over (partition by query_id order by {COS} desc, ref_id) as int) as rank from pairs qualify rank <= 3""", EMB)
 def _(t):
     emb = t.raw("embeddings")
-    return s.knn(emb.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), emb.where("vec_id % 2 = 1"), 3).withColumn("score", F.round("score", 6))
+    return s.knn(emb.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), emb, 3).withColumn("score", F.round("score", 6))
 
 
 @query("i3_relevance", f", {NEAR} select vec_id, round({REL}, 6) as relevance_score from scored", EMB)
@@ -75,6 +75,15 @@ def _(t):
     return with_rounded(matched(t))
 
 
+@query("h2_dedupe_matches", f""", m as (select category, mc, case sum_id % 3 when 0 then 'semantic' when 1 then 'popular' else 'exact' end as match_type, (sum_id % 10) / 10.0 as semantic_score, (sum_id % 7) / 10.0 as relevance_score, sku_name from (select *, length(sku_name) + length(coalesce(importer, '')) as sum_id from import_history))
+  select sku_name, mc, category, case min(case match_type when 'exact' then 1 when 'popular' then 2 else 3 end) when 1 then 'exact' when 2 then 'popular' else 'semantic' end as match_type, max(semantic_score) as semantic_score, max(relevance_score) as relevance_score from m group by 1, 2, 3""", ("import_history",))
+def _(t):
+    n = F.length("sku_name") + F.length(F.coalesce("importer", F.lit("")))
+    kind = F.when(n % 3 == 0, "semantic").when(n % 3 == 1, "popular").otherwise("exact")
+    rows = t.ih.select(*s.MATCH_KEYS, kind.alias("match_type"), ((n % 10) / 10).alias("semantic_score"), ((n % 7) / 10).alias("relevance_score"))
+    return s.dedupe_matches(rows)
+
+
 ON = same("sh", "matched", s.MATCH_KEYS)
 
 

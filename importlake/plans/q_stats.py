@@ -149,7 +149,7 @@ def _(t):
 @query("c21_lookup", "select id, product_name_en, retailer, rank from product_sourcing_item where product_type = (select min(product_type) from product_sourcing_item) order by retailer, rank limit 50", ("product_sourcing_item",))
 def _(t):
     first = t.psi.agg(F.min("product_type").alias("product_type"))
-    rows = t.psi.join(F.broadcast(first), "product_type")
+    rows = t.psi.join(first, "product_type")
     return s.lookup(rows, F.lit(True), ["retailer", "rank"], 50).select("id", "product_name_en", "retailer", "rank")
 
 

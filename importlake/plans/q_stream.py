@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,15 +10,15 @@ from importlake.operators import history as h
 from importlake.plans.q_history import K8, STATUS, same
 from importlake.plans.registry import query
 from importlake.plans.views import Tables
+from importlake.sources.staging import shared_folder
 from importlake.streaming import ingest as s
 
 IH = ("import_history",)
 
 
 def scratch(t) -> str:
-    """A new folder that driver and executors share: under the one that the cluster names, else a local one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder that driver and executors share: under the one that the cluster names."""
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(t):

@@ -31,7 +31,7 @@ select
   case when length(p_name) % 4 = 0 then null else '0' || cast(length(p_name) as varchar(9)) || '0.10-2000' end as hs_code,
   case when p_size % 5 = 0 then null when p_size % 2 = 0 then cast(p_size as varchar(9)) || ' oz' else cast(p_size as varchar(9)) || ' pack' end as unit
 from lineitem join orders on l_orderkey=o_orderkey join customer on c_custkey=o_custkey
-join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey % 10 join nation on n_nationkey=s_nationkey"""
+join part on p_partkey=l_partkey join supplier on s_suppkey=l_suppkey join nation on n_nationkey=s_nationkey"""
 
 COUNTRY_ITEM_AMOUNT = """
 select country, coalesce(mc,'ring') as item_name, cast(count(*) as double)*3.5 as amount_usd_k,
@@ -53,10 +53,10 @@ select p_partkey as id, p_type as product_type,
 from part"""
 
 PRODUCT_EMBEDDING = """
-select vec_id, n.p_name as sku_name, split_part(n.p_name,' ',2) as mc,
-  case when split_part(n.p_name,' ',2) in ('ring','bolt','gear') then 'parts' else 'goods' end as category,
+select vec_id, p_name as sku_name, split_part(p_name,' ',2) as mc,
+  case when split_part(p_name,' ',2) in ('ring','bolt','gear') then 'parts' else 'goods' end as category,
   embedding, case when vec_id % 50 = 0 then 'failed' else 'completed' end as status, 'm64' as model
-from embeddings join (select p_name, row_number() over (order by p_name) - 1 as rn, count(*) over () as cnt from (select distinct p_name from part) u) n on vec_id % n.cnt = n.rn"""
+from (select *, vec_id % (select count(*) from part) as part_of from embeddings) e join part on p_partkey = part_of"""
 
 #: Small reference tables, the same on both engines.
 VALUES = {

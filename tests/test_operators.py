@@ -1,12 +1,14 @@
 """Golden values, traps of null and rounding, and properties."""
 
 import datetime
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from importlake.functions import text as x
-from importlake.operators import costing, history, matching, ranking, retail, search
+from importlake.operators import containing, costing, history, matching, ranking, retail, search
 from importlake.plans.views import AS_OF, TOP_RETAILERS, Tables
 from importlake.sources import files, tables
 
@@ -145,3 +147,50 @@ def test_no_cartesian_product_in_history(spark):
     t = Tables(spark, SF)
     plan = history.sku_history(t.ih, AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_containing_by_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    needles, texts = sorted({word(rng.randrange(4)) for _ in range(20)}), sorted({word(rng.randrange(12)) for _ in range(60)})
+    got = containing.containing(
+        spark.createDataFrame([(x_,) for x_ in [*needles, None]], "needle string"), "needle", spark.createDataFrame([(x_,) for x_ in [*texts, *texts, None]], "text string"), "text"
+    )
+    assert sorted(map(tuple, got.collect())) == sorted((n, t) for n in needles for t in texts if n and n in t)
+    none = spark.createDataFrame([], "needle string")
+    assert containing.containing(none, "needle", none.withColumnRenamed("needle", "text"), "text").count() == 0
+
+
+def test_brands_inside_words_and_factories(spark):
+    targets = spark.createDataFrame([("Kellogg corn flakes 500 g", "Kellogg"), ("Cola zero", "Cola"), ("Red Bull drink", "Red Bull"), ("Olive oil", "")], "target string, brand string")
+    rows = [("Kelloggs corn flakes", "x"), ("Kellogg corn", "x"), ("CocaCola zero", None), ("drink", "REDBULL GmbH"), ("water", "REDBULL GmbH"), ("red bull water", "REDBULL GmbH"), (None, "y")]
+    candidates = spark.createDataFrame(rows, "candidate string, factory string")
+    met = {(r.target, r.candidate) for r in matching.pairs(targets, candidates).collect()}
+    assert met == {("Kellogg corn flakes 500 g", "Kelloggs corn flakes"), ("Kellogg corn flakes 500 g", "Kellogg corn"), ("Cola zero", "CocaCola zero"), ("Red Bull drink", "red bull water")}
+    told = {(r.target, r.candidate) for r in matching.factory_fallback(targets, candidates).collect()}
+    assert told == {("Red Bull drink", "drink")}
+
+
+def test_alike_items_by_brute_force(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+    products, items = sorted({name() for _ in range(60)}), sorted({name() for _ in range(40)})
+    df = lambda rows, a, b: spark.createDataFrame([(r, r) for r in rows], f"{a} string, {b} string")
+    got = {(r["product"], r["item"]): r.s for r in costing.alike(df(products, "product", "p"), df(items, "item", "i"), 0.34).collect()}
+    grams = lambda w: {w[k : k + 2] for k in range(len(w) - 1)} or {w}
+    want = {(p, i): len(grams(p) & grams(i)) / len(grams(p) | grams(i)) for p in products for i in items}
+    assert got == {k: v for k, v in want.items() if v >= 0.34}
+
+
+def test_knn_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8))
+    v[10] = v[20]
+    rows = [(i, x_.tolist()) for i, x_ in enumerate(v)] + [(900, [0.0] * 8), (901, None)]
+    refs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = search.knn(refs.where("vec_id % 50 = 0 or vec_id = 901").withColumnRenamed("vec_id", "query_id"), refs, 3).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        want = sorted((-round(float(s), 9), i) for i, s in enumerate(unit @ unit[q]))[:3]
+        assert [(-round(r.score, 9), r.ref_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    assert {r.query_id for r in got} == set(range(0, 300, 50))
