@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from importlake.llm.common import stage
+from importlake.llm.common import discard, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")),
         "labels",
     )
+    before = labels
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         seen = stage(
@@ -37,6 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = stage(
             moved.join(up, moved.label == up.up, "left").select("node", "old", F.least("label", "top").alias("label")), "labels"
         )
-        labels = after.select("node", "label")
+        discard(before, seen, root, moved)
+        labels, before = after.select("node", "label"), after
         if after.where("old <> label").isEmpty():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

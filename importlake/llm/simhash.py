@@ -10,6 +10,8 @@ needs no pairs however many fingerprints a cell holds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from importlake.llm.common import arrow_rows, stage
+from importlake.llm.common import arrow_rows, discard, portions, sieve, stage
 from importlake.llm.components import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -95,7 +97,9 @@ def links(fingerprints: DataFrame) -> DataFrame:
     keys = crowd.select("fp", F.explode(flips).alias("key"))
     met = stage(keys.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "keys")
     stars = keys.join(met, "key").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return two.unionByName(stars).distinct()
+    edges = stage(two.unionByName(stars).distinct(), "links")
+    discard(shared, crowd, met)
+    return edges
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -107,7 +111,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prints = stage(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    linked = connected_components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp"))
+    linked = connected_components(edges)
+    discard(edges)
     named = stage(linked.join(nodes, linked.node == nodes.fp).select("fp", "component", "first"), "named")
     smallest = stage(named.groupBy("component").agg(F.min("first").alias("least")), "least")
     of_linked = named.join(smallest, "component").select("fp", "least")
@@ -119,177 +125,216 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # Near-duplicates at a given similarity of their shingle sets.
 #
-# Two bits of 64 only link texts that differ by a word or so. For a lower similarity a text gets several fingerprints, its
-# views: each is the SimHash of a small sample of the text's shingles, the least ones under a few hash functions of the
-# view. Texts of high similarity draw the same sample in some view with near certainty, and then their fingerprints are
-# equal, which is the grid join at distance zero. The sets of shingles are then compared exactly.
+# Two bits of 64 only link texts that differ by a word or so, and at a similarity of 0.8 two fingerprints differ by ten bits. So links
+# of fingerprints, once verified on the shingle sets, only give the first components, which spare the comparisons within
+# them. What is left is found by an exact prefix filter: with all shingles in one order, rare ones first, two like sets
+# agree on one within their first fifth (at 0.8). Pairs of two components that meet there are compared exactly.
 
-MIX = np.random.default_rng(SEED)
-MULTIPLIERS = MIX.integers(1, 1 << 62, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Buckets of the counts that tell rare shingles from common ones, and slices in which they are summed.
+BUCKETS, SLICES = 1 << 18, 64
+#: A group of up to this many is compared in all pairs, a larger one with centres: one in the first round, about 4, 16, 64 and so on after that.
+FEW = 4
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def views(hashes: np.ndarray, number: int, sample: int) -> list[int]:
-    """The fingerprint of each view; none for a text without words."""
-    if not len(hashes):
-        return []
-    least = np.full(number * sample, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * MULTIPLIERS[: number * sample]).min(0))
-    drawn = ((least ^ (least >> np.uint64(29))) * MULTIPLIERS[-1]).reshape(number, sample)
-    return [majority(x) for x in drawn]
+def bucket_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """How many texts hold a shingle of each bucket of hashes, over all texts: a table of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for part in portions(b[text_col]):
+                sets = np.concatenate([shingle_set(t, words) for t in part])
+                total += np.bincount((sets >> np.uint64(46)).view(np.int64), minlength=BUCKETS)
+        yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in total.reshape(SLICES, -1)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b["slice"], b["counts"]):
+                totals[k] = totals.get(k, 0) + np.frombuffer(x, np.int64)
+        yield pd.DataFrame({"slice": list(totals), "counts": [x.tobytes() for x in totals.values()]})
+
+    kind = "slice int, counts binary"
+    with arrow_rows(docs.sparkSession, 1000):
+        rows = docs.select(text_col).mapInPandas(count, kind).repartition("slice").mapInPandas(add, kind).collect()
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The shingles, rarest bucket first, among which any set with a similarity of ``least`` to this one has a shingle of its own prefix."""
+    order = np.argsort(counts[(hashes >> np.uint64(46)).view(np.int64)], kind="stable")  # the hashes are sorted, so ties are by hash
+    return hashes[order[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1]] if len(hashes) else hashes
+
+
+def _looked(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """A staged (id, mark, node, fp, size, prefix) for each row: a hash of its shingle set, its fingerprint, the size of the set and its prefix."""
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, text_col, words))
+
+    @F.pandas_udf("node string, fp long, size int, prefix array<long>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            every = shingle_hashes(t, words)
+            own = np.unique(every)
+            rows.append((xxhash.xxh3_128_hexdigest(own.tobytes()), majority(every), len(own), prefix(own, counts.value, least).view(np.int64)))
+        return pd.DataFrame(rows, columns=["node", "fp", "size", "prefix"])
+
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), look(text_col).alias("x"))
+    with arrow_rows(docs.sparkSession, 1000):  # each row holds a whole text
+        return stage(keyed.select("id", "mark", "x.*"), "looked")
+
+
+def _postings(heads: DataFrame) -> DataFrame:
+    """A staged (h, n, size, k): the places k (from 1) in their prefixes of the shingles that two or more prefixes hold."""
+    each = heads.select("n", "size", F.posexplode("prefix").alias("k", "h"))
+    shared = stage(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "shared")
+    out = stage(each.join(shared, "h").selectExpr("h", "n", "size", "k + 1 as k"), "postings")
+    discard(shared)
+    return out
+
+
+def _fingerprint_pairs(heads: DataFrame) -> DataFrame:
+    """A staged (a, b) of nodes whose fingerprints are linked, or equal; equal ones are linked to one of them."""
+    first = stage(heads.groupBy("fp").agg(F.min("n").alias("n")), "prints")
+    edges = links(first.select("fp"))
+    equal = heads.join(first.withColumnRenamed("n", "m"), "fp").where("n <> m").selectExpr("m as a", "n as b")
+    x, y = first.selectExpr("fp as a", "n as x"), first.selectExpr("fp as b", "n as y")
+    out = stage(equal.unionByName(edges.join(x, "a").join(y, "b").selectExpr("least(x, y) as a", "greatest(x, y) as b")), "alike")
+    discard(first, edges)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, alike) for distinct pairs of nodes, by the exact Jaccard similarity of their shingle sets."""
+    """A staged (a, b, alike) for distinct pairs of nodes, by the exact Jaccard similarity of their shingle sets."""
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
             same = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(same >= least * (len(p) + len(q) - same))
+            out.append(same >= least * (len(p) + len(q) - same) - 1e-9)
         return pd.Series(out, dtype=bool)
 
-    x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    x = sets.select(F.col("n").alias("a"), F.col("hashes").alias("x"))
+    y = sets.select(F.col("n").alias("b"), F.col("hashes").alias("y"))
     near = pairs.join(x, "a").join(y, "b")
     # No more than a fifth of the larger set may be missing from the smaller, at 0.8; so sizes alone rule out many.
-    sized = near.withColumn("fit", F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")))
+    sized = near.withColumn("fit", F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")) - 1e-6)
     checked = sized.where("fit").select("a", "b", alike("x", "y").alias("alike")).unionByName(sized.where("not fit").select("a", "b", F.lit(False).alias("alike")))
     with arrow_rows(pairs.sparkSession, 500):  # each row holds two sets
         return stage(checked, "verified")
 
 
-#: A group of up to this many is compared in all pairs, a larger one with about this many centres in the first round, and twice as many in each later one.
-FEW = 16
-
-
-def _crowd(members: DataFrame, keys: list[str]) -> DataFrame:
-    """The members of groups of two or more, with the group's size and, in a large group, whether the member is a centre of the first round."""
-    sizes = stage(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    centre = (F.col("n") > FEW) & (F.pmod(F.xxhash64(*keys, "node", F.lit(0)), F.col("n")) < FEW)
-    return stage(members.join(sizes, keys).withColumn("centre", centre), "crowd")
-
-
-def _open(members: DataFrame, keys: list[str], joined: DataFrame) -> DataFrame:
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     """The members, with their component by the links known so far, of the groups that don't lie in one component as a whole."""
-    named = stage(members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
-    split = stage(named.groupBy(*keys).agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select(*keys), "split")
-    return stage(named.join(split, keys, "left_semi"), "open")
+    named = stage(members.join(joined.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.coalesce("component", "n")), "named")
+    split = stage(named.groupBy("h").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("h"), "split")
+    out = stage(named.join(split, "h", "left_semi"), "open")
+    discard(named, split)
+    return out
 
 
-def _next_crowd(members: DataFrame, keys: list[str], done: DataFrame, turn: int) -> DataFrame:
+def _crowd(members: DataFrame, done: DataFrame, turn: int) -> DataFrame:
     """The members of open groups with the group's size and, in a large group, whether the member is a centre of this round.
 
-    Centres are drawn outside the group's largest component, since only pairs of two components are open. The member with
-    the most links is one too: it may be what the others are noisy copies of.
+    The member with the most links is one: it may be what the others are noisy copies of. The rest are drawn outside the group's largest
+    component, since only pairs of two components are open, and by a hash of the node alone, so that groups draw the same ones.
     """
-    ends = done.where("alike").select(F.explode(F.array("a", "b")).alias("node"))
-    degrees = stage(ends.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-    parts = members.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"))
-    known = members.join(degrees, "node", "left").groupBy(*keys).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("top"))
-    plan = stage(sizes.join(known, keys).selectExpr(*keys, "n", "n - main.n as far", "main.component as main", "top.node as top"), "sizes")
-    drawn = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64(*keys, "node", F.lit(turn)), F.greatest("far", F.lit(1))) < F.lit(FEW << min(turn, 40)))
-    centre = (F.col("n") > FEW) & (drawn | (F.col("node") == F.col("top")))
-    return stage(members.join(plan, keys).withColumn("centre", centre).drop("far", "main", "top"), "crowd")
-
-
-def _met(crowd: DataFrame, keys: list[str], fits: str) -> DataFrame:
-    """(keys, node, to): in small groups each pair once, in large ones each member with each centre. ``fits`` rules out pairs in the join."""
-    other = crowd.select(*keys, F.col("node").alias("to"), F.col("centre").alias("to_centre"), *[F.col(c).alias(f"to_{c}") for c in ("size", "k", "component") if c in crowd.columns])
-    on = F.expr(f"((n <= {FEW} and node < to) or (n > {FEW} and to_centre and node <> to)) and {fits}")
-    x, y = crowd.alias("x"), other.alias("y")
-    return x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in keys] + [on]).select(*[f"x.{c}" for c in keys], "node", "to", "n")
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-
-
-def _left_over(crowd: DataFrame) -> DataFrame:
-    """The members of large groups that haven't been a centre, like one or not: only these can have open pairs, with one another."""
-    return crowd.where(f"n > {FEW} and not centre")
+    ends = done.where("alike").select(F.explode(F.array("a", "b")).alias("n"))
+    degrees = stage(ends.groupBy("n").agg(F.count("*").alias("degree")), "degrees")
+    parts = members.groupBy("h", "component").agg(F.count("*").alias("of"))
+    sizes = parts.groupBy("h").agg(F.sum("of").alias("of"), F.max(F.struct("of", "component")).alias("main"))
+    known = members.join(degrees, "n", "left").groupBy("h").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), (-F.col("n")).alias("m"))).alias("top"))
+    plan = stage(sizes.join(known, "h").selectExpr("h", "of", "of - main.of as far", "main.component as main", "-top.m as top"), "sizes")
+    drawn = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(1 << 30)) * F.col("far") < F.lit((4 ** min(turn, 14) - 1) << 30))
+    out = stage(members.join(plan, "h").withColumn("centre", (F.col("of") > FEW) & (drawn | (F.col("n") == F.col("top")))).drop("far", "main", "top"), "crowd")
+    discard(degrees, plan)
+    return out
+
+
+def _met(crowd: DataFrame, least: float) -> DataFrame:
+    """(a, b) of two components: in small groups all, in large ones each member with each centre.
+
+    Two sets can be alike if their sizes are, and if what follows the shared shingle in both is long enough; so it is at the first one they share.
+    """
+    other = crowd.select("h", *[F.col(c).alias(f"to_{c}") for c in ("n", "centre", "size", "k", "component")])
+    fits = (
+        f"component <> to_component and ((of <= {FEW} and n < to_n) or to_centre) and least(size, to_size) >= {least} * greatest(size, to_size) - 1e-6 "
+        f"and 1 + least(size - k, to_size - to_k) >= {least} / (1 + {least}) * (size + to_size) - 1e-6"
+    )
+    return crowd.join(other, "h").where(fits).selectExpr("least(n, to_n) as a", "greatest(n, to_n) as b").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, number: int = 24, sample: int = 4
-) -> DataFrame:
-    """Return a staged (id, mark, group_id, group_mark) for each distinct pair of id and text: the first document of its group.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """Return a staged (id, mark, times, group_id, group_mark) for each distinct pair of id and text: how many rows it has, and the first document of its group.
 
     Groups are the components of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or
-    more. Words and short texts are taken as for fingerprints; texts without a word are alike. The first document is that
-    with the smallest id, a null id before all others, and of one id that with the smallest hash of its text (``mark``).
-    Texts that meet in a view are compared: all pairs where up to FEW meet, else each with the centres of the group. A large group is
-    settled when its members that weren't a centre lie in one component, as no pair of them can change the groups then. Those
-    that this doesn't settle are compared by an exact prefix filter: ordered by how rare they are, the shingles of two like texts
-    agree in their first fifth (at 0.8) somewhere, and the groups so found are compared in the same way, with new centres,
-    until all are settled. A member that is like a centre stays for the later rounds. An empty table gives an empty result.
+    more; no link is lost. Words and short texts are taken as for fingerprints; texts without a word are alike. The first
+    document is that with the smallest id, a null id before all others, and of one id that with the smallest hash of its text (``mark``).
+    Texts whose fingerprints are linked are compared first. Then the nodes whose prefixes share a shingle form a group: up to
+    FEW are compared in all pairs, larger groups with centres, only ever across components. A group is settled when its
+    members that weren't a centre lie in one component, as no pair of them can change the groups then; the others go on with more centres,
+    up to all members. Repeated rows are one document. An empty table gives an empty result.
     """
 
-    @F.pandas_udf("node string, views array<long>")
-    def look(texts: pd.Series) -> pd.DataFrame:
-        nodes, seen = [], []
-        for t in texts:
-            h = shingle_set(t, words)
-            nodes.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
-            seen.append(views(h, number, sample))
-        return pd.DataFrame({"node": nodes, "views": seen})
-
     @F.pandas_udf("array<long>")
     def sets_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
 
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    with arrow_rows(docs.sparkSession, 1000):  # each row holds a whole text
-        prints = stage(keyed.select("id", "mark", look("text").alias("x")).select("id", "mark", "x.*"), "prints")
-    nodes = stage(prints.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("views").alias("views")), "nodes")
-    keys = ["view", "fp"]
-    crowd = _crowd(nodes.select("node", F.posexplode("views").alias("view", "fp")), keys)
-    met = stage(_met(crowd, keys, "true"), "met")
-    wanted = stage(crowd.select("node").distinct().join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark")), "wanted")
-    texts = keyed.join(wanted.withColumnsRenamed({"id": "w_id", "mark": "w_mark"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
+    looked = _looked(docs, id_col, text_col, words, least)
+    heads = stage(
+        looked.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "prefix")]).withColumn("n", F.monotonically_increasing_id()), "heads"
+    )
+    postings, pairs = _postings(heads), _fingerprint_pairs(heads)
+    asked = postings.select("n").unionByName(pairs.selectExpr("a as n")).unionByName(pairs.selectExpr("b as n")).distinct()
+    wanted = stage(asked.join(heads, "n").select("n", F.col("first.id").alias("w_id"), F.col("first.mark").alias("w_mark")), "wanted")
+    passes = sieve(wanted.select(F.xxhash64("w_id", "w_mark")))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).where(passes(F.xxhash64("id", "mark")))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))).dropDuplicates(["n"])
     with arrow_rows(docs.sparkSession, 1000):
-        sets = stage(texts.dropDuplicates(["node"]).select("node", sets_of("text").alias("hashes")), "sets")
-    done = _verified(_pairs(met), sets, least)
+        sets = stage(found.select("n", sets_of("text").alias("hashes")), "sets")
+    done = _verified(pairs, sets, least)
     joined = connected_components(done.where("alike").select("a", "b"))
-    rest = _open(_left_over(crowd), keys, joined)
-    # All members of a large group that isn't settled, as one that was a centre has a part in how rare a shingle is.
-    again = stage(crowd.join(rest.select(*keys).distinct(), keys, "left_semi").select("node").distinct(), "again")
-    if not again.isEmpty():
-        each = stage(sets.join(again, "node", "left_semi").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("h")), "each")
-        rare = stage(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rare")
-        ordered = each.join(rare, "h", "left").selectExpr("node", "size", "h", "df", "row_number() over (partition by node order by coalesce(df, 1), h) as k")
-        members = stage(ordered.where(F.col("k") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).where("df > 1").select("h", "node", "size", "k"), "prefix")
-        # Two sets can be alike if their sizes are, and if what follows the shared shingle in both is long enough.
-        fits = f"component <> to_component and least(size, to_size) >= {least} * greatest(size, to_size) - 1e-6 and 1 + least(size - k, to_size - to_k) >= {least} / (1 + {least}) * (size + to_size) - 1e-6"
-        members, turn = _open(members, ["h"], joined), 0
-        while not members.isEmpty():
-            crowd = _next_crowd(members, ["h"], done, turn)
-            met = stage(_met(crowd, ["h"], fits), "met")
-            fresh = stage(_pairs(met).join(done, ["a", "b"], "left_anti"), "fresh")
-            done = stage(done.unionByName(_verified(fresh, sets, least)), "done")
-            joined = connected_components(done.where("alike").select("a", "b"))
-            members = _open(_left_over(crowd).select("h", "node", "size", "k"), ["h"], joined)
-            turn += 1
-    classes = stage(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near")
-    heads = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "heads")
-    named = stage(classes.join(heads, "component").select("node", "head"), "named")
-    return stage(prints.select("id", "mark", "node").distinct().join(named, "node").select("id", "mark", F.col("head.id").alias("group_id"), F.col("head.mark").alias("group_mark")), "groups")
+    members, turn = _open(postings, joined), 0
+    discard(pairs, wanted, postings)
+    while not members.isEmpty():
+        crowd = _crowd(members, done, turn)
+        fresh = stage(_met(crowd, least).join(done, ["a", "b"], "left_anti"), "fresh")
+        more = _verified(fresh, sets, least)
+        both = stage(done.unionByName(more), "done")
+        joined = connected_components(both.where("alike").select("a", "b"))
+        # Only members of large groups that haven't been a centre can have open pairs, with one another.
+        left = _open(crowd.where(f"of > {FEW} and not centre").select("h", "n", "size", "k"), joined)
+        discard(members, crowd, fresh, more, done)
+        members, done, turn = left, both, turn + 1
+    classes = stage(heads.join(joined.withColumnRenamed("node", "n"), "n", "left").select("node", "first", F.coalesce("component", "n").alias("component")), "near")
+    firsts = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "firsts")
+    named = stage(classes.join(firsts, "component").select("node", "head"), "named")
+    counted = looked.groupBy("id", "mark", "node").agg(F.count("*").alias("times"))
+    out = stage(counted.join(named, "node").select("id", "mark", "times", F.col("head.id").alias("group_id"), F.col("head.mark").alias("group_mark")), "groups")
+    discard(looked, heads, sets, members, done, classes, firsts, named)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the first. Of rows alike in id and text one stays, whichever.
 
-    Columns of the input whose names begin with ``nd_`` are dropped.
+    Nulls, empty texts and ties are taken as in ``near_duplicates``. Only texts that may have to go are shuffled. Columns of the input
+    whose names begin with ``nd_`` are dropped. An empty table gives an empty result.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("nd_")])
     groups = near_duplicates(docs, id_col, text_col, words, least)
-    heads = groups.where("id <=> group_id and mark = group_mark").select(F.col("id").alias("nd_id"), F.col("mark").alias("nd_mark"))
-    keyed = docs.withColumn("nd_key", F.xxhash64(text_col))
+    first = (F.col("id").eqNullSafe(F.col("group_id"))) & (F.col("mark") == F.col("group_mark"))
+    passes = sieve(groups.where(~first | (F.col("times") > 1)).select(F.xxhash64("id", "mark")))
+    may = passes(F.xxhash64(id_col, F.xxhash64(text_col)))
+    heads = groups.where(first).select(F.col("id").alias("nd_id"), F.col("mark").alias("nd_mark"))
+    keyed = docs.where(may).withColumn("nd_key", F.xxhash64(text_col))
     kept = keyed.join(heads, keyed[id_col].eqNullSafe(heads["nd_id"]) & (keyed["nd_key"] == heads["nd_mark"]))
-    return kept.dropDuplicates(["nd_id", "nd_mark"]).select(*docs.columns)
+    return docs.where(~may).unionByName(kept.dropDuplicates(["nd_id", "nd_mark"]).select(*docs.columns))
