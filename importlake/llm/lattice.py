@@ -32,23 +32,38 @@ class Pieces:
             rows.sort()
             hashes = np.array([r[0] for r in rows], np.uint64)
             assert len(np.unique(hashes)) == len(hashes), "two pieces of one length share a hash"
-            self.by[n] = (hashes, np.array([r[1] for r in rows], np.int32))
+            near = np.zeros(1 << 18, bool)  # most substrings are no piece, and end at one look-up here
+            near[(hashes >> np.uint64(46)).view(np.int64)] = True
+            self.by[n] = (hashes, np.array([r[1] for r in rows], np.int32), near)
 
-    def find(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For words of one length (a row of code points each): by (start, end), the piece that fits there, or -1."""
+    def spots(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """For words of one length (a row of code points each): by (start, end), the rows where a piece fits there, and the pieces."""
         n, out = codes.shape[1], {}
+        letters = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
             for start in range(n):
                 h = np.zeros(len(codes), np.uint64)
                 for end in range(start + 1, min(n, start + self.longest) + 1):
-                    h = h * PRIME + (codes[:, end - 1].astype(np.uint64) + np.uint64(1))
+                    h *= PRIME
+                    h += letters[end - 1]
                     if end - start in self.by:
-                        hashes, ids = self.by[end - start]
+                        hashes, ids, near = self.by[end - start]
                         m = _mix(h)
-                        at = np.minimum(np.searchsorted(hashes, m), len(hashes) - 1)
-                        got = np.where(hashes[at] == m, ids[at], np.int32(-1))
-                        if (got >= 0).any():
-                            out[start, end] = got
+                        rows = np.flatnonzero(near[(m >> np.uint64(46)).view(np.int64)])
+                        if len(rows):
+                            m = m[rows]
+                            at = np.minimum(np.searchsorted(hashes, m), len(hashes) - 1)
+                            hit = hashes[at] == m
+                            if hit.any():
+                                out[start, end] = rows[hit], ids[at[hit]]
+        return out
+
+    def find(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """By (start, end), the piece of each row that fits there, or -1."""
+        out = {}
+        for place, (rows, ids) in self.spots(codes).items():
+            out[place] = got = np.full(len(codes), -1, np.int32)
+            got[rows] = ids
         return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from importlake.llm.common import portions, stage
-from importlake.llm.lattice import MOST, SPACE
+from importlake.llm.lattice import MOST, SPACE, Pieces, by_length
 
 #: A control character, or the mark itself, stands alone; otherwise a word begins with its run of spaces.
 WORD = r"[\x00-\x1f▁]| +[^ \x00-\x1f▁]*|[^ \x00-\x1f▁]+"
@@ -112,7 +112,7 @@ class Solved(dict):
     def __init__(self, path: str, given: dict[str, bytes]):
         super().__init__(given)
         self.vocabulary, self.given = vocabulary(path), given
-        self.prefixes = _prefixes(path)
+        self.prefixes, self.pieces = _prefixes(path), _pieces(path)
 
     def forget(self) -> None:
         self.clear()
@@ -126,7 +126,49 @@ class Solved(dict):
         return packed
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, FIND.findall(" " + text) if text else ())), np.int32)
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The ids of each text; the words that aren't known yet are solved together."""
+        cut = [None if t is None else FIND.findall(" " + t) if t else [] for t in texts]
+        short = [w for w in set(chain.from_iterable(x for x in cut if x)) if w not in self and len(w) <= MOST and w != SPACE]
+        self.update(zip(short, self.solve_all([w.replace(" ", SPACE) for w in short])))
+        return [None if x is None else np.frombuffer(b"".join(map(self.__getitem__, x)), np.int32) for x in cut]
+
+    def solve_all(self, words: list[str]) -> list[bytes]:
+        """As ``solve``, packed, for many words of up to MOST letters at once: those of one length share the steps of the recurrence."""
+        v, out = self.vocabulary, [b""] * len(words)
+        scores, ids = np.array(v.scores), np.array(v.ids, np.int32)
+        for at, codes in by_length(words):
+            rows, n = codes.shape
+            best, back = np.full((n + 1, rows), -1e300), np.zeros((n + 1, rows), np.int32)
+            best[0], piece = 0, np.full((n + 1, rows), -1, np.int32)
+            found = self.pieces.spots(codes)
+            for start in range(n):
+                odd = best[start] + v.unknown > best[start + 1]
+                best[start + 1, odd], back[start + 1, odd], piece[start + 1, odd] = best[start, odd] + v.unknown, start, -1
+                for end in range(start + 1, min(n, start + self.pieces.longest) + 1):
+                    if (start, end) in found:
+                        r, got = found[start, end]
+                        cost = best[start, r] + scores[got]
+                        better = cost > best[end, r]
+                        r = r[better]
+                        best[end, r], back[end, r], piece[end, r] = cost[better], start, got[better]
+            path, place, every = [], np.full(rows, n), np.arange(rows)
+            while place.any():
+                path.append(np.where(place > 0, piece[place, every], -2))
+                place = np.where(place > 0, back[place, every], 0)
+            steps = np.array(path[::-1]).T
+            taken, odd = steps > -2, (steps == -1).any(1)
+            flat, ends = steps[taken], (taken.sum(1).cumsum() * 4).tolist()
+            packed = ids[flat].tobytes()
+            own = [words[k] for k in at.tolist()]
+            # A word with a letter that is no piece is solved by itself. Pieces are found by hash; should they not spell the words, so is every word.
+            if "".join([v.names[i] for i in steps[~odd][taken[~odd]].tolist()]) != "".join(w for w, alone in zip(own, odd.tolist()) if not alone):
+                odd[:] = True
+            for k, begin, end, word, alone in zip(at.tolist(), [0, *ends], ends, own, odd.tolist()):
+                out[k] = array("i", self.solve(word)).tobytes() if alone else packed[begin:end]
+        return out
 
     def solve(self, word: str) -> list[int]:
         """The best path through a word's lattice. Of paths that score alike, as in ``lattice``, the longest last piece."""
@@ -150,6 +192,11 @@ class Solved(dict):
         return list(chain.from_iterable(reversed(parts)))
 
 
+@functools.cache
+def _pieces(path: str) -> Pieces:
+    return Pieces(vocabulary(path).names)
+
+
 @functools.cache
 def _prefixes(path: str) -> dict[str, tuple]:
     """Each beginning of a piece, with the piece's id and score if it is a whole one."""
@@ -185,7 +232,7 @@ def encode(
             for part in portions(texts):
                 if len(known) > len(known.given) + cache_words:
                     known.forget()
-                ids = [None if t is None else known.ids(t) for t in part]
+                ids = known.all_ids(part)
                 same = [check is None or t is None or spelled(known.vocabulary, x) == t for t, x in zip(part, ids)]
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": same})
 
