@@ -10,6 +10,8 @@ document has goes, whichever document that is.
 
 from __future__ import annotations
 
+import functools
+import operator
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -19,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from importlake.llm.common import stage
+from importlake.llm.common import discard, sieve, stage
 
+OTHER_SPACES = "\t\r\x0b\x0c"
 BLANK = 0  # stands for the hash of a line of white space
+OWN = 1  # and this for lines that no other document has
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: A letter of a script that is written without spaces counts as a word.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
@@ -113,8 +117,16 @@ def common_blocks(first: list, later: list, weight: list[int], least: int) -> li
     return sorted(deleted)
 
 
+def compact(hashes: np.ndarray, weight: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines whose hashes are in ``shared``, with their weights and places; OWN stands for a row of other lines between them. Blank lines go."""
+    at = np.flatnonzero(hashes != BLANK)
+    mine = np.isin(hashes[at], shared)
+    keep = mine | np.concatenate([[False], mine[:-1]])[: len(at)]
+    return np.where(mine, hashes[at], OWN)[keep], np.where(mine, weight[at], 0)[keep], at[keep]
+
+
 def shortest_runs(hashes: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The hash and the places of each shortest run of lines with ``least`` words, from a line on or up to a line; blank lines aside."""
+    """The hash and the places of each shortest run of lines with ``least`` words, from a line on or up to a line; blank lines aside, and none over OWN."""
     at = np.flatnonzero(hashes != BLANK)
     h, w = hashes[at].astype(np.int64).view(np.uint64), weight[at].astype(np.int64)
     upto = np.cumsum(w)
@@ -122,7 +134,9 @@ def shortest_runs(hashes: np.ndarray, weight: np.ndarray, least: int) -> tuple[n
     ends = np.searchsorted(upto, before + least)
     starts = np.searchsorted(before, upto - least, side="right") - 1
     onward, backward = ends < len(at), starts >= 0
-    runs = np.unique(np.concatenate([np.stack([every[onward], ends[onward]], 1), np.stack([starts[backward], every[backward]], 1)]), axis=0)
+    runs = np.concatenate([np.stack([every[onward], ends[onward]], 1), np.stack([starts[backward], every[backward]], 1)])
+    own = np.concatenate([[0], np.cumsum(hashes[at] == OWN)])
+    runs = np.unique(runs[own[runs[:, 0]] == own[runs[:, 1] + 1]], axis=0)
     keys = np.zeros(len(runs), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(int((runs[:, 1] - runs[:, 0]).max(initial=-1)) + 1):
@@ -136,13 +150,15 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, hashes, weight): the hash of each trimmed line, BLANK for a blank one, and its number of words."""
     spaced = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     unspaced = lambda x: (F.octet_length(x) > F.length(x)) & x.rlike(UNSPACED)
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    trimmed = F.transform(lines, lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("mark"),
-        F.transform(trimmed, lambda x: F.when(x != "", F.xxhash64(x)).otherwise(F.lit(BLANK))).alias("hashes"),
-        F.transform(trimmed, lambda x: F.when(unspaced(x), F.size(F.split(F.trim(F.regexp_replace(x, UNSPACED, " w ")), " +"))).otherwise(spaced(x))).alias("weight"),
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    odd = functools.reduce(operator.or_, [F.contains(whole, F.lit(c)) for c in OTHER_SPACES])
+    lines = F.split(F.when(odd, F.translate(whole, OTHER_SPACES, "    ")).otherwise(whole), "\n", -1)
+    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.transform(lines, lambda x: F.trim(x)).alias("lines"))
+    return cut.select(
+        "id",
+        "mark",
+        F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x)).otherwise(F.lit(BLANK))).alias("hashes"),
+        F.transform("lines", lambda x: F.when(unspaced(x), F.size(F.split(F.trim(F.regexp_replace(x, UNSPACED, " w ")), " +"))).otherwise(spaced(x))).alias("weight"),
     )
 
 
@@ -153,19 +169,34 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     firsts = stage(
         each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("not (first <=> last)").select("h", "first"), "firsts"
     )
-    pairs = stage(each.join(firsts, "h").where("not (doc <=> first)").select("doc", "first").distinct(), "pairs")
-    keyed = table.select(F.struct("id", "mark").alias("doc"), "hashes", "weight")
-    mine = pairs.join(keyed, pairs["doc"].eqNullSafe(keyed["doc"])).select(pairs["doc"], "first", F.col("hashes").alias("later"), "weight")
+    held = stage(each.join(firsts, "h").select("doc", "first", "h").distinct(), "held")
+    pairs = stage(held.where("not (doc <=> first)").select("doc", "first").distinct(), "pairs")
+    shared = held.groupBy(F.col("doc").alias("of")).agg(F.collect_list("h").alias("shared"))
+    whole = table.select(F.struct("id", "mark").alias("doc"), "hashes", "weight")
+    asked = whole.join(shared, whole["doc"].eqNullSafe(shared["of"])).select("doc.id", "doc.mark", "hashes", "weight", "shared")
+    kind = dict(docs.dtypes)[id_col]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [compact(h, w, s) for h, w, s in zip(b["hashes"], b["weight"], b["shared"])]
+            yield pd.DataFrame({"id": b["id"], "mark": b["mark"]} | {c: pd.Series([x[k] for x in got], dtype=object, index=b.index) for k, c in enumerate(["hashes", "weight", "places"])})
+
+    short = stage(asked.mapInPandas(cut, f"id {kind}, mark long, hashes array<long>, weight array<int>, places array<int>"), "short")
+    keyed = short.select(F.struct("id", "mark").alias("doc"), "hashes", "weight", "places")
+    mine = pairs.join(keyed, pairs["doc"].eqNullSafe(keyed["doc"])).select(pairs["doc"], "first", F.col("hashes").alias("later"), "weight", "places")
     theirs = keyed.select(F.col("doc").alias("other"), F.col("hashes").alias("earlier"))
-    both = mine.join(theirs, mine["first"].eqNullSafe(theirs["other"])).select("doc.id", "doc.mark", "earlier", "later", "weight")
+    both = mine.join(theirs, mine["first"].eqNullSafe(theirs["other"])).select("doc.id", "doc.mark", "earlier", "later", "weight", "places")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [common_blocks(e.tolist(), m.tolist(), w.tolist(), least_words) for e, m, w in zip(b["earlier"], b["later"], b["weight"])]
-            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "places": found})
+            found = []
+            for e, m, w, p in zip(b["earlier"], b["later"], b["weight"], b["places"]):
+                # Lines of their own are no lines in common.
+                first, later = [None if x == OWN else x for x in e.tolist()], m.tolist()
+                found.append(p[common_blocks(first, later, w.tolist(), least_words)])
+            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "places": pd.Series(found, dtype=object, index=b.index)})
 
-    kind = dict(docs.dtypes)[id_col]
-    found = both.mapInPandas(align, f"id {kind}, mark long, places array<int>").where(F.size("places") > 0)
+    aligned = stage(both.mapInPandas(align, f"id {kind}, mark long, places array<int>").where(F.size("places") > 0), "aligned")
 
     def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,14 +206,17 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 own = np.repeat(np.arange(len(part)), [len(x) for x, _ in got])
                 yield pd.DataFrame({
                     "id": part["id"].iloc[own].array, "mark": part["mark"].iloc[own].array,
-                    "h": np.concatenate([x for x, _ in got]), "places": [p for _, x in got for p in x],
+                    "h": np.concatenate([x for x, _ in got]), "places": pd.Series([q[p] for q, (_, x) in zip(part["places"], got) for p in x], dtype=object),
                 })
 
-    runs = stage(table.mapInPandas(run_rows, f"id {kind}, mark long, h long, places array<int>").selectExpr("struct(id, mark) as doc", "h", "places"), "runs")
+    # A run that another document has is made of lines that other documents have.
+    runs = stage(short.mapInPandas(run_rows, f"id {kind}, mark long, h long, places array<int>").selectExpr("struct(id, mark) as doc", "h", "places"), "runs")
     holders = stage(runs.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("not (first <=> last)").select("h", "first"), "holders")
     repeated = runs.join(holders, "h").where("not (doc <=> first)").select("doc.id", "doc.mark", "places")
-    found = found.unionByName(repeated)
-    return found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    found = aligned.unionByName(repeated)
+    out = stage(found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")), "deletions")
+    discard(table, firsts, held, pairs, short, aligned, runs, holders)
+    return out
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 10) -> DataFrame:
@@ -195,12 +229,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     table gives an empty result. Columns of the input whose names begin with ``ld_`` are dropped.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("ld_")])
-    found = stage(deletions(docs, id_col, text_col, least_words), "deletions")
+    found = deletions(docs, id_col, text_col, least_words)
+    may = sieve(found.select(F.xxhash64("id", "mark")))(F.xxhash64(id_col, F.xxhash64(text_col)))
     found = found.select(F.col("id").alias("ld_id"), F.col("mark").alias("ld_mark"), F.col("places").alias("ld_places"))
-    marked = docs.withColumn("ld_key", F.xxhash64(text_col))
-    joined = marked.join(found, marked[id_col].eqNullSafe(found["ld_id"]) & (marked["ld_key"] == found["ld_mark"]), "left")
+    marked = docs.where(may).withColumn("ld_key", F.xxhash64(text_col))
+    joined = marked.join(found, marked[id_col].eqNullSafe(found["ld_id"]) & (marked["ld_key"] == found["ld_mark"]), "left").drop("ld_id", "ld_mark", "ld_key")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("ld_places"))
     text = F.when(F.col("ld_places").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    counted = {"ld_lines": F.coalesce(F.size(lines), F.lit(0)), "ld_deleted": F.coalesce(F.size("ld_places"), F.lit(0)), text_col: text}
-    return joined.withColumns(counted).drop("ld_id", "ld_mark", "ld_key", "ld_places")
+    counted = joined.withColumns({"ld_lines": F.coalesce(F.size(lines), F.lit(0)), "ld_deleted": F.coalesce(F.size("ld_places"), F.lit(0)), text_col: text}).drop("ld_places")
+    return docs.where(~may).withColumns({"ld_lines": F.coalesce(F.size(lines), F.lit(0)), "ld_deleted": F.lit(0)}).unionByName(counted)
