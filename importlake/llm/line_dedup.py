@@ -165,11 +165,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 10) -> DataFrame:
     """(id, mark, places): the lines to delete from each document that has any; a document is known by its id and a hash of its text."""
     table = stage(lines_of(docs, id_col, text_col).dropDuplicates(["id", "mark"]), "lines")
-    each = table.select(F.struct("id", "mark").alias("doc"), F.explode("hashes").alias("h")).where(F.col("h") != BLANK)
+    each = table.select(F.struct("id", "mark").alias("doc"), F.explode(F.array_distinct("hashes")).alias("h")).where(F.col("h") != BLANK)
     firsts = stage(
         each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("not (first <=> last)").select("h", "first"), "firsts"
     )
-    held = stage(each.join(firsts, "h").select("doc", "first", "h").distinct(), "held")
+    held = stage(each.join(firsts, "h").select("doc", "first", "h"), "held")
     pairs = stage(held.where("not (doc <=> first)").select("doc", "first").distinct(), "pairs")
     shared = held.groupBy(F.col("doc").alias("of")).agg(F.collect_list("h").alias("shared"))
     whole = table.select(F.struct("id", "mark").alias("doc"), "hashes", "weight")
