@@ -21,14 +21,33 @@ ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i)(?<![A-Za-z0-9])(?<!secret[_-])(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"(?i)(?<![A-Za-z0-9])(?:[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:@-]+(?:/[A-Za-z0-9._~%/-]*)?|(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9._:-]{3,})"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+ENDPOINT = r"(?i)(?:(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]+://[A-Za-z0-9._~:@-]+(?:/[A-Za-z0-9._~%/-]*)?|(?<![A-Za-z0-9])(?:host|server|endpoint)\x20*[:=]\x20*[A-Za-z0-9._:-]{3,})"
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "token": TOKEN, "endpoint": ENDPOINT}
 #: What must lie within the scope of a weak part.
 NEEDS = {"ident": ("secret",), "token": ("identifier",), "endpoint": ("identifier", "secret")}
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "token": "secret", "endpoint": "endpoint"}
 
 
+#: Matches that one fold adds up; longer lists are folded in pieces of this many, as each step of a fold copies what it has.
+FOLD = 256
+
+
+def _running(steps: Column) -> Column:
+    """(total, out): the places (s, e) of matches, given as gaps and lengths, and where the last one ends."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        s = a["at"] + x["g"]
+        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e")))).alias("out"))
+
+    return F.aggregate(steps, start, step)
+
+
+def _shifted(x: Column, by: Column) -> Column:
+    return F.transform(x, lambda y: F.struct((y["s"] + by).alias("s"), (y["e"] + by).alias("e")))
+
+
 def spans(text: Column, kind: str) -> Column:
     """All matches of a kind as an array of (s, e), in code points, end exclusive, leftmost and non-overlapping.
 
@@ -38,14 +57,13 @@ def spans(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x))
     ok = F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), lambda x: F.length(x) >= ASSIGN_VALUE) if kind == "assign" else None
-    steps = F.zip_with(gaps, F.transform(found, lambda x: F.length(x)), lambda g, n: F.struct(g.alias("g"), n.alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["g"]
-        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e")))).alias("out"))
-
-    all_spans = F.aggregate(F.slice(steps, F.lit(1), F.size(found)), start, step)["out"]
+    steps = F.zip_with(gaps, F.transform(found, lambda x: F.length(x)), lambda g, n: F.struct(g.alias("g"), F.coalesce(n, F.lit(0)).alias("n")))
+    # What follows the last match is a gap too, and would end as an empty match.
+    pieces = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(FOLD)), lambda i: _running(F.slice(steps, i, F.lit(FOLD))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<s: int, e: int>>>)").alias("out"))
+    put = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(_shifted(x["out"], a["at"]))).alias("out"))
+    every = F.flatten(F.aggregate(pieces, start, put)["out"])
+    all_spans = F.slice(every, F.lit(1), F.size(every) - 1)
     if ok is not None:
         all_spans = F.transform(
             F.filter(F.arrays_zip(all_spans.alias("x"), ok.alias("ok")), lambda x: x["ok"]), lambda x: F.struct(x["x"]["s"].alias("s"), x["x"]["e"].alias("e"))
@@ -54,10 +72,6 @@ def spans(text: Column, kind: str) -> Column:
     return F.when(F.regexp_like(text, pattern), all_spans).otherwise(none)
 
 
-def _meets(base: str, w: Column) -> Column:
-    return F.exists(base, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"]))
-
-
 def _of_kind(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
 
@@ -72,29 +86,33 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), *[spans(text, k).alias(k) for k in KINDS]), "parts")
 
 
-def weak_parts(found: DataFrame) -> DataFrame:
-    """The rows with weak parts. A weak part that a base span covers isn't a part of its own."""
+def _bins(scope: int, reach: int) -> Column:
+    """The intervals that a part touches, and ``reach`` more on either side."""
+    return F.explode(F.sequence(F.expr(f"s div {scope} - {reach}"), F.expr(f"(e - 1) div {scope} + {reach}")))
+
+
+def all_parts(found: DataFrame, scope: int) -> DataFrame:
+    """A staged (row, kind, s, e) of all parts in rows with weak ones. A weak part that a base span covers isn't a part of its own."""
     apart = found.where(F.size("ident") + F.size("token") + F.size("endpoint") > 0)
-    return apart.select(
-        "row",
-        *KINDS[:3],
-        *[F.filter(kind, lambda w: ~(_meets("assign", w) | _meets("access", w) | _meets("hex", w))).alias(kind) for kind in KINDS[3:]],
-    )
+    long = stage(apart.select("row", F.explode(F.concat(*[F.transform(k, _of_kind(k)) for k in KINDS])).alias("p")).select("row", "p.*"), "long")
+    weak = F.col("kind").isin(*NEEDS)
+    base = long.where(~weak).withColumn("bin", _bins(scope, 0)).selectExpr("row", "bin", "s as base_s", "e as base_e")
+    covered = long.where(weak).withColumn("bin", _bins(scope, 0)).join(base, ["row", "bin"]).where("base_s < e and s < base_e").select("row", "kind", "s", "e")
+    return stage(long.join(covered, ["row", "kind", "s", "e"], "left_anti"), "own")
 
 
-def link(parts: DataFrame, scope: int) -> DataFrame:
-    """The weak parts (row, kind, s, e) that have each complementary role within ``scope`` code points.
+def link(long: DataFrame, scope: int) -> DataFrame:
+    """The weak parts (row, kind, s, e) of ``long`` that have each complementary role within ``scope`` code points.
 
     The documents are cut into intervals of ``scope`` code points. For each interval and role the join side keeps the
     first start and the last end only, which decides exactly whether a part of that role lies near enough; so a weak
     part meets at most three rows for each role, however many parts there are.
     """
-    long = parts.select("row", F.explode(F.concat(*[F.transform(k, _of_kind(k)) for k in KINDS])).alias("p")).select("row", "p.*")
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("kind")]
-    weak = long.where(F.col("kind").isin(*NEEDS)).withColumn("bin", F.explode(F.sequence(F.expr(f"s div {scope} - 1"), F.expr(f"(e - 1) div {scope} + 1"))))
+    weak = long.where(F.col("kind").isin(*NEEDS)).withColumn("bin", _bins(scope, 1))
     # A part lies in each interval that it touches.
     grid = (
-        long.withColumn("bin", F.explode(F.sequence(F.expr(f"s div {scope}"), F.expr(f"(e - 1) div {scope}"))))
+        long.withColumn("bin", _bins(scope, 0))
         .withColumn("s", F.greatest("s", F.col("bin") * scope))
         .withColumn("e", F.least("e", (F.col("bin") + 1) * scope))
         .groupBy("row", "bin", role.alias("role"))
@@ -121,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     and has no spans; a repeated row is scanned on its own; a null id stays null. An empty table gives an empty result.
     """
     found = parts(docs, id_col, text_col)
-    linked = link(weak_parts(found), scope).withColumn("k", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1)
+    linked = link(all_parts(found, scope), scope).withColumn("k", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1)
     added = stage(linked.groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("added")), "linked")
     base = F.concat(*[F.transform(k, _at_order(i)) for i, k in enumerate(KINDS[:3])])
     none = F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)")
