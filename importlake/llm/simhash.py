@@ -120,6 +120,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = stage(
         nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes"
     )
+    discard(nodes, named, smallest)
     return prints.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -132,8 +133,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Buckets of the counts that tell rare shingles from common ones, and slices in which they are summed.
 BUCKETS, SLICES = 1 << 18, 64
-#: A group of up to this many is compared in all pairs, a larger one with centres: one in the first round, about 4, 16, 64 and so on after that.
-FEW = 4
+#: A group of up to this many is compared in all pairs, a larger one with centres: one in the first round, about 8, 64, 512 and so on after that.
+FEW, GROWTH = 4, 8
+#: Sizes of sets are taken together in classes of this ratio.
+CLASS = 1.05
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -191,15 +194,29 @@ def _looked(docs: DataFrame, id_col: str, text_col: str, words: int, least: floa
         return stage(keyed.select("id", "mark", "x.*"), "looked")
 
 
-def _postings(heads: DataFrame) -> DataFrame:
-    """A staged (h, n, size, k): the places k (from 1) in their prefixes of the shingles that two or more prefixes hold."""
-    each = heads.select("n", "size", F.posexplode("prefix").alias("k", "h"))
-    shared = stage(each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "shared")
-    out = stage(each.join(shared, "h").selectExpr("h", "n", "size", "k + 1 as k"), "postings")
-    discard(shared)
+def _postings(heads: DataFrame, least: float) -> DataFrame:
+    """A staged (h, one, low, n, size, k): groups ``h`` of the nodes that share a shingle, at place k (from 1) of their prefixes, and may be alike by their sizes.
+
+    There is a group for each shingle and pair of size classes. How far down a shingle may stand depends on how large the other set is at
+    least, so a group only takes those that stand high enough for a partner of its other class. ``one``: both classes are the same; else ``low`` tells them apart.
+    """
+    each = heads.select("n", "size", F.posexplode("prefix").alias("k", "shingle"))
+    shared = stage(each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle"), "shared")
+    met = each.join(shared, "shingle").selectExpr("shingle", "n", "size", "k + 1 as k", f"cast(floor(ln(size) / ln({CLASS})) as int) as own")
+    other = f"explode(sequence(cast(floor(ln({least} * size) / ln({CLASS}) - 1e-9) as int), cast(floor(ln(size / {least}) / ln({CLASS}) + 1e-9) as int)))"
+    paired = met.withColumn("other", F.expr(other)).where(f"k <= size + 1 - {least} / (1 + {least}) * (size + greatest(pow({CLASS}, other) * (1 - 1e-9), {least} * size)) + 1e-6")
+    keyed = stage(paired.selectExpr("xxhash64(shingle, least(own, other), greatest(own, other)) as h", "own = other as one", "own <= other as low", "n", "size", "k"), "paired")
+    out = stage(keyed.join(_two_sided(keyed), "h", "left_semi"), "postings")
+    discard(shared, keyed)
     return out
 
 
+def _two_sided(members: DataFrame, and_also: str = "true") -> DataFrame:
+    """The groups that have a pair to compare."""
+    sides = members.groupBy("h").agg(F.bool_or("one").alias("one"), F.bool_or("low").alias("some"), F.bool_and("low").alias("every"), F.count("*").alias("of"), *[f(c).alias(to) for f, c, to in ((F.min, "component", "p"), (F.max, "component", "q")) if c in members.columns])
+    return stage(sides.where(f"of > 1 and (one or some <> every) and {and_also}").select("h"), "sides")
+
+
 def _fingerprint_pairs(heads: DataFrame) -> DataFrame:
     """A staged (a, b) of nodes whose fingerprints are linked, or equal; equal ones are linked to one of them."""
     first = stage(heads.groupBy("fp").agg(F.min("n").alias("n")), "prints")
@@ -235,7 +252,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     """The members, with their component by the links known so far, of the groups that don't lie in one component as a whole."""
     named = stage(members.join(joined.withColumnRenamed("node", "n"), "n", "left").withColumn("component", F.coalesce("component", "n")), "named")
-    split = stage(named.groupBy("h").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("h"), "split")
+    split = _two_sided(named, "p <> q")
     out = stage(named.join(split, "h", "left_semi"), "open")
     discard(named, split)
     return out
@@ -244,17 +261,20 @@ def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
 def _crowd(members: DataFrame, done: DataFrame, turn: int) -> DataFrame:
     """The members of open groups with the group's size and, in a large group, whether the member is a centre of this round.
 
-    The member with the most links is one: it may be what the others are noisy copies of. The rest are drawn outside the group's largest
-    component, since only pairs of two components are open, and by a hash of the node alone, so that groups draw the same ones.
+    The member with the most links is one: it may be what the others are noisy copies of. The rest are drawn by a hash of the node alone, so that
+    groups draw the same ones: outside the group's largest component, since only pairs of two components are open, or in a group of two classes from the smaller class.
     """
     ends = done.where("alike").select(F.explode(F.array("a", "b")).alias("n"))
     degrees = stage(ends.groupBy("n").agg(F.count("*").alias("degree")), "degrees")
     parts = members.groupBy("h", "component").agg(F.count("*").alias("of"))
     sizes = parts.groupBy("h").agg(F.sum("of").alias("of"), F.max(F.struct("of", "component")).alias("main"))
     known = members.join(degrees, "n", "left").groupBy("h").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), (-F.col("n")).alias("m"))).alias("top"))
-    plan = stage(sizes.join(known, "h").selectExpr("h", "of", "of - main.of as far", "main.component as main", "-top.m as top"), "sizes")
-    drawn = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(1 << 30)) * F.col("far") < F.lit((4 ** min(turn, 14) - 1) << 30))
-    out = stage(members.join(plan, "h").withColumn("centre", (F.col("of") > FEW) & (drawn | (F.col("n") == F.col("top")))).drop("far", "main", "top"), "crowd")
+    lows = members.groupBy("h").agg(F.count_if("low").alias("lows"))
+    plan = stage(sizes.join(known, "h").join(lows, "h").selectExpr("h", "of", "of - main.of as far", "main.component as main", "-top.m as top", "lows", "2 * lows <= of as fewer"), "sizes")
+    of_class = F.when(F.col("one"), F.col("component") != F.col("main")).otherwise(F.col("low") == F.col("fewer"))
+    among = F.when(F.col("one"), F.col("far")).otherwise(F.least("lows", F.col("of") - F.col("lows")))
+    drawn = of_class & (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(1 << 30)) * among < F.lit((GROWTH ** min(turn, 10) - 1) << 30))
+    out = stage(members.join(plan, "h").withColumn("centre", (F.col("of") > FEW) & (drawn | (F.col("n") == F.col("top")))).drop("far", "main", "top", "lows", "fewer"), "crowd")
     discard(degrees, plan)
     return out
 
@@ -264,9 +284,9 @@ def _met(crowd: DataFrame, least: float) -> DataFrame:
 
     Two sets can be alike if their sizes are, and if what follows the shared shingle in both is long enough; so it is at the first one they share.
     """
-    other = crowd.select("h", *[F.col(c).alias(f"to_{c}") for c in ("n", "centre", "size", "k", "component")])
+    other = crowd.select("h", *[F.col(c).alias(f"to_{c}") for c in ("n", "centre", "size", "k", "component", "low")])
     fits = (
-        f"component <> to_component and ((of <= {FEW} and n < to_n) or to_centre) and least(size, to_size) >= {least} * greatest(size, to_size) - 1e-6 "
+        f"component <> to_component and (one or low <> to_low) and ((of <= {FEW} and n < to_n) or to_centre) and least(size, to_size) >= {least} * greatest(size, to_size) - 1e-6 "
         f"and 1 + least(size - k, to_size - to_k) >= {least} / (1 + {least}) * (size + to_size) - 1e-6"
     )
     return crowd.join(other, "h").where(fits).selectExpr("least(n, to_n) as a", "greatest(n, to_n) as b").distinct()
@@ -278,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Groups are the components of links between texts whose sets of word shingles have a Jaccard similarity of ``least`` or
     more; no link is lost. Words and short texts are taken as for fingerprints; texts without a word are alike. The first
     document is that with the smallest id, a null id before all others, and of one id that with the smallest hash of its text (``mark``).
-    Texts whose fingerprints are linked are compared first. Then the nodes whose prefixes share a shingle form a group: up to
+    Texts whose fingerprints are linked are compared first. Then the nodes whose prefixes share a shingle, and that may be alike by their sizes, form a group: up to
     FEW are compared in all pairs, larger groups with centres, only ever across components. A group is settled when its
     members that weren't a centre lie in one component, as no pair of them can change the groups then; the others go on with more centres,
     up to all members. Repeated rows are one document. An empty table gives an empty result.
@@ -289,10 +309,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
 
     looked = _looked(docs, id_col, text_col, words, least)
-    heads = stage(
-        looked.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "prefix")]).withColumn("n", F.monotonically_increasing_id()), "heads"
+    whole = stage(
+        looked.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "prefix")]).withColumn("n", F.monotonically_increasing_id()), "whole"
     )
-    postings, pairs = _postings(heads), _fingerprint_pairs(heads)
+    counted = stage(looked.groupBy("id", "mark", "node").agg(F.count("*").alias("times")), "counted")
+    discard(looked)
+    heads, postings = stage(whole.select("node", "n", "first", "fp"), "heads"), _postings(whole, least)
+    discard(whole)
+    pairs = _fingerprint_pairs(heads)
     asked = postings.select("n").unionByName(pairs.selectExpr("a as n")).unionByName(pairs.selectExpr("b as n")).distinct()
     wanted = stage(asked.join(heads, "n").select("n", F.col("first.id").alias("w_id"), F.col("first.mark").alias("w_mark")), "wanted")
     passes = sieve(wanted.select(F.xxhash64("w_id", "w_mark")))
@@ -309,17 +333,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = stage(_met(crowd, least).join(done, ["a", "b"], "left_anti"), "fresh")
         more = _verified(fresh, sets, least)
         both = stage(done.unionByName(more), "done")
-        joined = connected_components(both.where("alike").select("a", "b"))
+        if not more.where("alike").isEmpty():
+            joined = connected_components(both.where("alike").select("a", "b"))
         # Only members of large groups that haven't been a centre can have open pairs, with one another.
-        left = _open(crowd.where(f"of > {FEW} and not centre").select("h", "n", "size", "k"), joined)
+        left = _open(crowd.where(f"of > {FEW} and not centre").select("h", "one", "low", "n", "size", "k"), joined)
         discard(members, crowd, fresh, more, done)
         members, done, turn = left, both, turn + 1
     classes = stage(heads.join(joined.withColumnRenamed("node", "n"), "n", "left").select("node", "first", F.coalesce("component", "n").alias("component")), "near")
     firsts = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "firsts")
     named = stage(classes.join(firsts, "component").select("node", "head"), "named")
-    counted = looked.groupBy("id", "mark", "node").agg(F.count("*").alias("times"))
     out = stage(counted.join(named, "node").select("id", "mark", "times", F.col("head.id").alias("group_id"), F.col("head.mark").alias("group_mark")), "groups")
-    discard(looked, heads, sets, members, done, classes, firsts, named)
+    discard(counted, heads, sets, members, done, classes, firsts, named)
     return out
 
 
