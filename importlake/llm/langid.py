@@ -183,7 +183,8 @@ def train(docs: DataFrame, usable: Column, vocabulary_path: str, text_col: str =
 def predict(docs: DataFrame, model: Model, text_col: str = "text", to: str = "guess", cache_words: int = 400_000) -> DataFrame:
     """Add a struct (lang, score): the likeliest language of the whole text and its posterior probability.
 
-    ``und`` and 0 for a null text, one without a letter, and where nothing was learned. Texts are segmented word by word;
+    ``und`` and 0 for a null text, one without a letter, and where nothing was learned; of languages that are equally likely the first by name.
+    Every row is judged by its text alone, so repeated rows agree. A column named as ``to`` says is replaced, others stay; an empty table gives an empty result. Texts are segmented word by word;
     a worker remembers the scores of at most ``cache_words`` words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     """Fit on the labelled rows for which ``usable`` holds, or on a sample of ``max_rows`` of them, chosen by a hash of the id.
 
     The ids and labels of the sample are broadcast to the documents, so texts aren't shuffled and only feature rows reach the driver.
-    A document with several labels has the largest; null labels and ids are left out.
+    A document with several labels has the largest; null labels and ids are left out. Repeated rows of a labelled document all count.
+    No labels give a constant score. Columns besides the id and the text aren't read.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable).groupBy(id_col).agg(F.max(label_col).alias("y"))
     chosen = known.where(in_sample(F.col(id_col), sample_share(known.count(), max_rows))).select(F.col(id_col).alias("label_id"), "y")
@@ -183,7 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
-    """Add the score of each whole text (0 to 1; null and empty texts are scored by their zero features)."""
+    """Add the score of each whole text (0 to 1; null and empty texts are scored by their zero features).
+
+    Every row is scored by its text alone, so repeated rows have one score. A column named as ``to`` says is replaced, others stay. An
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())

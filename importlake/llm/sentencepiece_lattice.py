@@ -214,7 +214,8 @@ def encode(
     """Add the piece ids of each whole text, and as ``check`` whether they spell the text again.
 
     Ids are those of the path with the largest sum of piece scores; a letter that is no piece is spelled in byte pieces, and so is a
-    literal mark. A null text has null ids, an empty text none; both check. A word is solved whole, however long. ``table_words`` bounds the broadcast table of
+    literal mark. A null text has null ids, an empty text none; both check. A repeated row is coded like the first; an empty table gives an
+    empty result; columns named as ``to`` and ``check`` say are replaced, others stay. A word is solved whole, however long. ``table_words`` bounds the broadcast table of
     solved words, ``cache_words`` what a worker remembers besides.
     """
     spark = docs.sparkSession
@@ -246,7 +247,10 @@ def spelled(v: Vocabulary, ids: np.ndarray) -> str:
 
 
 def decode(docs: DataFrame, vocabulary_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """Add the text that the ids spell; null ids give null. Ids outside the vocabulary and control pieces give nothing."""
+    """Add the text that the ids spell; null ids give null. Ids outside the vocabulary and control pieces give nothing.
+
+    Every row is decoded by itself, repeated rows too. A column named as ``to`` says is replaced; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def of(ids: pd.Series) -> pd.Series:
