@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from importlake.llm.common import lower_ascii, shared_folder, stage
+from importlake.llm.common import lower_ascii, shared_folder, sieve, stage
 
 
 def sha256(text: Column) -> Column:
@@ -96,7 +96,8 @@ def deduplicate(
     text = normalised(F.col(text_col))
     docs = spark.read.parquet(path).select(located(id_col).alias("at"), text.alias("text"), digest(text).alias("digest"), sha256(text).alias("sha"))
     met = state.where("rows > 1")
-    hits = stage(docs.join(met, "digest").select("digest", "at", "text", "keep", "rows"), "hits")
+    passes = sieve(met.select(F.xxhash64("digest"))).asNondeterministic()  # so that it is asked of the digest, not of the text once more
+    hits = stage(docs.where(passes(F.xxhash64("digest"))).join(met, "digest").select("digest", "at", "text", "keep", "rows"), "hits")
     content = hits.where("at <=> keep").select("digest", F.col("text").alias("content"))
     checked = stage(
         hits.join(content, "digest").select("digest", "at", F.when(F.col("text") != F.col("content"), F.col("text")).alias("other")), "checked"
