@@ -10,6 +10,7 @@ number by arithmetic. When a source ends, the others go on by their weights in a
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,22 +60,20 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     return out
 
 
-def _literal(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    """The plan as a table of SQL literals."""
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join(
-        f"({quote(p['source'])}, {p['weight']}L, {p['first']}L, {p['blocks']}L, array({', '.join(f'{x}L' for x in p['slots'])}), {p['start']}L, {p['every']}L)"
-        for p in plan
-    )
-    names = "mix_plan_source, mix_plan_weight, mix_plan_first, mix_plan_blocks, mix_plan_slots, mix_plan_start, mix_plan_every"
-    return spark.sql(f"select * from values {rows} as t({names})") if plan else spark.sql(
-        "select '' mix_plan_source, 0L mix_plan_weight, 0L mix_plan_first, 0L mix_plan_blocks, array(0L) mix_plan_slots, 0L mix_plan_start, 0L mix_plan_every where false"
-    )
+#: A plan of up to this many rows is broadcast.
+PLAN_ROWS = 20_000
+
+
+def _table(spark: SparkSession, plan: list[dict]) -> DataFrame:
+    """The plan as a table, read from one JSON text."""
+    kind = "array<struct<mix_plan_source: string, mix_plan_weight: bigint, mix_plan_first: bigint, mix_plan_blocks: bigint, mix_plan_slots: array<bigint>, mix_plan_start: bigint, mix_plan_every: bigint>>"
+    rows = [{f"mix_plan_{k}": v for k, v in p.items()} for p in plan]
+    return spark.sql(f"select inline(from_json(:plan, '{kind}'))", args={"plan": json.dumps(rows)})
 
 
 def mix(
     docs: DataFrame, weights: dict[str, int] | None = None, block: int = 16, source_col: str = "source", key_col: str = "doc_id", text_col: str = "text",
-    other_weight: int = 1, most_sources: int = 10_000, bucket_rows: int = 20_000,
+    other_weight: int = 1, bucket_rows: int = 4_000,
 ) -> DataFrame:
     """Add to each row its place in the mix: mix_source, mix_block, mix_slot, mix_release, mix_deadline and mix_at (long).
 
@@ -83,16 +82,14 @@ def mix(
     without one; all alike by default); they should be small, as a period has as many slots as they sum to. A weight
     of zero puts a source behind all others. A null source is a source of its own, the empty name.
     Within a source the rows are in the order of a hash of key and text, and rows alike in both follow one another in any
-    order, which are copies. No row is dropped. The only thing that comes to the driver is the number of rows of each source, of which there may
-    be ``most_sources``; more is an error. Ranks within a source come from counts of hash buckets of about ``bucket_rows``
+    order, which are copies. No row is dropped. The only thing that comes to the driver is the number of rows of each source. The plan has a row for each
+    source that is left in each phase, so it grows with the square of the sources if each ends at another slot; up to PLAN_ROWS it is broadcast. Ranks within a source come from counts of hash buckets of about ``bucket_rows``
     rows, so a source with a third of all rows is ranked in many tasks. An empty table gives an empty result.
     Columns of the input whose names begin with ``mix_`` are dropped.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    counts = {r.s: r.n for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).limit(most_sources + 1).collect()}
-    if len(counts) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
+    counts = {r.s: r.n for r in docs.groupBy(source.alias("s")).agg(F.count("*").alias("n")).collect()}
     share = {s: (weights or {}).get(s, other_weight) for s in counts}
     blocks = {s: -(-n // block) for s, n in counts.items()}
     plan = phases({s: n for s, n in blocks.items() if share[s] > 0}, share)
@@ -113,10 +110,12 @@ def mix(
         "mix_rank", F.col("mix_rank") + F.coalesce("mix_before", F.lit(0))
     )
     placed = placed.withColumn("mix_block", F.expr(f"mix_rank div {block}"))
-    table = _literal(docs.sparkSession, plan)
+    table = _table(docs.sparkSession, plan)
+    if len(plan) <= PLAN_ROWS:
+        table = F.broadcast(table)
     k = F.col("mix_block") - F.col("mix_plan_first")
     joined = placed.join(
-        F.broadcast(table), (F.col("mix_source") == F.col("mix_plan_source")) & (k >= 0) & (k < F.col("mix_plan_blocks"))
+        table, (F.col("mix_source") == F.col("mix_plan_source")) & (k >= 0) & (k < F.col("mix_plan_blocks"))
     ).withColumn("mix_k", k)
     return joined.withColumns({
         "mix_slot": F.expr("mix_plan_start + mix_k div mix_plan_weight * mix_plan_every + element_at(mix_plan_slots, cast(mix_k % mix_plan_weight as int) + 1)"),

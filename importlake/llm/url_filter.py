@@ -7,7 +7,9 @@ members, an explicit allow before a block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from importlake.llm.common import lower_ascii, stage
@@ -62,13 +64,23 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return tags.select(address(F.col("url")).alias("a"), address(resolve(F.col("url"), link)).alias("b")).where("a <> b").distinct()
 
 
-def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """The longest rule (as text) and its verdict. ``rules``: (verdict, host, path). At equal length an allow comes first."""
-    rule, verdict = F, F
-    for decision, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1])):
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        rule, verdict = rule.when(fits, F.lit(h + p)), verdict.when(fits, F.lit(decision))
-    return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """The rules (verdict, host, path) as a table, read from one JSON text. At equal length an allow comes first."""
+    rows = [{"rule_host": h, "rule_path": p, "decision": v, "allows": v == "allow", "long": len(h + p)} for v, h, p in rules]
+    kind = "array<struct<rule_host: string, rule_path: string, decision: string, allows: boolean, long: int>>"
+    return spark.sql(f"select inline(from_json(:rules, '{kind}'))", args={"rules": json.dumps(rows)})
+
+
+def fitting(places: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """(key, rule, own): the longest rule of each row of ``places`` (key, host, path) that has one, and its verdict.
+
+    A host meets the rules of all its suffixes by an equality join, so the rules may be many.
+    """
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = places.select(key, "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host").where(F.startswith("path", "rule_path"))
+    best = met.groupBy(key).agg(F.max(F.struct("long", "allows", F.concat("rule_host", "rule_path").alias("rule"), "decision")).alias("best"))
+    return best.select(key, "best.rule", F.col("best.decision").alias("own"))
 
 
 def filter_urls(
@@ -82,15 +94,17 @@ def filter_urls(
     each. Targets need not be among the pages. An empty table gives an empty result.
     """
     url = F.col(url_col)
-    base = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), address(url).alias("address"))
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = base.withColumns({"rule": rule, "own": verdict})
+    table = F.broadcast(rule_table(pages.sparkSession, rules))  # a list of the driver's
+    named = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), address(url).alias("address"))
+    base = stage(named, "pages")
+    judged = base.join(fitting(base, "row", table), "row", "left")
     edges = stage(alias_edges(pages, url_col, html_col), "aliases")
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(otherwise)).alias("verdict"))
     nodes = connected_components(edges)
     at = F.concat(F.lit("x://"), F.col("node"))
-    decided = stage(nodes.withColumn("own", rule_columns(host(at), path(at), rules)[1]), "nodes")
+    placed = nodes.withColumns({"host": host(at), "path": path(at)})
+    decided = stage(placed.join(fitting(placed, "node", table), "node", "left").select("node", "component", "own"), "nodes")
     whole = decided.groupBy("component").agg(F.min("own").alias("passed_on"))  # allow sorts before block
     passed = stage(decided.join(stage(whole, "whole"), "component").where("passed_on is not null").select("node", "passed_on"), "passed")
     return judged.join(passed, judged.address == passed.node, "left").select(
