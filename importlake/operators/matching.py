@@ -30,10 +30,14 @@ def brand_in_text(brand: Column, text: Column) -> Column:
     return F.coalesce((brand != "") & (F.contains(text, brand) | F.contains(squeezed(text), squeezed(brand))), F.lit(False))
 
 
-def match_tier(a: Column, b: Column) -> Column:
-    """How two normalized names match: continuous (one holds the other), compact (without spaces), token_subset, or null."""
+def match_tier(a: Column, b: Column, a_tokens: Column | None = None, b_tokens: Column | None = None) -> Column:
+    """How two normalized names match: continuous (one holds the other), compact (without spaces), token_subset, or null.
+
+    Their content tokens may be given where they have been worked out before the pairs were made.
+    """
     either = lambda p, q: F.when(F.length(p) <= F.length(q), F.contains(q, p)).otherwise(F.contains(p, q))
-    p, q = x.content_tokens(a), x.content_tokens(b)
+    p = x.content_tokens(a) if a_tokens is None else a_tokens
+    q = x.content_tokens(b) if b_tokens is None else b_tokens
     small, missing = F.least(F.size(p), F.size(q)), F.when(F.size(p) <= F.size(q), F.size(F.array_except(p, q))).otherwise(F.size(F.array_except(q, p)))
     return F.when((a == "") | (b == ""), None).when(either(a, b), "continuous").when(either(squeezed(a), squeezed(b)), "compact").when((small >= 2) & (missing == 0), "token_subset")
 
@@ -55,18 +59,25 @@ def holding(brands: DataFrame, brand: str, texts: DataFrame, text: str) -> DataF
 
 
 def _targets(targets: DataFrame) -> DataFrame:
-    return targets.select("target", "brand").distinct().withColumns({"t_norm": normalized(F.col("target")), "b_norm": x.fold_text(F.col("brand"))})
+    named = targets.select("target", "brand").distinct().withColumns({"t_norm": normalized(F.col("target")), "b_norm": x.fold_text(F.col("brand"))})
+    bare = named.withColumn("bare", without_phrase(F.col("t_norm"), F.col("b_norm")))
+    return bare.withColumns({"t_tokens": x.content_tokens(F.col("t_norm")), "bare_tokens": x.content_tokens(F.col("bare"))})
+
+
+def _candidates(candidates: DataFrame, *more: str) -> DataFrame:
+    named = candidates.select("candidate", *more).distinct().withColumn("c_norm", normalized(F.col("candidate")))
+    return named.withColumns({"c_tokens": x.content_tokens(F.col("c_norm")), "c_fold": x.fold_text(F.col("candidate"))})
 
 
 def pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """Distinct (target, brand, candidate) whose candidate's name holds the brand, with their normalized forms."""
-    t, c = _targets(targets), candidates.select("candidate").distinct().withColumn("c_norm", normalized(F.col("candidate")))
+    t, c = _targets(targets), _candidates(candidates)
     return t.join(holding(t, "b_norm", c, "c_norm"), "b_norm").join(c, "c_norm")
 
 
 def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(target, brand, candidate, tier, via): names that match by any tier; pairs confirmed by hand come first."""
-    found = pairs(targets, candidates).withColumn("tier", match_tier(F.col("c_norm"), F.col("t_norm"))).where("tier is not null")
+    found = pairs(targets, candidates).withColumn("tier", match_tier(F.col("c_norm"), F.col("t_norm"), F.col("c_tokens"), F.col("t_tokens"))).where("tier is not null")
     out = found.select("target", "brand", "candidate", "tier", F.lit("name").alias("via"))
     if overrides is not None:
         sure = overrides.join(targets.select("target", "brand").distinct(), "target").select("target", "brand", "candidate", F.lit("manual").alias("tier"), F.lit("manual").alias("via"))
@@ -88,9 +99,9 @@ def factory_fallback(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     ``candidates`` have ``candidate`` and ``factory``. A name that holds the brand but didn't match is another product.
     """
     t = _targets(targets)
-    c = candidates.select("candidate", "factory").where("factory is not null").distinct().withColumns({"c_norm": normalized(F.col("candidate")), "f_norm": x.fold_text(F.col("factory"))})
-    met = t.join(holding(t, "b_norm", c, "f_norm"), "b_norm").join(c, "f_norm").where(~brand_in_text(F.col("b_norm"), x.fold_text(F.col("candidate"))))
-    out = met.withColumn("tier", match_tier(F.col("c_norm"), without_phrase(F.col("t_norm"), F.col("b_norm")))).where("tier is not null")
+    c = _candidates(candidates.where("factory is not null"), "factory").withColumn("f_norm", x.fold_text(F.col("factory")))
+    met = t.join(holding(t, "b_norm", c, "f_norm"), "b_norm").join(c, "f_norm").where(~brand_in_text(F.col("b_norm"), F.col("c_fold")))
+    out = met.withColumn("tier", match_tier(F.col("c_norm"), F.col("bare"), F.col("c_tokens"), F.col("bare_tokens"))).where("tier is not null")
     return out.select("target", "brand", "candidate", "factory", "tier", F.lit("factory").alias("via")).distinct()
 
 
