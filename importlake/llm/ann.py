@@ -3,7 +3,8 @@
 A unit vector is approximated by a sum of code words, one from each of several codebooks whose words have all dimensions.
 Codebooks are learned one after another on what the ones before leave over; a vector is encoded by a beam search over
 them. The norm of its approximation is stored. A query scores a vector by one table entry for each code word, over that
-norm; the best by this score are then scored exactly on the original vectors.
+norm; each query's best by this score, over all vectors, are then scored exactly on the original vectors. Queries and
+codes are tables of blocks, so neither passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from importlake.llm.common import in_sample, sample_share, stage
+from importlake.llm.common import arrow_rows, discard, in_sample, sample_share, stage
+
+
+#: Vectors are encoded, and queries scored, in blocks that are filled up to these sizes, so that rounding doesn't hang on how rows are dealt out.
+ENCODED, ASKED, SCORED = 1024, 256, 4096
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -86,71 +91,113 @@ def train(vectors: DataFrame, books: int = 8, words: int = 256, max_rows: int =
     return Index(np.array(out))
 
 
+def filled(x: np.ndarray, rows: int) -> np.ndarray:
+    return np.concatenate([x, np.zeros((rows - len(x), x.shape[1]), x.dtype)])
+
+
+def _code_blocks(vectors: DataFrame, index, beam: int) -> DataFrame:
+    """A staged table of blocks of up to SCORED vectors: their ids, codes and norms, packed."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), SCORED):
+                part, coded = b.iloc[lo : lo + SCORED], []
+                for at in range(0, len(part), ENCODED):
+                    x = np.stack(part["v"].iloc[at : at + ENCODED].to_list())
+                    codes, norms = index.value.encode(filled(x / np.linalg.norm(x, axis=1, keepdims=True), ENCODED), beam)
+                    coded.append((codes[: len(x)], norms[: len(x)].astype(np.float32)))
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [np.concatenate([c for c, _ in coded]).tobytes()], "norms": [np.concatenate([n for _, n in coded]).tobytes()]})
+
+    return stage(vectors.mapInPandas(encode, "ids binary, codes binary, norms binary"), "encoded")
+
+
+def _query_blocks(asked: DataFrame) -> DataFrame:
+    """A staged table of blocks of up to ASKED unit vectors and their ids, packed."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), ASKED):
+                x = np.stack(b["v"].iloc[lo : lo + ASKED].to_list())
+                yield pd.DataFrame({"q_ids": [b["id"].iloc[lo : lo + ASKED].to_numpy(np.int64).tobytes()], "q": [(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()]})
+
+    return stage(asked.mapInPandas(pack, "q_ids binary, q binary"), "asked")
+
+
+class Shortlists:
+    """The best ids of each query of a block by score, ties to the smaller id, over all code blocks that are added."""
+
+    def __init__(self, ids: np.ndarray, size: int):
+        self.ids, self.size = ids, size
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(ids)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        scores[self.ids[:, None] == ids] = -np.inf
+        for i, row in enumerate(scores):
+            own, had = self.best[i]
+            least = had[-1] if len(had) == self.size else -np.inf
+            if len(row) > self.size:
+                least = max(least, np.partition(row, len(row) - self.size)[len(row) - self.size])
+            at = np.flatnonzero((row >= least) & (row > -np.inf))
+            if len(at):
+                every, values = np.concatenate([own, ids[at]]), np.concatenate([had, row[at]])
+                order = np.lexsort((every, -values))[: self.size]
+                self.best[i] = every[order], values[order]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": np.repeat(self.ids, [len(x) for x, _ in self.best]), "vec_id": np.concatenate([x for x, _ in self.best]), "rough": np.concatenate([x for _, x in self.best])})
+
+
+def _first(found: DataFrame, by: str, most: int) -> DataFrame:
+    """The ``most`` rows of each query with the largest ``by``, with their ``rank``; ties go to the smaller id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def search(
-    embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 16, words: int = 256, beam: int = 4,
-    shortlist: int = 500, block: int = 2048,
+    embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 24, words: int = 256, beam: int = 4, shortlist: int = 200
 ) -> DataFrame:
     """Return (query_id, rank, vec_id, score): the ``k`` nearest found of each query, the rows whose id ``every`` divides.
 
     Every row but the query's own is a candidate; nearness is the cosine in double precision, ties go to the smaller id.
     Vectors that are null, of length zero, or that hold a null or a non-finite component take no part; neither do null ids.
-    Repeated ids count once, with any one of their vectors. Fewer candidates than ``k`` are all returned. An empty table gives an empty result.
-    All vectors must have one length. Queries are taken in blocks of ``block``, each broadcast to the tasks that hold the encoded
-    candidates; a task keeps its ``shortlist`` best of each query by table score, and sends on their ``k`` best by exact score.
+    Repeated ids count once, with the least of their vectors. Fewer candidates than ``k`` are all returned. An empty table gives an empty result.
+    All vectors must have one length. Blocks of queries meet blocks of codes; a task sends on the ``shortlist`` best of each of its queries
+    by table score, and the ``shortlist`` best over all tasks are scored exactly, so the result doesn't hang on how rows are dealt out.
     """
     spark = embeddings.sparkSession
-    vectors = stage(usable(embeddings, id_col, vector_col).groupBy("id").agg(F.first("v").alias("v")), "vectors")
+    vectors = stage(usable(embeddings, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     index = spark.sparkContext.broadcast(train(vectors, books, words))
+    asked = vectors.where(F.col("id") % every == 0)
+    codes, queries = _code_blocks(vectors, index, beam), _query_blocks(asked)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, lists, unit = b"", None, None
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.iloc[at : at + 1024]
-                x = np.stack(part["v"].to_list())
-                codes, norms = index.value.encode(x / np.linalg.norm(x, axis=1, keepdims=True), beam)
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "codes": [c.tobytes() for c in codes], "norm": norms})
-
-    encoded = stage(vectors.mapInPandas(encode, "id long, v array<double>, codes binary, norm double"), "encoded")
-    asked = vectors.where(F.col("id") % every == 0)
-    number = max(1, -(-asked.count() // block))
-    results = []
-    for part in range(number):
-        rows = sorted((r.id, r.v) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(number)) == part).collect())
-        queries = spark.sparkContext.broadcast((np.array([i for i, _ in rows], np.int64), np.array([v for _, v in rows], float)))
-
-        def near(batches: Iterator[pd.DataFrame], queries=queries) -> Iterator[pd.DataFrame]:
-            ids, q = queries.value
-            if not len(ids):
-                return
-            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for b in batches:
-                own, x = b["id"].to_numpy(), np.stack(b["v"].to_list())
-                order = np.argsort(own, kind="stable")
-                own, x, norm = own[order], x[order], b["norm"].to_numpy()[order]
-                codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)[order]
-                lengths = np.linalg.norm(x, axis=1)
-                found = []
-                for lo in range(0, len(ids), 256):
-                    rough = index.value.scores(unit[lo : lo + 256], codes, norm)
-                    for i, row in enumerate(rough, lo):
-                        row[own == ids[i]] = -np.inf
-                        if len(row) > shortlist:
-                            least = np.partition(row, len(row) - shortlist)[len(row) - shortlist]
-                            over, tied = np.flatnonzero(row > least), np.flatnonzero(row == least)
-                            at = np.concatenate([over, tied[: shortlist - len(over)]])  # ties by id, as rows are in its order
-                        else:
-                            at = np.arange(len(row))
-                        at = at[row[at] > -np.inf]
-                        exact = (x[at] * q[i]).sum(1) / (lengths[at] * np.linalg.norm(q[i]))
-                        top = np.lexsort((own[at], -exact))[:k]
-                        found.append(pd.DataFrame({"query_id": ids[i], "vec_id": own[at[top]], "score": exact[top]}))
-                yield pd.concat(found)
-
-        results.append(encoded.mapInPandas(near, "query_id long, vec_id long, score double"))
-    merged = results[0]
-    for r in results[1:]:
-        merged = merged.unionByName(r)
-    best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("pos", "x")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score")
-    )
+            for q_ids, q, ids, packed, norms in zip(*[b[c] for c in ("q_ids", "q", "ids", "codes", "norms")]):
+                if lists is None or q_ids != block:
+                    if lists is not None:
+                        yield lists.rows()
+                    block, lists = q_ids, Shortlists(np.frombuffer(q_ids, np.int64), shortlist)
+                    unit = filled(np.frombuffer(q).reshape(len(lists.ids), -1), ASKED)
+                n = len(ids) // 8
+                scores = index.value.scores(unit, np.frombuffer(packed, np.uint8).reshape(n, -1), np.frombuffer(norms, np.float32))
+                lists.add(np.frombuffer(ids, np.int64), scores[: len(lists.ids)])
+        if lists is not None:
+            yield lists.rows()
+
+    with arrow_rows(spark, 32):  # each row holds two blocks
+        rough = stage(queries.crossJoin(codes).mapInPandas(near, "query_id long, vec_id long, rough float"), "rough")
+    chosen = stage(_first(rough, "rough", shortlist).select("query_id", "vec_id"), "chosen")
+
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        a, b = np.stack(x.to_list()), np.stack(y.to_list())
+        return pd.Series((a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)))
+
+    theirs, ours = vectors.select(F.col("id").alias("vec_id"), "v"), asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = chosen.join(theirs, "vec_id").join(ours, "query_id").select("query_id", "vec_id", cosine("q", "v").alias("score"))
+    best = stage(_first(exact, "score", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+    discard(vectors, codes, queries, rough, chosen)
+    return best
