@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from importlake.llm import ann, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, url_filter
+from importlake.llm import ann, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, token_files, url_filter
 from importlake.llm.common import fold, table
 
 #: (verdict, host, path)
@@ -23,6 +23,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_level_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``score``, by a model that learned from labels of training folds only."""
     return quality.score(docs, quality.train(docs, labels, fold(F.col("doc_id"), 5) != 0))
@@ -77,6 +83,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    files = token_files.write(table(spark, sf_dir, "documents"), folder, byte_level_path())
+    return token_files.checks(spark, folder, files)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +107,7 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_nearest": op9_nearest,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_token_files": op11_token_files,
         "pipeline": pipeline,
     }
 
