@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from importlake.llm import ann, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, token_files, url_filter
+from importlake.llm import alignment, ann, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, token_files, url_filter
 from importlake.llm.common import fold, table
 
 #: (verdict, host, path)
@@ -89,6 +89,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checks(spark, folder, files)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), byte_level_path(), vocabulary_path(), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +112,7 @@ def queries() -> dict:
         "op9_nearest": op9_nearest,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_token_files": op11_token_files,
+        "op12_token_alignment": op12_token_alignment,
         "pipeline": pipeline,
     }
 
