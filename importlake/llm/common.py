@@ -75,8 +75,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again, which cuts the lineage.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table into the shared folder, in folders ``by`` a column if one is named, and read it again, which cuts the lineage.
 
     A lost executor then costs a re-read of the files, and whatever joins the result sees a plain scan, whose shuffle
     adaptive execution can split when one key is hot. Shuffle files go when the table is written.
@@ -84,7 +84,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
     with shuffle_freed(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     STAGED[out] = path
     return out
@@ -99,20 +99,24 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bitmap(hashes: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """A bit for each of ``slots`` slots, a power of two, set where one of ``hashes`` (one column of longs) falls; Spark puts it together."""
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots))
+    # ``shiftleft`` counts modulo 64.
+    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.cast("int")).alias("bit"))
+    bits = np.zeros(slots // 64, np.int64)
+    for r in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["at"]] = r.bits
+    return bits
+
+
 def sieve(hashes: DataFrame) -> Callable[[Column], Column]:
     """A test for a hash that holds for all in ``hashes`` (one column of longs) and, while they are few, for few others.
 
     It is a bitmap of SLOTS slots, put together by Spark, so its size is fixed. What passes goes on to an exact join; what doesn't is
     spared the shuffle. If the hashes outgrow the slots everything passes, and the join does all the work.
     """
-    spark = hashes.sparkSession
-    slot = F.pmod(F.col(hashes.columns[0]), F.lit(SLOTS))
-    # ``shiftleft`` counts modulo 64.
-    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.cast("int")).alias("bit"))
-    bits = np.zeros(SLOTS // 64, np.int64)
-    for r in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r["at"]] = r.bits
-    shared = spark.sparkContext.broadcast(bits)
+    shared = hashes.sparkSession.sparkContext.broadcast(bitmap(hashes))
 
     @F.pandas_udf("boolean")
     def passes(h: pd.Series) -> pd.Series:

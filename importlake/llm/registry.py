@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from importlake.llm import alignment, ann, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, token_files, url_filter
+from importlake.llm import alignment, ann, collocations, exact_dedup, langid, line_dedup, mixing, quality, secrets, sentencepiece_lattice, simhash, token_files, url_filter
 from importlake.llm.common import fold, table
 
 #: (verdict, host, path)
@@ -93,6 +93,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), byte_level_path(), vocabulary_path(), digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.best(collocations.mine(table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +118,7 @@ def queries() -> dict:
         "op10_sentencepiece": op10_sentencepiece,
         "op11_token_files": op11_token_files,
         "op12_token_alignment": op12_token_alignment,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 
@@ -130,6 +136,22 @@ ORACLES = {
       select h.page_id, host, path, rule, coalesce(decision, 'allow') as verdict from h left join best on h.page_id = best.page_id""",
 }
 
+ORACLES["op13_collocations"] = rf"""with words as (select lang, piece, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as w
+        from (select coalesce(lang, 'und') as lang, unnest(string_split_regex({FOLDED}, '[.,;:!?\n\x0B\x0C\r]')) as piece from documents)),
+      sizes as (select unnest([1, 2, 3, 4, 5]) as k),
+      grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from words, sizes where len(w) >= k),
+      f as (select lang, k, phrase, count(*) as a from grams group by all having count(*) >= 100),
+      totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+      cuts as (select lang, k, phrase, a, unnest(range(1, k)) as c, string_split(phrase, ' ') as w from f where k > 1),
+      scored as (select c.lang, c.phrase, c.k, c.a, l.a as l, r.a as r, n, ((1000::hugeint * c.a * n) // (l.a::hugeint * r.a))::bigint as score
+        from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:c], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(w[c + 1:], ' ') join totals t on t.lang = c.lang
+        qualify row_number() over (partition by c.lang, c.phrase order by score, c.c) = 1),
+      subs as (select lang, a, k, unnest(range(2, k)) as s, string_split(phrase, ' ') as w from f where k > 2),
+      covered as (select lang, phrase, max(a) as longer from (select lang, a, unnest(list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) as phrase from subs) group by all),
+      kept as (select s.* from scored s left join covered v on v.lang = s.lang and v.phrase = s.phrase where v.longer is null or v.longer < s.a)
+      select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept
+      qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
