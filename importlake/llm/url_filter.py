@@ -20,6 +20,8 @@ CANONICAL = r"""(?is)\brel\s*=\s*["']?\s*canonical\b"""
 HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 REFRESH = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
 REFRESH_URL = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'>]+)"""
+#: Rules up to which their table is broadcast.
+MOST_BROADCAST = 10_000
 
 
 def host(url: Column) -> Column:
@@ -32,22 +34,29 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def address(url: Column) -> Column:
-    """What names a page: host, path and query, without scheme and fragment; null where there is no host."""
-    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)?", 1)
-    return F.when(host(url) != "", F.concat(host(url), F.when(path(url) == "", F.lit("/")).otherwise(path(url)), query))
+def parsed(df: DataFrame, url: str) -> DataFrame:
+    """With ``root`` (all up to the path), ``host``, ``path``, ``query`` and, after them, ``address`` of a column of URLs.
 
-
-def resolve(base: Column, link: Column) -> Column:
-    """A link as an absolute URL."""
-    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
-    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.concat(root, F.when(path(base) == "", F.lit("/")).otherwise(path(base))), r"(?s)^(.*/)", 1)
+    The address names a page: host, path and query, without scheme and fragment; null where there is no host. Each part is
+    a column that the next step reads, as nested patterns would outgrow a generated method.
+    """
+    parts = {
+        "root": F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1),
+        "host": host(F.col(url)),
+        "path": path(F.col(url)),
+        "query": F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)?", 1),
+    }
+    return df.withColumns(parts).withColumn("address", F.when(F.col("host") != "", F.concat("host", F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path")), "query")))
+
+
+def resolve(link: Column) -> Column:
+    """A link as an absolute URL, next to ``root`` and ``path`` of the page that has it."""
+    folder = F.concat("root", F.when(F.col("path") == "", F.lit("/")).otherwise(F.regexp_extract("path", r"(?s)^(.*/)", 1)))
     return (
         F.when(link == "", F.lit(None))
         .when(F.regexp_like(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("/"), F.concat("root", link))
         .when(F.regexp_like(link, F.lit(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)")), F.lit(None))
         .otherwise(F.concat(folder, link))
     )
@@ -61,7 +70,10 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         F.when(F.regexp_like("tag", F.lit(CANONICAL)), href)
         .when(F.regexp_like("tag", F.lit(REFRESH)), F.regexp_extract("tag", REFRESH_URL, 1))
     )
-    return tags.select(address(F.col("url")).alias("a"), address(resolve(F.col("url"), link)).alias("b")).where("a <> b").distinct()
+    links = stage(tags.select("url", F.replace(F.trim(link), F.lit("&amp;"), F.lit("&")).alias("link")).where("link is not null and url is not null"), "links")
+    # Few pages have links; what they resolve to is written, so that the filter isn't pushed into the patterns.
+    found = stage(parsed(links, "url").select(F.col("address").alias("a"), resolve(F.col("link")).alias("to")).where("a is not null"), "targets")
+    return stage(parsed(found, "to").select("a", F.col("address").alias("b")), "named").where("a <> b").distinct()
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -91,19 +103,20 @@ def filter_urls(
     A page with a rule of its own takes that rule's verdict. Another takes ``allow`` if any address joined to it by
     redirects and canonical links has an allow rule, else ``block`` if any has a block rule, else ``otherwise``. A null URL,
     or one without ``://``, has empty host and path, fits no rule and has no aliases; null HTML has no links. Repeated rows give a row
-    each. Targets need not be among the pages. An empty table gives an empty result.
+    each, and a URL or a page may be very long. Of two rules of one length that fit, an allow comes first. ``pages`` may have columns of any
+    other name. Targets need not be among the pages. An empty table gives an empty result.
     """
-    url = F.col(url_col)
-    table = F.broadcast(rule_table(pages.sparkSession, rules))  # a list of the driver's
-    named = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), address(url).alias("address"))
-    base = stage(named, "pages")
+    table = rule_table(pages.sparkSession, rules)
+    if len(rules) <= MOST_BROADCAST:
+        table = F.broadcast(table)
+    named = parsed(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url")
+    base = stage(named.select("row", "page_id", "host", "path", "address"), "pages")
     judged = base.join(fitting(base, "row", table), "row", "left")
     edges = stage(alias_edges(pages, url_col, html_col), "aliases")
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(otherwise)).alias("verdict"))
     nodes = connected_components(edges)
-    at = F.concat(F.lit("x://"), F.col("node"))
-    placed = nodes.withColumns({"host": host(at), "path": path(at)})
+    placed = parsed(nodes.withColumn("url", F.concat(F.lit("x://"), F.col("node"))), "url").select("node", "component", "host", "path")
     decided = stage(placed.join(fitting(placed, "node", table), "node", "left").select("node", "component", "own"), "nodes")
     whole = decided.groupBy("component").agg(F.min("own").alias("passed_on"))  # allow sorts before block
     passed = stage(decided.join(stage(whole, "whole"), "component").where("passed_on is not null").select("node", "passed_on"), "passed")
