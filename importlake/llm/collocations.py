@@ -31,6 +31,8 @@ END = b"\xff"
 LONGEST = 5
 #: Slots of a bitmap of phrases.
 SLOTS = 1 << 24
+#: Phrases at the threshold, some 50 bytes each, up to which a join broadcasts them.
+SMALL = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,7 +81,7 @@ def _coded(docs: DataFrame, shards: int, seed: int, hashed: Callable[[bytes, int
             yield pa.RecordBatch.from_arrays(
                 [b.column("lang"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(real[ends[1:]] - real[ends[:-1]]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), b.column("shard")], schema=kind
             )
-            if len(known) > 500_000:
+            if len(known) > 300_000:
                 yield met()
         yield met()
 
@@ -149,7 +151,7 @@ def _scan(shard: DataFrame, everything: np.ndarray, recent: np.ndarray, single:
             for k, lang in enumerate(b.column("lang").to_pylist()):
                 held.setdefault(lang, []).append(codes[ends[k] : ends[k + 1]])
             n += len(codes)
-            if n > 3_000_000:
+            if n > 2_000_000:
                 yield from flushed(held)
                 held, n = {}, 0
         yield from flushed(held)
@@ -190,6 +192,7 @@ def count_phrases(coded: DataFrame, shards: int, least: int, longest: int = LONG
     state = spark.createDataFrame([], "lang string, p binary, n long, since int, reached int")
     reached = spark.createDataFrame([], "lang string, p binary, reached int")
     done, bits, old, t = reached.select("lang", "p", F.lit(0).cast("long").alias("n")), {}, None, 0
+    n_reached = 0
     while True:
         everything, recent = (np.bitwise_or.reduce([np.zeros(slots // 64, np.int64)] + [b for r, b in bits.items() if r > after]) for after in (-1, t - shards))
         rows = _scan(coded.where(F.col("shard") == t % shards), everything, recent, t < shards, longest)
@@ -198,7 +201,9 @@ def count_phrases(coded: DataFrame, shards: int, least: int, longest: int = LONG
         words = words_of(F.col("p"))
         new = F.col("since").isNull() & (words > 1)
         keyed = summed.withColumns({"p0": F.when(new, part(F.col("p"), 0, words - 1)), "p1": F.when(new, part(F.col("p"), 1, words - 1))})
-        ends = [reached.select("lang", F.col("p").alias(f"p{k}"), F.col("reached").alias(f"r{k}")) for k in (0, 1)]
+        # Beyond that size the two joins shuffle both sides.
+        small = F.broadcast if n_reached <= SMALL else lambda x: x
+        ends = [small(reached).select("lang", F.col("p").alias(f"p{k}"), F.col("reached").alias(f"r{k}")) for k in (0, 1)]
         met = keyed.join(ends[0], ["lang", "p0"], "left").join(ends[1], ["lang", "p1"], "left")
         since = F.coalesce("since", F.when(words == 1, 0), F.when(F.col("r0").isNotNull() & F.col("r1").isNotNull(), F.greatest("r0", "r1")))
         active = met.withColumn("since", since).where((F.col("since") > t - shards) & (F.col("since") <= t))
@@ -212,6 +217,7 @@ def count_phrases(coded: DataFrame, shards: int, least: int, longest: int = LONG
         kept = stage(counted.where((F.col("since") == t - shards) | (F.col("reached") == t)).hint("rebalance"), "counted")
         done = done.unionByName(kept.where(F.col("since") == t - shards).select("lang", "p", "n"))
         lately = kept.where((F.col("reached") == t) & (words_of(F.col("p")) < longest)).select("lang", "p", "reached")
+        n_reached += lately.count()
         bits[t] = bitmap(lately.select(_phrase_hash("lang", "p")), slots)
         reached = reached.unionByName(lately)
         if t >= shards and not any(b.any() for r, b in bits.items() if r > t - shards):
