@@ -90,9 +90,15 @@ def _checked(kind: type[Chunks]) -> type[Chunks]:
     """Chunks whose tokens don't spell them get no tokens, so that the lengths of a text with such a chunk don't add up."""
 
     class Checked(kind):
-        def put(self, chunks, lists):
-            spell = self.bytes.__getitem__
-            super().put(chunks, (ids if b"".join(map(spell, ids)) == self.spelled(c) else () for c, ids in zip(chunks, lists)))
+        def put(self, chunks, flat, ends):
+            spell, want = self.bytes.__getitem__, list(map(self.spelled, chunks))
+            got = list(map(spell, flat.tolist()))
+            lengths = np.append(0, np.fromiter(map(len, got), np.int64, len(got)).cumsum())[np.append(0, ends)]
+            if not np.array_equal(np.diff(lengths), list(map(len, want))) or b"".join(got) != b"".join(want):
+                n = np.diff(ends, prepend=0)
+                same = np.array([b"".join(got[e - k : e]) == w for e, k, w in zip(ends.tolist(), n.tolist(), want)], bool)
+                flat, ends = flat[np.repeat(same, n)], (n * same).cumsum()
+            super().put(chunks, flat, ends)
 
     return Checked
 

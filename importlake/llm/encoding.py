@@ -11,7 +11,6 @@ import functools
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterable
 from itertools import chain, islice
 
@@ -21,6 +20,8 @@ import numpy as np
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Letters, perhaps behind a space, and perhaps one mark at the end: two runs of the byte-level pattern at most, so they can go to the model as they are.
 RUNS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Around a single line feed, which is a token of its own: the byte-level pattern puts no other white space to it.
+LINE = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 MARKS = list(".,;:!?")
 
 
@@ -31,6 +32,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.fromiter(map(len, lists), np.int64, len(lists)).cumsum()
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1]) if len(ends) else 0), ends
+
+
 class Chunks(dict):
     """The packed ids of chunks, filled as they are asked for and emptied when they are too many."""
 
@@ -44,14 +50,10 @@ class Chunks(dict):
         """Encode chunks that aren't known."""
         raise NotImplementedError
 
-    def put(self, chunks: list[str], lists: Iterable[list[int]]) -> None:
-        """Keep ids packed: many small lists would cost more than they are worth."""
-        flat, ends = array("H" if self.kind.itemsize == 2 else "I"), [0]
-        for ids in lists:
-            flat.extend(ids)
-            ends.append(len(flat) * self.kind.itemsize)
-        packed = flat.tobytes()
-        self.update(zip(chunks, map(packed.__getitem__, map(slice, ends, ends[1:]))))
+    def put(self, chunks: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids ``flat``, those of each chunk up to its end: packed, as many small lists would cost more than they are worth."""
+        packed, cuts = flat.astype(self.kind).tobytes(), (ends * self.kind.itemsize).tolist()
+        self.update(zip(chunks, map(packed.__getitem__, map(slice, [0, *cuts], cuts))))
 
     def forget(self) -> None:
         if len(self) > self.most:
@@ -61,8 +63,10 @@ class Chunks(dict):
         """The packed ids of each chunk."""
         found = list(map(self.get, chunks))
         if None in found:
-            self.learn({c for c, x in zip(chunks, found) if x is None})
-            found = list(map(self.__getitem__, chunks))
+            unseen = [k for k, x in enumerate(found) if x is None]
+            self.learn({chunks[k] for k in unseen})
+            for k in unseen:
+                found[k] = self[chunks[k]]
         return found
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
@@ -93,7 +97,12 @@ class ByteLevel(Chunks):
                 raise ValueError(f"{path} can't be used chunk by chunk: {token['content']}")
         self.size = self.whole.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.runs = Tokenizer.from_file(path)
+        # For chunks without a special token, both ways of taking it are the same; then it serves to set chunks apart.
+        special = next((t for t in said["added_tokens"] if t["special"] and not t["normalized"]), None)
+        if special is None or RUNS.search(special["content"][0]):
+            raise ValueError(f"{path} has no special token to set chunks apart")
+        self.between, self.between_id = special["content"], special["id"]
+        self.split, self.runs = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.runs.pre_tokenizer = None
         letters = byte_letters()
         self.letter = str.maketrans({chr(b): x for b, x in letters.items()})
@@ -103,8 +112,10 @@ class ByteLevel(Chunks):
 
     def learn(self, chunks: set[str]) -> None:
         """Runs of letters go straight to the model, all else through the library's own pattern."""
+        lines = {c: LINE.split(c) for c in chunks if "\n" in c}
+        whole = {c: x for c, x in lines.items() if len(x) > 1}
         runs, rest, marked = set(), [], []
-        for c in chunks:
+        for c in chain((chunks - whole.keys()), {x for parts in whole.values() for x in parts if x not in self}) if whole else chunks:
             if m := RUNS.fullmatch(c):
                 run, mark = m.groups()
                 if run not in self:
@@ -115,9 +126,23 @@ class ByteLevel(Chunks):
                 rest.append(c)
         letters = list(runs)
         spelled = ["Ġ" + c[1:] if c[0] == " " and c.isascii() else c if c.isascii() else c.encode().decode("latin-1").translate(self.letter) for c in letters]
-        for of, asked, tokenizer in ((letters, spelled, self.runs), (rest, rest, self.whole), (MARKS, MARKS, self.whole)):
-            self.put(of, (e.ids for e in tokenizer.encode_batch_fast(asked, add_special_tokens=False)))
+        for of, asked, tokenizer in ((letters, spelled, self.runs), (rest, rest, self.split), (MARKS, MARKS, self.split)):
+            odd = [c for c in asked if self.between in c]
+            if odd:
+                lists = [e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]
+                self.put(odd, *_flat(lists))
+                of = asked = [c for c in asked if self.between not in c]
+            self.put(of, *self.together(tokenizer, asked))
         self.update([(c, self[run] + self[mark]) for c, run, mark in marked])
+        self.update([(c, b"".join(map(self.__getitem__, parts))) for c, parts in whole.items()])
+
+    def together(self, tokenizer, chunks: list[str], many: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, and where each chunk ends. Many are encoded as one text with a special token behind each, at which the library cuts first."""
+        texts = [self.between.join(chunks[k : k + many]) + self.between for k in range(0, len(chunks), many)]
+        ids = [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
+        last = np.flatnonzero(flat == self.between_id)
+        return flat[flat != self.between_id], last - np.arange(len(last))
 
 
 class SentencePieces(Chunks):
@@ -140,7 +165,7 @@ class SentencePieces(Chunks):
 
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks)
-        self.put(new, self.model.encode(new, num_threads=1))
+        self.put(new, *_flat(self.model.encode(new, num_threads=1)))
 
 
 @functools.cache
