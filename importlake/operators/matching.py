@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 from importlake.functions import text as x
 from importlake.operators.containing import containing
+from importlake.operators.phrases import phrase_table, rewrite
+from importlake.sources.staging import staged
 
+# Words that say nothing about what a product is, and words without weight in a comparison.
 FILLERS = ["classic"]
+STOP_WORDS = ["the", "a", "an", "of", "with", "for", "and", "in", "pack", "count", "fl", "oz", "ml", "l"]
 
 
 def translate_names(df: DataFrame, dictionary: DataFrame, column: str, to: str = "english") -> DataFrame:
@@ -21,8 +25,12 @@ def translate_names(df: DataFrame, dictionary: DataFrame, column: str, to: str =
     return df.join(once, column, "left").withColumn(to, F.when(x.is_non_latin(F.col(column)), F.col("__to")).otherwise(F.col(column))).drop("__to")
 
 
-def normalized(c: Column) -> Column:
-    return x.drop_words(x.fold_text(c), FILLERS)
+def normalized(names: DataFrame, column: str, to: str, phrases: DataFrame | None = None) -> DataFrame:
+    """``names`` with ``to``: the folded name, phrases of several languages as one word, without fillers. Each distinct name is rewritten once."""
+    folded = staged(names.withColumn("__folded", x.fold_text(F.col(column))))
+    table = phrase_table(names.sparkSession) if phrases is None else phrases
+    once = rewrite(folded.where(F.col("__folded").isNotNull()), "__folded", table)
+    return folded.join(once, "__folded", "left").withColumn(to, x.drop_words(F.col("rewritten"), FILLERS)).drop("__folded", "rewritten")
 
 
 def brand_in_text(brand: Column, text: Column) -> Column:
@@ -58,25 +66,32 @@ def holding(brands: DataFrame, brand: str, texts: DataFrame, text: str) -> DataF
     return containing(b, "b_key", t, "t_key").join(b, "b_key").join(t, "t_key").select(brand, text)
 
 
-def _targets(targets: DataFrame) -> DataFrame:
-    named = targets.select("target", "brand").distinct().withColumns({"t_norm": normalized(F.col("target")), "b_norm": x.fold_text(F.col("brand"))})
+def prepared_targets(targets: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """Distinct (target, brand) with their forms for matching, written once, as both ways of matching read them."""
+    named = normalized(targets.select("target", "brand").distinct(), "target", "t_norm", phrases).withColumn("b_norm", x.fold_text(F.col("brand")))
     bare = named.withColumn("bare", without_phrase(F.col("t_norm"), F.col("b_norm")))
-    return bare.withColumns({"t_tokens": x.content_tokens(F.col("t_norm")), "bare_tokens": x.content_tokens(F.col("bare"))})
+    return staged(bare.withColumns({"t_tokens": x.content_tokens(F.col("t_norm")), "bare_tokens": x.content_tokens(F.col("bare"))}))
 
 
-def _candidates(candidates: DataFrame, *more: str) -> DataFrame:
-    named = candidates.select("candidate", *more).distinct().withColumn("c_norm", normalized(F.col("candidate")))
-    return named.withColumns({"c_tokens": x.content_tokens(F.col("c_norm")), "c_fold": x.fold_text(F.col("candidate"))})
+def prepared_candidates(candidates: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """Distinct (candidate, factory) with their forms for matching; ``factory`` may be missing."""
+    both = candidates if "factory" in candidates.columns else candidates.withColumn("factory", F.lit(None).cast("string"))
+    named = normalized(both.select("candidate", "factory").distinct(), "candidate", "c_norm", phrases)
+    return staged(named.withColumns({"c_tokens": x.content_tokens(F.col("c_norm")), "c_fold": x.fold_text(F.col("candidate")), "f_norm": x.fold_text(F.col("factory"))}))
 
 
-def pairs(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+def pairs(t: DataFrame, c: DataFrame) -> DataFrame:
     """Distinct (target, brand, candidate) whose candidate's name holds the brand, with their normalized forms."""
-    t, c = _targets(targets), _candidates(candidates)
-    return t.join(holding(t, "b_norm", c, "c_norm"), "b_norm").join(c, "c_norm")
+    names = c.drop("factory", "f_norm").distinct()
+    return t.join(holding(t, "b_norm", names, "c_norm"), "b_norm").join(names, "c_norm")
+
+
+def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
+    """(target, brand, candidate, tier, via): names that match by any tier; pairs confirmed by hand come first. ``phrases`` is a table as of ``phrase_table``."""
+    return _by_name(prepared_targets(targets, phrases), prepared_candidates(candidates, phrases), overrides)
 
 
-def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(target, brand, candidate, tier, via): names that match by any tier; pairs confirmed by hand come first."""
+def _by_name(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None) -> DataFrame:
     found = pairs(targets, candidates).withColumn("tier", match_tier(F.col("c_norm"), F.col("t_norm"), F.col("c_tokens"), F.col("t_tokens"))).where("tier is not null")
     out = found.select("target", "brand", "candidate", "tier", F.lit("name").alias("via"))
     if overrides is not None:
@@ -93,22 +108,26 @@ def without_phrase(text: Column, phrase: Column) -> Column:
     return F.when((phrase == "") | (at == 0), text).otherwise(F.trim(cut))
 
 
-def factory_fallback(targets: DataFrame, candidates: DataFrame) -> DataFrame:
+def factory_fallback(targets: DataFrame, candidates: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """Candidates whose name doesn't hold the brand, told by the brand in their factory's name, where the names match without the brand.
 
     ``candidates`` have ``candidate`` and ``factory``. A name that holds the brand but didn't match is another product.
     """
-    t = _targets(targets)
-    c = _candidates(candidates.where("factory is not null"), "factory").withColumn("f_norm", x.fold_text(F.col("factory")))
+    return _by_factory_brand(prepared_targets(targets, phrases), prepared_candidates(candidates, phrases))
+
+
+def _by_factory_brand(t: DataFrame, candidates: DataFrame) -> DataFrame:
+    c = candidates.where("factory is not null")
     met = t.join(holding(t, "b_norm", c, "f_norm"), "b_norm").join(c, "f_norm").where(~brand_in_text(F.col("b_norm"), F.col("c_fold")))
     out = met.withColumn("tier", match_tier(F.col("c_norm"), F.col("bare"), F.col("c_tokens"), F.col("bare_tokens"))).where("tier is not null")
     return out.select("target", "brand", "candidate", "factory", "tier", F.lit("factory").alias("via")).distinct()
 
 
-def cross_check(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def cross_check(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
     """All matches with ``ambiguous``: those to be reviewed and those that are settled. What was set by hand isn't matched again."""
-    primary = contains_match(targets, candidates, overrides)
-    fallback = factory_fallback(targets, candidates).drop("factory").distinct()
+    t, c = prepared_targets(targets, phrases), prepared_candidates(candidates, phrases)
+    primary = _by_name(t, c, overrides)
+    fallback = _by_factory_brand(t, c).drop("factory").distinct()
     if overrides is not None:
         fallback = fallback.join(primary.where("via = 'manual'").select("target", "brand", "candidate"), ["target", "brand", "candidate"], "left_anti")
     return primary.unionByName(fallback).withColumn("ambiguous", is_ambiguous(F.col("tier"), F.col("via")))
@@ -165,9 +184,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b)])
 
 
-STOP_WORDS = ["the", "a", "an", "of", "with", "for", "and", "in", "pack", "count", "fl", "oz", "ml", "l"]
-
-
 def similarity(a: Column, b: Column) -> Column:
     """The largest of the sequence ratio and the shares of each text's words that the other has."""
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (w != "") & ~w.isin(STOP_WORDS) & ~F.replace(w, F.lit("."), F.lit("")).rlike("^[0-9]+$")))
@@ -176,20 +192,27 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(sequence_ratio(a, b), F.coalesce(F.try_divide(both, F.size(p)), F.lit(0.0)), F.coalesce(F.try_divide(both, F.size(q)), F.lit(0.0)))
 
 
-def lookup_candidates(terms: DataFrame, ih: DataFrame, limit: int) -> DataFrame:
-    """For each term the first ``limit`` distinct names of records that contain it. Names are distinct before the join."""
-    names = ih.where("sku_name is not null").select("sku_name", "factory").distinct().withColumn("low", F.lower("sku_name"))
+def lookup_candidates(terms: DataFrame, ih: DataFrame, limit: int, columns: tuple[str, ...] = ("sku_name", "factory", "manufacturer")) -> DataFrame:
+    """For each term the first ``limit`` distinct combinations of ``columns`` in the records, ordered by them, of which any column holds the term in any case.
+
+    Combinations are distinct before the join, and each distinct text is searched once, whatever columns it stands in.
+    """
+    rows = ih.select(*columns).distinct()
+    texts = rows.select(F.explode(F.array(*[F.lower(c) for c in columns])).alias("low")).distinct()
     asked = terms.select("term").distinct().withColumn("low_term", F.lower("term"))
-    met = containing(asked, "low_term", names, "low").join(asked, "low_term").join(names, "low").select("term", "sku_name", "factory")
-    rank = F.row_number().over(Window.partitionBy("term").orderBy("sku_name", "factory"))
-    return met.withColumn("n", rank).where(F.col("n") <= limit)
+    held = containing(asked, "low_term", texts, "low").join(asked, "low_term").groupBy("low").agg(F.collect_set("term").alias("terms"))
+    met = rows
+    for c in columns:
+        met = met.withColumn("low", F.lower(c)).join(held.withColumnRenamed("terms", f"in_{c}"), "low", "left").drop("low")
+    found = F.array_distinct(F.flatten(F.array(*[F.coalesce(f"in_{c}", F.array().cast("array<string>")) for c in columns])))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(*[F.asc_nulls_last(c) for c in columns]))
+    return met.select(F.explode(found).alias("term"), *columns).withColumn("n", rank).where(F.col("n") <= limit)
 
 
-def check_products(targets: DataFrame, ih: DataFrame) -> DataFrame:
+def check_products(targets: DataFrame, ih: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """The verdict of each target, from the names and factories of the records."""
-    candidates = ih.select(F.col("sku_name").alias("candidate"), "factory").distinct()
-    matched = contains_match(targets, candidates)
-    rows = matched.select("target", "candidate").distinct().join(ih.select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct(), "candidate")
-    fallback = factory_fallback(targets, candidates)
-    more = fallback.select("target", "candidate", "factory").distinct().join(ih.select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct(), ["candidate", "factory"])
+    t, c = prepared_targets(targets, phrases), prepared_candidates(ih.select(F.col("sku_name").alias("candidate"), "factory"), phrases)
+    records = ih.select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct()
+    rows = _by_name(t, c, None).select("target", "candidate").distinct().join(records, "candidate")
+    more = _by_factory_brand(t, c).select("target", "candidate", "factory").distinct().join(records, ["candidate", "factory"])
     return judge(by_factory(rows.unionByName(more)))

@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 from importlake.functions import text as x
 from importlake.operators import matching as m
 from importlake.plans.registry import query
+from importlake.sources.staging import staged
 
 PSI = ("product_sourcing_item",)
 #: A retail product's name is "BRAND words, n oz"; a record's is "BRAND words" or "words" with the brand in the factory.
-RECORDS = """select case when id % 3 = 0 then product_name_en else brand_en || ' ' || split_part(product_name_en, ',', 1) end as sku_name, brand_en || ' foods' as factory,
-  'imp-' || cast(id % 5 as varchar(9)) as importer, id from product_sourcing_item"""
+#: What is a bolt in the tables is an oil here, named in Italian on the retail side and in English or Spanish in the records.
+SHELF = "brand_en || ' ' || replace(product_name_en, ' bolt', case when id % 2 = 0 then ' Olio Extra Vergine d''Oliva' else ' olio extravergine di oliva' end)"
+NAMED = "replace(product_name_en, ' bolt', case when id % 4 = 0 then ' EXTRA VIRGIN olive oil' when id % 4 = 1 then ' aceite de oliva virgen extra' else ' Extra-Virgin' end)"
+SKU = f"case when id % 3 = 0 then {NAMED} else brand_en || ' ' || split_part({NAMED}, ',', 1) end"
+RECORDS = f"""select {SKU} as sku_name, brand_en || ' foods' as factory, 'imp-' || cast(id % 5 as varchar(9)) as importer, 'maker ' || product_type as manufacturer, id from product_sourcing_item"""
+
+
+def spark_sql(text):
+    return text.replace("''", "\\'")
 
 
 def records(t):
     return t.psi.select(
-        F.expr("case when id % 3 = 0 then product_name_en else brand_en || ' ' || split_part(product_name_en, ',', 1) end").alias("sku_name"),
-        F.concat("brand_en", F.lit(" foods")).alias("factory"), F.expr("'imp-' || (id % 5)").alias("importer"), "id",
+        F.expr(SKU).alias("sku_name"), F.concat("brand_en", F.lit(" foods")).alias("factory"), F.expr("'imp-' || (id % 5)").alias("importer"),
+        F.concat(F.lit("maker "), "product_type").alias("manufacturer"), "id",
     )
 
 
 def targets(t):
-    return t.psi.select(F.concat_ws(" ", "brand_en", "product_name_en").alias("target"), F.col("brand_en").alias("brand")).distinct()
+    return t.psi.select(F.expr(spark_sql(SHELF)).alias("target"), F.col("brand_en").alias("brand")).distinct()
 
 
 def candidates(t):
@@ -30,17 +38,18 @@ def candidates(t):
 
 
 def checked(t):
+    """Written once where a query reads it more than once."""
     return m.cross_check(targets(t), candidates(t))
 
 
-def matches(t):
+def matches(t, pairs):
     """Each match with the records of its name."""
-    pairs = checked(t).groupBy("target", "candidate").agg(F.bool_or("ambiguous").alias("ambiguous"))
+    pairs = pairs.groupBy("target", "candidate").agg(F.bool_or("ambiguous").alias("ambiguous"))
     return pairs.join(records(t).select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct(), "candidate")
 
 
-def decisions(t):
-    pairs = checked(t).where("ambiguous").select("target", "candidate").distinct()
+def decisions(pairs):
+    pairs = pairs.where("ambiguous").select("target", "candidate").distinct()
     return pairs.where(F.length("candidate") % 3 < 2).withColumn("accepted", F.length("candidate") % 3 == 0)
 
 
@@ -49,6 +58,14 @@ def norm(c):
     return f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
+def canonical(c):
+    """``norm`` with the phrases as one word, in the order of the patterns."""
+    token = "' gradeextravirgin '"
+    whole = r"\b(extra ?virgin olive oil|olio extra ?vergine d ?i? ?oliva|aceite de oliva (virgen extra|extra virgen))\b"
+    short = r"\b(extra ?virgin|extra ?vergine|virgen extra|extra virgen)\b"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({norm(c)}, '{whole}', {token}, 'g'), '{short}', {token}, 'g'), ' +', ' ', 'g'))"
+
+
 def squeezed(c):
     return f"replace({c}, ' ', '')"
 
@@ -68,8 +85,8 @@ def tier(a, b, ta, tb):
 
 BARE = "trim(regexp_replace(replace(' ' || t_norm || ' ', ' ' || b_norm || ' ', ' '), ' +', ' ', 'g'))"
 CHECKED = f"""r as ({RECORDS}),
-  tg as (select *, {tokens('t_norm')} as tt, {tokens('bare')} as bt from (select *, {BARE} as bare from (select distinct brand_en || ' ' || product_name_en as target, brand_en as brand, {norm("brand_en || ' ' || product_name_en")} as t_norm, {norm('brand_en')} as b_norm from product_sourcing_item))),
-  cd as (select *, {tokens('c_norm')} as ct from (select distinct sku_name as candidate, factory, {norm('sku_name')} as c_norm, {norm('factory')} as f_norm from r)),
+  tg as (select *, {tokens('t_norm')} as tt, {tokens('bare')} as bt from (select *, {BARE} as bare from (select distinct {SHELF} as target, brand_en as brand, {canonical(SHELF)} as t_norm, {norm('brand_en')} as b_norm from product_sourcing_item))),
+  cd as (select *, {tokens('c_norm')} as ct from (select distinct sku_name as candidate, factory, {canonical('sku_name')} as c_norm, {norm('factory')} as f_norm from r)),
   primary_pairs as (select distinct target, brand, candidate, {tier('c_norm', 't_norm', 'ct', 'tt')} as tier, 'name' as via from tg join (select distinct candidate, c_norm, ct from cd) on contains({squeezed('c_norm')}, {squeezed('b_norm')}) where tier is not null),
   fallback as (select distinct target, brand, candidate, factory, {tier('c_norm', 'bare', 'ct', 'bt')} as tier, 'factory' as via from tg join cd on contains({squeezed('f_norm')}, {squeezed('b_norm')}) and not contains({squeezed('c_norm')}, {squeezed('b_norm')}) where tier is not null),
   checked as (select *, tier in ('compact', 'token_subset') as ambiguous from primary_pairs union all (select distinct target, brand, candidate, tier, via, true from fallback))"""
@@ -125,7 +142,8 @@ def _(t):
 
 @query("l7_revise_status", f", {MATCHES} select target, old_status, new_status, coalesce(p.pending, false) as pending, old_status is distinct from new_status as changed from old left join new using (target) left join (select target, bool_or(pending) as pending from kept group by 1) p using (target)", PSI)
 def _(t):
-    return m.revise_status(matches(t), decisions(t))
+    pairs = staged(checked(t))
+    return m.revise_status(matches(t, pairs), decisions(pairs))
 
 
 LINKS = "links as (select brand_en as target, retailer as candidate, id % 3 = 0 as ambiguous, 'F' || cast(id % 4 as varchar(9)) as factory, case when id % 9 = 0 then null else 'I' || cast(id % 2 as varchar(9)) end as importer, product_name_en as sku_name from product_sourcing_item)"
@@ -170,6 +188,6 @@ def _(t):
     return m.check_products(targets(t), records(t))
 
 
-@query("d17_lookup_candidates", f", r as ({RECORDS}), terms as (select * from (values ('red'), ('bolt')) as v(term)), x as (select distinct term, sku_name, factory from terms join r on contains(lower(sku_name), term)) select *, cast(row_number() over (partition by term order by sku_name, factory) as int) as n from x qualify n <= 20", PSI)
+@query("d17_lookup_candidates", f", r as ({RECORDS}), terms as (select * from (values ('red'), ('VIRGIN'), ('#12 F'), ('brass')) as v(term)), x as (select distinct term, sku_name, factory, manufacturer from terms join r on contains(lower(sku_name), lower(term)) or contains(lower(factory), lower(term)) or contains(lower(manufacturer), lower(term))) select *, cast(row_number() over (partition by term order by sku_name, factory, manufacturer) as int) as n from x qualify n <= 20", PSI)
 def _(t):
-    return m.lookup_candidates(t.spark.sql("select * from values ('red'), ('bolt') as v(term)"), records(t), 20)
+    return m.lookup_candidates(t.spark.sql("select * from values ('red'), ('VIRGIN'), ('#12 F'), ('brass') as v(term)"), records(t), 20)
