@@ -80,10 +80,28 @@ def prepared_candidates(candidates: DataFrame, phrases: DataFrame | None = None)
     return staged(named.withColumns({"c_tokens": x.content_tokens(F.col("c_norm")), "c_fold": x.fold_text(F.col("candidate")), "f_norm": x.fold_text(F.col("factory"))}))
 
 
-def pairs(t: DataFrame, c: DataFrame) -> DataFrame:
-    """Distinct (target, brand, candidate) whose candidate's name holds the brand, with their normalized forms."""
-    names = c.drop("factory", "f_norm").distinct()
-    return t.join(holding(t, "b_norm", names, "c_norm"), "b_norm").join(names, "c_norm")
+def may_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct (l, r, tier) of names that match by any tier, from (l, l_tokens) and (r, r_tokens).
+
+    Names meet by an index instead of all with all: one without spaces holds the other, or the rarest word of the one is in the other.
+    """
+    a = left.where("l <> ''").groupBy("l").agg(F.first("l_tokens").alias("l_tokens")).withColumn("l_key", squeezed(F.col("l")))
+    b = right.where("r <> ''").groupBy("r").agg(F.first("r_tokens").alias("r_tokens")).withColumn("r_key", squeezed(F.col("r")))
+    keys = containing(a, "l_key", b, "r_key").unionByName(containing(b, "r_key", a, "l_key"))
+    held = keys.join(a.select("l", "l_key"), "l_key").join(b.select("r", "r_key"), "r_key").select("l", "r")
+    met = held.unionByName(_share_rarest(a, "l", b, "r")).unionByName(_share_rarest(b, "r", a, "l")).distinct()
+    rows = met.join(a.drop("l_key"), "l").join(b.drop("r_key"), "r")
+    return rows.withColumn("tier", match_tier(F.col("r"), F.col("l"), F.col("r_tokens"), F.col("l_tokens"))).where("tier is not null").select("l", "r", "tier")
+
+
+def _share_rarest(small: DataFrame, s: str, large: DataFrame, g: str) -> DataFrame:
+    """(s, g): names of two words or more, all of which are in the other; they meet by the word that the fewest of the others have."""
+    words = large.select(g, F.col(f"{g}_tokens").alias("all"), F.explode(f"{g}_tokens").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    own = small.where(F.size(f"{s}_tokens") >= 2).select(s, F.col(f"{s}_tokens").alias("own"), F.explode(f"{s}_tokens").alias("word"))
+    rarest = own.join(counts, "word", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rare"), F.first("own").alias("own"))
+    met = rarest.where("rare.n > 0").select(s, "own", F.col("rare.word").alias("word")).join(words, "word")
+    return met.where(F.size(F.array_except("own", "all")) == 0).select(s, g)
 
 
 def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
@@ -92,7 +110,12 @@ def contains_match(targets: DataFrame, candidates: DataFrame, overrides: DataFra
 
 
 def _by_name(targets: DataFrame, candidates: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    found = pairs(targets, candidates).withColumn("tier", match_tier(F.col("c_norm"), F.col("t_norm"), F.col("c_tokens"), F.col("t_tokens"))).where("tier is not null")
+    held = holding(targets, "b_norm", candidates, "c_norm")
+    branded = candidates.join(held.select("c_norm").distinct(), "c_norm", "left_semi")
+    tiers = may_match(targets.select(F.col("t_norm").alias("l"), F.col("t_tokens").alias("l_tokens")), branded.select(F.col("c_norm").alias("r"), F.col("c_tokens").alias("r_tokens")))
+    names = candidates.select("candidate", "c_norm").distinct()
+    known = targets.join(tiers.select(F.col("l").alias("t_norm"), F.col("r").alias("c_norm"), "tier"), "t_norm")
+    found = known.join(held, ["b_norm", "c_norm"]).join(names, "c_norm")
     out = found.select("target", "brand", "candidate", "tier", F.lit("name").alias("via"))
     if overrides is not None:
         sure = overrides.join(targets.select("target", "brand").distinct(), "target").select("target", "brand", "candidate", F.lit("manual").alias("tier"), F.lit("manual").alias("via"))
@@ -118,8 +141,10 @@ def factory_fallback(targets: DataFrame, candidates: DataFrame, phrases: DataFra
 
 def _by_factory_brand(t: DataFrame, candidates: DataFrame) -> DataFrame:
     c = candidates.where("factory is not null")
-    met = t.join(holding(t, "b_norm", c, "f_norm"), "b_norm").join(c, "f_norm").where(~brand_in_text(F.col("b_norm"), F.col("c_fold")))
-    out = met.withColumn("tier", match_tier(F.col("c_norm"), F.col("bare"), F.col("c_tokens"), F.col("bare_tokens"))).where("tier is not null")
+    tiers = may_match(t.select(F.col("bare").alias("l"), F.col("bare_tokens").alias("l_tokens")), c.select(F.col("c_norm").alias("r"), F.col("c_tokens").alias("r_tokens")))
+    made = c.join(holding(t, "b_norm", c, "f_norm"), "f_norm").where(~brand_in_text(F.col("b_norm"), F.col("c_fold")))
+    known = t.join(tiers.select(F.col("l").alias("bare"), F.col("r").alias("c_norm"), "tier"), "bare")
+    out = known.join(made.select("b_norm", "c_norm", "candidate", "factory"), ["b_norm", "c_norm"])
     return out.select("target", "brand", "candidate", "factory", "tier", F.lit("factory").alias("via")).distinct()
 
 
