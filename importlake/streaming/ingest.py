@@ -71,8 +71,40 @@ def stream_dedupe(stream: DataFrame, time: str, keys: list[str], delay: str = "1
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, write Parquet, and read it."""
+def start_late(stream: DataFrame, time: str, out: str, checkpoint: str, window: str = "1 day", delay: str = "1 day") -> StreamingQuery:
+    """Keep what ``stream_counts`` with the same window and delay drops: rows whose window had been closed when they came.
+
+    A batch notes its newest time; the watermark of a batch is the newest time of those before it less the delay, as in
+    Spark's own. A folder for each batch, so one that is run again replaces its own rows.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        if number == 0:
+            mark = F.lit(None).cast("timestamp")
+        else:
+            newest = spark.read.schema("newest timestamp, batch long").parquet(f"{out}/newest").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+            mark = F.lit(newest) - F.expr(f"interval {delay}")
+        late = rows.where(F.window(time, window)["end"] <= F.date_trunc("millisecond", mark))
+        late.write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+        rows.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{out}/newest/batch={number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Groups of rows that a finished query's stateful operators dropped as late."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def append_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream over all that is there and append to Parquet; the finished query. Called again, it goes on from its checkpoint, watermark and state included."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
+
+
+def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, write Parquet, and read it."""
+    append_to_end(stream, out, checkpoint, mode)
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
