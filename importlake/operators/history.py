@@ -42,8 +42,18 @@ def year_counts(years: Iterable[int], day: Column | None = None, names: Iterable
 
 def market_status(ih: DataFrame) -> DataFrame:
     """O where two or more importers brought in the same goods, else X. Rows without importer don't count."""
-    known = ih.where(F.col("importer").isNotNull())
-    return known.groupBy(*MARKET_KEYS).agg(F.when(F.count_distinct("importer") >= 2, "O").otherwise("X").alias("market_status"))
+    return ih.where(F.col("importer").isNotNull()).groupBy(*MARKET_KEYS).agg(_status(F.min("importer"), F.max("importer")).alias("market_status"))
+
+
+def _status(first: Column, last: Column) -> Column:
+    """Of the least and the largest importer, which differ if there are two; null without any."""
+    return F.when(first < last, "O").when(first.isNotNull(), "X")
+
+
+def with_market_status(groups: DataFrame) -> DataFrame:
+    """Groups that have the importer among their keys, with the status of their goods: from the groups themselves, so the records are read once."""
+    same = Window.partitionBy(*MARKET_KEYS)
+    return groups.withColumn("market_status", _status(F.min("importer").over(same), F.max("importer").over(same)))
 
 
 def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -> DataFrame:
@@ -62,7 +72,7 @@ def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -
     )
     if not with_status:
         return out.withColumn("market_status", F.lit(None).cast("string"))
-    return null_safe_join(out, market_status(ih), MARKET_KEYS)
+    return with_market_status(out)
 
 
 def sku_factory(ih: DataFrame) -> DataFrame:
@@ -91,7 +101,7 @@ def sku_history_period(ih: DataFrame, start: datetime.date | None, end: datetime
 
 
 def factory_view(history: DataFrame, keep: Column | None = None, status: DataFrame | None = None) -> DataFrame:
-    """SKU histories rolled up over importers. A group stays if ``keep`` holds for any of its rows."""
+    """SKU histories rolled up over importers. A group stays if ``keep`` holds for any of its rows. Its market status is that of its rows, unless ``status`` gives another."""
     keys = [k for k in SKU_KEYS if k != "importer"]
     counted = [c for c in history.columns if c.startswith("count_year")]
     out = history.groupBy(*keys).agg(
@@ -101,6 +111,7 @@ def factory_view(history: DataFrame, keep: Column | None = None, status: DataFra
         F.min("first_import").alias("first_import"),
         F.max("latest_import").alias("latest_import"),
         *[F.sum(c).alias(c) for c in counted],
+        *[F.max(c).alias(c) for c in ["market_status"] if c in history.columns and status is None],
         F.bool_or(F.lit(True) if keep is None else keep).alias("__keep"),
     )
     out = out.where("__keep").drop("__keep")

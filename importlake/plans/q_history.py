@@ -73,7 +73,7 @@ FACTORY_VIEW = f""", fv as (select {K7}, string_agg(distinct importer, '|' order
 
 @query("e5_factory_view", HISTORY + FACTORY_VIEW, IH)
 def _(t):
-    return joined(h.factory_view(sh(t), h.in_group(F.col("importer"), ["machinery"]), h.market_status(t.ih)), "importers")
+    return joined(h.factory_view(sh(t), h.in_group(F.col("importer"), ["machinery"])), "importers")
 
 
 @query("e6_year_counts", f"select country, {', '.join(f'sum(case when year({D}) = {y} then 1 else 0 end) as n{y}' for y in (1998, 1999, 2000))} from import_history group by country", IH)

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from importlake.operators import retail
+from importlake.plans.q_history import FACTORY, HISTORY
 from importlake.plans.q_stream import scratch
 from importlake.plans.registry import query
 from importlake.plans.views import AS_OF
 from importlake.sources import files as f
 from importlake.sources import tables as tb
+from importlake.sources import versions
 
 IH, PSI = ("import_history",), ("product_sourcing_item",)
 
@@ -135,11 +137,19 @@ def _(t):
     return f.mapping_report(rows, rows.where("item_type = 'ECONOMY'"))
 
 
-@query("a21_refresh", "select count(*) as n from (select distinct category, mc, sku_name, manufacturer, factory, country from import_history where importer is not null)", IH)
+@query("a21_refresh", f"""{HISTORY}, facts as ({FACTORY}), facets as (select 'category' as c, category as v from import_history union select 'mc', mc from import_history union select 'importer', importer from import_history union select 'country', country from import_history union select 'import_type', import_type from import_history)
+  select 'sku_history' as name, count(*) as n, cast(sum(import_count) as bigint) as total, count(*) filter (market_status = 'O') as marked from sh
+  union all select 'sku_factory', count(*), cast(sum(import_count) as bigint), count(*) filter (importers like '%|%') from facts
+  union all select 'market_status', count(*), cast(count(distinct sku_name) as bigint), count(*) filter (market_status = 'O') from status
+  union all select 'facets', count(*), cast(sum(length(v)) as bigint), count(distinct c) from facets where v is not null""", IH)
 def _(t):
     out = scratch(t)
+    tb.refresh(t.ih.where("mc = 'bolt'"), out, AS_OF)
     tb.refresh(t.ih, out, AS_OF)
-    return t.spark.read.parquet(f"{out}/market_status").agg(F.count("*").alias("n"))
+    total = lambda name, total, marked: versions.read(t.spark, out, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), total.cast("long").alias("total"), marked.alias("marked")).select("name", "n", "total", "marked")
+    open_ = F.count_if(F.col("market_status") == "O")
+    rows = total("sku_history", F.sum("import_count"), open_).unionByName(total("sku_factory", F.sum("import_count"), F.count_if(F.size("importers") > 1)))
+    return rows.unionByName(total("market_status", F.count_distinct("sku_name"), open_)).unionByName(total("facets", F.sum(F.length("value")), F.count_distinct("column")))
 
 
 @query("a22_conform", "select r_regionkey, r_name, cast(null as varchar) as r_comment from region")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from importlake.operators import history as h
-from importlake.plans.q_history import K8, STATUS, same
+from importlake.plans.q_history import FACTORY, K8, STATUS, joined, same
 from importlake.plans.registry import query
 from importlake.plans.views import Tables
 from importlake.sources.staging import shared_folder
@@ -44,18 +44,35 @@ def in_turn(t, rows, own, *starts):
 D = "coalesce(import_date, process_date)"
 
 
+def ingested(t):
+    """Line items arrive in three deliveries; each batch is joined with the tables as they stand, as the view does. The parts are compacted on the way."""
+    out, raw = scratch(t), t.raw("lineitem")
+
+    def records(rows):
+        return Tables(rows.sparkSession, t.sf_dir).view("import_history", "orders", "customer", "part", "supplier", "nation", lineitem=rows)
+
+    for k in range(3):
+        raw.where(F.pmod("l_orderkey", F.lit(3)) == k).write.mode("append").parquet(f"{out}/feed")
+        s.start_ingest(t.spark.readStream.schema(raw.schema).parquet(f"{out}/feed"), records, out, f"{out}/checkpoint").awaitTermination()
+        if k == 1:
+            s.compact(t.spark, out)
+    return out
+
+
 @query("n1_incremental_ingest", f""", hist as (select {K8}, count(*) as import_count, min(email) as email, min({D}) as first_import, max({D}) as latest_import, max(hs_code) as hs_code from import_history group by {K8}),
   status as ({STATUS}) select hist.*, market_status from hist left join status on {same('hist', 'status', h.MARKET_KEYS)}""", IH)
 def _(t):
-    out = scratch(t)
-    # Line items arrive; each batch is joined with the tables as they stand, as the view does.
-    stream = s.read_files(t.spark, f"{t.sf_dir}/lineitem.parquet", t.raw("lineitem").schema)
+    return s.refresh_history(t.spark, ingested(t))
+
+
+@query("n1_incremental_market", STATUS, IH)
+def _(t):
+    return s.refresh_market(t.spark, ingested(t))
 
-    def records(rows):
-        return Tables(rows.sparkSession, t.sf_dir).view("import_history", "orders", "customer", "part", "supplier", "nation", lineitem=rows)
 
-    s.start_ingest(stream, records, out, f"{out}/checkpoint").awaitTermination()
-    return s.refresh_history(t.spark, out)
+@query("n1_incremental_factories", FACTORY, IH)
+def _(t):
+    return joined(s.refresh_factories(t.spark, ingested(t)), "importers", "import_types")
 
 
 @query("n2_stream_counts", f"""with {DELIVERED},

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from importlake.functions import text as x
 from importlake.operators import history as h
+from importlake.sources import versions
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str, insert_only: bool = False) -> DataFrame:
@@ -41,12 +42,18 @@ def write_snapshot(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def refresh(ih: DataFrame, out: str, as_of: datetime.date) -> None:
-    """Write the three aggregates and the distinct values of the filter columns."""
-    h.sku_history(ih, as_of).write.mode("overwrite").parquet(f"{out}/sku_history")
-    h.sku_factory(ih).write.mode("overwrite").parquet(f"{out}/sku_factory")
-    h.market_status(ih).write.mode("overwrite").parquet(f"{out}/market_status")
-    facet_lists(ih).write.mode("overwrite").parquet(f"{out}/facets")
+def refresh(ih: DataFrame, out: str, as_of: datetime.date) -> int:
+    """Write the three aggregates and the distinct values of the filter columns as one version, which readers see when all four are there.
+
+    The records are read twice: by the SKU history, from which market status and filter values follow, and by the factories.
+    """
+    spark, folder = ih.sparkSession, versions.new_version(out)
+    h.sku_history(ih, as_of).write.parquet(f"{folder}/sku_history")
+    h.sku_factory(ih).write.parquet(f"{folder}/sku_factory")
+    history = spark.read.parquet(f"{folder}/sku_history")
+    h.market_status(history).write.parquet(f"{folder}/market_status")
+    facet_lists(history).write.parquet(f"{folder}/facets")
+    return versions.commit(spark, out, {"folder": folder})
 
 
 def facet_lists(ih: DataFrame, columns: tuple[str, ...] = ("category", "mc", "importer", "country", "import_type")) -> DataFrame:

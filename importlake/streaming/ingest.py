@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from importlake.operators import history as h
+from importlake.sources import versions
 
 PARTIAL_KEYS = h.SKU_KEYS
 
@@ -27,18 +28,23 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, files_per_b
 
 
 def partial_history(ih: DataFrame) -> DataFrame:
-    """What of a batch of records can be merged with other batches: counts add up, dates and texts combine by least and largest, importers by union."""
+    """What of a batch of records can be merged with other batches, at the grain of the SKU history: counts add up, dates and texts combine by least and largest.
+
+    The importer and the import type are keys, so market status and the sets of the factories follow from merged parts too.
+    """
     day = h.effective_date()
     return ih.groupBy(*PARTIAL_KEYS).agg(
-        F.count("*").alias("import_count"), F.min("email").alias("email"), F.min(day).alias("first_import"), F.max(day).alias("latest_import"), F.max("hs_code").alias("hs_code")
-    )
+        F.count("*").alias("import_count"), F.min("email").alias("email"), F.min(day).alias("first_import"), F.max(day).alias("latest_import"), F.max("hs_code").alias("hs_code"),
+        F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"),
+    )
 
 
 def merge_history(parts: DataFrame) -> DataFrame:
     """The history of all batches from their parts."""
     return parts.groupBy(*PARTIAL_KEYS).agg(
-        F.sum("import_count").alias("import_count"), F.min("email").alias("email"), F.min("first_import").alias("first_import"), F.max("latest_import").alias("latest_import"), F.max("hs_code").alias("hs_code")
-    )
+        F.sum("import_count").alias("import_count"), F.min("email").alias("email"), F.min("first_import").alias("first_import"), F.max("latest_import").alias("latest_import"), F.max("hs_code").alias("hs_code"),
+        F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"),
+    )
 
 
 def start_ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
@@ -53,11 +59,42 @@ def start_ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged_history(spark: SparkSession, out: str) -> DataFrame:
+    """The parts of all batches, merged: those since the last compaction with what it left."""
+    parts, base = spark.read.parquet(f"{out}/parts"), versions.current(spark, out)
+    if base is None:
+        return merge_history(parts.drop("batch"))
+    return merge_history(parts.where(F.col("batch") > base["through"]).drop("batch").unionByName(spark.read.parquet(base["folder"])))
+
+
+def compact(spark: SparkSession, out: str) -> int:
+    """Merge the parts so far into one table, which takes their place for readers once it is whole; the last batch that it has.
+
+    What a refresh reads then follows the number of groups and the batches since, not all batches that ever came.
+    """
+    through = spark.read.parquet(f"{out}/parts").agg(F.max("batch")).first()[0]
+    folder = versions.new_version(out)
+    merged_history(spark, out).write.parquet(folder)
+    versions.commit(spark, out, {"folder": folder, "through": through})
+    return through
+
+
 def refresh_history(spark: SparkSession, out: str) -> DataFrame:
-    """The merged history of what has been ingested. Market status follows from the importers, not from counts."""
-    merged = merge_history(spark.read.parquet(f"{out}/parts").drop("batch"))
-    known = merged.where("importer is not null").groupBy(*h.MARKET_KEYS).agg(F.when(F.count_distinct("importer") >= 2, "O").otherwise("X").alias("market_status"))
-    return h.null_safe_join(merged, known, h.MARKET_KEYS)
+    """The SKU history of what has been ingested, with its market status, which follows from the importers."""
+    return h.with_market_status(merged_history(spark, out)).drop("homepage", "oem_status")
+
+
+def refresh_market(spark: SparkSession, out: str) -> DataFrame:
+    """The market status of what has been ingested."""
+    return h.market_status(merged_history(spark, out))
+
+
+def refresh_factories(spark: SparkSession, out: str) -> DataFrame:
+    """The factories of what has been ingested."""
+    return merged_history(spark, out).groupBy(*h.FACTORY_KEYS).agg(
+        F.sum("import_count").alias("import_count"), F.min("email").alias("email"), F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"),
+        F.array_sort(F.collect_set("importer")).alias("importers"), F.array_sort(F.collect_set("import_type")).alias("import_types"),
+    )
 
 
 def stream_counts(stream: DataFrame, time: str, keys: list[str], window: str = "1 day", delay: str = "1 day") -> DataFrame:
