@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from importlake.functions import text as x
 from importlake.operators import enrich as e
+from importlake.operators import extensions as ext
 from importlake.operators import history as h
 from importlake.plans.q_history import K6, same
 from importlake.plans.registry import query
 from importlake.plans.views import AS_OF
 from importlake.sources import tables as tb
+from importlake.sources.staging import staged
 
 IH, PSI, EMB, CIA = ("import_history",), ("product_sourcing_item",), ("product_embedding",), ("country_item_amount",)
 CONTACTS = "select * from (values (1, 'Supplier#000000003', cast(null as varchar(9)), 'any@c.org', 'any.c.org'), (2, 'Supplier#000000003', 'NATION_1', 'nat@c.org', cast(null as varchar(9))), (3, 'Supplier#000000006 F1', cast(null as varchar(9)), 'f1@c.org', 'f1.c.org'), (4, 'Supplier#000000006', cast(null as varchar(9)), 'maker@c.org', 'm.c.org'), (5, 'Supplier#000000009', 'NATION_99', 'no@c.org', 'no')) as t(ordinal, factory, country, email, homepage)"
@@ -209,3 +211,29 @@ def _(t):
     return status.groupBy("manufacturer").agg(F.count("*").alias("groups"), F.bool_or(F.col("market_status") == "O").alias("any_parallel"))
 
 
+def text_shape(texts):
+    """Stands for a model: the length of a text and its number of words."""
+    return [[float(len(t)), float(len(t.split()))] for t in texts]
+
+
+def text_shape_without_bolts(texts):
+    if any("bolt" in t for t in texts):
+        raise ValueError("no bolts today")
+    return text_shape(texts)
+
+
+PRODUCTS = "select distinct sku_name, mc, category from import_history"
+TEXT = "concat_ws(' | ', nullif(trim(sku_name), ''), nullif(trim(mc), ''), nullif(trim(category), ''))"
+
+
+@query("o_embed_backlog", f"""select sku_name, mc, category, 'completed' as second_status, case when contains({TEXT}, 'bolt') then 'failed' else 'completed' end as first_status,
+  cast(length({TEXT}) as double) as n_letters, cast(len(string_split({TEXT}, ' ')) as double) as n_words from ({PRODUCTS})""".replace("select sku_name", ", p as (select 1) select sku_name", 1), IH)
+def _(t):
+    """Two runs: on the first the function fails for some, on the second only those are asked again."""
+    products = t.ih.select("sku_name", "mc", "category").distinct()
+    none = t.spark.createDataFrame([], "sku_name string, mc string, category string, embedding array<double>, status string, error string, model string")
+    first = staged(ext.embed_missing(products, none, text_shape_without_bolts, "shape", 2, batch=16))
+    second = ext.embed_missing(products, first, text_shape, "shape", 2)
+    was = first.select(*ext.PRODUCT, F.col("status").alias("first_status"))
+    both = h.null_safe_join(second, was, ext.PRODUCT)
+    return both.select(*ext.PRODUCT, F.col("status").alias("second_status"), "first_status", F.col("embedding")[0].alias("n_letters"), F.col("embedding")[1].alias("n_words"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from importlake.functions import text as x
+from importlake.operators import extensions as ext
 from importlake.operators import matching as m
 from importlake.plans.registry import query
 from importlake.sources.staging import staged
@@ -191,3 +192,24 @@ def _(t):
 @query("d17_lookup_candidates", f", r as ({RECORDS}), terms as (select * from (values ('red'), ('VIRGIN'), ('#12 F'), ('brass')) as v(term)), x as (select distinct term, sku_name, factory, manufacturer from terms join r on contains(lower(sku_name), lower(term)) or contains(lower(factory), lower(term)) or contains(lower(manufacturer), lower(term))) select *, cast(row_number() over (partition by term order by sku_name, factory, manufacturer) as int) as n from x qualify n <= 20", PSI)
 def _(t):
     return m.lookup_candidates(t.spark.sql("select * from values ('red'), ('VIRGIN'), ('#12 F'), ('brass') as v(term)"), records(t), 20)
+
+
+def same_size(pairs):
+    """Stands for a judge: the pair names the same size, no opinion where the record names none."""
+    size = lambda name: name.rpartition(", ")[2] if ", " in name else None
+    return [None if size(c) is None else size(a) == size(c) for a, c in pairs]
+
+
+@query("o_judge_queue", f""", {CHECKED}, q as (select distinct target, candidate from checked where ambiguous),
+  j as (select target, candidate, case when contains(candidate, ', ') then string_split(target, ', ')[-1] = string_split(candidate, ', ')[-1] end as accepted from q)
+  select target, candidate, accepted is null as pending, 1 as asked from j where coalesce(accepted, true)""", PSI)
+def _(t):
+    """The queue is judged twice; the second time half of it is known and only the other half is asked."""
+    pairs = staged(checked(t))
+    queue = pairs.where("ambiguous").select("target", "candidate").distinct()
+    none = t.spark.createDataFrame([], "target string, candidate string, accepted boolean, error string")
+    some = staged(ext.judge_queue(queue.where(F.pmod(F.xxhash64("target", "candidate"), F.lit(2)) == 0), none, same_size))
+    known = some.unionByName(ext.judge_queue(queue, some, same_size))
+    kept = m.apply_decisions(pairs.where("ambiguous").select("target", "candidate", "ambiguous").distinct(), ext.decisions(known))
+    asked = known.groupBy("target", "candidate").agg(F.count("*").cast("int").alias("asked"))
+    return kept.join(asked, ["target", "candidate"]).select("target", "candidate", "pending", "asked")
