@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from importlake.llm.common import arrow_rows, portions, stage
-from importlake.llm.encoding import CUT, ByteLevel, Chunks, SentencePieces
+from importlake.llm.encoding import CUT, ByteLevel, Chunks, SentencePieces, spelled
 
 #: Ends that a piece merges.
 WORK = 512
@@ -105,7 +105,7 @@ def _checked(kind: type[Chunks]) -> type[Chunks]:
 
 class A(_checked(ByteLevel)):
     def spelled(self, chunk: str) -> bytes:
-        return chunk.encode()
+        return spelled(chunk).encode()
 
 
 class B(_checked(SentencePieces)):
@@ -117,7 +117,7 @@ class Pair:
     """Both tokenizers, with what they have seen, and the parts of a rendering for each id."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = A(a_path, plain_specials=True), B(b_path)
+        self.a, self.b = A(a_path, plain_specials=True, most=300_000), B(b_path, most=300_000)
         self.length_a, self.length_b = (np.array(list(map(len, x.bytes)), np.int64) for x in (self.a, self.b))
         self.pairs = self.a.size * self.b.size
         self.most = max(self.a.size, self.b.size)
@@ -133,12 +133,12 @@ def of_texts(p: Pair, texts: list[str | None], digest: bool, work: int = WORK) -
     """(n_a, n_b, n_groups, n_links, groups, pairs, times) of each text."""
     p.a.forget()
     p.b.forget()
-    cut = [CUT.split(" " + t) if t else [] for t in texts]
+    cut = [CUT.split(t) if t else [] for t in texts]  # with the space in front, no chunk is a first one
     flat = list(chain.from_iterable(cut))
     counts = np.fromiter(map(len, cut), np.int64, len(cut))
     sides = []
-    for known, lengths, chunks in ((p.a, p.length_a, flat), (p.b, p.length_b, [c[1:] for c in flat])):
-        packed = known.of(chunks)
+    for known, lengths in ((p.a, p.length_a), (p.b, p.length_b)):
+        packed = known.of(flat)
         ids = np.frombuffer(b"".join(packed), known.kind).astype(np.int64)
         n = np.add.reduceat(np.append(np.fromiter(map(len, packed), np.int64, len(packed)), 0), np.append(0, counts.cumsum())[:-1]) * (counts > 0) // known.kind.itemsize
         sides.append([ids, lengths[ids], n])

@@ -1,6 +1,6 @@
 """Encoding with the public tokenizers, one chunk of text at a time.
 
-A chunk begins at a single space between two other characters. Neither tokenizer has a token across such a place, so the ids
+A chunk is what lies between single spaces that have other characters on both sides; its tokens begin with the space. Neither tokenizer has a token across such a place, so the ids
 of a text are those of its chunks in a row, and a chunk that comes again is looked up instead of encoded. Where the library's
 settings would break this, an error says so.
 """
@@ -12,12 +12,14 @@ import json
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, islice
+from itertools import accumulate, chain
 
 import numpy as np
 
-#: In front of a single space. Python's white space covers Unicode's, so a place that is odd to either side is left whole.
-CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A single space. Python's white space covers Unicode's, so a place that is odd to either side is left whole.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: In front of a chunk that has no space before it, as the first of a text. No chunk has a single space inside.
+FIRST = "^ ^"
 #: Letters, perhaps behind a space, and perhaps one mark at the end: two runs of the byte-level pattern at most, so they can go to the model as they are.
 RUNS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 #: Around a single line feed, which is a token of its own: the byte-level pattern puts no other white space to it.
@@ -37,14 +39,23 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1]) if len(ends) else 0), ends
 
 
+def spelled(chunk: str) -> str:
+    """A chunk as it stands in the text."""
+    return chunk[len(FIRST) :] if chunk.startswith(FIRST) else " " + chunk
+
+
+def chunk_of(text: str) -> str:
+    return text[1:] if text[0] == " " else FIRST + text
+
+
 class Chunks(dict):
-    """The packed ids of chunks, filled as they are asked for and emptied when they are too many."""
+    """The packed ids of chunks, filled as they are asked for. When they are too many, those not asked for since the last time go."""
 
     kind = np.dtype("<u2")
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         super().__init__()
-        self.most = most
+        self.most, self.older = most, {}
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that aren't known."""
@@ -57,6 +68,7 @@ class Chunks(dict):
 
     def forget(self) -> None:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
 
     def of(self, chunks: list[str]) -> list[bytes]:
@@ -64,7 +76,13 @@ class Chunks(dict):
         found = list(map(self.get, chunks))
         if None in found:
             unseen = [k for k, x in enumerate(found) if x is None]
-            self.learn({chunks[k] for k in unseen})
+            asked = {chunks[k] for k in unseen}
+            if self.older:
+                again = asked & self.older.keys()
+                self.update(zip(again, map(self.older.__getitem__, again)))
+                asked -= again
+            if asked:
+                self.learn(asked)
             for k in unseen:
                 found[k] = self[chunks[k]]
         return found
@@ -73,14 +91,18 @@ class Chunks(dict):
         """The packed ids of each text; null has none."""
         self.forget()
         cut = [CUT.split(t) if t else [] for t in texts]
-        ids = iter(self.of(list(chain.from_iterable(cut))))
-        return [b"".join(islice(ids, len(x))) for x in cut]
+        for x in cut:
+            if x:
+                x[0] = FIRST + x[0] if x[0][0] != " " else x[0][1:]
+        ids = self.of(list(chain.from_iterable(cut)))
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [b"".join(ids[i:j]) for i, j in zip(ends, ends[1:])]
 
 
 class ByteLevel(Chunks):
     """Chunks of a byte-level file of the tokenizers library. ``plain_specials`` takes special tokens in a text as ordinary text."""
 
-    def __init__(self, path: str, plain_specials: bool = False, most: int = 1_000_000):
+    def __init__(self, path: str, plain_specials: bool = False, most: int = 500_000):
         super().__init__(most)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
         from tokenizers import Tokenizer
@@ -112,29 +134,29 @@ class ByteLevel(Chunks):
 
     def learn(self, chunks: set[str]) -> None:
         """Runs of letters go straight to the model, all else through the library's own pattern."""
-        lines = {c: LINE.split(c) for c in chunks if "\n" in c}
+        asked = {spelled(c): c for c in chunks}
+        lines = {c: LINE.split(c) for c in asked if "\n" in c}
         whole = {c: x for c, x in lines.items() if len(x) > 1}
         runs, rest, marked = set(), [], []
-        for c in chain((chunks - whole.keys()), {x for parts in whole.values() for x in parts if x not in self}) if whole else chunks:
+        for c in chain((asked.keys() - whole.keys()), {x for parts in whole.values() for x in parts if chunk_of(x) not in self}) if whole else asked:
             if m := RUNS.fullmatch(c):
                 run, mark = m.groups()
-                if run not in self:
+                if chunk_of(run) not in self:
                     runs.add(run)
                 if mark:
-                    marked.append((c, run, mark))
+                    marked.append((chunk_of(c), chunk_of(run), FIRST + mark))
             else:
                 rest.append(c)
         letters = list(runs)
-        spelled = ["Ġ" + c[1:] if c[0] == " " and c.isascii() else c if c.isascii() else c.encode().decode("latin-1").translate(self.letter) for c in letters]
-        for of, asked, tokenizer in ((letters, spelled, self.runs), (rest, rest, self.split), (MARKS, MARKS, self.split)):
-            odd = [c for c in asked if self.between in c]
+        mapped = ["Ġ" + c[1:] if c[0] == " " and c.isascii() else c if c.isascii() else c.encode().decode("latin-1").translate(self.letter) for c in letters]
+        for of, given, tokenizer in ((letters, mapped, self.runs), (rest, rest, self.split), (MARKS, MARKS, self.split)):
+            odd = [c for c in given if self.between in c]
             if odd:
-                lists = [e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]
-                self.put(odd, *_flat(lists))
-                of = asked = [c for c in asked if self.between not in c]
-            self.put(of, *self.together(tokenizer, asked))
+                self.put(list(map(chunk_of, odd)), *_flat([e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]))
+                of = given = [c for c in given if self.between not in c]
+            self.put(list(map(chunk_of, of)), *self.together(tokenizer, given))
         self.update([(c, self[run] + self[mark]) for c, run, mark in marked])
-        self.update([(c, b"".join(map(self.__getitem__, parts))) for c, parts in whole.items()])
+        self.update([(chunk_of(c), b"".join([self[chunk_of(x)] for x in parts])) for c, parts in whole.items()])
 
     def together(self, tokenizer, chunks: list[str], many: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks, and where each chunk ends. Many are encoded as one text with a special token behind each, at which the library cuts first."""
@@ -146,9 +168,9 @@ class ByteLevel(Chunks):
 
 
 class SentencePieces(Chunks):
-    """Chunks, without their leading space, of a SentencePiece model that adds it. No piece may hold a space behind another letter."""
+    """Chunks of a SentencePiece model that adds the space in front. No piece may hold a space behind another letter."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__(most)
         import sentencepiece
 
