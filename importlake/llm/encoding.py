@@ -53,7 +53,7 @@ class Chunks(dict):
 
     kind = np.dtype("<u2")
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 900_000):
         super().__init__()
         self.most, self.older = most, {}
 
@@ -102,7 +102,7 @@ class Chunks(dict):
 class ByteLevel(Chunks):
     """Chunks of a byte-level file of the tokenizers library. ``plain_specials`` takes special tokens in a text as ordinary text."""
 
-    def __init__(self, path: str, plain_specials: bool = False, most: int = 500_000):
+    def __init__(self, path: str, plain_specials: bool = False, most: int = 900_000):
         super().__init__(most)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
         from tokenizers import Tokenizer
@@ -170,7 +170,7 @@ class ByteLevel(Chunks):
 class SentencePieces(Chunks):
     """Chunks of a SentencePiece model that adds the space in front. No piece may hold a space behind another letter."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         super().__init__(most)
         import sentencepiece
 
