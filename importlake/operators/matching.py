@@ -80,6 +80,12 @@ def prepared_candidates(candidates: DataFrame, phrases: DataFrame | None = None)
     return staged(named.withColumns({"c_tokens": x.content_tokens(F.col("c_norm")), "c_fold": x.fold_text(F.col("candidate")), "f_norm": x.fold_text(F.col("factory"))}))
 
 
+def pairs(targets: DataFrame, candidates: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """Distinct (target, brand, candidate) whose candidate's name holds the brand, with their normalized forms."""
+    t, c = prepared_targets(targets, phrases), prepared_candidates(candidates, phrases).drop("factory", "f_norm").distinct()
+    return t.join(holding(t, "b_norm", c, "c_norm"), "b_norm").join(c, "c_norm")
+
+
 def may_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (l, r, tier) of names that match by any tier, from (l, l_tokens) and (r, r_tokens).
 
