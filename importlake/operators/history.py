@@ -121,15 +121,20 @@ def factory_view(history: DataFrame, keep: Column | None = None, status: DataFra
 # Filters
 
 
-def search(df: DataFrame, terms: Iterable[str], columns: Iterable[str] = tuple(SEARCHED), escape: bool = False) -> DataFrame:
-    """Rows of which any column contains any term, in either case. ``%`` and ``_`` in a term are wildcards unless ``escape``."""
+def contains_any(terms: Iterable[str], columns: Iterable[str] = tuple(SEARCHED), escape: bool = False) -> Column:
+    """True where any column contains any term, in either case. ``%`` and ``_`` in a term are wildcards unless ``escape``."""
     some = F.lit(False)
     for t in terms:
         if escape:
             t = t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
         for c in columns:
             some = some | F.coalesce(F.col(c).ilike(f"%{t}%"), F.lit(False))
-    return df.where(some)
+    return some
+
+
+def search(df: DataFrame, terms: Iterable[str], columns: Iterable[str] = tuple(SEARCHED), escape: bool = False) -> DataFrame:
+    """The rows for which ``contains_any`` holds."""
+    return df.where(contains_any(terms, columns, escape))
 
 
 def in_group(column: Column, aliases: Iterable[str]) -> Column:

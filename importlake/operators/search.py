@@ -18,6 +18,8 @@ from importlake.operators.containing import containing
 WEIGHTS = {"mc": 0.18, "category": 0.12, "keyword": 0.08, "mc_mismatch": 0.10, "category_mismatch": 0.22}
 MATCH_ORDER = ["exact", "popular", "semantic"]
 MATCH_KEYS = ["sku_name", "mc", "category"]
+#: The columns of a SKU history in which a hybrid search looks for its terms.
+LOOKED_IN = ["sku_name", "factory", "manufacturer", "importer", "country", "mc"]
 
 
 @dataclass
@@ -62,8 +64,14 @@ def infer_mc(products: DataFrame, terms: Iterable[str]) -> DataFrame:
 
 
 def semantic_text(queries: DataFrame) -> DataFrame:
-    """The text to embed for a query, in the shape of a product's text: query, MC and first category of its intent."""
-    return queries.withColumn("semantic_text", x.product_text(F.col("query"), F.col("mc"), F.get("categories", F.lit(0))))
+    """The text to embed for a query: where its intent names an MC or a category, the query with the intent's keywords, MC and first category, in the shape of a product's text.
+
+    A keyword that is the query itself or repeats isn't added again; what the intent lacks is empty. Without either, and with null lists, the query stays as it is.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    words = F.array_join(F.array_distinct(F.concat(F.array("query"), F.coalesce("keywords", none))), " ") if "keywords" in queries.columns else F.col("query")
+    mc, category = F.coalesce("mc", F.lit("")), F.coalesce(F.get("categories", F.lit(0)), F.lit(""))
+    return queries.withColumn("semantic_text", F.when((mc != "") | (category != ""), F.concat_ws(" | ", words, mc, category)).otherwise(F.col("query")))
 
 
 def vector_scores(emb: DataFrame, vector: Column) -> DataFrame:
@@ -180,16 +188,43 @@ def matched_products(products: DataFrame, emb: DataFrame, terms: list[str], vect
     return dedupe_matches(threshold(union_matches(*[p if "semantic_score" in p.columns else p.withColumns({c: F.lit(None).cast("double") for c in ("semantic_score", "relevance_score")}) for p in parts]), least))
 
 
+def searched_rows(history: DataFrame, filters: dict[str, list] | None = None, aliases: Iterable[str] | None = None) -> DataFrame:
+    """The SKU histories that a search is about: those in all lists of ``filters``, and of an importer in the group of ``aliases``."""
+    rows = h.in_lists(history, filters or {})
+    return rows if aliases is None else rows.where(h.in_group(F.col("importer"), aliases))
+
+
+def hybrid_matches(rows: DataFrame, emb: DataFrame, terms: list[str], vector: Column, intent: Intent, k: int, n_popular: int, least: float, gate: bool = True) -> DataFrame:
+    """The SKU histories that match in any way, each once, with ``match_type`` (the first in order) and scores.
+
+    Exact: a term occurs in any of six columns. Popular: the ``n_popular`` rows of the intent's MC with most imports. Semantic: rows of the ``k``
+    nearest products, by normalized keys, of which the largest relevance counts. The rows are marked where they stand: only the popular ones and
+    the products, at most ``n_popular`` and ``k``, are joined to them, and no row is grouped or joined with its own kind. Without terms nothing is exact.
+    """
+    only = F.lower("category").isin(*[c.lower() for c in intent.categories]) if gate and intent.categories else None
+    near = relevance(vector_topk(emb.where("status = 'completed'"), vector, k, only), intent)
+    products = near.groupBy(*[x.vector_key(F.col(c)).alias(f"__{c}") for c in MATCH_KEYS]).agg(F.max("semantic_score").alias("semantic_score"), F.max("relevance_score").alias("relevance_score"))
+    kind = F.when(h.contains_any(terms, LOOKED_IN), "exact")
+    marked = rows.join(products, [x.vector_key(rows[c]) == products[f"__{c}"] for c in MATCH_KEYS], "left").drop(*products.columns[: len(MATCH_KEYS)])
+    if intent.mc:
+        top = h.sort_rows(rows.where(x.vector_key(F.col("mc")) == intent.mc.lower())).limit(n_popular)
+        marked = h.null_safe_join(marked, top.select(*h.SKU_KEYS, F.lit(True).alias("__popular")), h.SKU_KEYS)
+        kind = kind.when(F.col("__popular"), "popular")
+    marked = marked.withColumn("match_type", kind.when(F.col("semantic_score").isNotNull(), "semantic")).drop("__popular")
+    return threshold(marked.where("match_type is not null"), least)
+
+
 def hybrid_search(
-    history: DataFrame, products: DataFrame, emb: DataFrame, terms: list[str], vector: Column, intent: Intent, k: int = 50, n_popular: int = 20, least: float = 0.86,
-    filters: dict[str, list] | None = None, status: str | None = None,
+    history: DataFrame, emb: DataFrame, terms: list[str], vector: Column, intent: Intent, k: int = 50, n_popular: int = 20, least: float = 0.86,
+    filters: dict[str, list] | None = None, aliases: Iterable[str] | None = None, status: str | None = None,
 ) -> DataFrame:
-    """The SKU histories of the matched products, filtered, in the order of import counts. Take a page with ``history.page``."""
-    matched = matched_products(products, emb, terms, vector, intent, k, n_popular, least)
-    rows = h.null_safe_join(h.in_lists(history, filters or {}), matched, MATCH_KEYS, "inner")
-    if status is not None:
-        rows = rows.where(F.col("market_status") == status)
-    return h.sort_rows(rows)
+    """Matches among the SKU histories that pass the filters, in the order of import counts. Take a page with ``history.page``.
+
+    Popularity is taken after the filters, market status is asked of what has matched. For a period pass ``history.sku_history_period``. A history
+    that is computed by the plan is better written before, as its popular rows are found by a second scan.
+    """
+    rows = hybrid_matches(searched_rows(history, filters, aliases), emb, terms, vector, intent, k, n_popular, least)
+    return h.sort_rows(rows if status is None else rows.where(F.col("market_status") == status))
 
 
 def match_total(history: DataFrame, matched: DataFrame) -> DataFrame:

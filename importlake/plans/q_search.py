@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from importlake.operators import history as h
 from importlake.operators import search as s
 from importlake.operators import stats
-from importlake.plans.q_history import HISTORY, K8, same, sh
+from importlake.plans.q_history import HISTORY, K8, D, history_sql, same, sh
 from importlake.plans.registry import query
+from importlake.plans.views import AS_OF
+from importlake.sources.staging import staged
 
 IH, EMB = ("import_history",), ("product_embedding",)
 INTENT = s.Intent("bolt", ["parts"], ["red", "blue"])
@@ -85,12 +89,44 @@ def _(t):
 
 
 ON = same("sh", "matched", s.MATCH_KEYS)
+LOOK = ["red", "building-1"]  # the second term occurs among importers only
+ALIASES = ["^building", "machinery"]
+NULLS = ", ".join(f"{k} nulls first" for k in h.SKU_KEYS)
+NKEY = "lower(trim(coalesce({}.{}, '')))"
+
+
+def hybrid_sql(source: str) -> str:
+    """The matches at the grain of SKU histories: ``hm``, from the histories ``source``."""
+    some = " or ".join(f"coalesce({c} ilike '%{t}%', false)" for t in LOOK for c in s.LOOKED_IN)
+    return f"""src as (select * from {source} where country in ('NATION_1', 'NATION_2') and (importer ilike 'building%' or importer ilike '%machinery%')),
+  top as (select {K8}, true as popular from src where mc = 'bolt' order by import_count desc, latest_import desc nulls first, {NULLS} limit 7), {NEAR},
+  near as (select {', '.join(NKEY.format('n', c) + ' as ' + c for c in s.MATCH_KEYS)}, max(semantic_score) as semantic_score, max(relevance_score) as relevance_score
+    from (select *, {REL} as relevance_score from (select * from scored where status = 'completed' and category = 'parts' order by semantic_score desc, sku_name, vec_id limit 60)) n group by 1, 2, 3),
+  hm as (select * from (select src.*, near.semantic_score, near.relevance_score, case when {some.replace('coalesce(', 'coalesce(src.')} then 'exact' when popular then 'popular' when near.semantic_score is not null then 'semantic' end as match_type
+    from src left join top on {same('src', 'top', h.SKU_KEYS)} left join near on {' and '.join(NKEY.format('src', c) + ' = near.' + c for c in s.MATCH_KEYS)}) where match_type in ('exact', 'popular') or relevance_score >= 0.3)"""
+
+
+HYBRID = [*h.SKU_KEYS, "import_count", "market_status", "match_type", "semantic_score", "relevance_score"]
+HYBRID_SQL = ", ".join(["hm." + c for c in HYBRID[:-2]] + [f"round({c}, 6) as {c}" for c in HYBRID[-2:]])
+
+
+def hybrid(t, history, status=None):
+    return s.hybrid_search(staged(history), t.emb, LOOK, vector(t), INTENT, 60, 7, 0.3, {"country": ["NATION_1", "NATION_2"]}, ALIASES, status)
+
+
+@query("i5_hybrid_search", f"{HISTORY}, {hybrid_sql('sh')} select {HYBRID_SQL} from hm where market_status = 'O'", ("import_history", "product_embedding"))
+def _(t):
+    return with_rounded(hybrid(t, sh(t), "O").select(*HYBRID))
+
+
+@query("i5_hybrid_period", f", ph as (select *, cast(null as varchar) as market_status from ({history_sql(D + ' between date ' + repr('1998-03-01') + ' and date ' + repr('2000-02-29'))})), {hybrid_sql('ph')} select {HYBRID_SQL} from hm", ("import_history", "product_embedding"))
+def _(t):
+    return with_rounded(hybrid(t, h.sku_history_period(t.ih, datetime.date(1998, 3, 1), datetime.date(2000, 2, 29), AS_OF)).select(*HYBRID))
 
 
-@query("i5_hybrid_search", f"{HISTORY}, {MATCHED} select {', '.join('sh.' + c for c in K8.split(', '))}, import_count, market_status, match_type from sh join matched on {ON} where country = 'NATION_1' and market_status = 'O'", ("import_history", "product_embedding"))
+@query("i7_hybrid_total", f"{HISTORY}, {hybrid_sql('sh')} select match_type, count(*) as total from hm where market_status = 'O' group by 1", ("import_history", "product_embedding"))
 def _(t):
-    found = s.hybrid_search(sh(t), stats.products(t.ih), t.emb, ["red"], vector(t), INTENT, 30, 3, 0.3, {"country": ["NATION_1"]}, "O")
-    return found.select(*h.SKU_KEYS, "import_count", "market_status", "match_type")
+    return hybrid(t, sh(t), "O").groupBy("match_type").agg(F.count("*").alias("total"))
 
 
 @query("i6_exact_search", f"{HISTORY} select {K8}, import_count from sh where import_type in ('OEM') and ({' or '.join(f'{c} ilike ' + repr('%red%') for c in h.SEARCHED)})", IH)
@@ -138,6 +174,9 @@ def _(t):
     return s.detect_intent(t.ih.select(F.col("sku_name").alias("query")), rules).select("query", "mc", F.array_join("categories", "|").alias("categories"))
 
 
-@query("i8_semantic_text", ", q as (select distinct sku_name as query, mc, category from import_history) select query, query || coalesce(' | ' || mc, '') || ' | ' || category as semantic_text from q", IH)
+@query("i8_semantic_text", """, q as (select distinct sku_name as query, case when sku_name like '%bolt%' then 'bolt' end as mc, case when sku_name like '%red%' then category end as category from import_history)
+  select query, case when mc is null and category is null then query else query || ' red' || case when query = 'steel' then '' else ' steel' end || ' | ' || coalesce(mc, '') || ' | ' || coalesce(category, '') end as semantic_text from q""", IH)
 def _(t):
-    return s.semantic_text(t.ih.select(F.col("sku_name").alias("query"), "mc", F.array("category").alias("categories")).distinct()).select("query", "semantic_text")
+    mc, categories = F.when(F.contains("sku_name", F.lit("bolt")), "bolt"), F.when(F.contains("sku_name", F.lit("red")), F.array("category"))
+    asked = t.ih.select(F.col("sku_name").alias("query"), mc.alias("mc"), categories.alias("categories"), F.array(F.lit("red"), F.lit("steel"), F.lit("red"), F.col("sku_name")).alias("keywords"))
+    return s.semantic_text(asked.distinct()).select("query", "semantic_text")
