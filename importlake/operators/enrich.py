@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import datetime
-
-from pyspark.sql import DataFrame, Window
+import math
+from collections import deque
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from importlake.functions import text as x
@@ -95,23 +101,50 @@ def sample_order(df: DataFrame, mode: str, key: str = "sku_name", terms: list[st
     return df.orderBy(*orders[mode])
 
 
-def pair_cards(cards: DataFrame, raw: DataFrame, keys: tuple[str, ...] = ("product_type", "retailer", "brand_en")) -> DataFrame:
-    """Pair each card with one raw row of its type, retailer and brand: by equal price first, then the rest in order.
-
-    Within a key and price, in cents, the first card takes the first row and so on; a row is used once.
+#: Prices closer than this are one price.
+SAME_PRICE = 0.005
+
+
+def _pair(cards: pd.DataFrame, raw: pd.DataFrame, near: float) -> pd.DataFrame:
+    """The pairs of one key, each card in turn. Unused rows wait in a queue for each price and in one for all, so a card looks at the prices near its own only."""
+    cards, raw = cards.sort_values(["card_id", "price"], kind="stable"), raw.sort_values(["raw_id", "price"], kind="stable")
+    ids, used, first = raw["raw_id"].to_numpy(), np.zeros(len(raw), bool), 0
+    waiting: dict[int, dict[float, deque[int]]] = {}
+    for at, price in enumerate(raw["price"]):
+        if np.isfinite(price):
+            waiting.setdefault(math.floor(price / near), {}).setdefault(price, deque()).append(at)
+    out = []
+    for card, price in zip(cards["card_id"], cards["price"]):
+        heads = []
+        if np.isfinite(price):
+            cell = math.floor(price / near)
+            for c in (cell - 1, cell, cell + 1):
+                for other, queue in waiting.get(c, {}).items():
+                    while queue and used[queue[0]]:
+                        queue.popleft()
+                    if queue and abs(other - price) < near:
+                        heads.append(queue[0])
+        while first < len(ids) and used[first]:
+            first += 1
+        if not heads and first == len(ids):
+            continue
+        at = min(heads) if heads else first
+        used[at] = True
+        out.append((card, ids[at], "price" if heads else "order"))
+    return pd.DataFrame(out, columns=["card_id", "raw_id", "by"])
+
+
+def pair_cards(cards: DataFrame, raw: DataFrame, keys: tuple[str, ...] = ("product_type", "retailer", "brand_en"), near: float = SAME_PRICE) -> DataFrame:
+    """Pair each card with one raw row of its keys: (card_id, raw_id, by). A row is used once.
+
+    The cards of a key come in the order of their ids; each takes the first unused row whose price is nearer than ``near`` (``by`` is ``price``), else the
+    first unused row at all (``order``), which may be one that a later card's price would have matched. So the pairs of one key follow from each other
+    and are made in one task, from ids and prices alone; a key is a retailer's brand within one list, and a list can't outgrow a worksheet (1,048,576
+    rows). Rows with a null or blank key pair with nothing, a missing price equals none, and repeated ids count as rows of their own.
     """
-    keys = list(keys)
-
-    def numbered(df: DataFrame, by: list[str], id_col: str) -> DataFrame:
-        return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(id_col)))
-
-    cents = F.round(F.col("price_usd") * 100).cast("long")
-    c, r = cards.select("card_id", *keys, cents.alias("cents")), raw.select("raw_id", *keys, cents.alias("cents"))
-    exact = numbered(c.where("cents is not null"), [*keys, "cents"], "card_id").join(numbered(r.where("cents is not null"), [*keys, "cents"], "raw_id"), [*keys, "cents", "n"])
-    exact = exact.select("card_id", "raw_id", F.lit("price").alias("by"))
-    left_c, left_r = c.join(exact, "card_id", "left_anti"), r.join(exact, "raw_id", "left_anti")
-    rest = numbered(left_c, keys, "card_id").join(numbered(left_r, keys, "raw_id").drop("cents"), [*keys, "n"])
-    return exact.unionByName(rest.select("card_id", "raw_id", F.lit("order").alias("by")))
+    there = reduce(and_, [F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) != "" for k in keys])
+    of = lambda d, i: d.where(there).select(*keys, F.col(i).cast("long").alias(i), F.col("price_usd").cast("double").alias("price")).groupBy(*keys)
+    return of(cards, "card_id").cogroup(of(raw, "raw_id")).applyInPandas(lambda c, r: _pair(c, r, near), "card_id long, raw_id long, by string")
 
 
 def mark_members(full: DataFrame, members: DataFrame, keys: list[str], to: str = "is_oem") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,50 @@ from importlake.functions import text as x
 RETAILER_ORDER = ["amazon", "walmart", "samsclub", "aeon"]
 UNRANKED_RETAILER = "aeon"
 UNRANKED = 999
-# Words that mark a product as not for the list.
-NOT_FOOD = ["shampoo", "detergent", "candle", "mold", "capsule holder", "bottle opener"]
-NOT_FOOD += ["dog food", "cat food", "pet treat", "baby formula", "infant"]
+# Words that mark a product as not for the list. Latin ones are looked for in lower case, Korean ones as they are.
+NOT_FOOD = [
+    "toilet roll", "toilet tissue", "toilet paper", "bath tissue", "lint roller", "carpet cleaning tape", "fabric softener", "petroleum jelly", "vaseline",
+    "highlighter", "rollerball pen", "paint marker", "gel pen", "embroidery needle", "twist comb", "(paperback)", "gummy mold", "gummy bear mold",
+    "composition book", "butcher's twine", "butchers twine", "fishing rod", "reel combo", "gift card", "gift basket", "teether", "sauce dish",
+    "divided sauce plate", "watering pot", "scented spray", "shower gel",
+]
+NOT_FOOD_KOREAN = [
+    "화장지", "린트롤러", "카펫클리닝테이프", "섬유유연제", "바세린", "형광펜", "롤러볼", "페인트마카", "자수바늘", "트위스트빗", "젤리몰드", "정육용끈",
+    "낚싯대", "릴콤보", "상품권", "기프트카드", "기프트바스켓", "치아발육기", "소스접시", "워터링팟", "향수", "샤워젤",
+]
+PET_FOOD = ["sheba", "fancy feast", "temptations", "smart heart", "waggin' train", "waggin train", "spot farms", "delizios", "prodiet"]
+BABY_FOOD = ["cerelac", "wakodo", "babyfood", "baby food"]
+BABY_FOOD_KOREAN = ["이유식", "유아식", "니코니코", "하타케노미카타"]
+# How retailers and their sites are shown.
+RETAILER_LABELS = {"amazon": "아마존", "walmart": "월마트", "samsclub": "샘스클럽", "aeon": "이온몰"}
+SITE_SUFFIXES = {"aeon-jp": " (일본)", "aeon-my": " (말레이시아)"}
+NO_FLAG = "🏳️"
 
 
 def retailer_country(c: Column, aeon: str = "JP", others: str = "US") -> Column:
     return F.when(c.startswith("aeon"), F.when(c == "aeon-my", "MY").otherwise(aeon)).when(c.isNotNull(), others)
 
 
+def site_label(retailer: Column, site: Column) -> Column:
+    """A retailer's label, an unknown one as it is, with the country of its site where it has several."""
+    known = F.create_map(*[F.lit(v) for kv in RETAILER_LABELS.items() for v in kv])
+    suffix = F.create_map(*[F.lit(v) for kv in SITE_SUFFIXES.items() for v in kv])
+    return F.concat(F.coalesce(known[retailer], retailer), F.coalesce(suffix[site], F.lit("")))
+
+
+def flag(code: Column) -> Column:
+    """The flag of a two-letter country code: each letter's regional indicator; for anything else a white flag."""
+    letters = [chr(ord("A") + k) for k in range(26)]
+    signs = F.create_map(*[F.lit(v) for k, c in enumerate(letters) for v in (c, chr(0x1F1E6 + k))])
+    return F.when(code.rlike("^[A-Za-z]{2}$"), F.concat(signs[F.upper(F.substring(code, 1, 1))], signs[F.upper(F.substring(code, 2, 1))])).otherwise(F.lit(NO_FLAG))
+
+
+def with_country_names(df: DataFrame, names: DataFrame, code: str = "code") -> DataFrame:
+    """Add ``country_name`` and ``flag`` to codes. ``names``: (code, name), of repeated codes the smallest name; an unknown code has no name."""
+    known = names.groupBy(F.upper("code").alias("__code")).agg(F.min("name").alias("country_name"))
+    return df.join(known, F.upper(code) == F.col("__code"), "left").drop("__code").withColumn("flag", F.when(F.col("country_name").isNotNull(), flag(F.col(code))).otherwise(F.lit(NO_FLAG)))
+
+
 def retailer_order(c: Column, order: list[str] | None = None) -> Column:
     out = F
     for k, r in enumerate(order or RETAILER_ORDER):
@@ -87,8 +124,13 @@ def representative(psi: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "best.*")
 
 
-def ineligible(name: Column, words: list[str] | None = None) -> Column:
-    return F.exists(F.array(*map(F.lit, words or NOT_FOOD)), lambda w: F.contains(F.lower(name), w))
+def ineligible(name: Column, brand: Column | None = None, brand_korean: Column | None = None, words: list[str] | None = None, korean: list[str] | None = None) -> Column:
+    """True for what no list of foods can hold: a word for other goods, pet or baby food occurs in the brand or name. The Korean words are looked for in the Korean brand and the name."""
+    words = [*NOT_FOOD, *PET_FOOD, *BABY_FOOD] if words is None else words
+    korean = [*NOT_FOOD_KOREAN, *BABY_FOOD_KOREAN] if korean is None else korean
+    text = lambda b: F.concat_ws(" ", *[c for c in (b, name) if c is not None])
+    some = lambda t, ws: t.rlike("|".join(re.escape(w) for w in ws)) if ws else F.lit(False)
+    return some(F.lower(text(brand)), words) | some(text(brand_korean), korean)
 
 
 def exclude_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -97,7 +139,7 @@ def exclude_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def recommendations(psi: DataFrame, excluded: DataFrame, word: str = "통과", none: str = "수입이력 없음") -> DataFrame:
     """Groups worth importing, by type: all risks passed, a parallel score, carried by a retailer; widest coverage first."""
-    rows = psi.where(F.col("product_group_key").isNotNull() & ~ineligible(F.col("product_name_en")))
+    rows = psi.where(F.col("product_group_key").isNotNull() & ~ineligible(F.col("product_name_en"), *[F.col(c) if c in psi.columns else None for c in ("brand_en", "brand_kr")]))
     keys = ["product_type", "product_group_key"]
     best = representative(exclude_pairs(rows, excluded), keys).join(coverage(rows, keys), keys)
     scored = best.withColumns({"parallel_points": x.parallel_score(F.col("parallel_import"), none=none), "passes": x.risk_pass([F.col(c) for c in RISKS], word)})

@@ -101,14 +101,23 @@ def _(t):
     return e.sample_order(t.ih.select("sku_name", "mc", "category").distinct(), "random").limit(10)
 
 
-@query("d10_pair_cards", """, c as (select id as card_id, product_type, retailer, brand_en, cast(round((case when id % 4 = 0 then price_usd + 1 else price_usd end) * 100) as bigint) as cents from product_sourcing_item),
-  r as (select id as raw_id, product_type, retailer, brand_en, cast(round(price_usd * 100) as bigint) as cents from product_sourcing_item),
-  exact as (select card_id, raw_id, 'price' as by from (select *, row_number() over (partition by product_type, retailer, brand_en, cents order by card_id) as n from c) join (select *, row_number() over (partition by product_type, retailer, brand_en, cents order by raw_id) as n from r) using (product_type, retailer, brand_en, cents, n)),
-  rest as (select card_id, raw_id, 'order' as by from (select *, row_number() over (partition by product_type, retailer, brand_en order by card_id) as n from c where card_id not in (select card_id from exact)) join (select * exclude (cents), row_number() over (partition by product_type, retailer, brand_en order by raw_id) as n from r where raw_id not in (select raw_id from exact)) using (product_type, retailer, brand_en, n))
-  select * from exact union all select * from rest""", PSI)
-def _(t):
-    cards = t.psi.select(F.col("id").alias("card_id"), "product_type", "retailer", "brand_en", F.expr("case when id % 4 = 0 then price_usd + 1 else price_usd end").alias("price_usd"))
-    return e.pair_cards(cards, t.psi.select(F.col("id").alias("raw_id"), "product_type", "retailer", "brand_en", "price_usd"))
+#: Coarse prices, some of them three or six thousandths apart: the first two are one price, the last is another.
+COARSE = "floor(price_usd / 60) + ({} % 3) * 0.003e0"
+
+
+@query("d10_pair_cards", f""", c as (select id as card_id, retailer, brand_en, case when id % 5 <> 0 then {COARSE.format('id')} end as price, row_number() over (partition by retailer, brand_en order by id) as n from product_sourcing_item),
+  r as (select retailer, brand_en, list({{'id': id, 'price': {COARSE.format('(id + 1)')}}} order by id) as raws from product_sourcing_item where id % 11 <> 0 group by 1, 2)
+  select card_id, raw_id, "by" from (with recursive g as (
+    select retailer, brand_en, raws, cast(0 as bigint) as n, cast([] as bigint[]) as used, cast(null as bigint) as card_id, cast(null as bigint) as raw_id, cast(null as varchar) as "by" from r
+    union all
+    select retailer, brand_en, raws, n, list_append(used, coalesce(hit, free)), card_id, coalesce(hit, free), case when hit is not null then 'price' when free is not null then 'order' end
+    from (select g.retailer, g.brand_en, g.raws, c.n, g.used, c.card_id,
+        list_filter(g.raws, lambda x: not list_contains(g.used, x.id) and abs(x.price - c.price) < 0.005)[1].id as hit, list_filter(g.raws, lambda x: not list_contains(g.used, x.id))[1].id as free
+      from g join c on c.retailer = g.retailer and c.brand_en = g.brand_en and c.n = g.n + 1)) select * from g) where raw_id is not null""", PSI)
+def _(t):
+    cards = t.psi.select(F.col("id").alias("card_id"), "retailer", "brand_en", F.expr(f"case when id % 5 <> 0 then {COARSE.format('id')} end").alias("price_usd"))
+    raw = t.psi.where("id % 11 <> 0").select(F.col("id").alias("raw_id"), "retailer", "brand_en", F.expr(COARSE.format("(id + 1)")).alias("price_usd"))
+    return e.pair_cards(cards, raw, ("retailer", "brand_en"))
 
 
 @query("d14_mark_members", ", o as (select distinct sku_name, coalesce(importer, '') as importer, coalesce(mc, '') as mc from import_history where import_type = 'OEM') select i.sku_name, i.importer, i.mc, o.sku_name is not null as is_oem, count(*) as n from import_history i left join o on i.sku_name = o.sku_name and coalesce(i.importer, '') = o.importer and coalesce(i.mc, '') = o.mc group by 1, 2, 3, 4", IH)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +72,16 @@ def _(t):
     return f.ingest_report(dirty(t), "_c2")
 
 
+@query("a6_observed_ingest", f"select (select count(*) from orders) as total, count(*) as inserted, (select count(*) from orders) - count(*) as skipped, count(*) as written, count(distinct mc) as mcs from ({CLEAN})")
+def _(t):
+    names = dict(zip([f"_c{k}" for k in range(8)], [*f.POSITIONAL[:3], "importer", "import_type", "factory", "country", "process_date"]))
+    clean, seen = f.observed_ingest(dirty(t).withColumnsRenamed(names))
+    out = f"{scratch(t)}/observed"
+    clean.write.parquet(out)
+    report = [F.lit(v).cast("long").alias(c) for c, v in seen.get.items()]
+    return t.spark.read.parquet(out).agg(F.count("*").alias("written"), F.count_distinct("mc").alias("mcs")).select(*report, "written", "mcs")
+
+
 @query("a7_ingest_json", GROUPED.format(CLEAN))
 def _(t):
     out = f"{scratch(t)}/json"
@@ -87,6 +99,13 @@ def _(t):
     return f.read_rows(t.spark, out).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+@query("a8_line_breaks", "select o_orderkey as ordinal, case when o_orderkey % 3 = 0 then null else 'says \"' || o_orderpriority || '\"' || chr(10) || 'and, ' || o_orderstatus end as remark from orders")
+def _(t):
+    out = f"{scratch(t)}/csv"
+    f.export_csv(t.raw("orders").select(F.col("o_orderkey").alias("ordinal"), F.expr("case when o_orderkey % 3 <> 0 then concat('says \"', o_orderpriority, '\"\n', 'and, ', o_orderstatus) end").alias("remark")), out)
+    return f.read_rows(t.spark, out, line_breaks=True).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
 @query("a9_export_csv", "select id, coalesce(parallel_import, '') as parallel_import from product_sourcing_item", PSI)
 def _(t):
     out = f"{scratch(t)}/export"
@@ -163,3 +182,14 @@ def _(t):
     rows = t.psi.select("id", "retailer", F.col("brand_en").alias("brand"), F.col("product_name_en").alias("title"))
     tb.write_snapshot(tb.append_snapshot(rows, "run-2"), out)
     return retail.runs(t.spark.read.parquet(out))
+
+
+@query("a14_load_snapshot", """, i as (select id, product_type, case when id % 5 = 0 then 'box' end as given, split_part(product_name_en, ', ', 2) as size, 'run-' || cast(id % 3 as varchar) as run_id from product_sourcing_item where lower(brand_en || ' ' || product_name_en) not like '%red%')
+  select run_id, count(*) as row_count, count(*) as items, count(given) as given, count(distinct coalesce(given, size)) as units from i group by 1""", PSI)
+def _(t):
+    out = scratch(t)
+    rows = t.psi.select("id", F.col("brand_en").alias("brand"), F.col("product_name_en").alias("title"), F.expr("case when id % 5 = 0 then 'box' when id % 5 = 1 then ' ' end").alias("unit"))
+    for k in (0, 1, 2, 1):  # the second run is loaded again
+        tb.load_snapshot(rows.where(F.col("id") % 3 == k), f"{out}/items", f"{out}/runs", f"run-{k}", datetime.datetime(2001, 6, 1 + k), "all", labels=["red"])
+    found = t.spark.read.parquet(f"{out}/items").groupBy("run_id").agg(F.count("*").alias("items"), F.count_if(F.col("unit") == "box").alias("given"), F.count_distinct("unit").alias("units"))
+    return t.spark.read.parquet(f"{out}/runs").select("run_id", "row_count").join(found, "run_id")

@@ -96,9 +96,27 @@ def _(t):
     return r.arrays_any(r.coverage(t.psi, ["product_type", "product_group_key"]), "retailers", ["aeon", "walmart"]).select("product_type", "product_group_key")
 
 
-@query("c15_ineligible", f"select id, product_name_en like '%bolt%' or product_name_en like '%gear%' as ineligible from {P}", PSI)
+#: Names and brands in which some of the words occur: as others' products, in either case, in the brand only, and of the Korean ones.
+NAMED = """select id, replace(product_name_en, 'red', 'Shower GEL') as product_name_en, case when id % 7 = 0 then 'SHEBA' when id % 7 = 1 then null else brand_en end as brand_en,
+  case when id % 11 = 0 then '니코니코 식품' when id % 11 = 1 then '식품' end as brand_kr"""
+
+
+@query("c15_ineligible", f", n as ({NAMED} from {P}) select id, contains(lower(product_name_en), 'shower gel') or coalesce(contains(lower(brand_en), 'sheba'), false) or coalesce(contains(brand_kr, '니코니코'), false) as ineligible from n", PSI)
+def _(t):
+    rows = t.spark.sql(f"{NAMED} from {{p}}", p=t.psi)
+    return rows.select("id", r.ineligible(F.col("product_name_en"), F.col("brand_en"), F.col("brand_kr")).alias("ineligible"))
+
+
+@query("b45_site_labels", f"""select id, case retailer when 'amazon' then '아마존' when 'walmart' then '월마트' when 'samsclub' then '샘스클럽' else '이온몰' end || case when retailer = 'aeon' and id % 3 = 0 then ' (일본)' when retailer = 'aeon' and id % 3 = 1 then ' (말레이시아)' else '' end as label from {P}""", PSI)
+def _(t):
+    return t.psi.select("id", r.site_label(F.col("retailer"), F.expr("case when retailer <> 'aeon' then retailer when id % 3 = 0 then 'aeon-jp' when id % 3 = 1 then 'aeon-my' end")).alias("label"))
+
+
+@query("b45_country_names", "select n_nationkey, case when n_nationkey % 4 = 3 then null else n_name end as country_name, case when n_nationkey % 4 = 3 then '🏳️' else chr(127462 + cast(n_nationkey % 26 as int)) || chr(127462 + cast(n_nationkey * 7 % 26 as int)) end as flag from nation")
 def _(t):
-    return t.psi.select("id", r.ineligible(F.upper("product_name_en"), ["bolt", "gear"]).alias("ineligible"))
+    code = "concat(char(97 + n_nationkey % 26), char(65 + n_nationkey * 7 % 26))"
+    rows = t.raw("nation").select("n_nationkey", "n_name", F.expr(code).alias("code"))
+    return r.with_country_names(rows.drop("n_name"), rows.where("n_nationkey % 4 <> 3").select(F.upper("code").alias("code"), F.col("n_name").alias("name"))).select("n_nationkey", "country_name", "flag")
 
 
 @query("c16_exclude_pairs", f"select id from {P} where product_group_key is null or product_group_key not like 'brand_1%'", PSI)

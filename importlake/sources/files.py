@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,17 @@ RECORD = ["category", "mc", "sku_name", "import_type", "importer", "manufacturer
 MOSTLY = 0.8
 
 
-def read_rows(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A CSV file with every column as text and the literal words of a missing value as null."""
-    raw = spark.read.csv(path, header=header, inferSchema=False, multiLine=False)
+#: What stands at the beginning of a text file for spreadsheet programs to know its encoding.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def read_rows(spark: SparkSession, path: str, header: bool = True, line_breaks: bool = False) -> DataFrame:
+    """CSV files with every column as text and the literal words of a missing value as null; quotes within a value are doubled, a byte order mark is no part of a name.
+
+    ``line_breaks``: quoted values may hold them. A file then can't be split and is read by one task, so large loads are better many files.
+    """
+    raw = spark.read.csv(path, header=header, inferSchema=False, multiLine=line_breaks, escape='"')
+    raw = raw.toDF(*[c.removeprefix(BYTE_ORDER_MARK) for c in raw.columns])
     return raw.select(*[x.blank_to_null(F.col(f"`{c}`"), literals=True).alias(c) for c in raw.columns])
 
 
@@ -108,6 +116,18 @@ def ingest_report(df: DataFrame, sku: str = "sku_name") -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count_if(kept).alias("inserted"), F.count_if(~kept).alias("skipped"))
 
 
+def observed_ingest(df: DataFrame, aliases: dict[str, list[str]] | None = None) -> tuple[DataFrame, Observation]:
+    """Clean records, and what counts them as they are written: ``get`` of the observation has total, inserted and skipped after the first action.
+
+    The report comes from the pass that loads, so the files aren't read again. A table without a column for the SKU name keeps nothing.
+    """
+    seen = Observation()
+    sku = F.col("sku_name").cast("string") if "sku_name" in df.columns else F.lit(None).cast("string")
+    kept = x.blank_to_null(sku).isNotNull()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(kept).alias("inserted"), F.count_if(~kept).alias("skipped"))
+    return ingest(counted, aliases), seen
+
+
 def ingest_json(df: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
     """Records from JSON rows whose keys are any known name of a field: the first that isn't null."""
     fields = {**{c: c for c in RECORD}, **(fields or FIELDS)}
@@ -118,9 +138,11 @@ def ingest_json(df: DataFrame, fields: dict[str, str] | None = None) -> DataFram
     return ingest(df.select(*[F.coalesce(*[F.col(f"`{c}`").cast("string") for c in cs]).alias(f) for f, cs in found.items()]))
 
 
-def export_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Write a table as CSV files with header and empty text for nulls, in order if asked."""
-    (df.orderBy(*order) if order else df).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
+def export_csv(df: DataFrame, path: str, order: list[str] | None = None, mark: bool = True) -> None:
+    """Write a table as CSV files, each with header, a byte order mark unless ``mark`` is off, and empty text for nulls; in order if asked. Quotes within a value are doubled."""
+    rows = df.orderBy(*order) if order else df
+    named = rows.toDF(*[BYTE_ORDER_MARK * (mark and k == 0) + c for k, c in enumerate(rows.columns)])
+    named.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
 def product_list(psi: DataFrame) -> DataFrame:

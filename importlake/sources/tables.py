@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from importlake.functions import text as x
@@ -33,15 +33,32 @@ def replace_with_carryover(new: DataFrame, old: DataFrame, identity: list[str],
 
 
 def append_snapshot(rows: DataFrame, run_id: str, labels: list[str] | None = None) -> DataFrame:
-    """A run's rows as they are appended: without the retailers' own brands, the size from the name, the run's id."""
+    """A run's rows as they are appended: without the retailers' own brands, the size from the name where none is given, the run's id."""
     kept = rows.where(~x.is_private_label(F.col("brand"), F.col("title"), labels))
-    return kept.withColumns({"unit": x.extract_unit(F.col("title")), "run_id": F.lit(run_id)})
+    size = x.extract_unit(F.col("title"))
+    return kept.withColumns({"unit": F.coalesce(x.blank_to_null(F.col("unit")), size) if "unit" in rows.columns else size, "run_id": F.lit(run_id)})
 
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def load_snapshot(rows: DataFrame, items: str, runs: str, run_id: str, run_at: datetime.datetime, site_scope: str, note: str | None = None, labels: list[str] | None = None) -> int:
+    """Write a run's rows to ``items``, then its line (time, scope, note, rows kept) to ``runs``; returns the rows kept, counted as they are written.
+
+    A run without a line has not been loaded whole. Loading a run again replaces its rows and its line, unless no row is left to write, which leaves
+    the rows of before.
+    """
+    seen = Observation()
+    kept = append_snapshot(rows, run_id, labels).observe(seen, F.count(F.lit(1)).alias("rows"))
+    put = lambda df, path: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    put(kept, items)
+    n = seen.get["rows"]
+    line = rows.sparkSession.range(1).select(*[F.lit(v).cast(t).alias(c) for c, v, t in (("run_id", run_id, "string"), ("run_at", run_at, "timestamp"), ("site_scope", site_scope, "string"), ("note", note, "string"), ("row_count", n, "long"))])
+    put(line, runs)
+    return n
+
+
 def refresh(ih: DataFrame, out: str, as_of: datetime.date) -> int:
     """Write the three aggregates and the distinct values of the filter columns as one version, which readers see when all four are there.
 
