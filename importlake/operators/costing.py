@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from importlake.functions import text as x
 from importlake.operators.containing import containing
+from importlake.operators.enrich import enrich_snapshot
 from importlake.sources.staging import staged
 
 # Names too general for a match, short names that may match, endings of processed forms.
@@ -178,6 +179,19 @@ def recompute_costs(
     return landed_cost(resolve_tariff(digits, tariffs, fta, on_date), assumptions)
 
 
+def priced_snapshot(
+    snapshot: DataFrame, brands: DataFrame, codes: DataFrame, origins: DataFrame, cia: DataFrame, tariffs: DataFrame, fta: DataFrame, countries: list[str], on_date: datetime.date, **matching
+) -> DataFrame:
+    """A crawl snapshot with what the caches know of its brands, customs codes and ``origin``, and from these its tariff and landed cost.
+
+    Rows have ``brand``, ``title``, ``url``, ``product_type`` and ``unit``. Without a code there is no tariff, without a tariff or price no cost; whether a
+    cost is one of a kilogram is told only where there is a cost.
+    """
+    known = enrich_snapshot(snapshot, brands, codes, origins)
+    costed = recompute_costs(known, ["product_type"], cia, tariffs, fta, countries, on_date, **matching)
+    return costed.withColumn("is_per_kg", F.when(F.col("landed_won").isNotNull(), F.col("is_per_kg")))
+
+
 def cost_reason(df: DataFrame) -> Column:
     """Why a row has no cost: the first thing that is missing, in the order of the estimate."""
     return (

@@ -11,6 +11,9 @@ import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from importlake.functions import text as x
+from importlake.operators import history as h
+from importlake.operators import stats
 from importlake.operators.history import year_counts, years_before
 
 # Weights of the three grades, the limits of each grade.
@@ -135,3 +138,77 @@ def sku_factories(sf: DataFrame, ih: DataFrame, sku: str, top: list[str], as_of:
         F.min("country").alias("country"), F.min("email").alias("email"), F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status")
     )
     return by_score(ranked.join(contact, "factory", "left"), "factory")
+
+
+GRADES = ["ranking_score", "retailer_grade", "count_grade", "trend_grade"]
+#: The columns by which a country's listing can be put in order.
+COUNTRY_SORTS = {"ranking_score", "import_count", "sku_count", "mc_count", "top_count", "latest_import"}
+SIMILAR = 0.3
+
+
+def country_listing(
+    ih: DataFrame, country: str, top: list[str], as_of: datetime.date, mc: str | None = None, text: str | None = None, start: datetime.date | None = None, end: datetime.date | None = None,
+    sort_by: str | None = None, descending: bool = True, number: int = 1, size: int = 20,
+) -> DataFrame:
+    """A page of a country's manufacturers (the factory stands in for a missing one), with counts, MCs, grades and ``rank``.
+
+    Counts are those of a period of processing dates, grades those of the whole history. ``mc`` keeps the makers of an MC; ``text`` those with a row
+    whose MC, SKU or own name contains it or whose SKU is similar by trigrams, the first such SKU by name being ``matched_sku``. In order by ``sort_by``, else
+    by score if something is sought, else by imports; a missing number counts as -1, a missing date as the earliest; ties by name.
+    """
+    key = F.coalesce("manufacturer", "factory")
+    own = ih.where((F.col("country") == country) & key.isNotNull())
+    grades = country_rankings(ih, top, as_of).where(F.col("country") == country).select("manufacturer", *GRADES, "y1", "y2", "y3", F.col("top_retailers").alias("__top"))
+    out = stats.country_manufacturers(h.in_period(own, start, end, "process"), country).join(grades, "manufacturer", "left")
+    met = F.when(F.size("__top") > 0, F.col("__top")).otherwise(matched_in_list(F.col("importers"), top))
+    out = out.withColumn("top_retailers", met).withColumn("top_count", F.size("top_retailers")).drop("__top")
+    if mc and mc.strip():
+        out = out.join(own.where(F.col("mc") == mc.strip()).select(key.alias("manufacturer")).distinct(), "manufacturer", "left_semi")
+    if text and text.strip():
+        q = text.strip()
+        some = F.col("mc").ilike(f"%{q}%") | F.col("sku_name").ilike(f"%{q}%") | (x.trigram_similarity(F.col("sku_name"), F.lit(q)) >= SIMILAR) | key.ilike(f"%{q}%")
+        pairs = own.select(key.alias("manufacturer"), "factory", "mc", "sku_name").distinct()  # similarity is measured once for a pair of maker and SKU
+        out = out.join(pairs.where(some).groupBy("manufacturer").agg(F.min("sku_name").alias("matched_sku")), "manufacturer")
+    by = sort_by if sort_by in COUNTRY_SORTS else "ranking_score" if mc or text else "import_count"
+    value = F.coalesce(by, F.lit(datetime.date(1, 1, 1)) if by == "latest_import" else F.lit(-1))
+    return h.display_rank(out, [value.desc() if descending else value.asc(), F.col("manufacturer")], number, size)
+
+
+def sku_factory_listing(
+    sf: DataFrame, ih: DataFrame, sku: str, top: list[str], as_of: datetime.date, start: datetime.date | None = None, end: datetime.date | None = None, text: str | None = None,
+    country: str | None = None, has_contact: bool | None = None, oem_possible: bool = False, oem_word: str = "가능",
+) -> DataFrame:
+    """The factories of a SKU by score, then imports, with grades: a row for each factory, manufacturer, country and MC.
+
+    Without a period the rows are those of the SKU-factory aggregate ``sf``. With one they are aggregated from its records, and contact data and OEM
+    status are the factory's in the aggregate (of several the least, of the status the largest). ``text`` is sought in factory, country and importers; a blank
+    e-mail address or homepage is none; ``oem_possible`` asks for ``oem_word`` in the OEM status. A factory without grades comes last.
+    """
+    keys, own = ["factory", "manufacturer", "country", "mc"], sf.where(F.col("sku_name") == sku)
+    sought = f"%{text.strip()}%" if text and text.strip() else None
+    if start is None and end is None:
+        rows = own.select(*keys, "import_count", "import_types", "importers", "email", "homepage", "oem_status")
+        if sought:
+            rows = rows.where(F.coalesce(F.col("factory").ilike(sought), F.lit(False)) | F.coalesce(F.col("country").ilike(sought), F.lit(False)) | F.exists("importers", lambda i: i.ilike(sought)))
+    else:
+        facts = h.in_period(ih.where(F.col("sku_name") == sku), start, end)
+        if sought:
+            facts = h.search(facts, [text.strip()], ["factory", "country", "importer"])
+        set_of = lambda c: F.array_sort(F.collect_set(c))
+        rows = facts.groupBy(*keys).agg(F.count("*").alias("import_count"), set_of("import_type").alias("import_types"), set_of("importer").alias("importers"))
+        rows = rows.join(own.groupBy("factory").agg(F.min("email").alias("email"), F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status")), "factory", "left")
+    if country:
+        rows = rows.where(F.col("country") == country)
+    if has_contact is not None:
+        there = (F.coalesce("email", F.lit("")) != "") | (F.coalesce("homepage", F.lit("")) != "")
+        rows = rows.where(there if has_contact else ~there)
+    if oem_possible:
+        rows = rows.where(F.col("oem_status").ilike(f"%{oem_word}%"))
+    graded = factory_rankings(ih.where(F.col("sku_name") == sku), top, as_of).select("factory", *GRADES)
+    return by_score(rows.join(graded, "factory", "left"), *keys)
+
+
+def sku_info(ih: DataFrame) -> DataFrame:
+    """(sku_name, mc, category, import_type, importers) of every SKU: the three of its first row by MC, category and type, nulls first, and all its importers."""
+    first = F.min(F.struct("mc", "category", "import_type")).alias("first")
+    return ih.where("sku_name is not null").groupBy("sku_name").agg(first, F.array_sort(F.collect_set("importer")).alias("importers")).select("sku_name", "first.*", "importers")

@@ -128,6 +128,25 @@ def _(t):
     return costed(t).select("sku_name", "country", "unit", "hs_code", "item", "landed_won")
 
 
+@query("d8_priced_snapshot", f""", {MATCH}, names as (select *, regexp_replace(replace(lower(product_name_en), ',', ' '), ' +', ' ', 'g') as name_key from product_sourcing_item),
+  snap as (select id, split_part(product_name_en, ', ', 1) as sku_name, case when id % 4 <> 0 then unit end as unit, case when id % 3 <> 0 then 'NATION_' || cast(id % 25 as varchar) end as country,
+    case when name_key in (select name_key from names where id % 2 = 0) then case when length(name_key) % 2 = 0 then '0100102000' else '090102000' end end as hs_code, case when brand_en like '%1' then '통과' end as recall_status from names),
+  {RESOLVED.replace(CODED, 'coded as (select distinct country, hs_code from snap)')},
+  est as (select snap.*, m.item, t.rate_pct, t.basis_label, amount_usd_k / nullif(weight_ton, 0) * case when unit like '% oz' then cast(split_part(unit, ' ', 1) as double) * 0.028349523125 else 1 end as purchase_usd
+    from snap left join matched m on m.product = snap.sku_name left join country_item_amount a on a.country = snap.country and a.item_name = m.item
+    left join tariffed t on t.country is not distinct from snap.country and t.hs_code = snap.hs_code)
+  select id, recall_status, hs_code, country, item, rate_pct, basis_label, round_even(purchase_usd * 1380.0 + purchase_usd * 1380.0 * rate_pct / 100 + purchase_usd * 1380.0 * 0.02 + purchase_usd * 1380.0 * 0.015, 0) as landed_won,
+    case when purchase_usd is not null and rate_pct is not null then unit is null end as is_per_kg from est""", ("product_sourcing_item", "country_item_amount", *TF))
+def _(t):
+    snap = t.psi.select("id", F.col("brand_en").alias("brand"), F.col("product_name_en").alias("title"), F.concat(F.lit("https://x.org/"), "id").alias("url"), F.split_part("product_name_en", F.lit(", "), F.lit(1)).alias("product_type"), F.expr("case when id % 4 <> 0 then unit end").alias("unit"))
+    brands = snap.where("brand like '%1'").select(x.brand_key(F.col("brand")).alias("brand_key"), F.lit("통과").alias("recall_status")).distinct()
+    key = x.name_key(F.col("title"))
+    codes = snap.where("id % 2 = 0").select(key.alias("name_key"), F.when(F.length(key) % 2 == 0, "0100.10-2000").otherwise("0901.02000").alias("hs_code")).distinct()
+    origins = snap.where("id % 3 <> 0").select(x.text_hash(F.col("url")).alias("url_hash"), F.concat(F.lit("NATION_"), (F.col("id") % 25).cast("string")).alias("origin"))
+    costed = k.priced_snapshot(snap, brands, codes, origins, t.cia, t.tariffs, t.fta, exact_names(t), AS_OF, **MATCHING)
+    return costed.select("id", "recall_status", "hs_code", "country", "item", "rate_pct", "basis_label", "landed_won", "is_per_kg")
+
+
 @query("k9_cost_coverage", f", {COSTED} select case when hs_code is null then 'no_hs_code' when rate_pct is null then 'no_tariff' when item is null then 'no_item' when country is null then 'no_origin' when usd_per_kg is null then 'no_price' else 'estimated' end as reason, count(*) as rows from est group by 1", ("country_item_amount", *TF))
 def _(t):
     return k.cost_coverage(costed(t))

@@ -237,6 +237,51 @@ def _(t):
     return joined(r.sku_factories(h.sku_factory(t.ih), t.ih, "red bolt", TOP_RETAILERS, AS_OF), "top_retailers")
 
 
+PERIOD = datetime.date(1998, 3, 1), datetime.date(2000, 2, 29)
+IN = "between date '1998-03-01' and date '2000-02-29'"
+TRIGRAMS = "list_distinct(flatten(list_transform(string_split(lower({}), ' '), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+ALIKE = "len(list_intersect({a}, {b})) * 1.0 / (len({a}) + len({b}) - len(list_intersect({a}, {b})))".format(a=TRIGRAMS.format("sku_name"), b=TRIGRAMS.format("'red bolts'"))
+
+
+@query("e12_country_listing", f""", {axes_sql(['country'], 'manufacturer')}, {SKU_GRADE}, z as (select graded.*, {SHARE} as count_grade from graded left join sw using (country, manufacturer)),
+  own as (select *, coalesce(manufacturer, factory) as mk from import_history where country = 'NATION_1'), per as (select * from own where process_date {IN}), {MCS.format('per')},
+  base as (select mk as manufacturer, count(distinct sku_name) as sku_count, count(*) as import_count, count(distinct mc) as mc_count, max({D}) as latest_import from per group by 1),
+  hits as (select mk as manufacturer, min(sku_name) as matched_sku from own where mc ilike '%red bolts%' or sku_name ilike '%red bolts%' or {ALIKE} >= 0.3 or mk ilike '%red bolts%' group by 1),
+  l as (select base.*, mcs, primary_mc, top_retailers, retailer_grade, count_grade, trend_grade, matched_sku, {SCORE.format(r='retailer_grade', c='count_grade', t='trend_grade')} as ranking_score
+    from base join hits using (manufacturer) left join mcs using (manufacturer) left join z on z.manufacturer = base.manufacturer and z.country = 'NATION_1')
+  select *, cast(row_number() over (order by ranking_score desc, manufacturer) as int) as rank from l qualify rank between 6 and 10""", IH)
+def _(t):
+    found = r.country_listing(t.ih, "NATION_1", TOP_RETAILERS, AS_OF, text="red bolts", start=PERIOD[0], end=PERIOD[1], number=2, size=5)
+    kept = ["manufacturer", "sku_count", "import_count", "mc_count", "latest_import", "mcs", "primary_mc", "top_retailers", *r.GRADES, "matched_sku", "rank"]
+    return joined(found.select(*kept), "mcs", "top_retailers")
+
+
+RANKED = rank_sql(["sku_name"], "factory").replace("select *, round", ", ranked as (select *, round").rstrip() + ")"
+LISTING = "{0}.factory, {0}.manufacturer, {0}.country, {0}.mc, {0}.import_count, {0}.import_types, {0}.importers, email, homepage, oem_status, ranking_score, retailer_grade, count_grade, trend_grade"
+
+
+@query("j6_dated_listing", f"""{RANKED}, base as (select factory, manufacturer, country, mc, count(*) as import_count, string_agg(distinct import_type, '|' order by import_type) as import_types, string_agg(distinct importer, '|' order by importer) as importers
+    from import_history where sku_name = 'red bolt' and {D} {IN} and (factory ilike '%f1%' or country ilike '%f1%' or importer ilike '%f1%') group by 1, 2, 3, 4),
+  contact as (select factory, min(email) as email, min(homepage) as homepage, max(oem_status) as oem_status from import_history where sku_name = 'red bolt' group by 1)
+  select {LISTING.format('base')} from base left join contact on contact.factory = base.factory left join ranked on ranked.factory = base.factory and ranked.sku_name = 'red bolt'
+  where (coalesce(email, '') <> '' or coalesce(homepage, '') <> '') and oem_status ilike '%ok%'""", IH)
+def _(t):
+    found = r.sku_factory_listing(h.sku_factory(t.ih), t.ih, "red bolt", TOP_RETAILERS, AS_OF, *PERIOD, text="f1", has_contact=True, oem_possible=True, oem_word="OK")
+    return joined(found, "import_types", "importers")
+
+
+@query("j6_undated_listing", f"""{RANKED}, sf as ({FACTORY}) select {LISTING.format('sf')} from sf left join ranked on ranked.factory = sf.factory and ranked.sku_name = 'red bolt'
+  where sf.sku_name = 'red bolt' and (sf.factory ilike '%building%' or sf.country ilike '%building%' or importers ilike '%building%') and email is null and homepage is null""", IH)
+def _(t):
+    found = r.sku_factory_listing(h.sku_factory(t.ih), t.ih, "red bolt", TOP_RETAILERS, AS_OF, text="building", has_contact=False)
+    return joined(found, "import_types", "importers")
+
+
+@query("j6_sku_info", "select sku_name, first(mc order by mc nulls first, category nulls first, import_type nulls first) as mc, first(category order by mc nulls first, category nulls first, import_type nulls first) as category, first(import_type order by mc nulls first, category nulls first, import_type nulls first) as import_type, string_agg(distinct importer, '|' order by importer) as importers from import_history group by 1", IH)
+def _(t):
+    return joined(r.sku_info(t.ih), "importers")
+
+
 @query("f5_count_grade", ", c as (select mc, manufacturer, count(*) as n from import_history where mc is not null group by 1, 2), p as (select *, percent_rank() over (partition by mc order by n desc) as q from c) select mc, manufacturer, n, case when q <= 0.25 then 'A' when q >= 0.75 then 'C' else 'B' end as count_grade from p", IH)
 def _(t):
     return r.count_grade(t.ih.where("mc is not null").groupBy("mc", "manufacturer").agg(F.count("*").alias("n")), ["mc"], "n")
