@@ -25,11 +25,17 @@ ENCODED, ASKED, SCORED = 1024, 256, 4096
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows whose id and vector aren't null, with finite components and a length above zero."""
+    """(row, id, v) of the rows whose id and vector aren't null, with finite components and a length above zero. ``row`` numbers the rows, repeated ids being rows of their own."""
     v = F.col(vector_col).cast("array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
-    return rows.where(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
+    return rows.where(F.forall("v", finite) & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "id", "v")
+
+
+def alike(vectors: DataFrame) -> DataFrame:
+    """The vectors with as many components as most have, of equally many the larger number."""
+    most = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return vectors if most is None else vectors.where(F.size("v") == most["d"])
 
 
 def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -78,9 +84,9 @@ class Index:
 
 
 def train(vectors: DataFrame, books: int = 8, words: int = 256, max_rows: int = 16_384, rounds: int = 8, seed: int = 5) -> Index:
-    """Learn the codebooks on at most about ``max_rows`` vectors (id, v), chosen by a hash of the id."""
+    """Learn the codebooks on at most about ``max_rows`` vectors, chosen by a hash of the id; of repeated ids the least vector."""
     chosen = vectors.where(in_sample(F.col("id"), sample_share(vectors.count(), max_rows)))
-    rows = sorted((r.id, r.v) for r in chosen.collect())
+    rows = sorted((r.id, r.v) for r in chosen.groupBy("id").agg(F.min("v").alias("v")).collect())
     if not rows:
         return Index(np.zeros((0, words, 0)))
     x = np.array([v for _, v in rows])
@@ -96,7 +102,7 @@ def filled(x: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _code_blocks(vectors: DataFrame, index, beam: int) -> DataFrame:
-    """A staged table of blocks of up to SCORED vectors: their ids, codes and norms, packed."""
+    """A staged table of blocks of up to SCORED vectors: their rows, ids, codes and norms, packed."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -106,50 +112,51 @@ def _code_blocks(vectors: DataFrame, index, beam: int) -> DataFrame:
                     x = np.stack(part["v"].iloc[at : at + ENCODED].to_list())
                     codes, norms = index.value.encode(filled(x / np.linalg.norm(x, axis=1, keepdims=True), ENCODED), beam)
                     coded.append((codes[: len(x)], norms[: len(x)].astype(np.float32)))
-                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [np.concatenate([c for c, _ in coded]).tobytes()], "norms": [np.concatenate([n for _, n in coded]).tobytes()]})
+                yield pd.DataFrame({"rows": [part["row"].to_numpy(np.int64).tobytes()], "ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [np.concatenate([c for c, _ in coded]).tobytes()], "norms": [np.concatenate([n for _, n in coded]).tobytes()]})
 
-    return stage(vectors.mapInPandas(encode, "ids binary, codes binary, norms binary"), "encoded")
+    return stage(vectors.mapInPandas(encode, "rows binary, ids binary, codes binary, norms binary"), "encoded")
 
 
 def _query_blocks(asked: DataFrame) -> DataFrame:
-    """A staged table of blocks of up to ASKED unit vectors and their ids, packed."""
+    """A staged table of blocks of up to ASKED unit vectors and their rows, packed."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), ASKED):
                 x = np.stack(b["v"].iloc[lo : lo + ASKED].to_list())
-                yield pd.DataFrame({"q_ids": [b["id"].iloc[lo : lo + ASKED].to_numpy(np.int64).tobytes()], "q": [(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()]})
+                yield pd.DataFrame({"q_rows": [b["row"].iloc[lo : lo + ASKED].to_numpy(np.int64).tobytes()], "q": [(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()]})
 
-    return stage(asked.mapInPandas(pack, "q_ids binary, q binary"), "asked")
+    return stage(asked.mapInPandas(pack, "q_rows binary, q binary"), "asked")
 
 
 class Shortlists:
-    """The best ids of each query of a block by score, ties to the smaller id, over all code blocks that are added."""
+    """The best rows of each query of a block by score, ties to the smaller id, then row, over all code blocks that are added."""
 
-    def __init__(self, ids: np.ndarray, size: int):
-        self.ids, self.size = ids, size
-        self.best = [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(ids)
+    def __init__(self, rows: np.ndarray, size: int):
+        self.asked, self.size = rows, size
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))] * len(rows)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores[self.ids[:, None] == ids] = -np.inf
-        for i, row in enumerate(scores):
-            own, had = self.best[i]
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        scores[self.asked[:, None] == rows] = -np.inf
+        for i, values in enumerate(scores):
+            had_rows, had_ids, had = self.best[i]
             least = had[-1] if len(had) == self.size else -np.inf
-            if len(row) > self.size:
-                least = max(least, np.partition(row, len(row) - self.size)[len(row) - self.size])
-            at = np.flatnonzero((row >= least) & (row > -np.inf))
+            if len(values) > self.size:
+                least = max(least, np.partition(values, len(values) - self.size)[len(values) - self.size])
+            at = np.flatnonzero((values >= least) & (values > -np.inf))
             if len(at):
-                every, values = np.concatenate([own, ids[at]]), np.concatenate([had, row[at]])
-                order = np.lexsort((every, -values))[: self.size]
-                self.best[i] = every[order], values[order]
+                parts = np.concatenate([had_rows, rows[at]]), np.concatenate([had_ids, ids[at]]), np.concatenate([had, values[at]])
+                order = np.lexsort((parts[0], parts[1], -parts[2]))[: self.size]
+                self.best[i] = tuple(p[order] for p in parts)
 
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": np.repeat(self.ids, [len(x) for x, _ in self.best]), "vec_id": np.concatenate([x for x, _ in self.best]), "rough": np.concatenate([x for _, x in self.best])})
+    def frame(self) -> pd.DataFrame:
+        rows, ids, scores = (np.concatenate(p) for p in zip(*self.best))
+        return pd.DataFrame({"query_row": np.repeat(self.asked, [len(x) for x, _, _ in self.best]), "row": rows, "vec_id": ids, "rough": scores})
 
 
 def _first(found: DataFrame, by: str, most: int) -> DataFrame:
     """The ``most`` rows of each query with the largest ``by``, with their ``rank``; ties go to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc(by), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
@@ -160,12 +167,13 @@ def search(
 
     Every row but the query's own is a candidate; nearness is the cosine in double precision, ties go to the smaller id.
     Vectors that are null, of length zero, or that hold a null or a non-finite component take no part; neither do null ids.
-    Repeated ids count once, with the least of their vectors. Fewer candidates than ``k`` are all returned. An empty table gives an empty result.
-    All vectors must have one length. Blocks of queries meet blocks of codes; a task sends on the ``shortlist`` best of each of its queries
+    Rows of one id are candidates, and queries, each of its own. Vectors with another number of components than most have take no part. Other columns
+    are not read. Fewer candidates than ``k`` are all returned. An empty table gives an empty result. Blocks of queries meet blocks of codes; a task sends on the ``shortlist`` best of each of its queries
     by table score, and the ``shortlist`` best over all tasks are scored exactly, so the result doesn't hang on how rows are dealt out.
     """
     spark = embeddings.sparkSession
-    vectors = stage(usable(embeddings, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    staged = stage(usable(embeddings, id_col, vector_col), "vectors")
+    vectors = alike(staged)
     index = spark.sparkContext.broadcast(train(vectors, books, words))
     asked = vectors.where(F.col("id") % every == 0)
     codes, queries = _code_blocks(vectors, index, beam), _query_blocks(asked)
@@ -173,21 +181,21 @@ def search(
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, lists, unit = b"", None, None
         for b in batches:
-            for q_ids, q, ids, packed, norms in zip(*[b[c] for c in ("q_ids", "q", "ids", "codes", "norms")]):
-                if lists is None or q_ids != block:
+            for q_rows, q, rows, ids, packed, norms in zip(*[b[c] for c in ("q_rows", "q", "rows", "ids", "codes", "norms")]):
+                if lists is None or q_rows != block:
                     if lists is not None:
-                        yield lists.rows()
-                    block, lists = q_ids, Shortlists(np.frombuffer(q_ids, np.int64), shortlist)
-                    unit = filled(np.frombuffer(q).reshape(len(lists.ids), -1), ASKED)
+                        yield lists.frame()
+                    block, lists = q_rows, Shortlists(np.frombuffer(q_rows, np.int64), shortlist)
+                    unit = filled(np.frombuffer(q).reshape(len(lists.asked), -1), ASKED)
                 n = len(ids) // 8
                 scores = index.value.scores(unit, np.frombuffer(packed, np.uint8).reshape(n, -1), np.frombuffer(norms, np.float32))
-                lists.add(np.frombuffer(ids, np.int64), scores[: len(lists.ids)])
+                lists.add(np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), scores[: len(lists.asked)])
         if lists is not None:
-            yield lists.rows()
+            yield lists.frame()
 
     with arrow_rows(spark, 32):  # each row holds two blocks
-        rough = stage(queries.crossJoin(codes).mapInPandas(near, "query_id long, vec_id long, rough float"), "rough")
-    chosen = stage(_first(rough, "rough", shortlist).select("query_id", "vec_id"), "chosen")
+        rough = stage(queries.crossJoin(codes).mapInPandas(near, "query_row long, row long, vec_id long, rough float"), "rough")
+    chosen = stage(_first(rough, "rough", shortlist).select("query_row", "row"), "chosen")
 
     @F.pandas_udf("double")
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -196,8 +204,8 @@ def search(
         a, b = np.stack(x.to_list()), np.stack(y.to_list())
         return pd.Series((a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)))
 
-    theirs, ours = vectors.select(F.col("id").alias("vec_id"), "v"), asked.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    exact = chosen.join(theirs, "vec_id").join(ours, "query_id").select("query_id", "vec_id", cosine("q", "v").alias("score"))
+    theirs, ours = vectors.select("row", F.col("id").alias("vec_id"), "v"), asked.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = chosen.join(theirs, "row").join(ours, "query_row").select("query_row", "row", "query_id", "vec_id", cosine("q", "v").alias("score"))
     best = stage(_first(exact, "score", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
-    discard(vectors, codes, queries, rough, chosen)
+    discard(staged, codes, queries, rough, chosen)
     return best

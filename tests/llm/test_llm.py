@@ -571,6 +571,22 @@ def test_nearest(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
 
 
+def test_nearest_with_repeated_ids_and_vectors_of_another_length(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(400, 8))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
+    rows += [(50, vectors[7].tolist(), "x"), (50, vectors[7].tolist(), "x"), (7, vectors[9].tolist(), "x"), (100, [1.0] * 5, "x"), (401, [2.0] * 9, "x"), (402, [], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    known = [(i, np.array(v)) for i, v, _ in rows if len(v) == 8]
+    want = []
+    for at, (q, x_) in enumerate(known):
+        if q % 50 == 0:
+            near = sorted((-round(x_ @ y / np.linalg.norm(x_) / np.linalg.norm(y), 9), i) for k, (i, y) in enumerate(known) if k != at)[:5]
+            want += [(q, n + 1, i, -c) for n, (c, i) in enumerate(near)]
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.search(df, books=8, words=64).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # 10
 
 
