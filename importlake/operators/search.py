@@ -84,31 +84,99 @@ def vector_topk(emb: DataFrame, vector: Column, k: int, gate: Column | None = No
     return vector_scores(rows, vector).orderBy(F.desc("semantic_score"), "sku_name", "vec_id").limit(k)
 
 
-#: Vectors of a block of queries and of a block of references.
-ASKED, KNOWN = 256, 4096
+#: Vectors of a block of queries and of a block of references; references looked at beforehand, and how many of them are pivots.
+ASKED, KNOWN, LOOKED_AT, PIVOTS = 256, 4096, 2048, 64
+#: Angles are compared with this tolerance, well above what rounding makes of them.
+ANGLE_SLACK = 1e-6
 
 
-def _blocks(rows: DataFrame, ids: str, size: int, name: str) -> DataFrame:
-    """Rows of up to ``size`` packed ids and unit vectors; vectors that are null, zero or hold a null or a non-finite number are left out."""
+def _usable(rows: DataFrame, ids: str) -> DataFrame:
+    """(i, v) of the vectors that aren't null or zero and hold no null or non-finite number."""
     v = F.transform("embedding", lambda e: e.cast("double"))
     finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
-    usable = rows.select(F.col(ids).cast("long").alias("i"), v.alias("v")).where(F.forall("v", finite) & F.exists("v", lambda e: e != 0))
+    return rows.select(F.col(ids).cast("long").alias("i"), v.alias("v")).where(F.forall("v", finite) & F.exists("v", lambda e: e != 0))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _unit(vectors: Iterable) -> np.ndarray:
+    v = np.stack(list(vectors))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _pivots(known: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the vectors, each as far as can be from those chosen before."""
+    chosen, far = [0], _angles(known, known[:1])[:, 0]
+    while len(chosen) < min(n, len(known)) and far.max() > ANGLE_SLACK:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _angles(known, known[chosen[-1:]])[:, 0])
+    return known[chosen]
+
+
+def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(cell, i, v): unit vectors with the number of their nearest pivot, those of a cell together; a cell of many rows spans partitions."""
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), size):
-                part = b.iloc[at : at + size]
-                x_ = np.stack(part["v"].to_list())
-                yield pd.DataFrame({f"{name}_ids": [part["i"].to_numpy(np.int64).tobytes()], f"{name}_v": [(x_ / np.linalg.norm(x_, axis=1, keepdims=True)).tobytes()]})
+            if len(b):
+                v = _unit(b["v"])
+                yield pd.DataFrame({"cell": _angles(v, pivots).argmin(1).astype(np.int32), "i": b["i"], "v": list(v)})
+
+    return rows.mapInPandas(assign, "cell int, i long, v array<double>").repartitionByRange("cell", "i").sortWithinPartitions("cell", "i")
 
-    return usable.mapInPandas(pack, f"{name}_ids binary, {name}_v binary")
 
+def _runs(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Pieces of up to ``size`` rows of one cell."""
+    for b in batches:
+        for _, rows in b.groupby("cell", sort=False):
+            for at in range(0, len(rows), size):
+                yield rows.iloc[at : at + size]
 
-def knn(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """The ``k`` references nearest to each query: (query_id, ref_id, score, rank), ties to the smaller id.
 
-    Every block of queries meets every block of references in one product of matrices, which sends on ``k`` rows for each query; a window
-    limit cuts those to the best. Neither side is broadcast.
+def knn_blocks(queries: DataFrame, references: DataFrame, k: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, Column] | None:
+    """Blocks of queries, blocks of references, and the test of which of them must meet; None without any reference.
+
+    Up to ``LOOKED_AT`` references, the first by a hash of their ids, give each query a bound: its ``k`` nearest are no farther than its ``k``-th nearest
+    among these. A reference's angle to its pivot and the query's to that pivot differ by no more than the angle between the two, so a block whose
+    angles are all too far from the queries' is left out, and no nearest reference is lost.
+    """
+    known = _usable(references, "vec_id")
+    seen = known.orderBy(F.xxhash64("i"), "i").limit(LOOKED_AT).collect()
+    if not seen:
+        return None
+    sizes = [len(r.v) for r in seen]
+    d = max(set(sizes), key=lambda n: (sizes.count(n), n))
+    sample = _unit(r.v for r in seen if len(r.v) == d)
+    centres = _pivots(sample, pivots)
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _runs(batches, ASKED):
+            v = np.stack(b["v"].to_list())
+            to, near = _angles(v, centres), _angles(v, sample)
+            far = float(np.partition(near, k - 1, axis=1)[:, k - 1].max()) if len(sample) >= k else np.pi
+            yield pd.DataFrame({"q_ids": [b["i"].to_numpy(np.int64).tobytes()], "q_v": [v.tobytes()], "q_low": [to.min(0)], "q_high": [to.max(0)], "q_far": [far]})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _runs(batches, KNOWN):
+            v, cell = np.stack(b["v"].to_list()), int(b["cell"].iloc[0])
+            to = _angles(v, centres[cell : cell + 1])
+            yield pd.DataFrame({"r_ids": [b["i"].to_numpy(np.int64).tobytes()], "r_v": [v.tobytes()], "cell": [cell], "r_low": [float(to.min())], "r_high": [float(to.max())]})
+
+    alike = F.size("v") == d
+    q = _cells(_usable(queries, "query_id").where(alike), centres).mapInPandas(asked, "q_ids binary, q_v binary, q_low array<double>, q_high array<double>, q_far double")
+    r = _cells(known.where(alike), centres).mapInPandas(packed, "r_ids binary, r_v binary, cell int, r_low double, r_high double")
+    apart = F.greatest(F.get("q_low", F.col("cell")) - F.col("r_high"), F.col("r_low") - F.get("q_high", F.col("cell")))
+    return q, r, apart <= F.col("q_far") + ANGLE_SLACK
+
+
+def knn(queries: DataFrame, references: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """The ``k`` references nearest to each query by cosine: (query_id, ref_id, score, rank), ties to the smaller id. Exact.
+
+    Blocks of queries meet those blocks of references that can hold one of their nearest, by angles to pivots, in one product of matrices, which sends
+    on ``k`` rows for each query; a window limit cuts those to the best. Vectors of another length than most of the references looked at beforehand
+    have, and null, zero or non-finite ones, take no part. Neither side is broadcast by force.
     """
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,9 +188,14 @@ def knn(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(qi, top.shape[1]), "ref_id": ri[order][top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
 
-    met = _blocks(queries, "query_id", ASKED, "q").crossJoin(_blocks(references, "vec_id", KNOWN, "r"))
+    kind = "query_id long, ref_id long, score double"
+    blocks = knn_blocks(queries, references, k, pivots)
+    if blocks is None:
+        return queries.sparkSession.createDataFrame([], kind + ", rank int")
+    q, r, meet = blocks
+    met = q.join(r, meet).select("q_ids", "q_v", "r_ids", "r_v")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id"))
-    return met.mapInPandas(near, "query_id long, ref_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k)
+    return met.mapInPandas(near, kind).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def relevance(df: DataFrame, intent: Intent, weights: dict[str, float] | None = None) -> DataFrame:
