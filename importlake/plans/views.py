@@ -8,6 +8,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from importlake.sources.staging import staged
+
 AS_OF = datetime.date(2001, 6, 30)
 TOP_RETAILERS = ["MACHINERY-0", "BUILDING-0", "AUTOMOBILE-0", "FURNITURE-0", "HOUSEHOLD-0"]
 
@@ -116,7 +118,8 @@ class Tables:
 
     @cached_property
     def cia(self) -> DataFrame:
-        return self.view("country_item_amount", import_history=self.ih)
+        """Written once: it is small, made from all records, and queries read it several times."""
+        return staged(self.view("country_item_amount", import_history=self.ih))
 
     @cached_property
     def psi(self) -> DataFrame:

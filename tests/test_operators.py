@@ -216,3 +216,13 @@ def test_canonical_importer_cleans_a_name_once(spark):
         assert r.i == (plain(legal.lower(), r.n.strip(" ").lower()) or legal if legal else None)
         bare = (r.n or "").strip()
         assert r.a == (plain(bare.lower(), bare.lower()) or bare if bare else None)
+
+
+def test_country_amounts_are_made_from_the_records_once(spark):
+    """What reads the amounts sees a plain scan, however often, not the join of all records again."""
+    t = Tables(spark, SF)
+    amounts = t.cia
+    plan = costing.resolve_origin(amounts.select(F.col("item_name").alias("item"), F.col("country").alias("origin")), amounts, ["NATION_1"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "l_orderkey" not in plan
+    again = t.view("country_item_amount", import_history=t.ih)
+    assert sorted(map(tuple, amounts.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
