@@ -1,10 +1,11 @@
-"""Operator 9: approximate nearest neighbours by additive quantisation.
+"""Operator 9: nearest neighbours by additive quantisation.
 
 A unit vector is approximated by a sum of code words, one from each of several codebooks whose words have all dimensions.
 Codebooks are learned one after another on what the ones before leave over; a vector is encoded by a beam search over
-them. The norm of its approximation is stored. A query scores a vector by one table entry for each code word, over that
-norm; each query's best by this score, over all vectors, are then scored exactly on the original vectors. Queries and
-codes are tables of blocks, so neither passes through the driver.
+them. Its distance to its approximation is stored. A query scores a vector by one table entry for each code word; the cosine
+is at most that distance above. A query's best by this score are scored exactly on the original vectors first; then all that could still
+be nearer than those by their distance, so none is missed, however much alike vectors are. Queries and codes are tables of
+blocks, so neither passes through the driver.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from importlake.llm.common import arrow_rows, discard, in_sample, sample_share, stage
 
 
-#: Vectors are encoded, and queries scored, in blocks that are filled up to these sizes, so that rounding doesn't hang on how rows are dealt out.
-ENCODED, ASKED, SCORED = 1024, 256, 4096
+#: Vectors are encoded, and queries scored, in blocks of up to these sizes; a block of scored vectors has at most this many components.
+ENCODED, ASKED, SCORED, COMPONENTS = 1024, 256, 4096, 1 << 17
+#: What rounding can add to a score by tables, whose entries are of single precision, and to one by a product of matrices.
+SLACK, EXACT_SLACK = 1e-5, 1e-9
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -59,7 +62,7 @@ class Index:
     books: np.ndarray  # codebook, word, dimension
 
     def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and the norms of the approximations. The beam keeps the ``beam`` nearest partial sums after each codebook."""
+        """Codes and the distances to the approximations. The beam keeps the ``beam`` nearest partial sums after each codebook."""
         n, size = len(x), self.books.shape[1]
         rest, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
         for words in self.books:
@@ -72,15 +75,14 @@ class Index:
             rest = np.take_along_axis(rest, old[:, :, None], 1) - words[word]
             codes = np.concatenate([np.take_along_axis(codes, old[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
         best = (rest**2).sum(2).argmin(1)
-        approximation = x - rest[np.arange(n), best]
-        return codes[np.arange(n), best], np.linalg.norm(approximation, axis=1)
+        return codes[np.arange(n), best], np.linalg.norm(rest[np.arange(n), best], axis=1)
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """(queries, vectors): table entries summed over the codebooks, over the stored norm."""
+    def scores(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(queries, vectors): table entries summed over the codebooks."""
         total = np.zeros((len(queries), len(codes)), np.float32)
         for m, words in enumerate(self.books):
             total += (queries @ words.T).astype(np.float32)[:, codes[:, m]]
-        return total / np.maximum(norms, 1e-12).astype(np.float32)
+        return total
 
 
 def train(vectors: DataFrame, books: int = 8, words: int = 256, max_rows: int = 16_384, rounds: int = 8, seed: int = 5) -> Index:
@@ -97,115 +99,123 @@ def train(vectors: DataFrame, books: int = 8, words: int = 256, max_rows: int =
     return Index(np.array(out))
 
 
-def filled(x: np.ndarray, rows: int) -> np.ndarray:
-    return np.concatenate([x, np.zeros((rows - len(x), x.shape[1]), x.dtype)])
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _code_blocks(vectors: DataFrame, index, beam: int) -> DataFrame:
-    """A staged table of blocks of up to SCORED vectors: their rows, ids, codes and norms, packed."""
+    """A staged table of blocks of vectors: their rows, ids, codes, distances to the approximations, and the vectors themselves, packed."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = min(SCORED, max(1, COMPONENTS // max(1, index.value.books.shape[2])))
         for b in batches:
-            for lo in range(0, len(b), SCORED):
-                part, coded = b.iloc[lo : lo + SCORED], []
-                for at in range(0, len(part), ENCODED):
-                    x = np.stack(part["v"].iloc[at : at + ENCODED].to_list())
-                    codes, norms = index.value.encode(filled(x / np.linalg.norm(x, axis=1, keepdims=True), ENCODED), beam)
-                    coded.append((codes[: len(x)], norms[: len(x)].astype(np.float32)))
-                yield pd.DataFrame({"rows": [part["row"].to_numpy(np.int64).tobytes()], "ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [np.concatenate([c for c, _ in coded]).tobytes()], "norms": [np.concatenate([n for _, n in coded]).tobytes()]})
+            for lo in range(0, len(b), size):
+                part = b.iloc[lo : lo + size]
+                x = np.stack(part["v"].to_list())
+                coded = [index.value.encode(unit(x[at : at + ENCODED]), beam) for at in range(0, len(x), ENCODED)]
+                yield pd.DataFrame({"rows": [part["row"].to_numpy(np.int64).tobytes()], "ids": [part["id"].to_numpy(np.int64).tobytes()], "codes": [np.concatenate([c for c, _ in coded]).tobytes()], "gaps": [np.concatenate([g for _, g in coded]).astype(np.float32).tobytes()], "v": [x.tobytes()]})
 
-    return stage(vectors.mapInPandas(encode, "rows binary, ids binary, codes binary, norms binary"), "encoded")
+    return stage(vectors.mapInPandas(encode, "rows binary, ids binary, codes binary, gaps binary, v binary"), "encoded")
 
 
 def _query_blocks(asked: DataFrame) -> DataFrame:
-    """A staged table of blocks of up to ASKED unit vectors and their rows, packed."""
+    """A staged table of blocks of up to ASKED vectors, their rows and ids, packed."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), ASKED):
-                x = np.stack(b["v"].iloc[lo : lo + ASKED].to_list())
-                yield pd.DataFrame({"q_rows": [b["row"].iloc[lo : lo + ASKED].to_numpy(np.int64).tobytes()], "q": [(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()]})
-
-    return stage(asked.mapInPandas(pack, "q_rows binary, q binary"), "asked")
-
-
-class Shortlists:
-    """The best rows of each query of a block by score, ties to the smaller id, then row, over all code blocks that are added."""
-
-    def __init__(self, rows: np.ndarray, size: int):
-        self.asked, self.size = rows, size
-        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))] * len(rows)
-
-    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores[self.asked[:, None] == rows] = -np.inf
-        for i, values in enumerate(scores):
-            had_rows, had_ids, had = self.best[i]
-            least = had[-1] if len(had) == self.size else -np.inf
-            if len(values) > self.size:
-                least = max(least, np.partition(values, len(values) - self.size)[len(values) - self.size])
-            at = np.flatnonzero((values >= least) & (values > -np.inf))
+                part = b.iloc[lo : lo + ASKED]
+                yield pd.DataFrame({"q_rows": [part["row"].to_numpy(np.int64).tobytes()], "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q": [np.stack(part["v"].to_list()).tobytes()]})
+
+    return stage(asked.mapInPandas(pack, "q_rows binary, q_ids binary, q binary"), "asked")
+
+
+class Nearest:
+    """The ``k`` nearest of each query of a block by cosine, ties to the smaller id, then row, over all code blocks that are added."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, shortlist: int):
+        self.rows, self.ids, self.vectors, self.k, self.shortlist = rows, ids, vectors, k, max(k, shortlist)
+        self.norms, self.unit = np.linalg.norm(vectors, axis=1), unit(vectors)
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(rows)
+
+    def _score(self, i: int, at: np.ndarray, block: tuple) -> None:
+        """Score the vectors ``at`` places of a block exactly and keep the best."""
+        rows, ids, v, norms = block
+        had_rows, had_ids, had = self.best[i]
+        found = (v[at] * self.vectors[i]).sum(1) / (self.norms[i] * norms[at])
+        parts = np.concatenate([had_rows, rows[at]]), np.concatenate([had_ids, ids[at]]), np.concatenate([had, found])
+        order = np.lexsort((parts[0], parts[1], -parts[2]))[: self.k]
+        self.best[i] = tuple(p[order] for p in parts)
+
+    def _least(self, i: int) -> float:
+        """What a cosine has to reach to be among the best."""
+        return self.best[i][2][-1] if len(self.best[i][2]) == self.k else -np.inf
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, rough: np.ndarray, gaps: np.ndarray) -> None:
+        """Add a block of vectors with their scores by tables, which are off by at most ``gaps``."""
+        norms = np.linalg.norm(v, axis=1)
+        block = rows, ids, v, norms
+        rough[self.rows[:, None] == rows] = -np.inf
+        first = min(self.shortlist, len(rows))
+        heads = np.argpartition(rough, len(rows) - first, axis=1)[:, len(rows) - first :]
+        most = rough + (gaps + SLACK)
+        for i, at in enumerate(heads):
+            at = at[most[i, at] >= self._least(i)]
+            at = at[rough[i, at] > -np.inf]
             if len(at):
-                parts = np.concatenate([had_rows, rows[at]]), np.concatenate([had_ids, ids[at]]), np.concatenate([had, values[at]])
-                order = np.lexsort((parts[0], parts[1], -parts[2]))[: self.size]
-                self.best[i] = tuple(p[order] for p in parts)
+                self._score(i, at, block)
+                rough[i, at] = -np.inf
+        least = np.array([self._least(i) for i in range(len(self.rows))])[:, None]
+        open_ = (rough > -np.inf) & (most >= least)
+        if 8 * open_.sum() > open_.size:
+            # Codes tell these vectors apart too little: their cosines by a product of matrices leave few to be scored one by one.
+            open_ &= self.unit @ (v / norms[:, None]).T >= least - EXACT_SLACK
+        for i in np.flatnonzero(open_.any(axis=1)):
+            self._score(i, np.flatnonzero(open_[i]), block)
 
     def frame(self) -> pd.DataFrame:
         rows, ids, scores = (np.concatenate(p) for p in zip(*self.best))
-        return pd.DataFrame({"query_row": np.repeat(self.asked, [len(x) for x, _, _ in self.best]), "row": rows, "vec_id": ids, "rough": scores})
-
-
-def _first(found: DataFrame, by: str, most: int) -> DataFrame:
-    """The ``most`` rows of each query with the largest ``by``, with their ``rank``; ties go to the smaller id."""
-    order = Window.partitionBy("query_row").orderBy(F.desc(by), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        each = [len(x) for x, _, _ in self.best]
+        return pd.DataFrame({"query_row": np.repeat(self.rows, each), "query_id": np.repeat(self.ids, each), "row": rows, "vec_id": ids, "score": scores})
 
 
 def search(
-    embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 24, words: int = 256, beam: int = 4, shortlist: int = 200
+    embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 24, words: int = 256, beam: int = 4, shortlist: int = 40
 ) -> DataFrame:
-    """Return (query_id, rank, vec_id, score): the ``k`` nearest found of each query, the rows whose id ``every`` divides.
+    """Return (query_id, rank, vec_id, score): the ``k`` nearest of each query, the rows whose id ``every`` divides.
 
     Every row but the query's own is a candidate; nearness is the cosine in double precision, ties go to the smaller id.
     Vectors that are null, of length zero, or that hold a null or a non-finite component take no part; neither do null ids.
     Rows of one id are candidates, and queries, each of its own. Vectors with another number of components than most have take no part. Other columns
-    are not read. Fewer candidates than ``k`` are all returned. An empty table gives an empty result. Blocks of queries meet blocks of codes; a task sends on the ``shortlist`` best of each of its queries
-    by table score, and the ``shortlist`` best over all tasks are scored exactly, so the result doesn't hang on how rows are dealt out.
+    are not read. Fewer candidates than ``k`` are all returned. An empty table gives an empty result. Blocks of queries meet blocks of codes. Of each
+    block a query's ``shortlist`` best by table score are scored exactly first, then all whose bound reaches the ``k``-th of them; a task sends on ``k`` rows for
+    each query, so the result hangs neither on the codes nor on how rows are dealt out.
     """
     spark = embeddings.sparkSession
     staged = stage(usable(embeddings, id_col, vector_col), "vectors")
     vectors = alike(staged)
     index = spark.sparkContext.broadcast(train(vectors, books, words))
-    asked = vectors.where(F.col("id") % every == 0)
-    codes, queries = _code_blocks(vectors, index, beam), _query_blocks(asked)
+    codes, queries = _code_blocks(vectors, index, beam), _query_blocks(vectors.where(F.col("id") % every == 0))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, lists, unit = b"", None, None
+        block, lists = b"", None
         for b in batches:
-            for q_rows, q, rows, ids, packed, norms in zip(*[b[c] for c in ("q_rows", "q", "rows", "ids", "codes", "norms")]):
+            for q_rows, q_ids, q, rows, ids, packed, gaps, v in zip(*[b[c] for c in ("q_rows", "q_ids", "q", "rows", "ids", "codes", "gaps", "v")]):
                 if lists is None or q_rows != block:
                     if lists is not None:
                         yield lists.frame()
-                    block, lists = q_rows, Shortlists(np.frombuffer(q_rows, np.int64), shortlist)
-                    unit = filled(np.frombuffer(q).reshape(len(lists.asked), -1), ASKED)
+                    n = len(q_rows) // 8
+                    block, lists = q_rows, Nearest(np.frombuffer(q_rows, np.int64), np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(n, -1), k, shortlist)
                 n = len(ids) // 8
-                scores = index.value.scores(unit, np.frombuffer(packed, np.uint8).reshape(n, -1), np.frombuffer(norms, np.float32))
-                lists.add(np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), scores[: len(lists.asked)])
+                rough = index.value.scores(lists.unit, np.frombuffer(packed, np.uint8).reshape(n, -1))
+                lists.add(np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(n, -1), rough, np.frombuffer(gaps, np.float32))
         if lists is not None:
             yield lists.frame()
 
-    with arrow_rows(spark, 32):  # each row holds two blocks
-        rough = stage(queries.crossJoin(codes).mapInPandas(near, "query_row long, row long, vec_id long, rough float"), "rough")
-    chosen = stage(_first(rough, "rough", shortlist).select("query_row", "row"), "chosen")
-
-    @F.pandas_udf("double")
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        a, b = np.stack(x.to_list()), np.stack(y.to_list())
-        return pd.Series((a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)))
-
-    theirs, ours = vectors.select("row", F.col("id").alias("vec_id"), "v"), asked.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("q"))
-    exact = chosen.join(theirs, "row").join(ours, "query_row").select("query_row", "row", "query_id", "vec_id", cosine("q", "v").alias("score"))
-    best = stage(_first(exact, "score", k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
-    discard(staged, codes, queries, rough, chosen)
+    with arrow_rows(spark, 8):  # each row holds two blocks
+        found = stage(queries.crossJoin(codes).mapInPandas(near, "query_row long, query_id long, row long, vec_id long, score double"), "found")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    best = stage(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(staged, codes, queries, found)
     return best

@@ -587,6 +587,30 @@ def test_nearest_with_repeated_ids_and_vectors_of_another_length(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["narrow clusters", "many dimensions", "near copies"])
+def test_nearest_on_rows_that_codes_tell_apart_badly(spark, kind):
+    """Groups larger than the short list whose members the codes hardly tell apart, and vectors with more components than the codes have bits for."""
+    rng = np.random.default_rng(11)
+    if kind == "narrow clusters":
+        centres = rng.normal(size=(12, 48))
+        vectors = centres[rng.integers(0, 12, 4000)] + 0.02 * rng.normal(size=(4000, 48))
+    elif kind == "many dimensions":
+        vectors = rng.normal(size=(3000, 300))
+    else:
+        vectors = rng.normal(size=(3000, 32))
+        vectors[100:2000] = vectors[0] + 1e-6 * rng.normal(size=(1900, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(df, every=100, books=4, words=32).collect()}
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(0, len(vectors), 100):
+        away = ((units - units[q]) ** 2).sum(1)  # in the order of the cosines, and finer
+        away[q] = np.inf
+        mine = [got[q, n] for n in range(1, 6)]
+        cosine = lambda i: (vectors[i] * vectors[q]).sum() / np.linalg.norm(vectors[i]) / np.linalg.norm(vectors[q])
+        assert len(set(mine)) == 5 and q not in mine
+        assert all(cosine(i) >= cosine(j) - 1e-14 for i, j in zip(mine, np.argsort(away)[:5]))
+
+
 # 10
 
 
