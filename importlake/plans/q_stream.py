@@ -49,7 +49,7 @@ def ingested(t):
     out, raw = scratch(t), t.raw("lineitem")
 
     def records(rows):
-        return Tables(rows.sparkSession, t.sf_dir).view("import_history", "orders", "customer", "part", "supplier", "nation", lineitem=rows)
+        return Tables(rows.sparkSession, t.sf_dir).records(rows)
 
     for k in range(3):
         raw.where(F.pmod("l_orderkey", F.lit(3)) == k).write.mode("append").parquet(f"{out}/feed")

@@ -226,3 +226,16 @@ def test_country_amounts_are_made_from_the_records_once(spark):
     assert "Join" in plan and "l_orderkey" not in plan
     again = t.view("country_item_amount", import_history=t.ih)
     assert sorted(map(tuple, amounts.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+
+
+def test_line_items_meet_orders_that_have_their_customers(spark):
+    """The join with the customers is done before the line items come in, so it deals out none of them."""
+    lines = Tables(spark, SF).ih._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(lines) if "Join Inner, (c_custkey" in line)
+    depth = lines[at].index("Join")
+    below = []
+    for line in lines[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    assert "o_orderkey" in "".join(below) and "l_orderkey" not in "".join(below)
