@@ -56,10 +56,14 @@ def with_market_status(groups: DataFrame) -> DataFrame:
     return groups.withColumn("market_status", _status(F.min("importer").over(same), F.max("importer").over(same)))
 
 
-def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -> DataFrame:
-    """A row for each SKU, importer, factory and country: counts, dates, counts of the three years before ``as_of``."""
+def sku_groups(ih: DataFrame, as_of: datetime.date) -> DataFrame:
+    """The rows of the SKU history without market status, with what ``factories_of_groups`` needs besides."""
+    return _history(ih, as_of, F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"))
+
+
+def _history(ih: DataFrame, as_of: datetime.date, *more: Column) -> DataFrame:
     day = effective_date()
-    out = ih.groupBy(*SKU_KEYS).agg(
+    return ih.groupBy(*SKU_KEYS).agg(
         F.count("*").alias("import_count"),
         F.min("email").alias("email"),
         F.min(day).alias("first_import"),
@@ -69,12 +73,26 @@ def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -
         F.max("hs_code").alias("hs_code"),
         F.max("unit").alias("unit"),
         F.bool_or(F.col("oem_status").isNotNull()).alias("oem_possible"),
+        *more,
     )
+
+
+def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -> DataFrame:
+    """A row for each SKU, importer, factory and country: counts, dates, counts of the three years before ``as_of``."""
+    out = _history(ih, as_of)
     if not with_status:
         return out.withColumn("market_status", F.lit(None).cast("string"))
     return with_market_status(out)
 
 
+def factories_of_groups(groups: DataFrame) -> DataFrame:
+    """``sku_factory`` from groups at the grain of the SKU history, whose keys have the importers and the import types."""
+    return groups.groupBy(*FACTORY_KEYS).agg(
+        F.sum("import_count").alias("import_count"), F.min("email").alias("email"), F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"),
+        F.array_sort(F.collect_set("importer")).alias("importers"), F.array_sort(F.collect_set("import_type")).alias("import_types"),
+    )
+
+
 def sku_factory(ih: DataFrame) -> DataFrame:
     """A row for each SKU and factory: count, contact data and the importers and types that occur."""
     return ih.groupBy(*FACTORY_KEYS).agg(

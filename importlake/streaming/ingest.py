@@ -91,10 +91,7 @@ def refresh_market(spark: SparkSession, out: str) -> DataFrame:
 
 def refresh_factories(spark: SparkSession, out: str) -> DataFrame:
     """The factories of what has been ingested."""
-    return merged_history(spark, out).groupBy(*h.FACTORY_KEYS).agg(
-        F.sum("import_count").alias("import_count"), F.min("email").alias("email"), F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"),
-        F.array_sort(F.collect_set("importer")).alias("importers"), F.array_sort(F.collect_set("import_type")).alias("import_types"),
-    )
+    return h.factories_of_groups(merged_history(spark, out))
 
 
 def stream_counts(stream: DataFrame, time: str, keys: list[str], window: str = "1 day", delay: str = "1 day") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from importlake.functions import text as x
 from importlake.operators import containing, costing, history, matching, ranking, retail, search
 from importlake.plans.views import AS_OF, TOP_RETAILERS, Tables
-from importlake.sources import files, tables
+from importlake.sources import files, tables, versions
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,3 +239,22 @@ def test_line_items_meet_orders_that_have_their_customers(spark):
             break
         below.append(line)
     assert "o_orderkey" in "".join(below) and "l_orderkey" not in "".join(below)
+
+
+def test_refresh_reads_the_records_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(v):
+        read.add(1)
+        return v
+
+    ih = Tables(spark, SF).ih
+    n = ih.count()
+    tables.refresh(ih.withColumn("category", seen("category")), str(tmp_path / "out"), AS_OF)
+    assert read.value == n  # twice before
+    kept = lambda df: sorted(map(tuple, df.collect()), key=str)
+    own = versions.read(spark, str(tmp_path / "out"), "sku_factory")
+    assert own.columns == history.sku_factory(ih).columns and kept(own) == kept(history.sku_factory(ih))
+    own = versions.read(spark, str(tmp_path / "out"), "sku_history")
+    assert own.columns == history.sku_history(ih, AS_OF).columns and kept(own) == kept(history.sku_history(ih, AS_OF))
