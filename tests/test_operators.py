@@ -251,7 +251,7 @@ def test_refresh_reads_the_records_once(spark, tmp_path):
 
     ih = Tables(spark, SF).ih
     n = ih.count()
-    tables.refresh(ih.withColumn("category", seen("category")), str(tmp_path / "out"), AS_OF)
+    tables.refresh(ih.withColumn("sku_name", seen("sku_name")), str(tmp_path / "out"), AS_OF)
     assert read.value == n  # twice before
     kept = lambda df: sorted(map(tuple, df.collect()), key=str)
     own = versions.read(spark, str(tmp_path / "out"), "sku_factory")
