@@ -184,14 +184,14 @@ def unpivot_cards(cells: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Cells (sheet, row, col, value) of cards to a row for each card.
 
     A block begins with a row whose first cell is ``type: name``, has a retailer in the row below, then rows of a label and
-    values, one column for each rank. Cards without brand go.
+    values, one column for each rank. Cards without brand go. The labels, one for each row of a sheet, are broadcast; the values stay dealt out.
     """
     head = cells.where("col = 0").select("sheet", "row", F.col("value").alias("label"))
     w = Window.partitionBy("sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     kind = F.when(F.col("label").startswith("type: "), F.substring("label", 7, 1000))
     shop = F.when(F.col("label").startswith("retailer: "), F.substring("label", 11, 1000))
     block = head.withColumns({"product_type": F.last(kind, True).over(w), "retailer": F.last(shop, True).over(w), "block": F.sum(shop.isNotNull().cast("int")).over(w), "field": x.classify_label(F.col("label"), labels)})
-    values = cells.where("col > 0").join(block.where("field is not null"), ["sheet", "row"])
+    values = cells.where("col > 0").join(F.broadcast(block.where("field is not null")), ["sheet", "row"])
     fields = sorted(set(labels.values()))
     wide = values.groupBy("sheet", "block", "product_type", "retailer", F.col("col").alias("rank")).pivot("field", fields).agg(F.first("value", True))
     return wide.where(x.blank_to_null(F.col("brand")).isNotNull()).drop("sheet", "block")

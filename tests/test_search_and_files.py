@@ -118,3 +118,12 @@ def test_labels_flags_and_lists(spark):
     assert [r[0] for r in df.select(retail.ineligible(F.col("n"), F.col("b"), F.col("k"))).collect()] == [True, True, True, False, False]
     codes = spark.createDataFrame([("kr",), ("K1",), (None,)], "code string")
     assert [r[0] for r in codes.select(retail.flag(F.col("code"))).collect()] == ["🇰🇷", "🏳️", "🏳️"]
+
+
+def test_labels_of_cards_are_broadcast_and_their_values_stay_dealt_out(spark):
+    labels = [("s", 0, 0, "type: oil"), ("s", 1, 0, "retailer: aeon"), ("s", 2, 0, "Brand"), ("s", 3, 0, "Name")]
+    cells = spark.createDataFrame(labels + [("s", r, c, f"{r}-{c}") for r in (2, 3) for c in range(1, 60)], "sheet string, row int, col int, value string")
+    out = files.unpivot_cards(cells.repartition(4), {"Brand": "brand", "Name": "name"})
+    assert {tuple(r) for r in out.collect()} == {("oil", "aeon", c, f"2-{c}", f"3-{c}") for c in range(1, 60)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
