@@ -12,6 +12,7 @@ kept besides; should two have one hash, another seed is taken, so the counts are
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from importlake.llm.common import arrow_rows, bitmap, discard, setting, stage
+from importlake.llm.common import STAGED, arrow_rows, bitmap, discard, setting, stage
 
 #: A-Z to a-z, a tab to a space, and whatever ends a piece to a line feed.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -191,10 +192,11 @@ def count_phrases(coded: DataFrame, shards: int, least: int, longest: int = LONG
     spark = coded.sparkSession
     state = spark.createDataFrame([], "lang string, p binary, n long, since int, reached int")
     reached = spark.createDataFrame([], "lang string, p binary, reached int")
-    done, bits, old, t = reached.select("lang", "p", F.lit(0).cast("long").alias("n")), {}, None, 0
-    n_reached = 0
+    # ``everything`` that has reached the threshold, and what did so before each of the scans of a cycle.
+    everything, lasts = np.zeros(slots // 64, np.int64), deque([np.zeros(slots // 64, np.int64)], shards)
+    paths, old, t, n_reached = [], None, 0, 0
     while True:
-        everything, recent = (np.bitwise_or.reduce([np.zeros(slots // 64, np.int64)] + [b for r, b in bits.items() if r > after]) for after in (-1, t - shards))
+        recent = np.bitwise_or.reduce(lasts)
         rows = _scan(coded.where(F.col("shard") == t % shards), everything, recent, t < shards, longest)
         summed = state.unionByName(rows, allowMissingColumns=True).groupBy("lang", "p").agg(F.sum("n").alias("n"), F.max("since").alias("since"), F.max("reached").alias("reached"))
         # A phrase that isn't in the state became active as the later of its parts reached the threshold.
@@ -214,15 +216,23 @@ def count_phrases(coded: DataFrame, shards: int, least: int, longest: int = LONG
         if old is not None:
             discard(old)
         old, state = counted, counted.where(F.col("since") > t - shards)
-        kept = stage(counted.where((F.col("since") == t - shards) | (F.col("reached") == t)).hint("rebalance"), "counted")
-        done = done.unionByName(kept.where(F.col("since") == t - shards).select("lang", "p", "n"))
-        lately = kept.where((F.col("reached") == t) & (words_of(F.col("p")) < longest)).select("lang", "p", "reached")
+        kept = stage(counted.where((F.col("since") == t - shards) | (F.col("reached") == t)).withColumn("scan", F.lit(t)).hint("rebalance"), "counted")
+        lately = _reached(kept, longest)
         n_reached += lately.count()
-        bits[t] = bitmap(lately.select(_phrase_hash("lang", "p")), slots)
-        reached = reached.unionByName(lately)
-        if t >= shards and not any(b.any() for r, b in bits.items() if r > t - shards):
+        lasts.append(bitmap(lately.select(_phrase_hash("lang", "p")), slots))
+        everything = everything | lasts[-1]
+        # All scans' tables are read as one, so that the plan of a later scan is no larger.
+        paths.append(STAGED[kept])
+        every = spark.read.schema(kept.schema).parquet(*paths)
+        reached = _reached(every, longest)
+        if t >= shards and not any(b.any() for b in lasts):
             discard(old)
-            return done, t
+            return every.where(F.col("since") == F.col("scan") - shards).select("lang", "p", "n"), t
+
+
+def _reached(counted: DataFrame, longest: int) -> DataFrame:
+    """The phrases that a scan brought to the threshold and that may be part of a longer one."""
+    return counted.where((F.col("reached") == F.col("scan")) & (words_of(F.col("p")) < longest)).select("lang", "p", "reached")
 
 
 def _shared_codes(coded: DataFrame) -> bool:

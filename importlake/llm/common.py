@@ -104,9 +104,8 @@ def bitmap(hashes: DataFrame, slots: int = SLOTS) -> np.ndarray:
     slot = F.pmod(F.col(hashes.columns[0]), F.lit(slots))
     # ``shiftleft`` counts modulo 64.
     words = hashes.select(F.shiftright(slot, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.cast("int")).alias("bit"))
-    bits = np.zeros(slots // 64, np.int64)
-    for r in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r["at"]] = r.bits
+    bits, found = np.zeros(slots // 64, np.int64), words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
     return bits
 
 

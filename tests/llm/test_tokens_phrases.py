@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from importlake.llm import alignment, collocations, encoding, registry, token_files
+from importlake.llm import alignment, collocations, common, encoding, registry, token_files
 from tests.llm.test_llm import none, odd, odd_rows, prose  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +228,23 @@ def test_scores_beyond_64_bits(spark):
     big = 10**15
     df = spark.createDataFrame([(big, 3 * big, big, big + 1)], "a long, n long, l long, r long")
     assert df.select(collocations._score("a", "n", "l", "r")).first()[0] == 1000 * big * 3 * big // (big * (big + 1))
+
+
+def test_phrases_of_all_scans_are_read_as_one_table(spark):
+    """The plan of a scan, which the driver holds, doesn't grow with the scans before it."""
+    coded = collocations._coded(spark.createDataFrame([("en", "a b c d e f. a b c d e f")] * 9, "lang string, text string"), 3, 0, collocations.word_hash)
+    found, scans = collocations.count_phrases(coded, 3, 9, slots=1 << 12)
+    assert scans > 5 and found.count() == 20
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_driver_gets_a_bitmap_as_columns(spark):
+    hashes = spark.range(1 << 18).select(F.xxhash64("id").alias("h"))
+    tracemalloc.start()
+    bits = common.bitmap(hashes, 1 << 22)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected = np.zeros(1 << 22, bool)
+    expected[hashes.toPandas()["h"].to_numpy() % (1 << 22)] = True
+    assert np.array_equal(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool), expected)
+    assert most < 8 << 20  # as rows: some 20 MB
