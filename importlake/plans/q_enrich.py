@@ -50,7 +50,9 @@ NAMES = "select distinct sku_name, factory, importer, upper(sku_name) || ' ' ||
 @query("d5_enrich_english", f", n as ({NAMES}), last as (select sku_name, factory, importer, max(sku_name_en) as en from n group by 1, 2, 3) select i.sku_name, i.factory, i.importer, en as sku_name_en, count(*) as n from import_history i left join last l on i.sku_name = l.sku_name and i.factory = l.factory and i.importer = l.importer group by 1, 2, 3, 4", IH)
 def _(t):
     names = t.ih.where("mc = 'bolt'").select("sku_name", "factory", "importer", F.concat(F.upper("sku_name"), F.lit(" "), F.coalesce("importer", F.lit(""))).alias("sku_name_en"), F.length("importer").alias("ordinal")).distinct()
-    return e.enrich_english(t.ih, names).groupBy("sku_name", "factory", "importer", "sku_name_en").agg(F.count("*").alias("n"))
+    # Records of one key get one name, so they are counted before their names are joined to them.
+    counted = t.ih.groupBy("sku_name", "factory", "importer").agg(F.count("*").alias("n"))
+    return e.enrich_english(counted, names).select("sku_name", "factory", "importer", "sku_name_en", "n")
 
 
 def hs_file(t):
