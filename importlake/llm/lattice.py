@@ -67,6 +67,55 @@ class Pieces:
         return out
 
 
+class Edges:
+    """The vocabulary by hashes of its pieces and of their beginnings, for words of any lengths side by side.
+
+    A place is followed only while a piece begins like the letters from there on, which most places leave after a few.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.longest, self.by = pieces.longest, pieces.by
+        self.begins = np.zeros((self.longest + 1, 1 << 20), bool)
+        for _, codes in by_length([p for p in pieces.pieces if len(p) <= MOST]):
+            h = np.zeros(len(codes), np.uint64)
+            for n in range(1, codes.shape[1] + 1):
+                h = h * PRIME + (codes[:, n - 1].astype(np.uint64) + np.uint64(1))
+                self.begins[n, (_mix(h) >> np.uint64(44)).view(np.int64)] = True
+
+    def of(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, lengths, pieces) of the pieces that fit into ``codes``; ``left``: the letters from each place to the end of its word."""
+        letters, at, h = codes.astype(np.uint64) + np.uint64(1), np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        places, lengths, found = [at[:0]], [at[:0]], [np.zeros(0, np.int32)]
+        for n in range(1, self.longest + 1):
+            inside = left[at] >= n
+            at = at[inside]
+            h = h[inside] * PRIME + letters[at + (n - 1)]
+            m = _mix(h)
+            alive = self.begins[n][(m >> np.uint64(44)).view(np.int64)]
+            at, h, m = at[alive], h[alive], m[alive]
+            if not len(at):
+                break
+            if n in self.by:
+                hashes, ids, near = self.by[n]
+                rows = np.flatnonzero(near[(m >> np.uint64(46)).view(np.int64)])
+                m = m[rows]
+                k = np.minimum(np.searchsorted(hashes, m), len(hashes) - 1)
+                hit = hashes[k] == m
+                places.append(at[rows[hit]])
+                lengths.append(np.full(int(hit.sum()), n))
+                found.append(ids[k[hit]])
+        return np.concatenate(places), np.concatenate(lengths), np.concatenate(found)
+
+
+def by_letters(words: list[str], block: int = 1 << 17):
+    """Blocks of (positions in ``words``, their lengths, code points of all one after the other), the longest words first; empty ones are left out."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+    number = sizes[order].cumsum() // block
+    for at in np.split(order, np.flatnonzero(np.diff(number)) + 1) if len(order) else []:
+        yield at, sizes[at], np.frombuffer("".join([words[k] for k in at.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def by_length(words: list[str], block: int = 4096):
     """Blocks of (positions in ``words``, code points), each of words of one length."""
     order: dict[int, list[int]] = {}
