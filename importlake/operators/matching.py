@@ -201,6 +201,34 @@ def revise_status(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumns({"changed": ~F.col("old_status").eqNullSafe(F.col("new_status")), "pending": F.coalesce("pending", F.lit(False))})
 
 
+def revise_status_of(pairs: DataFrame, records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """As ``revise_status`` of the ``pairs`` (target, candidate, ambiguous), each with all ``records`` (candidate, sku_name, factory, importer) of its candidate.
+
+    The importers of a candidate are looked at once, not once for each of its targets: a candidate of which one factory has two settles its targets.
+    Only targets that none settles meet the factories of their candidates.
+    """
+    told = F.when(F.col("sku_name").isNotNull() & F.col("factory").isNotNull(), F.col("importer"))
+    made = records.groupBy("candidate", "factory").agg(F.min(told).alias("first"), F.max(told).alias("last"))
+    known = made.groupBy("candidate").agg(F.coalesce(F.bool_or(F.col("first") < F.col("last")), F.lit(False)).alias("parallel"), (F.count("first") > 0).alias("told"))
+    once = decisions.groupBy("target", "candidate").agg(F.min("accepted").alias("accepted"))
+    stays = F.coalesce("accepted", F.lit(True))
+    met = pairs.join(known, "candidate").join(once, ["target", "candidate"], "left")
+    # A null target meets nothing when the verdicts are joined, so it has none after the decisions.
+    met = staged(met.select("target", "candidate", "parallel", "told", (stays & F.col("target").isNotNull()).alias("stays"), (F.col("ambiguous") & F.col("accepted").isNull()).alias("pending")))
+    seen = met.groupBy("target").agg(
+        F.bool_or("parallel").alias("old_o"), F.bool_or("told").alias("old"), F.bool_or(F.expr("parallel and stays")).alias("new_o"), F.bool_or(F.expr("told and stays")).alias("new"),
+        F.bool_or(F.expr("pending and stays")).alias("pending"),
+    ).where("old")
+    open_ = seen.where("not old_o or new and not new_o").select(F.col("target").alias("__target"))
+    rows = met.where("told").join(open_, F.col("target").eqNullSafe(F.col("__target")), "left_semi").join(made.where("first is not null"), "candidate")
+    ends = rows.groupBy("target", "factory").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.min(F.expr("if(stays, first, null)")).alias("c"), F.max(F.expr("if(stays, last, null)")).alias("d"))
+    across = ends.groupBy(F.col("target").alias("__target")).agg(F.bool_or(F.expr("a < b")).alias("old_across"), F.bool_or(F.expr("c < d")).alias("new_across"))
+    out = seen.join(across, F.col("target").eqNullSafe(F.col("__target")), "left")
+    status = lambda t: F.when(F.col(f"{t}_o") | F.coalesce(f"{t}_across", F.lit(False)), "O").when(F.col(t), "X")
+    out = out.select("target", status("old").alias("old_status"), status("new").alias("new_status"), F.coalesce("pending", F.lit(False)).alias("pending"))
+    return out.withColumn("changed", ~F.col("old_status").eqNullSafe(F.col("new_status")))
+
+
 def set_mismatch(a: DataFrame, b: DataFrame, key: str, values: str) -> DataFrame:
     """Keys whose sets differ between two runs, with what each lacks. A key that a run lacks has the empty set."""
     none = F.expr("cast(array() as array<string>)")

@@ -43,10 +43,9 @@ def checked(t):
     return m.cross_check(targets(t), candidates(t))
 
 
-def matches(t, pairs):
-    """Each match with the records of its name."""
-    pairs = pairs.groupBy("target", "candidate").agg(F.bool_or("ambiguous").alias("ambiguous"))
-    return pairs.join(records(t).select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct(), "candidate")
+def told(t):
+    """The records by the name that is matched."""
+    return records(t).select(F.col("sku_name").alias("candidate"), "sku_name", "factory", "importer").distinct()
 
 
 def decisions(pairs):
@@ -144,7 +143,7 @@ def _(t):
 @query("l7_revise_status", f", {MATCHES} select target, old_status, new_status, coalesce(p.pending, false) as pending, old_status is distinct from new_status as changed from old left join new using (target) left join (select target, bool_or(pending) as pending from kept group by 1) p using (target)", PSI)
 def _(t):
     pairs = staged(checked(t))
-    return m.revise_status(matches(t, pairs), decisions(pairs))
+    return m.revise_status_of(pairs, told(t), decisions(pairs))
 
 
 LINKS = "links as (select brand_en as target, retailer as candidate, id % 3 = 0 as ambiguous, 'F' || cast(id % 4 as varchar(9)) as factory, case when id % 9 = 0 then null else 'I' || cast(id % 2 as varchar(9)) end as importer, product_name_en as sku_name from product_sourcing_item)"
