@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     names (so whole trees move, not single nodes), and then replaces a label by that label's own. Labels only fall, and
     trees join and flatten at once, so the rounds follow the logarithm of the longest path. Every table that a join
     looks up by a label, where one label may hold a third of all nodes, is a staged scan, which adaptive execution can
-    split. Rows with a null end and self-loops are no edges; a table without edges gives an empty result.
+    split. When every node's label is the smallest among its neighbours' too, neighbours have one label, and so have components:
+    that ends it, before the rest of the round. Rows with a null end and self-loops are no edges; a table without edges gives an empty result.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -23,23 +24,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")),
         "labels",
     )
-    before = labels
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        seen = stage(
-            labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("near")), "near"
-        )
+        met = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), F.col("label").alias("near"), F.lit(None).cast(labels.schema["label"].dataType).alias("label"))
+        own = labels.select("node", F.col("label").alias("near"), "label")
+        seen = stage(met.unionByName(own).groupBy("node").agg(F.max("label").alias("label"), F.min("near").alias("near")), "near")
+        if seen.where("near <> label").isEmpty():
+            discard(both, labels)
+            return seen.select("node", F.col("label").alias("component"))
         root = stage(seen.groupBy(F.col("label").alias("root")).agg(F.min("near").alias("to")), "root")
-        moved = stage(
-            seen.join(root, seen.label == root.root, "left").select("node", F.col("label").alias("old"), F.least("near", "to").alias("label")),
-            "moved",
-        )
+        moved = stage(seen.join(root, seen.label == root.root, "left").select("node", F.least("near", "to").alias("label")), "moved")
         up = moved.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        after = stage(
-            moved.join(up, moved.label == up.up, "left").select("node", "old", F.least("label", "top").alias("label")), "labels"
-        )
-        discard(before, seen, root, moved)
-        labels, before = after.select("node", "label"), after
-        if after.where("old <> label").isEmpty():
-            discard(both)
-            return labels.select("node", F.col("label").alias("component"))
+        after = stage(moved.join(up, moved.label == up.up, "left").select("node", F.least("label", "top").alias("label")), "labels")
+        discard(labels, seen, root, moved)
+        labels = after

@@ -64,20 +64,16 @@ def hexadecimal(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def _signed(x: int) -> str:
-    return f"{x - (1 << 64) if x >> 63 else x}L" if x != 1 << 63 else "shiftleft(1L, 63)"
+def popcount_cells(fingerprints: DataFrame) -> DataFrame:
+    """(fp, cell): the cell of each fingerprint's popcount vector and all cells one step away, each packed into a long.
 
-
-def popcount_cells(fp: str) -> Column:
-    """The cell of a fingerprint's popcount vector and all cells one step away, each packed into a long."""
-    low, high = f"({fp} & {_signed(0x5555555555555555)})", f"(shiftrightunsigned({fp}, 1) & {_signed(0x5555555555555555)})"
-    packed = F.expr(f"shiftleft({low} & {high}, 1) | ({low} ^ {high})")
-    cells = [packed]
-    for i in range(32):
-        count = F.shiftrightunsigned(packed, 2 * i).bitwiseAND(F.lit(3).cast("long"))
-        cells.append(F.when(count <= 1, packed.bitwiseXOR(F.expr(_signed(1 << 2 * i)))))  # 0 and 1 change places
-        cells.append(F.when(count >= 1, packed.bitwiseXOR(F.expr(_signed(3 << 2 * i)))))  # 1 and 2 change places
-    return F.array(*cells)
+    The steps are rows before they are cells, so that the code Spark generates has one step and not all 65, whose compilation took over 100 MB of the driver.
+    """
+    low, high = f"(fp & {0x5555555555555555}L)", f"(shiftrightunsigned(fp, 1) & {0x5555555555555555}L)"
+    steps = fingerprints.selectExpr("fp", f"shiftleft({low} & {high}, 1) | ({low} ^ {high}) as packed").selectExpr("fp", "packed", "explode(sequence(0, 64)) as i")
+    count = "(shiftrightunsigned(packed, i & 62) & 3L)"
+    cell = f"case when i = 64 then packed when i % 2 = 0 and {count} <= 1 then packed ^ shiftleft(1L, i) when i % 2 = 1 and {count} >= 1 then packed ^ shiftleft(3L, i - 1) end"
+    return steps.selectExpr("fp", f"{cell} as cell").where("cell is not null")  # 0 and 1 change places, or 1 and 2
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
@@ -86,15 +82,15 @@ def links(fingerprints: DataFrame) -> DataFrame:
     ``fingerprints`` has one row for each distinct ``fp``. Rows made: 49 for each fingerprint, and 65 for each that
     shares a cell with two or more others; never a product of a group with itself.
     """
-    cells = fingerprints.select("fp", F.explode(popcount_cells("fp")).alias("cell")).where("cell is not null")
+    cells = popcount_cells(fingerprints)
     shared = stage(
         cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells"
     )
     two = shared.where("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
     full = shared.where("n > 2").select("cell")
     crowd = stage(cells.join(full, "cell", "left_semi").select("fp").distinct(), "crowd")
-    flips = F.array(F.col("fp"), *[F.expr(f"fp ^ {_signed(1 << i)}") for i in range(64)])
-    keys = crowd.select("fp", F.explode(flips).alias("key"))
+    flips = crowd.selectExpr("fp", "explode(sequence(0, 64)) as i")
+    keys = flips.selectExpr("fp", "case when i = 64 then fp else fp ^ shiftleft(1L, i) end as key")
     met = stage(keys.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "keys")
     stars = keys.join(met, "key").where("fp <> a").select("a", F.col("fp").alias("b"))
     edges = stage(two.unionByName(stars).distinct(), "links")
@@ -235,6 +231,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
+            if p is None:
+                out.append(False)
+                continue
             same = len(np.intersect1d(p, q, assume_unique=True))
             out.append(same >= least * (len(p) + len(q) - same) - 1e-9)
         return pd.Series(out, dtype=bool)
@@ -243,8 +242,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     y = sets.select(F.col("n").alias("b"), F.col("hashes").alias("y"))
     near = pairs.join(x, "a").join(y, "b")
     # No more than a fifth of the larger set may be missing from the smaller, at 0.8; so sizes alone rule out many.
-    sized = near.withColumn("fit", F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")) - 1e-6)
-    checked = sized.where("fit").select("a", "b", alike("x", "y").alias("alike")).unionByName(sized.where("not fit").select("a", "b", F.lit(False).alias("alike")))
+    fit = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")) - 1e-6
+    checked = near.select("a", "b", alike(F.when(fit, F.col("x")), F.when(fit, F.col("y"))).alias("alike"))
     with arrow_rows(pairs.sparkSession, 500):  # each row holds two sets
         return stage(checked, "verified")
 
@@ -264,18 +263,16 @@ def _crowd(members: DataFrame, done: DataFrame, turn: int) -> DataFrame:
     The member with the most links is one: it may be what the others are noisy copies of. The rest are drawn by a hash of the node alone, so that
     groups draw the same ones: outside the group's largest component, since only pairs of two components are open, or in a group of two classes from the smaller class.
     """
-    ends = done.where("alike").select(F.explode(F.array("a", "b")).alias("n"))
-    degrees = stage(ends.groupBy("n").agg(F.count("*").alias("degree")), "degrees")
-    parts = members.groupBy("h", "component").agg(F.count("*").alias("of"))
-    sizes = parts.groupBy("h").agg(F.sum("of").alias("of"), F.max(F.struct("of", "component")).alias("main"))
-    known = members.join(degrees, "n", "left").groupBy("h").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), (-F.col("n")).alias("m"))).alias("top"))
-    lows = members.groupBy("h").agg(F.count_if("low").alias("lows"))
-    plan = stage(sizes.join(known, "h").join(lows, "h").selectExpr("h", "of", "of - main.of as far", "main.component as main", "-top.m as top", "lows", "2 * lows <= of as fewer"), "sizes")
+    degrees = done.where("alike").select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("degree"))
+    top = F.max(F.struct(F.coalesce("degree", F.lit(0)), (-F.col("n")).alias("m"))).alias("top")
+    parts = members.join(degrees, "n", "left").groupBy("h", "component").agg(F.count("*").alias("of"), F.count_if("low").alias("lows"), top)
+    sizes = parts.groupBy("h").agg(F.sum("of").alias("of"), F.max(F.struct("of", "component")).alias("main"), F.sum("lows").alias("lows"), F.max("top").alias("top"))
+    plan = stage(sizes.selectExpr("h", "of", "of - main.of as far", "main.component as main", "-top.m as top", "lows", "2 * lows <= of as fewer"), "sizes")
     of_class = F.when(F.col("one"), F.col("component") != F.col("main")).otherwise(F.col("low") == F.col("fewer"))
     among = F.when(F.col("one"), F.col("far")).otherwise(F.least("lows", F.col("of") - F.col("lows")))
     drawn = of_class & (F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(1 << 30)) * among < F.lit((GROWTH ** min(turn, 10) - 1) << 30))
     out = stage(members.join(plan, "h").withColumn("centre", (F.col("of") > FEW) & (drawn | (F.col("n") == F.col("top")))).drop("far", "main", "top", "lows", "fewer"), "crowd")
-    discard(degrees, plan)
+    discard(plan)
     return out
 
 
@@ -314,8 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     counted = stage(looked.groupBy("id", "mark", "node").agg(F.count("*").alias("times")), "counted")
     discard(looked)
-    heads, postings = stage(whole.select("node", "n", "first", "fp"), "heads"), _postings(whole, least)
-    discard(whole)
+    heads, postings = whole.select("node", "n", "first", "fp"), _postings(whole, least)
     pairs = _fingerprint_pairs(heads)
     asked = postings.select("n").unionByName(pairs.selectExpr("a as n")).unionByName(pairs.selectExpr("b as n")).distinct()
     wanted = stage(asked.join(heads, "n").select("n", F.col("first.id").alias("w_id"), F.col("first.mark").alias("w_mark")), "wanted")
@@ -341,9 +337,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members, done, turn = left, both, turn + 1
     classes = stage(heads.join(joined.withColumnRenamed("node", "n"), "n", "left").select("node", "first", F.coalesce("component", "n").alias("component")), "near")
     firsts = stage(classes.groupBy("component").agg(F.min("first").alias("head")), "firsts")
-    named = stage(classes.join(firsts, "component").select("node", "head"), "named")
+    named = classes.join(firsts, "component").select("node", "head")
     out = stage(counted.join(named, "node").select("id", "mark", "times", F.col("head.id").alias("group_id"), F.col("head.mark").alias("group_mark")), "groups")
-    discard(counted, heads, sets, members, done, classes, firsts, named)
+    discard(counted, whole, sets, members, done, classes, firsts)
     return out
 
 
