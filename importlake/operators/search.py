@@ -301,9 +301,13 @@ def hybrid_search(
 
 
 def match_total(history: DataFrame, matched: DataFrame) -> DataFrame:
-    """The number of matched groups, from the smaller grain of a market group."""
-    grain = history.select(*h.MARKET_KEYS).distinct()
-    return h.null_safe_join(grain, matched.select(*MATCH_KEYS), MATCH_KEYS, "inner").agg(F.count("*").alias("total"))
+    """The number of matched groups, from the smaller grain of a market group.
+
+    ``history`` may be the records instead. Rows of other products go before the rest is grouped. ``matched`` is read twice; where the plan computes it, it is better written before.
+    """
+    keys = matched.select(*MATCH_KEYS)
+    grain = h.null_safe_join(history, keys, MATCH_KEYS, "left_semi").select(*h.MARKET_KEYS).distinct()
+    return h.null_safe_join(grain, keys, MATCH_KEYS, "inner").agg(F.count("*").alias("total"))
 
 
 def search_metrics(matched: DataFrame) -> DataFrame:

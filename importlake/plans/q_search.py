@@ -71,7 +71,8 @@ MATCHED = f"""{PRODUCTS}, {NEAR}, parts as (
 
 
 def matched(t):
-    return s.matched_products(stats.products(t.ih), t.emb, ["red"], vector(t), INTENT, 30, 3, 0.3)
+    """The products are read twice, and written before as they come from all records."""
+    return s.matched_products(staged(stats.products(t.ih_hashed)), t.emb, ["red"], vector(t), INTENT, 30, 3, 0.3)
 
 
 @query("h1_h2_matches", f", {MATCHED} select sku_name, mc, category, match_type, round(semantic_score, 6) as semantic_score, round(relevance_score, 6) as relevance_score from matched", ("import_history", "product_embedding"))
@@ -136,7 +137,8 @@ def _(t):
 
 @query("i7_match_total", f"{HISTORY}, {MATCHED}, g as (select distinct {', '.join(h.MARKET_KEYS)} from sh) select count(*) as total from g join matched on {same('g', 'matched', s.MATCH_KEYS)}", ("import_history", "product_embedding"))
 def _(t):
-    return s.match_total(sh(t), matched(t))
+    """Of the records, which have the groups of their histories; so rows are joined without the importer."""
+    return s.match_total(t.ih_hashed, staged(matched(t)))
 
 
 @query("i9_search_metrics", f", {MATCHED} select cast(sum(case when match_type = 'exact' then 1 else 0 end) as bigint) as exact_count, cast(sum(case when match_type = 'popular' then 1 else 0 end) as bigint) as popular_count, cast(sum(case when match_type = 'semantic' then 1 else 0 end) as bigint) as semantic_count, round(min(semantic_score), 6) as least_semantic, round(min(relevance_score), 6) as least_relevance from matched", ("import_history", "product_embedding"))

@@ -85,6 +85,8 @@ VIEWS = {
 }
 #: Spark joins as written: orders meet their customers before the line items, several times as many, are dealt out, which spares those a shuffle.
 GROUPED_JOIN = "orders on l_orderkey=o_orderkey join customer on c_custkey=o_custkey", "(orders join customer on c_custkey=o_custkey) on l_orderkey=o_orderkey"
+#: With these, line items aren't sorted: they meet hash tables of their orders, parts and suppliers, which are fewer and unique by key, so that no key makes them large.
+HASHED_JOIN = ("\nselect\n", "\nselect /*+ shuffle_hash(bought, goods, maker) */\n"), (GROUPED_JOIN[1].split(" on l_")[0], f"(select * from {GROUPED_JOIN[1].split(' on l_')[0][1:-1]}) bought"), ("join part on", "join (select * from part) goods on"), ("join supplier on", "join (select * from supplier) maker on")
 NEEDS = {"country_item_amount": ["import_history"]}
 
 
@@ -107,9 +109,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def view(self, name: str, *tables: str, **frames: DataFrame) -> DataFrame:
+    def view(self, name: str, *tables: str, hashed: bool = False, **frames: DataFrame) -> DataFrame:
         frames |= {t: self.raw(t) for t in tables}
         text = VIEWS[name].replace(*GROUPED_JOIN)
+        for change in HASHED_JOIN if hashed else ():
+            text = text.replace(*change, 1)
         for t in frames:
             text = re.sub(rf"(?:(?<=from |join )|(?<=join \()){t}\b(?!\.)", f"{{{t}}}", text)
         return self.spark.sql(text, **frames)
@@ -118,9 +122,14 @@ class Tables:
     def ih(self) -> DataFrame:
         return self.records(lineitem=self.raw("lineitem"))
 
-    def records(self, lineitem: DataFrame) -> DataFrame:
+    @cached_property
+    def ih_hashed(self) -> DataFrame:
+        """``ih`` without a sort of the line items, for queries of which a task would hold many of them."""
+        return self.records(lineitem=self.raw("lineitem"), hashed=True)
+
+    def records(self, lineitem: DataFrame, hashed: bool = False) -> DataFrame:
         """Import records of line items."""
-        return self.view("import_history", "orders", "customer", "part", "supplier", "nation", lineitem=lineitem)
+        return self.view("import_history", "orders", "customer", "part", "supplier", "nation", hashed=hashed, lineitem=lineitem)
 
     @cached_property
     def cia(self) -> DataFrame:
