@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SKU_KEYS = ["category", "mc", "sku_name", "import_type", "importer", "manufacturer", "factory", "country"]
 MARKET_KEYS = ["category", "mc", "sku_name", "manufacturer", "factory", "country"]
 FACTORY_KEYS = ["sku_name", "manufacturer", "factory", "country", "mc"]
+#: The keys of an SKU history so that a factory's groups follow each other, and in them those of one market status: in this order, one sort serves all.
+NESTED_KEYS = [*FACTORY_KEYS, "category", "import_type", "importer"]
 SEARCHED = ["category", "mc", "sku_name", "importer", "manufacturer", "factory"]
 SORTABLE = {*SKU_KEYS, "import_count", "latest_import", "first_import", "market_status", "email"}
 
@@ -52,7 +54,7 @@ def _status(first: Column, last: Column) -> Column:
 
 def with_market_status(groups: DataFrame) -> DataFrame:
     """Groups that have the importer among their keys, with the status of their goods: from the groups themselves, so the records are read once."""
-    same = Window.partitionBy(*MARKET_KEYS)
+    same = Window.partitionBy(*NESTED_KEYS[:6])
     return groups.withColumn("market_status", _status(F.min("importer").over(same), F.max("importer").over(same)))
 
 
@@ -63,7 +65,7 @@ def sku_groups(ih: DataFrame, as_of: datetime.date) -> DataFrame:
 
 def _history(ih: DataFrame, as_of: datetime.date, *more: Column) -> DataFrame:
     day = effective_date()
-    return ih.groupBy(*SKU_KEYS).agg(
+    out = ih.groupBy(*NESTED_KEYS).agg(
         F.count("*").alias("import_count"),
         F.min("email").alias("email"),
         F.min(day).alias("first_import"),
@@ -75,6 +77,7 @@ def _history(ih: DataFrame, as_of: datetime.date, *more: Column) -> DataFrame:
         F.bool_or(F.col("oem_status").isNotNull()).alias("oem_possible"),
         *more,
     )
+    return out.select(*SKU_KEYS, *out.columns[len(NESTED_KEYS) :])
 
 
 def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -> DataFrame:
@@ -85,12 +88,45 @@ def sku_history(ih: DataFrame, as_of: datetime.date, with_status: bool = True) -
     return with_market_status(out)
 
 
+def _of_factory() -> dict[str, Column]:
+    """Aggregates over groups at the grain of the SKU history."""
+    return {
+        "import_count": F.sum("import_count"), "email": F.min("email"), "homepage": F.min("homepage"), "oem_status": F.max("oem_status"),
+        "importers": F.collect_set("importer"), "import_types": F.collect_set("import_type"),
+    }
+
+
+def _sorted_sets(factories: DataFrame) -> DataFrame:
+    return factories.withColumns({c: F.array_sort(c) for c in ("importers", "import_types")})
+
+
 def factories_of_groups(groups: DataFrame) -> DataFrame:
     """``sku_factory`` from groups at the grain of the SKU history, whose keys have the importers and the import types."""
-    return groups.groupBy(*FACTORY_KEYS).agg(
-        F.sum("import_count").alias("import_count"), F.min("email").alias("email"), F.min("homepage").alias("homepage"), F.max("oem_status").alias("oem_status"),
-        F.array_sort(F.collect_set("importer")).alias("importers"), F.array_sort(F.collect_set("import_type")).alias("import_types"),
-    )
+    return _sorted_sets(groups.groupBy(*FACTORY_KEYS).agg(*[c.alias(n) for n, c in _of_factory().items()]))
+
+
+def whole_groups(groups: DataFrame) -> DataFrame:
+    """Groups that have the importer among their keys, with market status, and with the first of each factory and of each market marked.
+
+    The first of a factory has its aggregates in ``of_factory``, else null; the first of a market has ``of_market`` true. So the tables of factories and of the
+    market status are rows of this one (``marked_factories``, ``marked_status``), which need no grouping of their own.
+    """
+    factory, market = (Window.partitionBy(*NESTED_KEYS[:n]).orderBy(*NESTED_KEYS[n:]) for n in (5, 6))
+    whole = lambda c, w: c.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = groups.select("*", F.row_number().over(factory).alias("__nth"), *[whole(c, factory).alias(f"__{n}") for n, c in _of_factory().items()])
+    once = F.when(F.col("__nth") == 1, F.struct(*[F.col(f"__{n}").alias(n) for n in _of_factory()])).alias("of_factory")
+    found = found.select(*groups.columns, once)
+    return found.select("*", (F.row_number().over(market) == 1).alias("of_market"), _status(whole(F.min("importer"), market), whole(F.max("importer"), market)).alias("market_status"))
+
+
+def marked_factories(groups: DataFrame) -> DataFrame:
+    """``sku_factory`` from ``whole_groups``."""
+    return _sorted_sets(groups.where("of_factory is not null").select(*FACTORY_KEYS, "of_factory.*"))
+
+
+def marked_status(groups: DataFrame) -> DataFrame:
+    """``market_status`` from ``whole_groups``."""
+    return groups.where("of_market and market_status is not null").select(*MARKET_KEYS, "market_status")
 
 
 def sku_factory(ih: DataFrame) -> DataFrame:

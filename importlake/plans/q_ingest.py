@@ -163,8 +163,8 @@ def _(t):
   union all select 'facets', count(*), cast(sum(length(v)) as bigint), count(distinct c) from facets where v is not null""", IH)
 def _(t):
     out = scratch(t)
-    tb.refresh(t.ih.where("mc = 'bolt'"), out, AS_OF)
-    tb.refresh(t.ih, out, AS_OF)
+    tb.refresh(t.ih_dealt.where("mc = 'bolt'"), out, AS_OF)
+    tb.refresh(t.ih_dealt, out, AS_OF)
     total = lambda name, total, marked: versions.read(t.spark, out, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), total.cast("long").alias("total"), marked.alias("marked")).select("name", "n", "total", "marked")
     open_ = F.count_if(F.col("market_status") == "O")
     rows = total("sku_history", F.sum("import_count"), open_).unionByName(total("sku_factory", F.sum("import_count"), F.count_if(F.size("importers") > 1)))

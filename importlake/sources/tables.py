@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from importlake.functions import text as x
 from importlake.operators import history as h
 from importlake.sources import versions
-from importlake.sources.staging import staged
+from importlake.sources.staging import discard, staged
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str, insert_only: bool = False) -> DataFrame:
@@ -63,15 +63,16 @@ def load_snapshot(rows: DataFrame, items: str, runs: str, run_id: str, run_at: d
 def refresh(ih: DataFrame, out: str, as_of: datetime.date) -> int:
     """Write the three aggregates and the distinct values of the filter columns as one version, which readers see when all four are there.
 
-    The records are read once: the groups of the SKU history have all that the factories, the market status and the filter values follow from.
+    The records are read once: the groups of the SKU history have all that the factories, the market status and the filter values follow from. Records
+    dealt out by keys that all these share, as ``Tables.ih_dealt``, are not shuffled here.
     """
     spark, folder = ih.sparkSession, versions.new_version(out)
-    groups = staged(h.sku_groups(ih, as_of))
-    h.with_market_status(groups).drop("homepage", "oem_status").write.parquet(f"{folder}/sku_history")
-    h.factories_of_groups(groups).write.parquet(f"{folder}/sku_factory")
-    history = spark.read.parquet(f"{folder}/sku_history")
-    h.market_status(history).write.parquet(f"{folder}/market_status")
-    facet_lists(history).write.parquet(f"{folder}/facets")
+    groups = staged(h.whole_groups(h.sku_groups(ih, as_of)))
+    groups.drop("homepage", "oem_status", "of_factory", "of_market").write.parquet(f"{folder}/sku_history")
+    h.marked_factories(groups).write.parquet(f"{folder}/sku_factory")
+    h.marked_status(groups).write.parquet(f"{folder}/market_status")
+    facet_lists(groups).write.parquet(f"{folder}/facets")
+    discard(groups)
     return versions.commit(spark, out, {"folder": folder})
 
 
