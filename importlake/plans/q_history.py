@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from importlake.operators import history as h
 from importlake.plans.registry import query
 from importlake.plans.views import AS_OF, Tables
+from importlake.sources.staging import staged
 
 IH = ("import_history",)
 D = "coalesce(import_date, process_date)"
@@ -131,8 +132,10 @@ def _(t):
 
 @query("d2_attach_measures", f"{HISTORY}, keys as (select distinct {K8} from import_history where mc is null or country = 'NATION_1') select sh.* from sh join keys on {same('sh', 'keys', h.SKU_KEYS)}", IH)
 def _(t):
-    keys = t.ih.where("mc is null or country = 'NATION_1'").select(*h.SKU_KEYS).distinct()
-    return h.null_safe_join(sh(t), keys.withColumn("hit", F.lit(1)), h.SKU_KEYS, "inner").drop("hit")
+    # Asked of the records, which are written once for both sides: those of a market all have the same answer, so its status stays whole.
+    hit = staged(t.ih_goods_first.where("mc is null or country = 'NATION_1'"))
+    keys = hit.select(*h.SKU_KEYS).distinct()
+    return h.null_safe_join(h.sku_history(hit, AS_OF), keys.withColumn("hit", F.lit(1)), h.SKU_KEYS, "inner").drop("hit")
 
 
 ORDERED = "order by import_count desc nulls last, latest_import desc nulls first, " + ", ".join(f"{k} asc nulls first" for k in h.SKU_KEYS)

@@ -4,12 +4,15 @@ import datetime
 import itertools
 import os
 
+from importlake import plans
 from importlake.operators import history as h
+from importlake.plans import registry
 from importlake.plans.views import AS_OF, Tables
 from importlake.sources import tables
 from importlake.sources.staging import shared_folder, staged
 
 SF = "/root/testdata/sf0.001"
+plans.load()
 
 
 def shuffled(spark, run):
@@ -60,3 +63,9 @@ def test_dealt_records_are_grouped_without_a_shuffle(spark):
     lines = h.whole_groups(h.sku_groups(Tables(spark, SF).ih_dealt, AS_OF))._jdf.queryExecution().executedPlan().toString().split("\n")
     deal = [i for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x]
     assert len(deal) == 1 and not any("Exchange" in x for x in lines[: deal[0]]) and sum("Sort [" in x for x in lines[: deal[0]]) == 1
+
+
+def test_measures_are_grouped_from_the_records_asked_for_only(spark):
+    """Before, from all records, which were read once more for the keys."""
+    n = Tables(spark, SF).raw("lineitem").count()
+    assert shuffled(spark, lambda: registry.QUERIES["d2_attach_measures"](spark, SF).collect()) < n
